@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, packing, simhash, token_files, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op4_packing": packing.op4_packing,
+    "op5_warc": warc.op5_warc,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
