@@ -42,10 +42,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def stars(keyed: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
     """Rows (key, node, center, size) of the buckets that have two nodes or more; center is the smallest node.
 
-    ``keyed`` must have each (key, node) once.
+    ``keyed`` may have a (key, node) more than once; size counts those too.
     """
     w = Window.partitionBy(key)
-    return keyed.withColumns({"center": F.min(node).over(w), "size": F.count("*").over(w)}).where("size > 1")
+    ends = keyed.withColumns({"center": F.min(node).over(w), "top": F.max(node).over(w), "size": F.count("*").over(w)})
+    return ends.where("center <> top").drop("top").distinct()
 
 
 def rest_of_buckets(star: DataFrame, labels: DataFrame) -> DataFrame:

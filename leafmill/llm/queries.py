@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, token_files, warc
+from . import decontamination, language_id, licenses, line_dedup, packing, simhash, token_files, toxicity, warc, winnowing
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_warc": warc.op5_warc,
+    "op6_licenses": licenses.op6_licenses,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op9_winnowing": winnowing.op9_winnowing,
     "op10_token_files": token_files.op10_token_files,
 }
 
