@@ -1,7 +1,7 @@
 """Toxicity (7): a factorization machine over hashed terms.
 
-A document's terms are its distinct words (runs of letters, lower case) and their first five letters,
-hashed. The machine scores a set of terms by a bias, a weight for each term and, for each pair, the
+A document's terms are its distinct words (runs of letters, lower case) and their first three, four
+and five letters (which stand for stems), hashed. The machine scores a set of terms by a bias, a weight for each term and, for each pair, the
 inner product of two latent vectors, so that it can learn that two terms together (an insult and a
 mention of a group) mean more than either.
 
@@ -29,7 +29,7 @@ SAMPLE_ROWS = 30_000
 SPACE = 1 << 22
 TERMS = 8192
 LEAST_DOCUMENTS = 4
-PREFIX = 5
+PREFIXES = (3, 4, 5)
 FACTORS = 8
 EPOCHS = 12
 THRESHOLD = 0.3
@@ -40,9 +40,8 @@ MOST_WORDS = 400_000
 def terms_of_word(word: str) -> tuple[int, ...]:
     from xxhash import xxh64_intdigest
 
-    whole = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) % SPACE
-    start = xxh64_intdigest(("^" + word[:PREFIX]).encode("utf-8", "surrogatepass"), 7) % SPACE
-    return whole, start
+    texts = [word, *(f"{word[:n]}^" for n in PREFIXES if len(word) >= n)]
+    return tuple(xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) % SPACE for t in texts)
 
 
 def words_of(text: str | None) -> set[str]:

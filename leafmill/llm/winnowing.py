@@ -1,8 +1,8 @@
 """Document fingerprints (9): winnowing, with DataFrame functions only.
 
-A text is read as tokens of at most 4 characters between white space. Each run of 5 tokens has a
-64-bit hash; of every window of 24 consecutive hashes the smallest is kept, of equal ones the
-rightmost. Two texts that share 28 consecutive tokens share a kept hash, and its position (the number
+A text is read as tokens of at most 4 characters between white space. Each run of 4 tokens has a
+64-bit hash; of every window of 8 consecutive hashes the smallest is kept, of equal ones the
+rightmost. Two texts that share 11 consecutive tokens share a kept hash, and its position (the number
 of its first token) is kept to find the match. A text shorter than a window keeps the smallest of what
 it has, one shorter than a run the hash of all its tokens.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 TOKEN_CHARS = 4
-GRAM = 5
-WINDOW = 24
+GRAM = 4
+WINDOW = 8
 POSITION_BITS = 24
 #: Ranges of doc_id that are put in order on their own.
 MOST_RANGES = 512
