@@ -228,14 +228,19 @@ def decontaminate(
         return _decontaminate_by_join(docs, benchmark, remove)
 
     def clean(batches):
-        for pdf in batches:
-            hits = [index.value.scan(words(t))[0] for t in pdf.text]
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            hits = [index.value.scan(words(t))[0] for t in texts]
             if remove == "documents":
-                yield pdf[np.array([h is None for h in hits], dtype=bool)]
+                yield batch.filter(pa.array([h is None for h in hits], pa.bool_()))
             else:
-                yield pdf.assign(text=[t if h is None else without_spans(t, h) for t, h in zip(pdf.text, hits)])
+                left = [t if h is None else without_spans(t, h) for t, h in zip(texts, hits)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
 
-    return docs.mapInPandas(clean, docs.schema)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, remove: str) -> DataFrame:

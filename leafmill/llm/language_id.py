@@ -299,14 +299,16 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        import pyarrow as pa
+
         scorer = Scorer(shared.value)
-        for pdf in batches:
-            for a in range(0, len(pdf), 200):
-                part = pdf.iloc[a : a + 200]
-                names, score = _predictions(scorer, shared.value, list(part.text))
-                yield part[(np.array(names, dtype=object) != UNKNOWN) & (score >= min_score)]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                names, score = _predictions(scorer, shared.value, part.column("text").to_pylist())
+                yield part.filter(pa.array((np.array(names, dtype=object) != UNKNOWN) & (score >= min_score)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

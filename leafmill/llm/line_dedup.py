@@ -181,7 +181,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             lines, node = _distinct_lines(pdf, seen)
             at = np.mod(node, BITMAP_BITS)
             there = np.flatnonzero((words[at // 32] >> (at % 32).astype(np.uint32)) & 1)
-            yield pd.DataFrame({"node": node[there], "line": [lines[i] for i in there]})
+            if len(there):
+                yield pd.DataFrame({"node": node[there], "line": [lines[i] for i in there]})
 
     found = docs.where("text is not null").select("text").mapInPandas(pick, "node long, line string")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))

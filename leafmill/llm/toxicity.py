@@ -7,8 +7,8 @@ mention of a group) mean more than either.
 
 Fitting uses a bounded sample of the labelled rows: the ``SAMPLE_ROWS`` whose ids have the smallest
 hashes, which is also why their labels can be broadcast to the scan of the documents. On the sample,
-Spark counts each term's documents by label; the ``TERMS`` terms with the largest chi-square are the
-machine's. The sample as term numbers goes to the driver, where the machine is fitted by AdaGrad.
+Spark counts each term's documents by label; the ``TERMS`` terms with the largest chi-square, of those
+whose chi-square is significant, are the machine's. The sample as term numbers goes to the driver, where the machine is fitted by AdaGrad.
 Scoring runs over all rows and whole texts in the tasks.
 
 Defined cases: a null or empty text has no terms and gets the bias's score; conflicting labels of one
@@ -29,6 +29,8 @@ SAMPLE_ROWS = 30_000
 SPACE = 1 << 22
 TERMS = 8192
 LEAST_DOCUMENTS = 4
+#: Terms below this chi-square (0.001 at one degree of freedom) are left out.
+LEAST_CHI = 10.83
 PREFIXES = (3, 4, 5)
 FACTORS = 8
 EPOCHS = 12
@@ -57,13 +59,13 @@ class Machine:
         self.terms, self.bias, self.weight, self.vectors = terms, bias, weight, vectors
 
     @staticmethod
-    def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS) -> Machine:
+    def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factors: int = FACTORS, rate: float = 0.3, vector_rate: float = 0.03) -> Machine:
         """AdaGrad on the logistic loss, over batches of rows of term numbers."""
         rng = np.random.default_rng(42)
         n = len(terms)
         weight, vectors = np.zeros(n), rng.normal(0, 0.02, (n, factors))
-        rate = labels.mean()
-        bias = float(np.log(rate / (1 - rate)))
+        share = labels.mean()
+        bias = float(np.log(share / (1 - share)))
         sums_w, sums_v, sum_b = np.full(n, 1e-4), np.full((n, factors), 1e-2), 1e-4
         lengths = np.array([len(r) for r in rows])
         for _ in range(epochs):
@@ -86,8 +88,8 @@ class Machine:
                 gv[touched] += 1e-4 * vectors[touched]
                 sums_w[touched] += gw[touched] ** 2
                 sums_v[touched] += gv[touched] ** 2
-                weight[touched] -= 0.3 * gw[touched] / np.sqrt(sums_w[touched])
-                vectors[touched] -= 0.03 * gv[touched] / np.sqrt(sums_v[touched])
+                weight[touched] -= rate * gw[touched] / np.sqrt(sums_w[touched])
+                vectors[touched] -= vector_rate * gv[touched] / np.sqrt(sums_v[touched])
                 sum_b += g.sum() ** 2
                 bias -= 0.05 * g.sum() / sum_b**0.5
         return Machine(terms, bias, weight, vectors)
@@ -126,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
     expected = F.col("df") * (n_toxic / n)
     chi = (F.col("hit") - expected) ** 2 / (expected * (1 - F.col("df") / (n + 1)))
-    chosen = counts.where(F.col("df") >= LEAST_DOCUMENTS).orderBy(chi.desc(), "term").limit(terms)
+    chosen = counts.where((F.col("df") >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms)
     known = np.sort(np.array([r.term for r in chosen.select("term").collect()], dtype=np.int64))  # at most ``terms`` rows
     if not len(known):
         return None
