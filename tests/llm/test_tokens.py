@@ -26,7 +26,7 @@ def ids_of(path, text, end):
 
 @pytest.mark.parametrize("path", [packing.byte_bpe_path(), token_files.word_bpe_path()])
 def test_units_give_the_librarys_ids(path):
-    texts = ["", "a  b", " a\n\nb ", "x\t y", "\r\n", "it's 5's x", "a  b", "é É", "ΟΔΟΣ ΟΔΟΣ.", "two  <|endoftext|>  x", "tab\tend\t", "\x1c a", "𝔘nicode ½ ²", "w" * 300, "a \n　b"]
+    texts = ["", "a  b", " a\n\nb ", "x\t y", "\r\n", "it's 5's x", "a  b", "é É", "ΟΔΟΣ ΟΔΟΣ.", "two  <|endoftext|>  x", "tab\tend\t", "\x1c a", "𝔘nicode ½ ²", "w" * 300, "Ünï Ŀ ŉ İ ſ x² 3½ — “q” it’S I'LL don't'T 'save", "a,b.c;d  e\n\n\nf 12ab34 \x00\x01 ª µ × ÷ €5", "é ê", "  lead", "end  ", " \n x", "A" * 70 + " bb", "a \n　b"]
     whole = [ids_of(path, t, 0)[:-4] for t in texts]
     coder = Encoder(path)
     assert coder.encode(texts) == whole
