@@ -1,0 +1,86 @@
+"""Tags that questions mention, and the tag that a question resolves to.
+
+Questions meet tags through the tag's first characters: every position of a question that could begin
+a tag gives a row with the characters there, and the join is an equality on them. No cross join.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Words by which a question asks for a manual itself.
+MANUAL_WORDS = ("マニュアル", "取説", "取扱説明書", "説明書")
+PREFIX_LEAST = 3
+
+
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC").str.casefold()
+
+
+def norm_name(c: Column) -> Column:
+    """NFKC and case folding; ASCII text, for which that is lower case, does not leave the JVM's expression."""
+    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+    return F.when(ascii_only, F.lower(c)).otherwise(_folded(F.when(~ascii_only, c)))
+
+
+def flag_manual_request(questions: DataFrame) -> DataFrame:
+    """Questions (text) with manual_request."""
+    return questions.withColumn("manual_request", F.exists(F.array(*[F.lit(w) for w in MANUAL_WORDS]), lambda w: F.contains(F.col("text"), w)))
+
+
+def mention_join(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """(question_id, tag, start, end) of every mention, positions from 0 in the normalised question.
+
+    A tag whose edge is an ASCII letter or digit is not mentioned where one stands beside that edge. A
+    tag is left out if all its mentions lie inside longer mentions of other tags.
+    questions: question_id, text; tags: tag.
+    """
+    names = tags.select("tag").distinct().withColumn("name", norm_name(F.col("tag"))).where(F.trim("name") != "")
+    names = names.withColumns({"size": F.length("name"), "head": F.left("name", F.lit(1))})
+    texts = questions.select("question_id", norm_name(F.col("text")).alias("q")).where("q <> ''")
+    lengths = names.select("size").distinct()
+    # One row for each position and length that some tag has: the key is the text there.
+    sizes = F.broadcast(lengths.groupBy().agg(F.collect_set("size").alias("sizes")))  # lengths of names: at most 255
+    spans = (
+        texts.crossJoin(sizes)  # a single row
+        .select("question_id", "q", F.explode(F.expr("sequence(1, length(q))")).alias("p"), "sizes")
+        .select("question_id", "q", "p", F.explode("sizes").alias("size"))
+        .where("p + size - 1 <= length(q)")
+        .select("question_id", F.expr("substring(q, p, size)").alias("name"), (F.col("p") - 1).alias("start"), (F.col("p") + F.col("size") - 1).alias("end"),
+                F.expr("if(p > 1, substring(q, p - 1, 1), '')").alias("before"), F.expr("substring(q, p + size, 1)").alias("after"))
+    )
+    word = "^[a-z0-9A-Z]$"
+    edge = lambda c, outside: ~(c.rlike("^[a-zA-Z0-9]") & F.col(outside).rlike(word))
+    found = spans.join(names.select("tag", "name"), "name").where(edge(F.col("name"), "before") & edge(F.reverse("name"), "after")).select("question_id", "tag", "start", "end")
+    longer = found.select("question_id", F.col("tag").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = found.join(longer, "question_id").where("other <> tag and s <= start and end <= e and not (s = start and e = end)").select("question_id", "tag", "start", "end").distinct()
+    free = found.join(inside, ["question_id", "tag", "start", "end"], "left_anti").select("question_id", "tag").distinct()
+    return found.join(free, ["question_id", "tag"], "left_semi")
+
+
+def prefix_mentions(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """(question_id, tag): ASCII tokens of three characters or more that begin a tag."""
+    tokens = questions.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(norm_name(F.col("text")), F.lit("([A-Za-z0-9][A-Za-z0-9-]*)"), 1))).alias("token")).where(F.length("token") >= PREFIX_LEAST)
+    names = tags.select("tag").distinct().withColumn("name", norm_name(F.col("tag"))).where("name <> ''")
+    starts = names.select("tag", F.explode(F.expr(f"transform(if(length(name) >= {PREFIX_LEAST}, sequence({PREFIX_LEAST}, length(name)), array()), n -> left(name, n))")).alias("token"))
+    return tokens.join(starts, "token").select("question_id", "tag").distinct()
+
+
+def mentioned_tags(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """(question_id, tag): mentions, and for questions without any their prefix matches."""
+    exact = mention_join(questions, tags).select("question_id", "tag").distinct()
+    return exact.unionByName(prefix_mentions(questions.join(exact, "question_id", "left_anti"), tags))
+
+
+def resolve_tag(questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """(question_id, tag): the one tag that a question mentions, else the session's tag.
+
+    questions: question_id, text, session_tag. Several mentions resolve to none before the session's tag is taken.
+    """
+    named = mentioned_tags(questions, tags).groupBy("question_id").agg(F.count("*").alias("n"), F.min("tag").alias("one"))
+    out = questions.join(named, "question_id", "left")
+    return out.select("question_id", F.coalesce(F.when(F.col("n") == 1, F.col("one")), F.col("session_tag")).alias("tag"))
