@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, key: str = "source_file_name", version: str = "version") -> DataFrame:
@@ -48,7 +49,7 @@ def feature_hash(texts: list[str], dim: int) -> np.ndarray:
 
 def embed_column(df: DataFrame, column: str, fn: Callable = feature_hash, dim: int = 64, batch: int = 256) -> DataFrame:
     """Adds ``embedding``, one vector per row by ``fn(texts, dim)``; a vector of another dimension is an error."""
-    schema = df.schema.add("embedding", "array<float>")
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches):
         for pdf in batches:

@@ -1,7 +1,7 @@
 """Tags that questions mention, and the tag that a question resolves to.
 
-Questions meet tags through the tag's first characters: every position of a question that could begin
-a tag gives a row with the characters there, and the join is an equality on them. No cross join.
+Questions meet tags by an equality: every position of a question where a tag can begin gives a row with
+the characters there, for each length that a tag has. No cross join.
 """
 
 from __future__ import annotations
@@ -40,18 +40,19 @@ def mention_join(questions: DataFrame, tags: DataFrame) -> DataFrame:
     questions: question_id, text; tags: tag.
     """
     names = tags.select("tag").distinct().withColumn("name", norm_name(F.col("tag"))).where(F.trim("name") != "")
-    names = names.withColumns({"size": F.length("name"), "head": F.left("name", F.lit(1))})
-    texts = questions.select("question_id", norm_name(F.col("text")).alias("q")).where("q <> ''")
-    lengths = names.select("size").distinct()
-    # One row for each position and length that some tag has: the key is the text there.
-    sizes = F.broadcast(lengths.groupBy().agg(F.collect_set("size").alias("sizes")))  # lengths of names: at most 255
+    names = names.withColumns({"size": F.length("name")})
+    sizes = sorted(r["size"] for r in names.select("size").distinct().collect())  # lengths of tags: at most 255
+    if not sizes:
+        return questions.sparkSession.createDataFrame([], questions.select("question_id").schema.add("tag", "string").add("start", "int").add("end", "int"))
+    texts = questions.select("question_id", F.split(norm_name(F.col("text")), "").alias("q")).where("size(q) > 0")
+    # One row for each length that some tag has, at each position where a tag can begin: not within a run of ASCII letters and digits.
+    begins = F.expr("filter(sequence(1, size(q)), p -> p = 1 or not (q[p - 1] rlike '^[a-zA-Z0-9]$' and q[p - 2] rlike '^[a-zA-Z0-9]$'))")
     spans = (
-        texts.crossJoin(sizes)  # a single row
-        .select("question_id", "q", F.explode(F.expr("sequence(1, length(q))")).alias("p"), "sizes")
-        .select("question_id", "q", "p", F.explode("sizes").alias("size"))
-        .where("p + size - 1 <= length(q)")
-        .select("question_id", F.expr("substring(q, p, size)").alias("name"), (F.col("p") - 1).alias("start"), (F.col("p") + F.col("size") - 1).alias("end"),
-                F.expr("if(p > 1, substring(q, p - 1, 1), '')").alias("before"), F.expr("substring(q, p + size, 1)").alias("after"))
+        texts.select("question_id", "q", F.explode(begins).alias("p"))
+        .select("question_id", "q", "p", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
+        .where("p + size - 1 <= size(q)")
+        .select("question_id", F.expr("array_join(slice(q, p, size), '')").alias("name"), (F.col("p") - 1).alias("start"), (F.col("p") + F.col("size") - 1).alias("end"),
+                F.expr("if(p > 1, q[p - 2], '')").alias("before"), F.expr("coalesce(get(q, p + size - 1), '')").alias("after"))
     )
     word = "^[a-z0-9A-Z]$"
     edge = lambda c, outside: ~(c.rlike("^[a-zA-Z0-9]") & F.col(outside).rlike(word))
