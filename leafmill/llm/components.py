@@ -49,39 +49,55 @@ def stars(keyed: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
     return ends.where("center <> top").drop("top").distinct()
 
 
-def rest_of_buckets(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that its star has not compared and that may still join two components.
-
-    ``labels`` are the components of the links that the stars gave. In each bucket the largest
-    component needs no comparison within itself; every other member is compared with each member of
-    another component. Together with the stars this leaves no pair of a bucket unchecked whose ends
-    are not connected already.
-    """
-    named = (
-        star.where("size > 2")
-        .join(labels, "node", "left")
-        .select("key", "node", "center", F.coalesce("component", "node").alias("component"))
-    )
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    known = checkpointed(known)
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    moved = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return checkpointed(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _open_members(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, node, component, largest) of the buckets that still hold several components, without their compared centers."""
+    named = star.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    named = checkpointed(named.join(mixed, "key").where("node <> center").select("key", "node", "component", "largest"))
-    outer = named.where("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = outer.join(named, "key").where((F.col("cx") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("node"))))
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return named.join(mixed, "key").where("node <> center").select("key", "node", "component", "largest")
 
 
-def all_links(star: DataFrame, verify) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) enough for the components of all verifiable pairs, and those components.
+def all_components(star: DataFrame, verify, attributes: DataFrame, possible, rounds: int = 3, centers: int = 4) -> DataFrame:
+    """(node, component) by all pairs of a bucket that ``verify`` lets stand.
 
-    ``verify`` maps candidate pairs (a, b) to those that hold.
+    ``verify`` maps pairs (a, b) to those that are links; ``possible`` is a condition on two structs of
+    ``attributes`` (node and more columns) that every link meets. After each bucket's star, its largest
+    component needs no comparison within itself. Of the members outside it a few at a time (those with
+    the smallest hash) are compared with every member of another component, and the components are drawn
+    again; where members are alike most of them are soon in the largest one. After ``rounds`` of that
+    all that are left outside are compared, so no pair of a bucket stays unchecked whose ends are not
+    connected already.
     """
-    first = checkpointed(verify(star.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()))
-    labels = connected_components(first)
-    second = checkpointed(verify(rest_of_buckets(star, labels)))
-    if second.isEmpty():
-        return first, labels
-    links = first.unionByName(second)
-    return links, connected_components(links)
+    labels = connected_components(checkpointed(verify(star.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())))
+    held = attributes.select("node", F.struct(*attributes.columns).alias("about"))
+    active = star.where("size > 2")
+    for r in range(rounds + 1):
+        members = checkpointed(_open_members(active, labels).join(held, "node"))
+        if members.isEmpty():
+            break
+        w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(r)), "node")
+        outer = members.where("component <> largest").withColumn("nth", F.row_number().over(w))
+        chosen = outer if r == rounds else outer.where(F.col("nth") <= centers)
+        chosen = chosen.select("key", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("about").alias("about_x"))
+        met = chosen.alias("p").join(members.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("of_x") != F.col("component")) & possible("about_x", "about"))
+        pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        links = checkpointed(verify(pairs))
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+        if r < rounds:
+            active = checkpointed(active.join(outer.where(F.col("nth") > centers).select("key").distinct(), "key", "left_semi"))
+    return labels
 
 
 def with_component(nodes: DataFrame, labels: DataFrame, node: str = "node") -> DataFrame:

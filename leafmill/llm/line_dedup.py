@@ -5,8 +5,10 @@ Equal lines are one node from the start. A node is its line's 64-bit XXH64; a se
 Each distinct line has the set of its 7-character shingles (a shorter line is one shingle), 56 minimum
 hashes and 14 bands of 4; two lines of similarity 0.8 share a band with a probability of 0.9994, of
 0.9 with 0.999996. In each band's buckets the smallest node is compared with all, and then only what
-is outside the bucket's largest component (see ``components``). Candidates count as links when their
-exact Jaccard similarity is 0.8 or more. Of each component the first line stays: that with the
+is outside the bucket's largest component (see ``components``). Pairs that the numbers of their
+shingles, or 256-bit maps of them, rule out are not looked at: a bit that one map has and the other
+lacks is a shingle that the other line lacks. Candidates count as links when their exact Jaccard
+similarity is 0.8 or more. Of each component the first line stays: that with the
 smallest doc_id, then the earliest in its text.
 
 Texts are read where they lie: only hashes, ids and the lines that are in candidate pairs move in
@@ -22,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import all_links, stars, with_component
+from .components import all_components, stars, with_component
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -34,6 +36,8 @@ BANDS = 14
 ROWS = 4
 #: Bits of the bitmap that tells the scan which lines are in candidate pairs.
 BITMAP_BITS = 1 << 24
+#: Words of 64 bits in a line's map of its shingles.
+MAP_WORDS = 4
 #: Characters that are shingled at once.
 BLOCK = 1 << 16
 
@@ -106,6 +110,26 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shingle_maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of distinct shingles of each line, and its map of them, (lines x MAP_WORDS)."""
+    from zlib import crc32
+
+    counts, maps = np.zeros(len(lines), dtype=np.int32), np.zeros((len(lines), MAP_WORDS * 64), dtype=np.uint8)
+    for i, line in enumerate(lines):
+        held = shingles(line)
+        counts[i] = len(held)
+        maps[i, [crc32(s.encode("utf-8", "surrogatepass")) % (MAP_WORDS * 64) for s in held]] = 1
+    return counts, np.packbits(maps, axis=1, bitorder="little").view("<i8")
+
+
+def may_link(x: str, y: str, similarity: float = SIMILARITY) -> Column:
+    """A condition that lines of the similarity meet, on structs of their numbers of shingles and maps."""
+    n, m = F.col(f"{x}.shingles"), F.col(f"{y}.shingles")
+    lacking = lambda p, q: sum((F.bit_count(F.col(f"{p}.map{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.map{i}")))) for i in range(1, MAP_WORDS)), F.bit_count(F.col(f"{p}.map0").bitwiseAND(F.bitwise_not(F.col(f"{q}.map0")))))
+    both = F.least(n - lacking(x, y), m - lacking(y, x))  # at most so many shingles in common
+    return both * (1 + similarity) >= (n + m) * similarity - 1e-9
+
+
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     from xxhash import xxh64_intdigest
 
@@ -172,7 +196,7 @@ def _bitmap(nodes: DataFrame) -> bytes:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the given nodes."""
+    """(node, line) of the given nodes, with their numbers of shingles and the maps of them."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
     def pick(batches):
@@ -182,10 +206,13 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             at = np.mod(node, BITMAP_BITS)
             there = np.flatnonzero((words[at // 32] >> (at % 32).astype(np.uint32)) & 1)
             if len(there):
-                yield pd.DataFrame({"node": node[there], "line": [lines[i] for i in there]})
+                mine = [lines[i] for i in there]
+                counts, maps = shingle_maps(mine)
+                yield pd.DataFrame({"node": node[there], "line": mine, "shingles": counts, **{f"map{i}": maps[:, i] for i in range(MAP_WORDS)}})
 
-    found = docs.where("text is not null").select("text").mapInPandas(pick, "node long, line string")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    words = [f"map{i}" for i in range(MAP_WORDS)]
+    found = docs.where("text is not null").select("text").mapInPandas(pick, "node long, line string, shingles int, " + ", ".join(f"{w} long" for w in words))
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "shingles", *words)])
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +223,13 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     star = written(star.join(clashing, "node", "left_anti"), "line-stars")
     texts = written(texts_of(docs, star.select("node").distinct()), "candidate-lines")
 
+    about = texts.drop("line")
+    side = lambda c, line: texts.select(F.col("node").alias(c), F.col("line").alias(line), F.struct(*about.columns).alias(f"of_{c}"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        one = pairs.join(side("a", "x"), "a").alias("p")
+        sides = one.join(side("b", "y").alias("q"), (F.col("p.b") == F.col("q.b")) & may_link("of_a", "of_b", similarity)).select("a", "p.b", "x", "y")
+
         def exact(batches):
             for pdf in batches:
                 pdf = pdf.sort_values("a")
@@ -208,10 +240,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
                     keep.append(jaccard(mine, shingles(y)) >= similarity)
                 yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-        return sides.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
+        return sides.mapInPandas(exact, "a long, b long")
 
-    _, labels = all_links(star, verify)
-    return lines, labels
+    return lines, all_components(star, verify, about, lambda x, y: may_link(x, y, similarity))
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

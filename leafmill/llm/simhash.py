@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, written
-from .components import all_links, stars, with_component
+from .components import all_components, stars, with_component
 
 SHINGLE = 3
 RADIUS = 3
@@ -104,12 +104,13 @@ def groups(prints: DataFrame) -> DataFrame:
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", *distance_table(F.col("fp"))))
     keyed = nodes.select(F.col("fp").alias("node"), F.explode(block_keys(F.col("fp"))).alias("key"))
     star = written(stars(keyed), "simhash-stars")
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.struct("fp", *[k for k in nodes.columns if k.startswith("far")]).alias(f"of_{c}"))
+    about = nodes.withColumnRenamed("fp", "node").withColumn("fp", F.col("node")).drop("least")
+    side = lambda c: about.select(F.col("node").alias(c), F.struct(*about.columns).alias(f"of_{c}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").where(near("of_a", "of_b")).select("a", "b")
 
-    _, labels = all_links(star, verify)
+    labels = all_components(star, verify, about, near)
     named = with_component(nodes.select(F.col("fp").alias("node"), "least"), labels)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
