@@ -117,9 +117,8 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, as arrays of hash and position, and how alike they are."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("kept", winnow(F.col("text")))
-    pairs = with_next(texts, F.struct("text", "kept")).withColumn("edited", edited(F.col("text"), F.col("next.text")))
-    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "kept", winnow(F.col("edited")).alias("edited_kept"), F.col("next.kept").alias("next_kept"))
+    pairs = with_next(texts, F.col("text")).withColumn("edited", edited(F.col("text"), F.col("next")))
+    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow(F.col("text")).alias("kept"), winnow(F.col("edited")).alias("edited_kept"), winnow(F.col("next")).alias("next_kept"))
     sets = both.withColumns({"h": hashes(F.col("kept")), "eh": hashes(F.col("edited_kept")), "nh": hashes(F.col("next_kept"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", "kept", "edited_kept", likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("nh")).alias("near_next"))
 
