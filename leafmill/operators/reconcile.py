@@ -126,6 +126,13 @@ def assemble_draft(pages: DataFrame) -> DataFrame:
     return pages.groupBy("draft_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", block.alias("b")))), lambda x: x["b"]), "\n").alias("markdown"))
 
 
+def assemble_segments(segments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(doc_id, segments): each page's segments in order, before them a marker where the whole page needs review. reviews: doc_id, reason."""
+    own = segments.select("doc_id", F.struct("pos", "segment_id", "status", "final_text").alias("s"))
+    marks = reviews.select("doc_id", F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit(MARKER).alias("segment_id"), F.lit("needs_review").alias("status"), F.col("reason").alias("final_text")).alias("s"))
+    return own.unionByName(marks).groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("segments"))
+
+
 def locate_segments(segments: DataFrame, drafts: DataFrame) -> DataFrame:
     """Segments with the start and end (from 0) of their text in the draft, from their page's heading on; null if it is not there.
 
