@@ -15,28 +15,32 @@ from .common import checkpointed
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is its smallest node.
 
-    Each round, every node points at its smallest neighbour (or itself), pointers are followed twice,
-    and the edges are redrawn between the nodes pointed at; the smallest node of a component always
-    points at itself. A round at least removes every node that has a smaller neighbour.
+    Each round, every node points at its smallest neighbour (or itself), pointers are followed to their
+    ends, and the edges are redrawn between those; the smallest node of a component always points at
+    itself. A round removes every node that has a smaller neighbour.
     """
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     left = checkpointed(edges.select(*pair(F.col("a"), F.col("b"))).where("a < b").distinct())
-    labels = left.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    first = True
+    rounds = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
-        onward = points.select(F.col("a").alias("to"), F.col("to").alias("root"))
-        points = checkpointed(points.join(onward, "to").select("a", F.col("root").alias("to")))
-        if first:
-            labels, first = points.select(F.col("a").alias("node"), F.col("to").alias("component")), False
-        else:
-            moved = points.select(F.col("a").alias("component"), F.col("to"))
-            labels = checkpointed(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        a, b = (points.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        moving = True
+        while moving:  # each step doubles how far a pointer reaches
+            onward = points.select(F.col("a").alias("to"), F.col("to").alias("root"))
+            points = checkpointed(points.join(onward, "to").select("a", F.col("root").alias("to"), (F.col("root") != F.col("to")).alias("moved")))
+            moving, points = not points.where("moved").isEmpty(), points.drop("moved")
+        rounds.append(points)
+        a, b = (rounds[-1].select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         ends = left.join(a, "a").join(b, "b")
         left = checkpointed(ends.select(*pair(F.col("a_to"), F.col("b_to"))).where("a < b").distinct())
-    return labels
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds[0].select(F.col("a").alias("node"), F.col("to").alias("component"))
+    for points in rounds[1:]:  # each later round moves what the one before pointed at
+        moved = points.select(F.col("a").alias("component"), F.col("to"))
+        labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return checkpointed(labels) if len(rounds) > 1 else labels
 
 
 def stars(keyed: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
@@ -68,7 +72,7 @@ def _open_members(star: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key").where("node <> center").select("key", "node", "component", "largest")
 
 
-def all_components(star: DataFrame, verify, attributes: DataFrame, possible, rounds: int = 3, centers: int = 4) -> DataFrame:
+def all_components(star: DataFrame, verify, attributes: DataFrame, possible, rounds: int = 2, centers: int = 8) -> DataFrame:
     """(node, component) by all pairs of a bucket that ``verify`` lets stand.
 
     ``verify`` maps pairs (a, b) to those that are links; ``possible`` is a condition on two structs of
