@@ -196,7 +196,8 @@ def read_documents(shards: DataFrame, doc_ids: DataFrame) -> DataFrame:
             for uri in pdf.path:
                 shard = Shard(uri)
                 at = np.flatnonzero((shard.index[:, 1] == 0) & np.isin(shard.index[:, 0], wanted))
-                yield pd.DataFrame({"doc_id": shard.index[at, 0].copy(), "ids": [np.frombuffer(shard.ids(k), dtype="<u4").tolist() for k in at]})
+                if len(at):
+                    yield pd.DataFrame({"doc_id": shard.index[at, 0].copy(), "ids": [np.frombuffer(shard.ids(k), dtype="<u4").tolist() for k in at]})
                 shard.close()
 
     return shards.select("path").mapInPandas(read, "doc_id long, ids array<long>")
