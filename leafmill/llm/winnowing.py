@@ -1,14 +1,18 @@
 """Document fingerprints (9): winnowing, with DataFrame functions only.
 
-A text is read as tokens of at most 4 characters between white space. Each run of 4 tokens has a
-64-bit hash; of every window of 8 consecutive hashes the smallest is kept, of equal ones the
-rightmost. Two texts that share 11 consecutive tokens share a kept hash, and its position (the number
-of its first token) is kept to find the match. A text shorter than a window keeps the smallest of what
-it has, one shorter than a run the hash of all its tokens.
+A text is read as its code points without white space. The 12 code points from each one on have a
+64-bit hash, so the hash moves by one code point; of every window of 16 consecutive hashes the smallest
+is kept, of equal ones the rightmost. Two texts that share 27 consecutive code points share a kept hash,
+wherever the passage starts in either and however the text around it is spaced, and its position (the
+number of its first code point) is kept to find the match. A text shorter than a window keeps the
+smallest of what it has, one shorter than 12 the hash of all its code points.
+
+``winnow`` alone does the same over runs of 4 tokens of at most 4 characters between white space, in
+windows of 8; its tokens are cut from the start of each run of text, so it finds a passage only in phase.
 
 A hash and its position are one long: the upper 40 bits are the hash's, the lower 24 the complement
 of the position, so that the smallest long is the smallest hash at its rightmost position. Positions
-of texts beyond 16 million tokens are kept modulo 2^24.
+of texts beyond 16 million code points are kept modulo 2^24.
 
 The likeness of two fingerprints is the Dice coefficient of their sets of hashes; of two empty ones 1.
 
@@ -29,6 +33,9 @@ from .common import table
 TOKEN_CHARS = 4
 GRAM = 4
 WINDOW = 8
+#: Code points in a hash and hashes in a window, for ``winnow_points``.
+GRAM_POINTS = 12
+WINDOW_POINTS = 16
 POSITION_BITS = 24
 #: Ranges of doc_id that are put in order on their own.
 MOST_RANGES = 512
@@ -45,12 +52,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), 0)
 
 
+def key(hashed: Column, at: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(-1 - _POSITION)).bitwiseOR(F.lit(_POSITION) - at.cast("long").bitwiseAND(F.lit(_POSITION)))
+
+
 def gram_keys(text: Column) -> Column:
     """Hash and position, as one long, of every run of tokens."""
 
-    def key(hashed: Column, at: Column) -> Column:
-        return hashed.bitwiseAND(F.lit(-1 - _POSITION)).bitwiseOR(F.lit(_POSITION) - at.cast("long").bitwiseAND(F.lit(_POSITION)))
-
     def of(ts: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(ts) - GRAM), lambda i: key(F.xxhash64(*[ts[i + j] for j in range(GRAM)]), i))
         short = F.array(key(F.xxhash64(ts), F.lit(0)))
@@ -69,6 +77,33 @@ def winnow(text: Column) -> Column:
     return let(gram_keys(text), of)
 
 
+def point_keys(text: Column) -> Column:
+    """Hash and position, as one long, of the code points without white space from each one on."""
+
+    def of(solid: Column) -> Column:
+        grams = F.regexp_extract_all(solid, F.lit(rf"(?s)(?=(.{{{GRAM_POINTS}}}))."), 1)
+        short = F.array(key(F.xxhash64(solid), F.lit(0)))
+        return F.when(F.length(solid) >= GRAM_POINTS, F.transform(grams, lambda g, i: key(F.xxhash64(g), i))).when(F.length(solid) > 0, short).otherwise(F.array().cast("array<long>"))
+
+    return let(F.regexp_replace(text, r"[\s\p{Z}]+", ""), of)
+
+
+def winnow_points(text: Column) -> Column:
+    """The kept hashes of code points with their positions, in order of position."""
+
+    def wider(minima: Column, width: int) -> Column:
+        return let(minima, lambda m: F.zip_with(m, F.slice(m, F.lit(width + 1), F.size(m)), lambda x, y: F.least(x, y)))
+
+    def of(keys: Column) -> Column:
+        minima, width = keys, 1
+        while width < WINDOW_POINTS:  # a power of two; least passes over the nulls beyond the end
+            minima, width = wider(minima, width), 2 * width
+        whole = F.slice(minima, F.lit(1), F.size(keys) - WINDOW_POINTS + 1)
+        return F.when(F.size(keys) > WINDOW_POINTS, F.array_distinct(whole)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
+
+    return let(point_keys(text), of)
+
+
 def position(key: Column) -> Column:
     return F.lit(_POSITION) - key.bitwiseAND(F.lit(_POSITION))
 
@@ -118,7 +153,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, as arrays of hash and position, and how alike they are."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pairs = with_next(texts, F.col("text")).withColumn("edited", edited(F.col("text"), F.col("next")))
-    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow(F.col("text")).alias("kept"), winnow(F.col("edited")).alias("edited_kept"), winnow(F.col("next")).alias("next_kept"))
+    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow_points(F.col("text")).alias("kept"), winnow_points(F.col("edited")).alias("edited_kept"), winnow_points(F.col("next")).alias("next_kept"))
     sets = both.withColumns({"h": hashes(F.col("kept")), "eh": hashes(F.col("edited_kept")), "nh": hashes(F.col("next_kept"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", "kept", "edited_kept", likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("nh")).alias("near_next"))
 

@@ -82,6 +82,34 @@ def test_winnowing_against_brute_force(spark):
         assert [((1 << 24) - 1 - (k & ((1 << 24) - 1)), k >> 24) for k in got[text]] == want
 
 
+def test_points_against_brute_force(spark):
+    texts = ["", " \n\u3000", "short one", "x" * 300, "été naïve 你好 𝔘𝔫𝔦 " * 9, prose(90, 6), "abcdefghijkl", "a" * 11 + "bcdefghijklmnop" + "q"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("k", winnowing.winnow_points(winnowing.F.col("text"))).collect()
+    for r in got:
+        solid, n = "".join(r.text.split()), winnowing.GRAM_POINTS
+        grams = [solid[i : i + n] for i in range(len(solid) - n + 1)] or ([solid] if solid else [])
+        hs = [x[0] >> 24 for x in spark.createDataFrame([(g,) for g in grams], "g string").selectExpr("xxhash64(g)").collect()] if grams else []
+        w, want = min(winnowing.WINDOW_POINTS, len(hs)), []
+        for i in range(len(hs) - w + 1 if hs else 0):
+            at = max(j for j in range(i, i + w) if hs[j] == min(hs[i : i + w]))
+            if (at, hs[at]) not in want:
+                want.append((at, hs[at]))
+        assert [((1 << 24) - 1 - (k & ((1 << 24) - 1)), k >> 24) for k in r.k] == want
+
+
+def test_a_character_inserted_in_text_without_spaces(spark):
+    """One code point more before a shared passage changes little, and a shared passage of 27 is found at any offset."""
+    chinese = "".join(chr(0x4E00 + (i * i * 37 + i * 11) % 5000) for i in range(400))
+    coded = hashlib.sha512(b"x").hexdigest() * 3
+    for text in (chinese, coded):
+        docs = spark.createDataFrame(rows([(1, text), (2, "字" + text)]), SCHEMA)
+        assert min(r.near_next for r in winnowing.fingerprint_edits(docs).collect()) > 0.9
+    passage = chinese[50:77]
+    pairs = [("a" * i + passage + "b", "ключ" * i + "c" + passage) for i in range(1, 6)]
+    kept = spark.createDataFrame(pairs, "a string, b string").select(*[winnowing.hashes(winnowing.winnow_points(winnowing.F.col(c))).alias(c) for c in "ab"])
+    assert all(set(r.a) & set(r.b) for r in kept.collect())
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 16])
 def test_edits_follow_the_order_of_ids(spark, ranges):
     docs = awkward(spark).select("doc_id", winnowing.F.coalesce("text", winnowing.F.lit("")).alias("text"))
