@@ -10,7 +10,8 @@ instead, in a shuffle that AQE splits where one window is hot. Hash hits are com
 before they count.
 
 Defined cases: a null or wordless text has no words and no hits; items with a null id or no words
-are ignored; items repeated under one id count once; repeated documents each give their row; extra
+are ignored; items repeated under one id count once; repeated documents each give their row, and rows that
+share a doc_id, or have none, are judged each by its own text, whatever the benchmark's size; extra
 columns are ignored by ``contamination`` and kept by ``decontaminate``.
 """
 
@@ -128,7 +129,7 @@ def contamination(
     """A row for each document: doc_id, n_words, n_hit, items (sorted) and the spans of hit words."""
     index = _broadcast_index(benchmark, max_broadcast_bytes)
     if index is None:
-        return _contamination_by_join(docs, benchmark)
+        return _contamination_by_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).drop("digest")
 
     def scan(batches):
         for pdf in batches:
@@ -143,6 +144,10 @@ def contamination(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, _REPORT)
 
 
+def _digest():
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def _word_column(text):
     """The same words as an array, in the JVM."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -158,7 +163,10 @@ def _grams(ws, n):
 
 
 def _contamination_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For benchmarks too large to broadcast: windows of both sides meet in an equi-join on their text."""
+    """For benchmarks too large to broadcast: windows of both sides meet in an equi-join on their text.
+
+    The rows of ``contamination`` and the sha2 digest of each text.
+    """
     ws = F.col("ws")
     items = _items(benchmark).select("item_id", _word_column(F.col("text")).alias("ws")).where("size(ws) > 0")
     held = (
@@ -167,10 +175,7 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .distinct()
     )
     lengths = [r.n for r in held.select("n").distinct().collect()]  # at most WINDOW values
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
-        _word_column(F.col("text")).alias("ws"),
-    )
+    keyed = docs.select("doc_id", _digest().alias("digest"), _word_column(F.col("text")).alias("ws"))
     hits = (
         keyed.dropDuplicates(["doc_id", "digest"])
         .select("doc_id", "digest", F.explode(F.flatten(F.array(*[_grams(ws, F.lit(n)) for n in lengths]))).alias("g"))
@@ -195,6 +200,7 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         joined.withColumn("covered", covered)
         .select(
             F.col("d.doc_id").alias("doc_id"),
+            F.col("d.digest").alias("digest"),
             F.size("ws").cast("long").alias("n_words"),
             F.size("covered").cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -203,12 +209,12 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(text: str, hit: np.ndarray) -> str:
-    """The text without each run of hit words, from its first word to its last."""
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without each run of hit words (first, last), from its first word to its last."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw.lower())]
     out, done = [], 0
-    for first, last in _spans(hit):
+    for first, last in spans:
         out.append(raw[done : at[first][0]])
         done = at[last][1]
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
@@ -237,19 +243,33 @@ def decontaminate(
             if remove == "documents":
                 yield batch.filter(pa.array([h is None for h in hits], pa.bool_()))
             else:
-                left = [t if h is None else without_spans(t, h) for t, h in zip(texts, hits)]
+                left = [t if h is None else without_spans(t, _spans(h)) for t, h in zip(texts, hits)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
 
     return docs.mapInArrow(clean, docs.schema)
 
 
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, remove: str) -> DataFrame:
-    found = (
-        _contamination_by_join(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("found_id"), "spans").dropDuplicates(["found_id", "spans"])
-    )
+    """The same rows as by the broadcast index: a row is judged by its own text, whatever rows share its doc_id."""
+    found = _contamination_by_join(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").dropDuplicates(["doc_id", "digest"])
+    found = found.select(F.col("doc_id").alias("__found_id"), F.col("digest").alias("__found_digest"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__digest", _digest())
+    same = F.col("doc_id").eqNullSafe(F.col("__found_id")) & (F.col("__digest") == F.col("__found_digest"))
     if remove == "documents":
-        return docs.join(found, docs.doc_id.eqNullSafe(found.found_id), "left_anti")
-    raise ValueError("removal of spans needs a benchmark within max_broadcast_bytes; remove documents instead")
+        return keyed.join(found, same, "left_anti").select(docs.columns)
+
+    columns = docs.columns
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            rows = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+            left = [t if spans is None else without_spans(t, [(x["first"], x["last"]) for x in spans]) for t, spans in rows]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type)).select(columns)
+
+    return keyed.join(found, same, "left").select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,6 +57,24 @@ def test_removed_spans(spark):
     assert decontamination.contamination(empty(spark), bench).collect() == []
 
 
+def test_both_sizes_remove_the_same(spark):
+    """Contaminated rows with a null or repeated id take no clean row along, and spans go beyond the bound too."""
+    bad = f"{prose(8, 1)} {prose(30, 900)} {prose(8, 2)}"
+    texts = [(None, bad), (None, prose(40, 77)), (70, bad), (70, prose(40, 78)), (70, bad), (71, f"{bad}! Ä {bad}?"), (72, None)]
+    docs, bench = spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = docs.unionByName(contaminated(spark))
+    got = {}
+    for remove in ("documents", "spans"):
+        for bound in (1 << 20, 0):
+            left = decontamination.decontaminate(docs, bench, remove, bound)
+            assert left.columns == docs.columns
+            got[remove, bound] = sorted(map(repr, left.collect()))
+        assert got[remove, 0] == got[remove, 1 << 20]
+    kept = decontamination.decontaminate(docs, bench, max_broadcast_bytes=0).where("doc_id is null or doc_id = 70").collect()
+    assert sorted(r.text for r in kept) == sorted([prose(40, 77), prose(40, 78), "Null id here."])
+    assert len(got["spans", 0]) == docs.count()
+
+
 def spark_hashes(spark, grams):
     df = spark.createDataFrame([(g,) for g in grams], "g array<string>")
     return [r[0] for r in df.selectExpr("xxhash64(g)").collect()]
