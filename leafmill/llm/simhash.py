@@ -13,7 +13,8 @@ further (see ``components``), so groups of thousands of variants cost no pairs a
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; repeated
 rows each give a row; a null doc_id is never a group's id unless all its ids are null; extra columns
-are ignored by ``fingerprints`` and kept by ``deduplicate``.
+are ignored by ``fingerprints`` and kept by ``deduplicate``, which keeps one row of each group, whatever
+ids its rows repeat or lack.
 """
 
 from __future__ import annotations
@@ -58,13 +59,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and its fingerprint as a signed long of the same 64 bits."""
+    return _prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, fp long")
+
+
+def _prints(docs: DataFrame, schema: str) -> DataFrame:
+    """``docs`` with fp in place of text, the last column."""
 
     def compute(batches):
         for pdf in batches:
             prints = np.array([fingerprint(t) for t in pdf.text], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "fp": prints})
+            yield pdf.drop(columns="text").assign(doc_id=pdf.doc_id.astype("Int64"), fp=prints)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(compute, "doc_id long, fp long")
+    return docs.mapInPandas(compute, schema)
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -100,7 +106,7 @@ def block_keys(fp: Column) -> Column:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that a fingerprint reaches by links."""
+    """(fp, component_id, component): the smallest doc_id that a fingerprint reaches by links, and their smallest fingerprint."""
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", *distance_table(F.col("fp"))))
     keyed = nodes.select(F.col("fp").alias("node"), F.explode(block_keys(F.col("fp"))).alias("key"))
     star = written(stars(keyed), "simhash-stars")
@@ -113,7 +119,7 @@ def groups(prints: DataFrame) -> DataFrame:
     labels = all_components(star, verify, about, near)
     named = with_component(nodes.select(F.col("fp").alias("node"), "least"), labels)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    return named.join(least, "component").select(F.col("node").alias("fp"), "component_id", "component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,13 +128,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(groups(prints), "fp").select("doc_id", "fp", "component_id")
 
 
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, one of each group: that with the smallest doc_id.
+    """The documents, one row of each group: that with the smallest (doc_id, digest of the text), null ids last.
 
-    A group whose ids are all null, and rows that repeat the kept doc_id, stay as they are.
+    Of rows that are equal in both, one stays.
     """
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text")
+    prints = written(_prints(own, "doc_id long, digest string, fp long"), "fingerprints")
+    repeats = prints.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")
+    keepers = repeats.join(groups(prints), "fp").groupBy("component").agg(F.min(rank).alias("k"))
+    keepers = keepers.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.digest").alias("__kept_digest"), F.col("k.n").alias("__n"))
+    found = docs.withColumn("__digest", _digest()).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = found.join(keepers, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")))
+    once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__kept_id", "__kept_digest"])
+    return once.unionByName(more).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

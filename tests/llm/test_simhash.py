@@ -41,6 +41,17 @@ def test_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == {x[0] for x, c in want.items() if c == x[0] or x[0] is None}
 
 
+def test_one_row_of_each_group(spark):
+    """Rows are dropped as rows: neither a shared doc_id nor a null one takes a unique text along or saves a copy."""
+    a, b, c, d = prose(60, 1), prose(60, 2), prose(60, 3), prose(60, 4)
+    texts = [(10, a), (11, a), (11, b), (None, a), (None, c), (None, c), (12, d), (12, d), (12, d), (9, b + ""), (13, None), (13, "")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("10", a), ("9", b), ("None", c), ("12", d), ("13", "")])
+    unique = simhash.deduplicate(spark.createDataFrame(rows([(1, a), (2, a), (2, b)]), SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in unique) == sorted([(1, a), (2, b)])
+    assert simhash.deduplicate(empty(spark)).collect() == []
+
+
 def test_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
 
