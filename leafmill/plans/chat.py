@@ -26,7 +26,11 @@ def _tags(spark, folder):
 
 
 def _questions(spark, folder):
-    return conversations(spark, folder).where(r"role = 'user' and not text rlike '[^\\x00-\\x7F]'").selectExpr("conv_id * 1000 + turn as question_id", "text", "if(conv_id % 2 = 0, 'session', null) as session_tag")
+    return _all_questions(spark, folder).where(r"not text rlike '[^\\x00-\\x7F]'")
+
+
+def _all_questions(spark, folder):
+    return conversations(spark, folder).where("role = 'user'").selectExpr("conv_id * 1000 + turn as question_id", "text", "if(conv_id % 2 = 0, 'session', null) as session_tag")
 
 
 MENTIONS_SQL = f"""with {WORDS_SQL}, spots as (select question_id, q, tag, unnest(generate_series(1, length(q) - length(tag) + 1)) as p from asked, words where contains(q, tag)),
@@ -56,6 +60,22 @@ def resolve_tag(spark, folder):
     return mentions.resolve_tag(_questions(spark, folder), _tags(spark, folder))
 
 
+#: The same over all questions; SQL has no NFKC and case folding, so those above, of questions in ASCII, are checked by SQL.
+@query("tag_mentions_all")
+def tag_mentions_all(spark, folder):
+    return mentions.mention_join(_all_questions(spark, folder), _tags(spark, folder))
+
+
+@query("prefix_mentions_all")
+def prefix_mentions_all(spark, folder):
+    return mentions.prefix_mentions(_all_questions(spark, folder), _tags(spark, folder))
+
+
+@query("resolve_tag_all")
+def resolve_tag_all(spark, folder):
+    return mentions.resolve_tag(_all_questions(spark, folder), _tags(spark, folder))
+
+
 @query("manual_request", "select conv_id, turn, contains(t, 'マニュアル') or contains(t, '取説') or contains(t, '説明書') as manual_request from (select *, text || (case turn % 4 when 0 then '取説は？' when 1 then '取扱説明書' else '' end) as t from conversations)")
 def manual_request(spark, folder):
     asked = conversations(spark, folder).selectExpr("conv_id", "turn", "concat(text, case turn % 4 when 0 then '取説は？' when 1 then '取扱説明書' else '' end) as text")

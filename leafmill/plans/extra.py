@@ -41,7 +41,16 @@ def assemble_segments(spark, folder):
   case doc_id % 4 when 0 then 'ab' when 1 then 'nowhere-to-be-found' else regexp_replace(regexp_replace(regexp_replace(left(text, 12), '[|*_`#>~]', '', 'g'), '\.{2,}', '', 'g'), '\s+', '', 'g') end as needle from documents where not regexp_matches(text, '[^\x00-\x7F]'))
 select doc_id, case when length(needle) >= 3 and length(page) >= 20 then contains(page, needle) end as found from s""")
 def text_layer_evidence(spark, folder):
-    docs = table(spark, folder, "documents").where(r"not text rlike '[^\\x00-\\x7F]'")
+    return _evidence(table(spark, folder, "documents").where(r"not text rlike '[^\\x00-\\x7F]'"))
+
+
+@query("text_layer_evidence_all")
+def text_layer_evidence_all(spark, folder):
+    """Of all documents; SQL has no NFKC, so text_layer_evidence alone, of those in ASCII, is checked by SQL."""
+    return _evidence(table(spark, folder, "documents"))
+
+
+def _evidence(docs):
     rows = docs.select("doc_id", kernels.squash(F.col("text")).alias("page"), kernels.squash(F.expr("case doc_id % 4 when 0 then 'ab' when 1 then 'nowhere-to-be-found' else left(text, 12) end")).alias("needle"))
     return rows.select("doc_id", reconcile.text_layer_evidence(rows, "needle", "page").alias("found"))
 

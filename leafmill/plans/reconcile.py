@@ -58,7 +58,16 @@ v as (select *, case when status <> 'auto_corrected' or trim(primary_text) = ''
 def recheck(spark, folder):
     docs = table(spark, folder, "documents")
     plain = docs.where(r"not text rlike '[^\\x00-\\x7F]'").select("doc_id")
-    segs = _corrected(spark, folder).join(plain, "doc_id", "left_semi")
+    return _rechecked(docs, _corrected(spark, folder).join(plain, "doc_id", "left_semi"))
+
+
+@query("recheck_all")
+def recheck_all(spark, folder):
+    """Of all documents; SQL has no NFKC, so recheck alone, of those in ASCII, is checked by SQL."""
+    return _rechecked(table(spark, folder, "documents"), _corrected(spark, folder))
+
+
+def _rechecked(docs, segs):
     layer = docs.selectExpr("doc_id", r"case doc_id % 3 when 0 then text when 1 then replace(text, '\n', ' y') end as page_text")
     judged = segs.where("not is_match").select("doc_id", "segment_id", "pos", F.explode(F.array(F.lit("straight"), F.lit("swapped"))).alias("run"))
     judged = judged.selectExpr("doc_id", "segment_id", "run", "if(run = 'straight', '1', if(pos % 4 = 0, '2', '1')) as better")
