@@ -1,107 +1,113 @@
 """Connected components and candidate links, as joins and aggregates over tables of edges.
 
 Nothing here collects links or components: each round contracts the graph in the shared folder, and
-the driver sees only whether edges are left.
+the driver sees only whether edges are left. Edges and buckets may repeat; a null node takes no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
+
+#: Members outside a bucket's largest component that its first round compares with all; later rounds take 8 times more each.
+CENTERS = 16
+GROWTH = 8
+#: Steps of the hash that picks those members.
+PARTS = 1 << 30
+
+
+def _ordered(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is its smallest node.
 
-    Each round, every node points at its smallest neighbour (or itself), pointers are followed to their
-    ends, and the edges are redrawn between those; the smallest node of a component always points at
-    itself. A round removes every node that has a smaller neighbour.
+    Each round, every node points at its smallest neighbour's smallest neighbour (or itself, where that
+    is smaller), and the edges are redrawn between what their ends point at. That keeps connected what
+    is connected, and the smallest node of a component points at itself.
     """
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    left = checkpointed(edges.select(*pair(F.col("a"), F.col("b"))).where("a < b").distinct())
+    left = written(edges.select(*_ordered("a", "b")).where("a < b").distinct(), "edges")
     rounds = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
-        moving = True
-        while moving:  # each step doubles how far a pointer reaches
-            onward = points.select(F.col("a").alias("to"), F.col("to").alias("root"))
-            points = checkpointed(points.join(onward, "to").select("a", F.col("root").alias("to"), (F.col("root") != F.col("to")).alias("moved")))
-            moving, points = not points.where("moved").isEmpty(), points.drop("moved")
+        onward = points.select(F.col("a").alias("to"), F.col("to").alias("root"))
+        points = written(points.join(onward, "to").select("a", F.col("root").alias("to")), "pointers")
         rounds.append(points)
-        a, b = (rounds[-1].select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        a, b = (points.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         ends = left.join(a, "a").join(b, "b")
-        left = checkpointed(ends.select(*pair(F.col("a_to"), F.col("b_to"))).where("a < b").distinct())
+        left = written(ends.select(*_ordered("a_to", "b_to")).where("a < b").distinct(), "edges")
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds[0].select(F.col("a").alias("node"), F.col("to").alias("component"))
     for points in rounds[1:]:  # each later round moves what the one before pointed at
         moved = points.select(F.col("a").alias("component"), F.col("to"))
         labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return checkpointed(labels) if len(rounds) > 1 else labels
+    return written(labels, "labels") if len(rounds) > 1 else labels
 
 
 def stars(keyed: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
-    """Rows (key, node, center, size) of the buckets that have two nodes or more; center is the smallest node.
+    """Rows (key, node, center) of the buckets that have two nodes or more; center is the smallest node.
 
-    ``keyed`` may have a (key, node) more than once; size counts those too.
+    The smallest and largest node of a bucket come from an aggregate that combines before its shuffle,
+    and join back to the members, so that a bucket of any size is split among tasks.
     """
-    w = Window.partitionBy(key)
-    ends = keyed.withColumns({"center": F.min(node).over(w), "top": F.max(node).over(w), "size": F.count("*").over(w)})
-    return ends.where("center <> top").drop("top").distinct()
+    ends = keyed.groupBy(key).agg(F.min(node).alias("center"), F.max(node).alias("top")).where("center <> top").drop("top")
+    return keyed.join(ends, key).select(key, node, "center").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after further links."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    known = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
-    known = checkpointed(known)
-    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    moved = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return checkpointed(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-
-
-def _open_members(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, component, largest) of the buckets that still hold several components, without their compared centers."""
-    named = star.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
+    """The labels after further links; a node that has no label yet is its own component."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = connected_components(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    onward = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(known.unionByName(moved.join(labels, "node", "left_anti").select("node", "component")), "labels")
+
+
+def _open_members(active: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """The members, with component, of the buckets that hold several components and ``least`` members or more.
+
+    ``largest`` is the component with the most members, ``waiting`` the number of members outside it.
+    """
+    named = active.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    return named.join(mixed, "key").where("node <> center").select("key", "node", "component", "largest")
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("waiting"), F.sum("n").alias("members"))
+    return named.join(mixed.where((F.col("waiting") > 0) & (F.col("members") >= least)).drop("members"), "key")
 
 
-def all_components(star: DataFrame, verify, attributes: DataFrame, possible, rounds: int = 2, centers: int = 8) -> DataFrame:
+def all_components(star: DataFrame, verify, attributes: DataFrame, possible) -> DataFrame:
     """(node, component) by all pairs of a bucket that ``verify`` lets stand.
 
+    ``star`` has (key, node, center): the buckets, and the member that a node is compared with first.
     ``verify`` maps pairs (a, b) to those that are links; ``possible`` is a condition on two structs of
-    ``attributes`` (node and more columns) that every link meets. After each bucket's star, its largest
-    component needs no comparison within itself. Of the members outside it a few at a time (those with
-    the smallest hash) are compared with every member of another component, and the components are drawn
-    again; where members are alike most of them are soon in the largest one. After ``rounds`` of that
-    all that are left outside are compared, so no pair of a bucket stays unchecked whose ends are not
-    connected already.
+    ``attributes`` (node and more columns) that every link meets.
+
+    After the stars, the largest component of a bucket needs no comparison within itself. Of the members
+    outside it some (by a hash) are compared with all members of other components and then leave the
+    bucket, the components are drawn again, and so on until every bucket is one component. The number
+    taken grows with each round, so the rounds are few; where members are alike, most are in the largest
+    component after the first one. No pair of a bucket stays unchecked whose ends are not connected.
     """
-    labels = connected_components(checkpointed(verify(star.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())))
+    first = star.where("node <> center").select(*_ordered("center", "node")).distinct()
+    labels = connected_components(verify(first))
     held = attributes.select("node", F.struct(*attributes.columns).alias("about"))
-    active = star.where("size > 2")
-    for r in range(rounds + 1):
-        members = checkpointed(_open_members(active, labels).join(held, "node"))
+    active, taken, least = star, CENTERS, 3  # the two of a pair have met
+    while True:
+        members = written(_open_members(active, labels, least).join(held, "node"), "open-members")
         if members.isEmpty():
-            break
-        w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(r)), "node")
-        outer = members.where("component <> largest").withColumn("nth", F.row_number().over(w))
-        chosen = outer if r == rounds else outer.where(F.col("nth") <= centers)
-        chosen = chosen.select("key", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("about").alias("about_x"))
-        met = chosen.alias("p").join(members.alias("m"), (F.col("p.key") == F.col("m.key")) & (F.col("of_x") != F.col("component")) & possible("about_x", "about"))
-        pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        links = checkpointed(verify(pairs))
+            return labels
+        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(taken)), F.lit(PARTS)) * F.col("waiting") < F.lit(PARTS * taken))
+        some = members.where(chosen).select("key", F.col("node").alias("x"), F.col("center").alias("center_x"), F.col("component").alias("of_x"), F.col("about").alias("about_x"))
+        met = some.join(members.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & (F.col("of_x") != F.col("component")) & (F.col("x") != F.col("center")) & (F.col("node") != F.col("center_x")) & possible("about_x", "about"))
+        links = written(verify(met.select(*_ordered("x", "node")).distinct()), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
-        if r < rounds:
-            active = checkpointed(active.join(outer.where(F.col("nth") > centers).select("key").distinct(), "key", "left_semi"))
-    return labels
+        active, taken, least = members.where(~chosen).select("key", "node", "center"), taken * GROWTH, 2
 
 
 def with_component(nodes: DataFrame, labels: DataFrame, node: str = "node") -> DataFrame:

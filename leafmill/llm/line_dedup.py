@@ -8,27 +8,29 @@ hashes and 14 bands of 4; two lines of similarity 0.8 share a band with a probab
 is outside the bucket's largest component (see ``components``). Pairs that the numbers of their
 shingles, or 256-bit maps of them, rule out are not looked at: a bit that one map has and the other
 lacks is a shingle that the other line lacks. Candidates count as links when their exact Jaccard
-similarity is 0.8 or more. Of each component the first line stays: that with the
-smallest doc_id, then the earliest in its text.
+similarity is 0.8 or more. Of each component the first line stays: that with the smallest doc_id, then
+the earliest in its text.
 
 Texts are read where they lie: only hashes, ids and the lines that are in candidate pairs move in
 shuffles. Which lines those are is told to the scan by a bitmap of fixed size (2 MiB), which may let
-through others but never drops one; the join decides.
+through others but never drops one; the join decides. Beyond some ten million candidate lines the
+bitmap lets most lines through, and each distinct line moves once.
 
 Defined cases: blank lines are never removed; a null text has no lines; lines of a null doc_id come
 first; rows that repeat both doc_id and text are one document and come out alike; a document that
-loses all its non-blank lines goes; extra columns are kept by ``deduplicate_lines``.
+loses all its non-blank lines goes; extra columns, whatever their names, are kept by
+``deduplicate_lines``; a very long line is shingled whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .components import all_components, stars, with_component
+from .components import all_components
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -38,8 +40,10 @@ ROWS = 4
 BITMAP_BITS = 1 << 24
 #: Words of 64 bits in a line's map of its shingles.
 MAP_WORDS = 4
-#: Characters that are shingled at once.
+#: Characters that are signed at once, and lines (whose numbers fit above a hash's bits).
 BLOCK = 1 << 16
+MOST_LINES = 1 << 12
+_HASH_BITS = np.uint64(52)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,44 +53,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the permutations, from the finalizer of 1, 2, 3, ..."""
-    spread = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (spread[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (spread[n:] >> np.uint64(32)).astype(np.uint32)
-
-
-def signatures(lines: list[str], shingle: int = SHINGLE, n: int = BANDS * ROWS) -> np.ndarray:
-    """Minimum hashes of the lines' shingles, (lines x n)."""
-    out = np.zeros((len(lines), n), dtype=np.uint32)
-    multiply, add = _constants(n)
-    powers = [np.uint64(pow(0x100000001B3, j, 1 << 64)) for j in range(shingle)]
+def _blocks(lines: list[str], most: int):
+    """(start, stop) of slices of at most ``most`` characters and MOST_LINES lines, or one line."""
     start = 0
     while start < len(lines):
         stop, size = start, 0
-        while stop < len(lines) and (stop == start or size + len(lines[stop]) <= BLOCK):
+        while stop < min(len(lines), start + MOST_LINES) and (stop == start or size + len(lines[stop]) <= most):
             size += len(lines[stop])
             stop += 1
-        block = [x if len(x) >= shingle else x + "\x00" * (shingle - len(x)) for x in lines[start:stop]]
-        lengths = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
-        chars = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        most = len(chars) - shingle + 1
-        rolled = chars[:most] * powers[0]
-        for j in range(1, shingle):
-            rolled += chars[j : most + j] * powers[j]
-        inside = np.ones(most, dtype=bool)
-        ends = np.cumsum(lengths)
-        for j in range(1, shingle):  # shingles that would cross into the next line
-            cross = ends[:-1] - j
-            inside[cross[cross < most]] = False
-        x = (_mixed(rolled[inside]) >> np.uint64(32)).astype(np.uint32)
-        counts = lengths - shingle + 1
+        yield start, stop
+        start = stop
+
+
+def _shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lines' shingles one after another, and the number of each line's."""
+    powers = [np.uint64(pow(0x100000001B3, j, 1 << 64)) for j in range(shingle)]
+    block = [x if len(x) >= shingle else x + "\x00" * (shingle - len(x)) for x in lines]
+    lengths = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
+    chars = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    most = len(chars) - shingle + 1
+    rolled = chars[:most] * powers[0]
+    for j in range(1, shingle):
+        rolled += chars[j : most + j] * powers[j]
+    inside = np.ones(most, dtype=bool)
+    ends = np.cumsum(lengths)
+    for j in range(1, shingle):  # shingles that would cross into the next line
+        cross = ends[:-1] - j
+        inside[cross[cross < most]] = False
+    return _mixed(rolled[inside]), lengths - shingle + 1
+
+
+def _tagged(of: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Distinct hashes, in order, with the number of their line in the upper bits."""
+    keys = np.sort((of.astype(np.uint64) << _HASH_BITS) | (hashed >> (np.uint64(64) - _HASH_BITS)))
+    return keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
+
+
+def signatures(lines: list[str], shingle: int = SHINGLE, n: int = BANDS * ROWS) -> np.ndarray:
+    """Minimum hashes of the lines' shingles, (lines x n): the minima of x + p * y for two hashes of each shingle."""
+    out = np.zeros((len(lines), n), dtype=np.uint32)
+    for start, stop in _blocks(lines, BLOCK):
+        hashed, counts = _shingle_hashes(lines[start:stop], shingle)
+        v, step = (hashed >> np.uint64(32)).astype(np.uint32), hashed.astype(np.uint32) | np.uint32(1)
         first = np.cumsum(counts) - counts
         for p in range(n):
-            v = x * multiply[p]
-            v += add[p]
-            v ^= v >> np.uint32(15)
             out[start:stop, p] = np.minimum.reduceat(v, first)
-        start = stop
+            v += step
     return out
 
 
@@ -112,16 +124,35 @@ def jaccard(a: set, b: set) -> float:
 
 def shingle_maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The number of distinct shingles of each line, and its map of them, (lines x MAP_WORDS)."""
-    from zlib import crc32
-
     counts, maps = np.zeros(len(lines), dtype=np.int32), np.zeros((len(lines), MAP_WORDS * 64), dtype=np.uint8)
-    for i, line in enumerate(lines):
-        held = shingles(line)
-        counts[i] = len(held)
-        maps[i, [crc32(s.encode("utf-8", "surrogatepass")) % (MAP_WORDS * 64) for s in held]] = 1
+    for start, stop in _blocks(lines, BLOCK * 16):
+        hashed, held = _shingle_hashes(lines[start:stop])
+        of = np.repeat(np.arange(stop - start), held)
+        counts[start:stop] = np.bincount(_tagged(of, hashed) >> _HASH_BITS, minlength=stop - start)
+        maps[start + of, hashed % np.uint64(MAP_WORDS * 64)] = 1
     return counts, np.packbits(maps, axis=1, bitorder="little").view("<i8")
 
 
+def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the Jaccard similarity of the shingles of each pair of lines is ``similarity`` or more.
+
+    Shingles are counted by their hashes; a pair within 4 shingles of the limit is judged by the
+    shingles themselves.
+    """
+    out = np.zeros(len(xs), dtype=bool)
+    for start, stop in _blocks([x if len(x) > len(y) else y for x, y in zip(xs, ys)], BLOCK * 16):
+        pairs, keys = stop - start, []
+        for side in (xs, ys):
+            hashed, held = _shingle_hashes(side[start:stop])
+            keys.append(_tagged(np.repeat(np.arange(pairs), held), hashed))
+        n, m, both = (np.bincount(k >> _HASH_BITS, minlength=pairs) for k in (*keys, np.intersect1d(*keys, assume_unique=True)))
+        over = both * (1 + similarity) - similarity * (n + m)
+        out[start:stop] = over >= 0
+        for i in np.flatnonzero(np.abs(over) <= 4 * (1 + similarity)):
+            out[start + i] = jaccard(shingles(xs[start + i]), shingles(ys[start + i])) >= similarity
+    return out
+
+
 def may_link(x: str, y: str, similarity: float = SIMILARITY) -> Column:
     """A condition that lines of the similarity meet, on structs of their numbers of shingles and maps."""
     n, m = F.col(f"{x}.shingles"), F.col(f"{y}.shingles")
@@ -130,39 +161,31 @@ def may_link(x: str, y: str, similarity: float = SIMILARITY) -> Column:
     return both * (1 + similarity) >= (n + m) * similarity - 1e-9
 
 
-def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    from xxhash import xxh64_intdigest
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-    node = np.array([xxh64_intdigest(x, 42) for x in raw], dtype=np.uint64).view(np.int64)
-    check = np.array([xxh64_intdigest(x, 4243) for x in raw], dtype=np.uint64).view(np.int64)
-    return node, check
 
+def solid(line: Column) -> Column:
+    """Whether a line has a character that is not white space."""
+    return line.rlike(r"(?U)[^\s\x1c-\x1f]")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+def node_of(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, node and check of every line that is not blank."""
-
-    def split(batches):
-        for pdf in batches:
-            docs_of, keys, numbers, lines = [], [], [], []
-            for doc_id, key, text in zip(pdf.doc_id.astype("Int64"), pdf.text_key, pdf.text):
-                for i, line in enumerate(text.split("\n")):
-                    if line and not line.isspace():
-                        docs_of.append(doc_id), keys.append(key), numbers.append(i), lines.append(line)
-            node, check = _hashes(lines)
-            yield pd.DataFrame({"doc_id": pd.array(docs_of, dtype="Int64"), "text_key": keys, "line_no": np.array(numbers, dtype=np.int32), "node": node, "check": check})
-
-    return _keyed(docs).mapInPandas(split, "doc_id long, text_key long, line_no int, node long, check long")
+    lines = _keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(solid(F.col("line")))
+    return lines.select("doc_id", "text_key", "line_no", node_of(F.col("line")).alias("node"), F.xxhash64(F.lit(1), "line").alias("check"))
 
 
-def _distinct_lines(pdf: pd.DataFrame, seen: set) -> tuple[list[str], np.ndarray]:
+def _distinct_lines(texts: list[str], seen: set) -> tuple[list[str], np.ndarray]:
     """The lines of a batch that this task has not had yet, and their nodes."""
-    lines = list(dict.fromkeys(x for t in pdf.text for x in t.split("\n") if x and not x.isspace()))
-    node, _ = _hashes(lines)
+    from xxhash import xxh64_intdigest
+
+    lines = list(dict.fromkeys(x for t in texts for x in t.split("\n") if x and not x.isspace()))
+    node = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines], dtype=np.uint64).view(np.int64)
     new = [i for i, h in enumerate(node.tolist()) if h not in seen]
     if len(seen) > 1_000_000:
         seen.clear()
@@ -170,58 +193,76 @@ def _distinct_lines(pdf: pd.DataFrame, seen: set) -> tuple[list[str], np.ndarray
     return [lines[i] for i in new], node[new]
 
 
+def _met_here(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, smallest node of the key in this batch), and whether the key has several."""
+    key, node = keys.ravel(), np.repeat(node, keys.shape[1])
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    held = np.diff(first, append=len(key))
+    return key, node, np.repeat(np.minimum.reduceat(node, first), held), np.repeat(held > 1, held)
+
+
 def banded(docs: DataFrame) -> DataFrame:
-    """(key, node) of every distinct line and band; a task gives each line once."""
+    """(key, node, met) of every distinct line and band; a task gives each line once.
+
+    Of a batch's lines in one bucket all name the smallest as ``met``; a line alone there names none.
+    """
 
     def sign(batches):
+        import pyarrow as pa
+
         seen: set = set()
-        for pdf in batches:
-            lines, node = _distinct_lines(pdf, seen)
-            for a in range(0, len(lines), 20_000):
-                keys = band_keys(signatures(lines[a : a + 20_000]))
-                yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(node[a : a + 20_000], keys.shape[1])})
+        for batch in batches:
+            lines, node = _distinct_lines(batch.column(0).to_pylist(), seen)
+            if lines:
+                key, node, met, several = _met_here(band_keys(signatures(lines)), node)
+                for a in range(0, len(key), 200_000):
+                    part = slice(a, a + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.array(met[part], mask=~several[part])], ["key", "node", "met"])
 
-    return docs.where("text is not null").select("text").mapInPandas(sign, "key long, node long")
+    return docs.where("text is not null").select("text").mapInArrow(sign, "key long, node long, met long")
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """A bitmap of the nodes' hashes: at most BITMAP_BITS / 32 rows of 32 bits reach the driver."""
-    words = nodes.selectExpr(
-        f"cast(floor(pmod(node, {BITMAP_BITS}L) / 32) as int) as word", f"shiftleft(1L, cast(pmod(node, {BITMAP_BITS}L) % 32 as int)) as bit"
-    )
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 32, dtype=np.uint32)
-    out[rows.word] = rows.bits.astype(np.uint32)
-    return out.tobytes()
+def line_stars(docs: DataFrame) -> DataFrame:
+    """(key, node, center) of the buckets with two lines or more.
 
+    A batch's smallest line of a bucket meets those of other batches; its other lines have met it
+    already and do not move with their bucket, so that a bucket of any size is spread over the tasks.
+    """
+    apart = F.when(F.col("met").isNull() | (F.col("met") == F.col("node")), 0).otherwise(1 + F.pmod("node", F.lit(4096)))
+    w = Window.partitionBy("key", "apart")
+    ends = banded(docs).withColumn("apart", apart).withColumns({"least": F.min("node").over(w), "most": F.max("node").over(w)})
+    return ends.where("met is not null or least <> most").select("key", "node", F.when(F.col("apart") == 0, F.col("least")).otherwise(F.col("met")).alias("center")).distinct()
 
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the given nodes, with their numbers of shingles and the maps of them."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
-    def pick(batches):
-        words, seen = np.frombuffer(bits.value, dtype=np.uint32), set()
+def _bitmap(nodes: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of the nodes' hashes of at most BITMAP_BITS / 64 rows."""
+    at = F.pmod("node", F.lit(BITMAP_BITS))
+    return nodes.select(F.floor(at / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {BITMAP_BITS}L) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the given nodes, with their numbers of shingles and the maps of them; a hash of two lines has none."""
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("node", node_of(F.col("line")))
+    lines = lines.join(F.broadcast(_bitmap(nodes)), F.floor(F.pmod("node", F.lit(BITMAP_BITS)) / 64) == F.col("word"))
+    lines = lines.where(F.expr(f"shiftrightunsigned(bits, cast(pmod(node, {BITMAP_BITS}L) % 64 as int)) & 1 = 1"))
+    check = F.xxhash64(F.lit(1), "line")
+    lines = lines.groupBy("node").agg(F.first("line").alias("line"), F.min(check).alias("a"), F.max(check).alias("b")).where("a = b")
+
+    def describe(batches):
         for pdf in batches:
-            lines, node = _distinct_lines(pdf, seen)
-            at = np.mod(node, BITMAP_BITS)
-            there = np.flatnonzero((words[at // 32] >> (at % 32).astype(np.uint32)) & 1)
-            if len(there):
-                mine = [lines[i] for i in there]
-                counts, maps = shingle_maps(mine)
-                yield pd.DataFrame({"node": node[there], "line": mine, "shingles": counts, **{f"map{i}": maps[:, i] for i in range(MAP_WORDS)}})
+            counts, maps = shingle_maps(list(pdf.line))
+            yield pdf.assign(shingles=counts, **{f"map{i}": maps[:, i] for i in range(MAP_WORDS)})
 
-    words = [f"map{i}" for i in range(MAP_WORDS)]
-    found = docs.where("text is not null").select("text").mapInPandas(pick, "node long, line string, shingles int, " + ", ".join(f"{w} long" for w in words))
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "shingles", *words)])
+    return lines.select("node", "line").join(nodes, "node", "left_semi").mapInPandas(describe, "node long, line string, shingles int, " + ", ".join(f"map{i} long" for i in range(MAP_WORDS)))
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The occurrences of lines, and (node, component) of the lines that have links."""
     lines = written(occurrences(docs), "lines")
-    clashing = lines.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node")
-    star = stars(banded(docs))
-    star = written(star.join(clashing, "node", "left_anti"), "line-stars")
-    texts = written(texts_of(docs, star.select("node").distinct()), "candidate-lines")
+    star = written(line_stars(docs), "line-stars")
+    texts = written(texts_of(docs, written(star.select("node").distinct(), "candidates")), "candidate-lines")
 
     about = texts.drop("line")
     side = lambda c, line: texts.select(F.col("node").alias(c), F.col("line").alias(line), F.struct(*about.columns).alias(f"of_{c}"))
@@ -231,56 +272,62 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
         sides = one.join(side("b", "y").alias("q"), (F.col("p.b") == F.col("q.b")) & may_link("of_a", "of_b", similarity)).select("a", "p.b", "x", "y")
 
         def exact(batches):
-            for pdf in batches:
-                pdf = pdf.sort_values("a")
-                keep, at, mine = [], None, None
-                for a, x, y in zip(pdf.a, pdf.x, pdf.y):
-                    if a != at:
-                        at, mine = a, shingles(x)
-                    keep.append(jaccard(mine, shingles(y)) >= similarity)
-                yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.select([0, 1]).filter(pa.array(similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
 
-        return sides.mapInPandas(exact, "a long, b long")
+        return sides.mapInArrow(exact, "a long, b long")
 
     return lines, all_components(star, verify, about, lambda x, y: may_link(x, y, similarity))
 
 
-def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each document that has lines: doc_id, text_key, n_lines and the numbers of those dropped."""
+def _drops(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, text_key, dropped) of the documents that lose lines: the numbers of those, in order."""
     lines, labels = line_components(docs, similarity)
     place = F.struct("doc_id", "text_key", "line_no")
-    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.min("check").alias("a"), F.max("check").alias("b"))
-    nodes = with_component(nodes.withColumn("clash", F.col("a") != F.col("b")).drop("a", "b"), labels)
+    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
+    nodes = nodes.join(labels, "node", "left").where("(n > 1 or component is not null) and not clash").withColumn("component", F.coalesce("component", "node"))
     keeper = nodes.groupBy("component").agg(F.min("first").alias("kept"))
-    nodes = nodes.join(keeper, "component").select("node", "clash", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.text_key").alias("kept_key"), F.col("kept.line_no").alias("kept_no"))
-    stays = F.col("clash") | (F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("text_key") == F.col("kept_key")) & (F.col("line_no") == F.col("kept_no")))
-    judged = lines.join(nodes, "node").select("doc_id", "text_key", "line_no", stays.alias("stays"))
-    return judged.groupBy("doc_id", "text_key").agg(
-        F.count_distinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("stays"), F.col("line_no")))).alias("dropped")
-    )
+    nodes = nodes.join(keeper, "component").select("node", "kept")
+    gone = lines.join(nodes, "node").where(~place.eqNullSafe(F.col("kept")))
+    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+
 
+def n_lines(text: Column) -> Column:
+    """The number of lines that are not blank."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n", -1), solid)), F.lit(0))
 
-def _with_drops(docs: DataFrame, key, similarity: float, decided: DataFrame) -> DataFrame:
-    """``docs`` (whose text hashes to ``key``) with found_lines and found_dropped, null without lines."""
-    drops = dropped_lines(decided, similarity).withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key", "n_lines": "found_lines", "dropped": "found_dropped"})
-    return docs.join(drops, docs.doc_id.cast("long").eqNullSafe(drops.found_id) & (key == drops.found_key), "left")
+
+def _with_drops(rows: DataFrame, drops: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_key and more) with ``dropped``, empty where nothing is."""
+    found = drops.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), F.col("dropped").alias("found"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
+    return joined.withColumn("dropped", F.coalesce("found", F.array().cast("array<int>"))).drop("found_id", "found_key", "found")
+
+
+def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each document that has lines: doc_id, text_key, n_lines and the numbers of those dropped."""
+    own = _keyed(docs).select("doc_id", "text_key", n_lines(F.col("text")).alias("n_lines")).where("n_lines > 0").distinct()
+    return _with_drops(own, _drops(docs, similarity))
 
 
 def deduplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without dropped lines; ``n_chars``, if there, is the new length."""
-    judged = _with_drops(docs, F.xxhash64(docs.text), similarity, docs).where("found_dropped is null or size(found_dropped) < found_lines")
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("found_dropped", i)), "\n")
-    changed = F.coalesce(F.size("found_dropped") > 0, F.lit(False))
-    judged = judged.withColumn("text", F.when(changed, kept).otherwise(F.col("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged, text = _with_drops(rows, _drops(docs, similarity)), F.col("row.text")
+    judged = judged.where((F.size("dropped") == 0) | (F.size("dropped") < n_lines(text)))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    new = F.when(F.size("dropped") > 0, kept).otherwise(text)
+    out = {"text": new}
     if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return judged.select(docs.columns)
+        out["n_chars"] = F.when(F.size("dropped") > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return judged.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document: doc_id, n_lines (not blank), n_dropped and the dropped lines' numbers from 0."""
     docs = table(spark, folder, "documents")
-    keys = docs.select("doc_id", F.xxhash64("text").alias("key"))
-    found = _with_drops(keys, keys.key, SIMILARITY, docs)
-    dropped = F.coalesce("found_dropped", F.array().cast("array<int>"))
-    return found.select("doc_id", F.coalesce("found_lines", F.lit(0)).alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), n_lines(F.col("text")).alias("n_lines"))
+    found = _with_drops(own, _drops(docs, SIMILARITY))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, written
+from .common import table, written
 from .components import all_components, stars, with_component
 
 SHINGLE = 3
@@ -107,7 +107,7 @@ def block_keys(fp: Column) -> Column:
 
 def groups(prints: DataFrame) -> DataFrame:
     """(fp, component_id, component): the smallest doc_id that a fingerprint reaches by links, and their smallest fingerprint."""
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", *distance_table(F.col("fp"))))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", *distance_table(F.col("fp"))), "pivot-table")
     keyed = nodes.select(F.col("fp").alias("node"), F.explode(block_keys(F.col("fp"))).alias("key"))
     star = written(stars(keyed), "simhash-stars")
     about = nodes.withColumnRenamed("fp", "node").withColumn("fp", F.col("node")).drop("least")
