@@ -8,20 +8,24 @@ before is looked up.
 
 Learning is expectation maximisation over word counts. The counts cover all training documents; they
 are combined within each task before the shuffle and written to the shared folder. The expected piece
-counts of one pass go to the driver as (language, piece) rows, at most languages x vocabulary
-(``MAX_LANGUAGES`` x 32,000), which also bounds the model that the executors get.
+counts of one pass go to the driver as (language, piece) rows, at most languages x vocabulary (32,000
+pieces; 128 kB a language), which also bounds the model that the executors get: it grows with the
+number of languages, not with the documents.
 
 Characters outside the vocabulary take the vocabulary's byte pieces, so every word has a probability.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language
-that sorts first; with no training rows all texts are ``und``; repeated rows and null ids each give
+that sorts first; words of any length are summed whole, in scaled sums; with no training rows all texts are ``und``; repeated rows and null ids each give
 a row; extra columns are ignored by ``predict`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +35,21 @@ from .common import held_out, table, written
 
 MARK = "▁"
 UNKNOWN = "und"
-MAX_LANGUAGES = 256
 ITERATIONS = 2
-#: Letters of a run that one forward and backward pass takes when learning.
-PART = 32
+#: Words whose segmentations are summed at once when learning.
+BLOCK = 10_000
 #: Weight of the pooled piece distribution in each language's.
 POOLED = 2000.0
 #: Distinct words that a task keeps before it hands on counts or forgets scores.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 #: Documents that the pipeline keeps have at least this score.
 MIN_SCORE = 0.5
 
 
+#: The first 256 characters, with spaces for those that are no letters.
+_SPACED = bytes(i if chr(i).isalpha() else 32 for i in range(256))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -64,7 +71,10 @@ class Segmenter:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")}
         special = set(self.bytes.values()) | {i for i, p in enumerate(pieces) if p.startswith("<") and p.endswith(">")}
         self.piece = {p: i for i, p in enumerate(pieces) if i not in special}
-        self.longest = max(map(len, self.piece))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, i in self.piece.items():
+            self.automaton.add_word(p, i << 8 | len(p))
+        self.automaton.make_automaton()
 
     def edges(self, word: str) -> list[tuple[int, int, tuple[int, ...]]]:
         """(from, to, piece ids): one id, or a character's byte pieces where the vocabulary lacks it."""
@@ -74,72 +84,114 @@ class Segmenter:
                 out.append((i, i + 1, tuple(self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass"))))
             else:
                 out.append((i, i + 1, (one,)))
-            for j in range(i + 2, min(len(word), i + self.longest) + 1):
+            for j in range(i + 2, len(word) + 1):
                 if (k := get(word[i:j])) is not None:
                     out.append((i, j, (k,)))
         return out
 
 
 def letters(text: str | None) -> list[str]:
-    import regex
-
-    return regex.findall(r"\p{L}+", text.lower()) if text else []
+    """The runs of letters of a text in lower case.
 
+    Where all letters are among the first 256 characters, the others become spaces bytewise.
+    """
+    if not text:
+        return []
+    text = text.lower()
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        if any(c > "\xff" and c.isalpha() for c in set(text)):
+            import regex
+
+            return regex.findall(r"\p{L}+", text)
+        raw = text.encode("latin-1", "replace")
+    return raw.translate(_SPACED).decode("latin-1").split()
+
+
+class Lattice:
+    """All segmentations of marked words: edges (a piece from one position to another), by the step at which they end.
+
+    Positions of all words are numbered on; a word of n characters has n + 1. ``pieces`` number the
+    edges' weights: those of the vocabulary, then ``spelled``, one for each character outside it.
+    Sums are kept in range by a logarithmic scale for each position.
+    """
 
-def _forward(word: str, edges, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums and their logarithmic scales, (positions x languages) each; weight: (pieces x languages)."""
-    n = len(word)
-    alpha, scale = np.zeros((n + 1, weight.shape[1])), np.zeros((n + 1, weight.shape[1]))
-    alpha[0] = 1.0
-    for i, j, ids in edges:  # ordered by start: alpha[i] is complete
-        w = weight[ids[0]] if len(ids) == 1 else weight[list(ids)].prod(axis=0)
-        if not alpha[j].any():
-            scale[j] = scale[i]
-        alpha[j] += alpha[i] * w * np.exp(scale[i] - scale[j])
-        if j == i + 1 and (i % 16) == 15:  # keep long words within range
-            m = alpha[j].copy()
-            m[m <= 0] = 1.0
-            alpha[j] /= m
-            scale[j] += np.log(m)
-    return alpha, scale
+    def __init__(self, segmenter: Segmenter, words: list[str]):
+        text = "\n".join(words) + "\n"
+        found = np.fromiter(chain.from_iterable(segmenter.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        last, pieces, size = found[:, 0], found[:, 1] >> 8, found[:, 1] & 255
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.end = np.cumsum(lengths + 1) - 1  # where a word's separator stands
+        self.base = self.end - lengths
+        covered = np.zeros(len(text), dtype=bool)
+        covered[last[size == 1]] = True
+        covered[self.end] = True
+        bare = np.flatnonzero(~covered)
+        ids = {c: k for k, c in enumerate(dict.fromkeys(text[i] for i in bare))}
+        self.spelled = [[segmenter.bytes[b] for b in c.encode("utf-8", "surrogatepass")] for c in ids]
+        if len(bare):
+            last = np.concatenate([last, bare])
+            pieces = np.concatenate([pieces, np.array([segmenter.size + ids[text[i]] for i in bare])])
+            size = np.concatenate([size, np.ones(len(bare), dtype=np.int64)])
+        start, stop = last + 1 - size, last + 1
+        word = np.searchsorted(self.end, start)
+        order = np.lexsort((stop, stop - self.base[word]))
+        self.start, self.stop, self.pieces, self.word = start[order], stop[order], pieces[order], word[order]
+        self.step = self.stop - self.base[self.word]
+        self.positions = len(text)
+
+    def weights(self, weight: np.ndarray) -> np.ndarray:
+        """The weights of the vocabulary, and of the characters outside it as products over their bytes' pieces."""
+        return np.vstack([weight, *[weight[x].prod(axis=0, keepdims=True) for x in self.spelled]]) if self.spelled else weight
+
+    def sums(self, p: np.ndarray, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all ways to each position from its word's start (backward: to its end), and their scales.
+
+        ``p`` has a row for each edge; the columns of the sums are its columns.
+        """
+        here, there, step, origin = (self.stop, self.start, self.step, self.base)
+        if backward:
+            ahead = self.end[self.word] - self.start
+            order = np.lexsort((self.start, ahead))
+            here, there, step, p, origin = self.start[order], self.stop[order], ahead[order], p[order], self.end
+        total, scale = np.zeros((self.positions, p.shape[1])), np.zeros((self.positions, p.shape[1]))
+        total[origin] = 1.0
+        scaled = np.zeros((len(self.base), p.shape[1]))
+        of = np.searchsorted(self.end, here if not backward else there - 1)
+        bounds = np.flatnonzero(np.diff(step, prepend=0, append=np.iinfo(np.int64).max))
+        any_scaled = False
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            h, t = here[a:b], there[a:b]
+            first = np.flatnonzero(np.diff(h, prepend=-1))
+            value = total[t] * p[a:b]
+            if any_scaled:
+                value *= np.exp(scale[t] - scaled[of[a:b]])
+            value, h, w = np.add.reduceat(value, first, axis=0), h[first], of[a:b][first]
+            if (low := (value < 1e-150) & (value > 0)).any():
+                any_scaled = True
+                factor = np.where(low, value, 1.0)
+                value, scaled[w] = value / factor, scaled[w] + np.log(factor)
+            total[h], scale[h] = value, scaled[w]
+        return total, scale
 
 
 def add_expected(got: np.ndarray, segmenter: Segmenter, words: list[str], lang: np.ndarray, n: np.ndarray, weight: np.ndarray) -> None:
-    """Add to ``got`` (pieces x languages) what pieces the words (with their mark) hold on average over all segmentations.
-
-    Words of a length go together; forward and backward sums are over their positions.
-    """
-    by_length = defaultdict(list)
-    for k, w in enumerate(words):
-        by_length[len(w)].append(k)
-    for length, all_ks in by_length.items():
-        for a in range(0, len(all_ks), 10_000):
-            ks = np.array(all_ks[a : a + 10_000])
-            of, lg = [words[k] for k in ks], lang[ks]
-            edges = []  # from, to, rows, their probability, piece ids by row
-            for i in range(length):
-                for j in range(i + 1, min(length, i + segmenter.longest) + 1):
-                    ids = np.fromiter((segmenter.piece.get(w[i:j], -1) for w in of), dtype=np.int64, count=len(of))
-                    rows = np.flatnonzero(ids >= 0)
-                    if len(rows):
-                        edges.append((i, j, rows, weight[ids[rows], lg[rows]].astype(np.float64), [(rows, ids[rows])]))
-                    if j == i + 1 and len(rows) < len(of):  # characters by their byte pieces
-                        for r in np.flatnonzero(ids < 0):
-                            made = np.array([segmenter.bytes[b] for b in of[r][i].encode("utf-8", "surrogatepass")])
-                            p = weight[made, lg[r]].astype(np.float64).prod(keepdims=True)
-                            edges.append((i, j, np.array([r]), p, [(np.full(len(made), r), made)]))
-            alpha, beta = np.zeros((length + 1, len(of))), np.zeros((length + 1, len(of)))
-            alpha[0] = beta[length] = 1.0
-            for i, j, rows, p, _ in edges:
-                alpha[j, rows] += alpha[i, rows] * p
-            for i, j, rows, p, _ in reversed(edges):
-                beta[i, rows] += beta[j, rows] * p
-            share = np.divide(n[ks], alpha[length], out=np.zeros(len(of)), where=alpha[length] > 0)
-            for i, j, rows, p, held in edges:
-                e = np.zeros(len(of))
-                e[rows] = alpha[i, rows] * p * beta[j, rows] * share[rows]
-                for r, ids in held:
-                    np.add.at(got, (ids, lg[r]), e[r])
+    """Add to ``got`` (pieces x languages) what pieces the words (with their mark) hold on average over all segmentations."""
+    size, languages = got.shape
+    for a in range(0, len(words), BLOCK):
+        lattice, lg, times = Lattice(segmenter, words[a : a + BLOCK]), lang[a : a + BLOCK], n[a : a + BLOCK]
+        of = lg[lattice.word]
+        p = lattice.weights(weight)[lattice.pieces, of].astype(np.float64)[:, None]
+        forward, forward_scale = lattice.sums(p)
+        back, back_scale = lattice.sums(p, backward=True)
+        whole = np.log(forward[lattice.end]) + forward_scale[lattice.end]
+        apart = (forward_scale[lattice.start] + back_scale[lattice.stop] - whole[lattice.word])[:, 0]
+        e = (forward[lattice.start] * p * back[lattice.stop])[:, 0] * np.exp(apart) * times[lattice.word]
+        summed = np.bincount(lattice.pieces * languages + of, weights=e, minlength=(size + len(lattice.spelled)) * languages).reshape(-1, languages)
+        got += summed[:size]
+        for k, ids in enumerate(lattice.spelled):
+            np.add.at(got, ids, summed[size + k])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,6 +221,7 @@ class Model:
     """Languages and their piece probabilities."""
 
     def __init__(self, languages: list[str], pieces: list[str], weight: np.ndarray, prior: np.ndarray):
+        self.name = uuid.uuid4().hex
         self.languages, self.pieces, self.weight, self.prior = languages, pieces, weight.astype(np.float32), prior
 
 
@@ -178,37 +231,20 @@ class Scorer:
     def __init__(self, model: Model):
         self.segmenter = Segmenter(model.pieces)
         self.weight = model.weight.astype(np.float64)
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.block = max(256, 100_000 // max(1, self.weight.shape[1]) // 8)
+        self.forget()
 
-    #: Longer words are scored alone, with scaled sums.
-    LONGEST = 24
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, self.weight.shape[1]))
 
     def _scores(self, words: list[str]) -> np.ndarray:
-        """Forward sums of many words at once: words of a length share their positions."""
+        """Forward sums of many words at once, as logarithms."""
         out = np.zeros((len(words), self.weight.shape[1]))
-        by_length = defaultdict(list)
-        for k, w in enumerate(words):
-            by_length[len(w)].append(k)
-        none = self.segmenter.size
-        weight = np.vstack([self.weight, np.zeros(self.weight.shape[1])])
-        get, longest = self.segmenter.piece.get, self.segmenter.longest
-        for length, all_ks in by_length.items():
-            known = [k for k in all_ks if length <= self.LONGEST and all(c in self.segmenter.piece for c in words[k])]
-            for k in set(all_ks).difference(known):
-                w = MARK + words[k]
-                alpha, scale = _forward(w, self.segmenter.edges(w), self.weight)
-                out[k] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
-            for a in range(0, len(known), 20_000):
-                ks = known[a : a + 20_000]
-                marked = [MARK + words[k] for k in ks]
-                alpha = [np.ones((len(ks), weight.shape[1]))] + [np.zeros((len(ks), weight.shape[1])) for _ in range(length + 1)]
-                for i in range(length + 1):
-                    for j in range(i + 1, min(length + 1, i + longest) + 1):
-                        ids = np.array([get(w[i:j], none) for w in marked])
-                        if (there := np.flatnonzero(ids != none)).size:
-                            alpha[j][there] += alpha[i][there] * weight[ids[there]]
-                out[ks] = np.log(np.maximum(alpha[-1], 1e-300))
+        for a in range(0, len(words), self.block):
+            lattice = Lattice(self.segmenter, [MARK + w for w in words[a : a + self.block]])
+            total, scale = lattice.sums(lattice.weights(self.weight)[lattice.pieces])
+            out[a : a + self.block] = np.log(total[lattice.end]) + scale[lattice.end]
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,10 +253,14 @@ class Scorer:
         seen = set().union(*counted) if counted else set()
         new = [w for w in seen if w not in self.at]
         if len(self.at) + len(new) > MOST_WORDS:
-            self.at, self.table, new = {}, self.table[:0], list(seen)
+            self.forget()
+            new = list(seen)
         if new:
-            self.at.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.vstack([self.table, self._scores(new)])
+            first = len(self.at)
+            while first + len(new) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = self._scores(new)
+            self.at.update(zip(new, range(first, first + len(new))))
         out = np.zeros((len(texts), self.table.shape[1]))
         for k, c in enumerate(counted):
             if c:
@@ -229,13 +269,21 @@ class Scorer:
         return out, np.array([sum(c.values()) for c in counted], dtype=np.int64)
 
 
+#: The scorer of the model that this Python worker used last: its tasks share the words that it has scored.
+_LAST: list = []
+
+
+def _scorer(model: Model) -> Scorer:
+    if not _LAST or _LAST[0] != model.name:
+        _LAST[:] = [model.name, Scorer(model)]
+    return _LAST[1]
+
+
 def train(docs: DataFrame, pieces: list[str], iterations: int = ITERATIONS) -> Model:
     """Fit on the rows with a language and a text."""
     spark = docs.sparkSession
     counts = written(word_counts(docs.where("lang is not null and text is not null")), "word-counts")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang; raise MAX_LANGUAGES only with memory for the model")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     size = len(pieces)
     weight = np.full((size, len(languages)), 1.0 / size)
@@ -248,19 +296,15 @@ def train(docs: DataFrame, pieces: list[str], iterations: int = ITERATIONS) -> M
             segmenter = Segmenter(pieces)
             got = np.zeros(w.shape)
             for pdf in batches:
-                lang = pdf.lang.map(column).to_numpy()
-                # a run of letters longer than PART counts by its parts
-                parts = [(k, (MARK if a == 0 else "") + x[a : a + PART]) for k, x in enumerate(pdf.word) for a in range(0, len(x), PART)]
-                own = np.array([k for k, _ in parts])
-                add_expected(got, segmenter, [x for _, x in parts], lang[own], pdf.n.to_numpy(dtype=float)[own], w)
+                add_expected(got, segmenter, [MARK + x for x in pdf.word], pdf.lang.map(column).to_numpy(), pdf.n.to_numpy(dtype=float), w)
             piece, lang = np.nonzero(got)
             if len(piece):
                 yield pd.DataFrame({"lang": lang.astype(np.int32), "piece": piece.astype(np.int32), "n": got[piece, lang]})
 
-        summed = counts.mapInPandas(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        summed = counts.mapInPandas(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         got = np.zeros(weight.shape)
-        got[summed.piece, summed.lang] = summed.n
-        shared.unpersist()
+        got[summed["piece"].to_numpy(), summed["lang"].to_numpy()] = summed["n"].to_numpy()
+        shared.destroy()
         pooled = got.sum(axis=1) + 0.1
         pooled /= pooled.sum()
         weight = (got + POOLED * pooled[:, None]) / (got.sum(axis=0) + POOLED)
@@ -284,7 +328,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for pdf in batches:
             for a in range(0, len(pdf), 200):
                 part = pdf.iloc[a : a + 200]
@@ -301,7 +345,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)

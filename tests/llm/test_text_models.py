@@ -47,6 +47,66 @@ def test_expected_counts():
     assert np.allclose(got[1:6, 0], np.array([0.011, 0.001, 0.011, 0.01, 0.01]) / total * 3)
 
 
+def brute_expected(segmenter, word, weight, times):
+    """Expected pieces of a word, over each segmentation in turn."""
+    ways = [([], 0, 1.0)]
+    got, total = np.zeros(len(weight)), 0.0
+    while ways:
+        held, at, p = ways.pop()
+        if at == len(word):
+            total += p
+            np.add.at(got, np.array(held), p)
+        ways += [(held + list(ids), j, p * float(np.prod(weight[list(ids)]))) for i, j, ids in segmenter.edges(word) if i == at]
+    return got / total * times
+
+
+def test_expected_counts_over_each_segmentation():
+    pieces = language_id.load_pieces(language_id.vocabulary_path())
+    segmenter = language_id.Segmenter(pieces)
+    weight = np.random.default_rng(2).random((len(pieces), 2)) / len(pieces)
+    words = [language_id.MARK + w for w in ("house", "über", "\U00010900x\U00010900", "the")]
+    got = np.zeros(weight.shape)
+    language_id.add_expected(got, segmenter, words, np.array([0, 1, 0, 0]), np.array([3.0, 1.0, 2.0, 5.0]), weight)
+    want = np.zeros(weight.shape)
+    for w, lang, n in zip(words, (0, 1, 0, 0), (3.0, 1.0, 2.0, 5.0)):
+        want[:, lang] += brute_expected(segmenter, w, weight[:, lang], n)
+    assert np.allclose(got, want)
+
+
+def test_long_runs_outside_the_vocabulary():
+    """Sums stay in range: a run of n such letters holds the mark and n times its bytes, whatever n is."""
+    pieces = language_id.load_pieces(language_id.vocabulary_path())
+    segmenter = language_id.Segmenter(pieces)
+    weight = np.full((len(pieces), 1), 1 / len(pieces))
+    for n in (1, 23, 24, 500):
+        got = np.zeros(weight.shape)
+        language_id.add_expected(got, segmenter, [language_id.MARK + "\U00010900" * n], np.array([0]), np.array([2.0]), weight)
+        assert np.isclose(got.sum(), 2 * (1 + 4 * n))
+    model = language_id.Model(["a", "b"], pieces, np.hstack([weight, weight]), np.log([0.5, 0.5]))
+    one, many = language_id.Scorer(model)._scores(["\U00010900", "\U00010900" * 500])
+    assert np.allclose(many - one, 499 * 4 * np.log(1 / len(pieces)), rtol=1e-4)
+
+
+def test_a_strange_run_does_not_spoil_the_model(spark):
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet")
+    pieces = language_id.load_pieces(language_id.vocabulary_path())
+    for n in (23, 24, 500):
+        odd = spark.createDataFrame([(9_000_000, "\U00010900" * n, "en", "s", n)], "doc_id long, text string, lang string, source string, n_chars long")
+        model = language_id.train(language_id.training_rows(docs).unionByName(odd), pieces)
+        assert np.isfinite(model.weight).all()
+    found = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang = lang_pred").count() == found.count()
+
+
+def test_letters():
+    import regex
+
+    for text in ("A b1c² ½Ⅷ", "Straße — ‘élan’…", "x’y 水の a", "É\u0301a", "ªº µ ÷×", ""):
+        assert language_id.letters(text) == regex.findall(r"\p{L}+", text.lower())
+    every = " ".join(chr(i) + "a" for i in range(0x2FF))
+    assert language_id.letters(every) == regex.findall(r"\p{L}+", every.lower())
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DOCS}/documents.parquet")
     model = language_id.train(language_id.training_rows(docs), language_id.load_pieces(language_id.vocabulary_path()))
