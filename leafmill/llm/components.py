@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Members outside a bucket's largest component that its first round compares with all; later rounds take 8 times more each.
-CENTERS = 16
+#: By how much the number of members that a round compares with all others of their bucket grows.
 GROWTH = 8
 #: Steps of the hash that picks those members.
 PARTS = 1 << 30
@@ -72,42 +71,41 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _open_members(active: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     """The members, with component, of the buckets that hold several components and ``least`` members or more.
 
-    ``largest`` is the component with the most members, ``waiting`` the number of members outside it.
+    ``largest`` is the component with the most members, ``waiting`` the number of members outside it,
+    ``members`` that of all.
     """
     named = active.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("waiting"), F.sum("n").alias("members"))
-    return named.join(mixed.where((F.col("waiting") > 0) & (F.col("members") >= least)).drop("members"), "key")
+    return named.join(mixed.where((F.col("waiting") > 0) & (F.col("members") >= least)), "key")
 
 
-def all_components(star: DataFrame, verify, attributes: DataFrame, possible) -> DataFrame:
-    """(node, component) by all pairs of a bucket that ``verify`` lets stand.
+def all_components(star: DataFrame, verify, meet, centers: int) -> DataFrame:
+    """(node, component) by all pairs of a bucket that are links.
 
     ``star`` has (key, node, center): the buckets, and the member that a node is compared with first.
-    ``verify`` maps pairs (a, b) to those that are links; ``possible`` is a condition on two structs of
-    ``attributes`` (node and more columns) that every link meets.
+    ``verify`` maps pairs (a, b) to those that are links. ``meet`` maps members (key, node, center,
+    component, waiting, members, chosen) and the number of chosen ones to expect of a bucket to links
+    (a, b) of the chosen ones with other components of their bucket; of several links with a component one is enough.
 
     After the stars, the largest component of a bucket needs no comparison within itself. Of the members
-    outside it some (by a hash) are compared with all members of other components and then leave the
-    bucket, the components are drawn again, and so on until every bucket is one component. The number
-    taken grows with each round, so the rounds are few; where members are alike, most are in the largest
-    component after the first one. No pair of a bucket stays unchecked whose ends are not connected.
+    outside it about ``centers`` (by a hash) are compared with all members of other components and then
+    leave the bucket, the components are drawn again, and so on until every bucket is one component. The
+    number chosen grows with each round, so the rounds are few; where members are alike, most are in the
+    largest component after the first one. No pair of a bucket stays unchecked whose ends are not connected.
     """
     first = star.where("node <> center").select(*_ordered("center", "node")).distinct()
     labels = connected_components(verify(first))
-    held = attributes.select("node", F.struct(*attributes.columns).alias("about"))
-    active, taken, least = star, CENTERS, 3  # the two of a pair have met
+    active, least = star, 3  # the two of a pair have met
     while True:
-        members = written(_open_members(active, labels, least).join(held, "node"), "open-members")
+        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(centers)), F.lit(PARTS)) * F.col("waiting") < F.lit(PARTS * centers))
+        members = written(_open_members(active, labels, least).withColumn("chosen", chosen), "open-members")
         if members.isEmpty():
             return labels
-        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(taken)), F.lit(PARTS)) * F.col("waiting") < F.lit(PARTS * taken))
-        some = members.where(chosen).select("key", F.col("node").alias("x"), F.col("center").alias("center_x"), F.col("component").alias("of_x"), F.col("about").alias("about_x"))
-        met = some.join(members.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & (F.col("of_x") != F.col("component")) & (F.col("x") != F.col("center")) & (F.col("node") != F.col("center_x")) & possible("about_x", "about"))
-        links = written(verify(met.select(*_ordered("x", "node")).distinct()), "links")
+        links = written(meet(members, centers), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
-        active, taken, least = members.where(~chosen).select("key", "node", "center"), taken * GROWTH, 2
+        active, least, centers = members.where("not chosen").select("key", "node", "center"), 2, centers * GROWTH
 
 
 def with_component(nodes: DataFrame, labels: DataFrame, node: str = "node") -> DataFrame:

@@ -5,11 +5,10 @@ Equal lines are one node from the start. A node is its line's 64-bit XXH64; a se
 Each distinct line has the set of its 7-character shingles (a shorter line is one shingle), 56 minimum
 hashes and 14 bands of 4; two lines of similarity 0.8 share a band with a probability of 0.9994, of
 0.9 with 0.999996. In each band's buckets the smallest node is compared with all, and then only what
-is outside the bucket's largest component (see ``components``). Pairs that the numbers of their
-shingles, or 256-bit maps of them, rule out are not looked at: a bit that one map has and the other
-lacks is a shingle that the other line lacks. Candidates count as links when their exact Jaccard
-similarity is 0.8 or more. Of each component the first line stays: that with the smallest doc_id, then
-the earliest in its text.
+is outside the bucket's largest component (see ``components``), in blocks of some hundred lines whose
+maps of shingles rule most pairs out. Candidates count as links when their exact Jaccard similarity is
+0.8 or more. Of each component the first line stays: that with the smallest doc_id, then the earliest
+in its text.
 
 Texts are read where they lie: only hashes, ids and the lines that are in candidate pairs move in
 shuffles. Which lines those are is told to the scan by a bitmap of fixed size (2 MiB), which may let
@@ -38,8 +37,10 @@ BANDS = 14
 ROWS = 4
 #: Bits of the bitmap that tells the scan which lines are in candidate pairs.
 BITMAP_BITS = 1 << 24
-#: Words of 64 bits in a line's map of its shingles.
-MAP_WORDS = 4
+#: Bits in a line's map of its shingles.
+MAP_BITS = 1 << 14
+#: Lines of a bucket in a block that one task compares with another block.
+MEET = 512
 #: Characters that are signed at once, and lines (whose numbers fit above a hash's bits).
 BLOCK = 1 << 16
 MOST_LINES = 1 << 12
@@ -122,17 +123,6 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def shingle_maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of distinct shingles of each line, and its map of them, (lines x MAP_WORDS)."""
-    counts, maps = np.zeros(len(lines), dtype=np.int32), np.zeros((len(lines), MAP_WORDS * 64), dtype=np.uint8)
-    for start, stop in _blocks(lines, BLOCK * 16):
-        hashed, held = _shingle_hashes(lines[start:stop])
-        of = np.repeat(np.arange(stop - start), held)
-        counts[start:stop] = np.bincount(_tagged(of, hashed) >> _HASH_BITS, minlength=stop - start)
-        maps[start + of, hashed % np.uint64(MAP_WORDS * 64)] = 1
-    return counts, np.packbits(maps, axis=1, bitorder="little").view("<i8")
-
-
 def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.ndarray:
     """Whether the Jaccard similarity of the shingles of each pair of lines is ``similarity`` or more.
 
@@ -153,12 +143,47 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.
     return out
 
 
-def may_link(x: str, y: str, similarity: float = SIMILARITY) -> Column:
-    """A condition that lines of the similarity meet, on structs of their numbers of shingles and maps."""
-    n, m = F.col(f"{x}.shingles"), F.col(f"{y}.shingles")
-    lacking = lambda p, q: sum((F.bit_count(F.col(f"{p}.map{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.map{i}")))) for i in range(1, MAP_WORDS)), F.bit_count(F.col(f"{p}.map0").bitwiseAND(F.bitwise_not(F.col(f"{q}.map0")))))
-    both = F.least(n - lacking(x, y), m - lacking(y, x))  # at most so many shingles in common
-    return both * (1 + similarity) >= (n + m) * similarity - 1e-9
+def first_links(xs: np.ndarray, ys: np.ndarray, groups: np.ndarray, bounds: np.ndarray, lines: list[str], similarity: float) -> np.ndarray:
+    """Of pairs (places in ``lines``) those found to be links: one for each group that has any, the likeliest pairs first.
+
+    Pairs of a group are judged 1, 2, 4, ... at a time until one is a link or none is left.
+    """
+    order = np.lexsort((-bounds, groups))
+    nth = np.arange(len(order)) - np.searchsorted(groups[order], groups[order])
+    found, start, size = [], 0, 1
+    left = order
+    while len(left):
+        now = left[(nth >= start) & (nth < start + size)]
+        if len(now):
+            good = now[similar([lines[i] for i in xs[now]], [lines[i] for i in ys[now]], similarity)]
+            _, one = np.unique(groups[good], return_index=True)
+            found.append(good[one])
+            open_ = ~np.isin(groups[left], groups[good]) & (nth >= start + size)
+        else:
+            open_ = nth >= start + size
+        left, nth = left[open_], nth[open_]
+        start, size = start + size, 2 * size
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def possible_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the lines at ``x`` with those at ``y`` that maps of their shingles do not rule out, with a bound of their similarity.
+
+    A bit that one line's map has and the other's lacks is a shingle that the other line lacks.
+    """
+    if len(x) * len(y) <= 32:
+        return np.repeat(x, len(y)), np.tile(y, len(x)), np.ones(len(x) * len(y))
+    counts, maps = np.zeros(len(lines)), np.zeros((len(lines), MAP_BITS), dtype=np.float32)
+    for start, stop in _blocks(lines, BLOCK * 16):
+        hashed, held = _shingle_hashes(lines[start:stop])
+        of = np.repeat(np.arange(stop - start), held)
+        counts[start:stop] = np.bincount(_tagged(of, hashed) >> _HASH_BITS, minlength=stop - start)
+        maps[start + of, hashed % np.uint64(MAP_BITS)] = 1
+    bits, both = maps.sum(axis=1), maps[x] @ maps[y].T
+    most = np.minimum(counts[x, None] - bits[x, None] + both, counts[None, y] - bits[None, y] + both)  # at most so many shingles in common
+    bound = most / (counts[x, None] + counts[None, y] - most)
+    i, j = np.nonzero(bound >= similarity - 1e-6)
+    return x[i], y[j], bound[i, j]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -249,27 +274,71 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = lines.where(F.expr(f"shiftrightunsigned(bits, cast(pmod(node, {BITMAP_BITS}L) % 64 as int)) & 1 = 1"))
     check = F.xxhash64(F.lit(1), "line")
     lines = lines.groupBy("node").agg(F.first("line").alias("line"), F.min(check).alias("a"), F.max(check).alias("b")).where("a = b")
+    return lines.select("node", "line").join(nodes, "node", "left_semi")
+
+
+def _meet(members: DataFrame, centers: int, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) of the chosen members with other components of their bucket.
+
+    Chosen ones (about ``centers``) and members of a bucket are dealt into blocks of about ``block`` lines,
+    and each pair of blocks is compared in one task; only links leave it.
+    """
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    nx, ny = blocks(F.least("waiting", F.lit(centers))), blocks(F.col("members"))
+    seat = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    place = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    asks = F.when(F.col("chosen"), F.transform(upto(ny), lambda y: place(0, seat(1, nx), y))).otherwise(F.array().cast("array<struct<side:int,x:int,y:int>>"))
+    is_asked = F.transform(upto(nx), lambda x: place(1, x, seat(2, ny)))
+    rows = members.join(texts, "node").select("key", "node", "component", "line", F.explode(F.concat(asks, is_asked)).alias("at")).select("key", "at.x", "at.y", "at.side", "node", "component", "line")
+    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compare(batches):
+        carried = None
+
+        def links(pdf):
+            pdf = pdf.reset_index(drop=True)
+            lines = list(pdf.line)
+            side, component = pdf.side.to_numpy(), pdf.component.to_numpy()
+            xs, ys, bounds = [], [], []
+            for at in pdf.groupby(["key", "x", "y"], sort=False).indices.values():
+                asking, asked = at[side[at] == 0], at[side[at] == 1]
+                if len(asking) and len(asked):
+                    a, b, bound = possible_pairs([lines[i] for i in at], np.searchsorted(at, asking), np.searchsorted(at, asked), similarity)
+                    a, b = at[a], at[b]
+                    apart = component[a] != component[b]
+                    xs.append(a[apart]), ys.append(b[apart]), bounds.append(bound[apart])
+            if not xs:
+                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            x, y, bound = np.concatenate(xs), np.concatenate(ys), np.concatenate(bounds)
+            node = pdf.node.to_numpy()
+            _, groups = np.unique(np.stack([node[x], component[y]], axis=1), axis=0, return_inverse=True)
+            good = first_links(x, y, groups.ravel(), bound, lines, similarity)
+            a, b = node[x[good]], node[y[good]]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    def describe(batches):
         for pdf in batches:
-            counts, maps = shingle_maps(list(pdf.line))
-            yield pdf.assign(shingles=counts, **{f"map{i}": maps[:, i] for i in range(MAP_WORDS)})
+            pdf = pdf if carried is None else pd.concat([carried, pdf])
+            last = (pdf[["key", "x", "y"]] == pdf[["key", "x", "y"]].iloc[-1]).all(axis=1)  # may go on in the next batch
+            carried = pdf[last]
+            if not last.all():
+                yield links(pdf[~last])
+        if carried is not None:
+            yield links(carried)
 
-    return lines.select("node", "line").join(nodes, "node", "left_semi").mapInPandas(describe, "node long, line string, shingles int, " + ", ".join(f"map{i} long" for i in range(MAP_WORDS)))
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
-def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, similarity: float = SIMILARITY, block: int = MEET) -> tuple[DataFrame, DataFrame]:
     """The occurrences of lines, and (node, component) of the lines that have links."""
     lines = written(occurrences(docs), "lines")
     star = written(line_stars(docs), "line-stars")
     texts = written(texts_of(docs, written(star.select("node").distinct(), "candidates")), "candidate-lines")
 
-    about = texts.drop("line")
-    side = lambda c, line: texts.select(F.col("node").alias(c), F.col("line").alias(line), F.struct(*about.columns).alias(f"of_{c}"))
+    side = lambda c, line: texts.select(F.col("node").alias(c), F.col("line").alias(line))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(side("a", "x"), "a").alias("p")
-        sides = one.join(side("b", "y").alias("q"), (F.col("p.b") == F.col("q.b")) & may_link("of_a", "of_b", similarity)).select("a", "p.b", "x", "y")
+        sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
         def exact(batches):
             import pyarrow as pa
@@ -279,7 +348,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
         return sides.mapInArrow(exact, "a long, b long")
 
-    return lines, all_components(star, verify, about, lambda x, y: may_link(x, y, similarity))
+    return lines, all_components(star, verify, lambda members, centers: _meet(members, centers, texts, similarity, block), block)
 
 
 def _drops(docs: DataFrame, similarity: float) -> DataFrame:

@@ -37,6 +37,9 @@ PIVOTS = 16
 #: Widths of the blocks of bits; any 3 differing bits leave 3 of the 6 blocks as they are.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
+#: Members outside a bucket's largest component that its first round compares with all.
+CENTERS = 16
+
 _STEP = 1 << 16  # shingles at once
 
 
@@ -116,7 +119,15 @@ def groups(prints: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").where(near("of_a", "of_b")).select("a", "b")
 
-    labels = all_components(star, verify, about, near)
+    held = about.select("node", F.struct(*about.columns).alias("about"))
+
+    def meet(members: DataFrame, centers: int) -> DataFrame:
+        known = members.join(held, "node")
+        some = known.where("chosen").select("key", F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("about").alias("about_x"))
+        met = some.join(known.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & (F.col("of_x") != F.col("component")) & near("about_x", "about"))
+        return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+    labels = all_components(star, verify, meet, CENTERS)
     named = with_component(nodes.select(F.col("fp").alias("node"), "least"), labels)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(least, "component").select(F.col("node").alias("fp"), "component_id", "component")

@@ -3,6 +3,7 @@
 from documents import SCHEMA, awkward, empty, prose, rows
 
 from leafmill.llm import line_dedup
+from leafmill.llm.components import all_components
 
 
 def brute(docs):
@@ -60,6 +61,73 @@ def test_against_all_pairs(spark):
     assert got == brute(docs.collect())
 
 
+def edited(i):
+    """A line of 80 words, each of a few variants of one template; far edits are alone, near ones chains."""
+    words = prose(80, 77).split()
+    for j in range(i % 14):
+        words[(i * 7 + j * 11) % 80] = f"w{(i * 13 + j) % 97}"
+    return " ".join(words)
+
+
+def test_hot_bucket_of_many_components(spark):
+    """All lines share one bucket, whose blocks are far smaller than it: the components are those of all pairs."""
+    lines = list(dict.fromkeys(edited(i) for i in range(160)))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    texts = docs.select(line_dedup.node_of(docs.text).alias("node"), docs.text.alias("line"))
+    nodes = {r.line: r.node for r in texts.collect()}
+    least = min(nodes.values())
+    star = spark.createDataFrame([(1, n, least) for n in nodes.values()], "key long, node long, center long")
+
+    def verify(pairs):
+        by = {n: x for x, n in nodes.items()}
+        kept = [(r.a, r.b) for r in pairs.collect() if line_dedup.similar([by[r.a]], [by[r.b]])[0]]
+        return spark.createDataFrame(kept, "a long, b long")
+
+    got = {r.node: r.component for r in all_components(star, verify, lambda m, c: line_dedup._meet(m, c, texts, 0.8, 8), 4).collect()}
+    sets = {nodes[x]: line_dedup.shingles(x) for x in lines}
+    want = {n: n for n in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and line_dedup.jaccard(sets[a], sets[b]) >= 0.8 and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {n: new if c == old else c for n, c in want.items()}
+    assert {n: got.get(n, n) for n in sets} == want
+    assert 3 < len(set(want.values())) < len(lines) - 3
+
+
+def test_similarity_by_hashes_is_exact():
+    lines = [edited(i) for i in range(60)] + ["", "a", "abcdefg", "abcdefgh", "a" * 50, "ab" * 40]
+    xs, ys = zip(*[(x, y) for x in lines for y in lines])
+    want = [line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y)) >= 0.8 for x, y in zip(xs, ys)]
+    assert line_dedup.similar(list(xs), list(ys)).tolist() == want
+
+
+def test_recall_of_bands():
+    """Pairs of lines of the given documents at 0.8 or more share a band."""
+    import duckdb
+
+    rows_ = duckdb.sql("select distinct unnest(string_split(text, chr(10))) from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    lines = [x for (x,) in rows_ if x.strip()]
+    lines += [x[: len(x) - len(x) // 9] for x in lines]  # cut copies: similarities of about 0.89
+    sets = [line_dedup.shingles(x) for x in lines]
+    held = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            held.setdefault(g, []).append(k)
+    near = {(a, b) for ks in held.values() if len(ks) < 200 for a in ks for b in ks if a < b}
+    near = [(a, b) for a, b in near if line_dedup.jaccard(sets[a], sets[b]) >= 0.8]
+    keys = line_dedup.band_keys(line_dedup.signatures(lines))
+    met = [bool((keys[a] == keys[b]).any()) for a, b in near]
+    assert len(met) > 500 and sum(met) >= 0.998 * len(met)
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([(1, "one line here\none line here", 1, 2, 3, 4)], "doc_id long, text string, found_dropped int, found_id int, dropped int, text_key int")
+    kept = line_dedup.deduplicate_lines(docs)
+    assert kept.columns == docs.columns
+    assert kept.collect() == [(1, "one line here", 1, 2, 3, 4)]
+
+
 def test_cleaned_documents(spark):
     docs = corpus(spark)
     kept = line_dedup.deduplicate_lines(docs)
