@@ -1,24 +1,22 @@
 """Document fingerprints (9): winnowing, with DataFrame functions only.
 
 A text is read as its code points without white space. The 12 code points from each one on have a
-64-bit hash, so the hash moves by one code point; of every window of 16 consecutive hashes the smallest
-is kept, of equal ones the rightmost. Two texts that share 27 consecutive code points share a kept hash,
-wherever the passage starts in either and however the text around it is spaced, and its position (the
-number of its first code point) is kept to find the match. A text shorter than a window keeps the
-smallest of what it has, one shorter than 12 the hash of all its code points.
+Karp-Rabin hash, a polynomial of the code points modulo 2^31 - 1. It rolls by doubling: the hashes of 2,
+4, 8 and 12 code points come from those of their two halves, one pass over the text each, so overlapping
+grams share all their parts. Of every window of 16 consecutive hashes the smallest is kept, of equal ones
+the rightmost. Two texts that share 27 consecutive code points share a kept hash, wherever the passage
+starts in either and however the text around it is spaced, and its position (the number of its first code
+point) is kept to find the match. A text shorter than a window keeps the smallest of what it has, one
+shorter than 12 the hash of all its code points.
 
-``winnow`` alone does the same over runs of 4 tokens of at most 4 characters between white space, in
-windows of 8; its tokens are cut from the start of each run of text, so it finds a passage only in phase.
-
-A hash and its position are one long: the upper 40 bits are the hash's, the lower 24 the complement
-of the position, so that the smallest long is the smallest hash at its rightmost position. Positions
-of texts beyond 16 million code points are kept modulo 2^24.
+A hash and its position are one long: the upper 31 bits are the hash's, the lower 32 the complement of
+the position, so that the smallest long is the smallest hash at its rightmost position.
 
 The likeness of two fingerprints is the Dice coefficient of their sets of hashes; of two empty ones 1.
 
 Defined cases: a null text is empty, an empty or blank one has an empty fingerprint; documents that
 repeat an id follow one another by text; null ids come first; a single document follows itself; extra
-columns are ignored.
+columns are ignored; texts of any length that a row holds are read whole.
 """
 
 from __future__ import annotations
@@ -30,15 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN_CHARS = 4
-GRAM = 4
-WINDOW = 8
-#: Code points in a hash and hashes in a window, for ``winnow_points``.
+#: Code points in a hash (the sum of GRAM_PARTS) and hashes in a window, a power of two.
 GRAM_POINTS = 12
 WINDOW_POINTS = 16
-POSITION_BITS = 24
-#: Ranges of doc_id that are put in order on their own.
-MOST_RANGES = 512
+#: The modulus and base of the polynomial.
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
+POSITION_BITS = 32
 
 _POSITION = (1 << POSITION_BITS) - 1
 
@@ -48,58 +44,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), 0)
-
-
 def key(hashed: Column, at: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(-1 - _POSITION)).bitwiseOR(F.lit(_POSITION) - at.cast("long").bitwiseAND(F.lit(_POSITION)))
+    return F.shiftleft(hashed, POSITION_BITS).bitwiseOR(F.lit(_POSITION) - at.cast("long"))
 
 
-def gram_keys(text: Column) -> Column:
-    """Hash and position, as one long, of every run of tokens."""
+def _beside(values: Column, n: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of each value and the one ``n`` places on, as far as there is one."""
+    pairs = lambda v: F.zip_with(F.slice(v, F.lit(1), F.greatest(F.size(v) - n, F.lit(0))), F.slice(v, F.lit(n + 1), F.greatest(F.size(v) - n, F.lit(0))), body)
+    return let(values, pairs)
 
-    def of(ts: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(ts) - GRAM), lambda i: key(F.xxhash64(*[ts[i + j] for j in range(GRAM)]), i))
-        short = F.array(key(F.xxhash64(ts), F.lit(0)))
-        return F.when(F.size(ts) >= GRAM, runs).when(F.size(ts) > 0, short).otherwise(F.array().cast("array<long>"))
 
-    return let(tokens(text), of)
+def gram_hashes(codes: Column) -> Column:
+    """The hashes of the 12 code points from each one on; ``codes`` has 12 or more."""
+    rolled = lambda points: lambda x, y: (x * F.lit(pow(BASE, points, PRIME)) + y) % F.lit(PRIME)
+    two = _beside(codes, 1, rolled(1))
+    four = _beside(two, 2, rolled(2))
 
+    def twelve(four: Column) -> Column:
+        eight = _beside(four, 4, rolled(4))
+        return let(eight, lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 4), F.slice(four, F.lit(9), F.size(e) - 4), rolled(4)))
 
-def winnow(text: Column) -> Column:
-    """The kept hashes with their positions, in order of position."""
-
-    def of(keys: Column) -> Column:
-        minima = F.transform(F.sequence(F.lit(1), F.size(keys) - WINDOW + 1), lambda i: F.array_min(F.slice(keys, i, F.lit(WINDOW))))
-        return F.when(F.size(keys) > WINDOW, F.array_distinct(minima)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
-
-    return let(gram_keys(text), of)
+    return let(four, twelve)
 
 
 def point_keys(text: Column) -> Column:
     """Hash and position, as one long, of the code points without white space from each one on."""
 
-    def of(solid: Column) -> Column:
-        grams = F.regexp_extract_all(solid, F.lit(rf"(?s)(?=(.{{{GRAM_POINTS}}}))."), 1)
-        short = F.array(key(F.xxhash64(solid), F.lit(0)))
-        return F.when(F.length(solid) >= GRAM_POINTS, F.transform(grams, lambda g, i: key(F.xxhash64(g), i))).when(F.length(solid) > 0, short).otherwise(F.array().cast("array<long>"))
+    def of(codes: Column) -> Column:
+        whole = F.aggregate(codes, F.lit(1).cast("long"), lambda h, c: (h * F.lit(BASE) + c) % F.lit(PRIME))
+        long_enough = F.size(codes) >= GRAM_POINTS
+        return F.when(long_enough, F.transform(gram_hashes(codes), key)).otherwise(F.array(key(whole, F.lit(0))))
 
-    return let(F.regexp_replace(text, r"[\s\p{Z}]+", ""), of)
+    solid = F.regexp_replace(text, r"[\s\p{Z}]+", "")
+    codes = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long"))
+    return let(solid, lambda t: F.when(t == "", F.array().cast("array<long>")).otherwise(let(codes(t), of)))
 
 
 def winnow_points(text: Column) -> Column:
     """The kept hashes of code points with their positions, in order of position."""
 
-    def wider(minima: Column, width: int) -> Column:
-        return let(minima, lambda m: F.zip_with(m, F.slice(m, F.lit(width + 1), F.size(m)), lambda x, y: F.least(x, y)))
-
     def of(keys: Column) -> Column:
         minima, width = keys, 1
-        while width < WINDOW_POINTS:  # a power of two; least passes over the nulls beyond the end
-            minima, width = wider(minima, width), 2 * width
-        whole = F.slice(minima, F.lit(1), F.size(keys) - WINDOW_POINTS + 1)
-        return F.when(F.size(keys) > WINDOW_POINTS, F.array_distinct(whole)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
+        while width < WINDOW_POINTS:
+            minima, width = _beside(minima, width, lambda x, y: F.least(x, y)), 2 * width
+        return F.when(F.size(keys) > WINDOW_POINTS, F.array_distinct(minima)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
 
     return let(point_keys(text), of)
 
@@ -114,7 +102,7 @@ def hashes(keys: Column) -> Column:
 
 def as_text(keys: Column) -> Column:
     """``position:hash`` of each kept hash, joined by spaces."""
-    return F.array_join(F.transform(keys, lambda k: F.concat(position(k).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftrightunsigned(k, POSITION_BITS))))), " ")
+    return F.array_join(F.transform(keys, lambda k: F.concat(position(k).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftright(k, POSITION_BITS))))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,16 +111,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def with_next(docs: DataFrame, value: Column, most_ranges: int = MOST_RANGES) -> DataFrame:
-    """``docs`` (with doc_id and text) and, as ``next``, the value of the next document in ascending doc_id; after the last the first.
+def _place(value: Column, marks: list[int]) -> Column:
+    """How many of the sorted marks are at most the value (none for null): first among every so many, then between two of those."""
+    step = max(1, int(len(marks) ** 0.5))
+    some = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<long>")
+    count = lambda xs: F.size(F.filter(xs, lambda m: F.coalesce(m <= value, F.lit(False))))
+    coarse, fine = some(marks[step - 1 :: step]), F.array(*[some(marks[i : i + step]) for i in range(0, len(marks) + 1, step)])
+    return let(count(coarse), lambda n: n * step + count(F.coalesce(F.get(fine, n), some([]))))
+
+
+def with_next(docs: DataFrame, ranges: int | None = None, **made: Column) -> DataFrame:
+    """``docs`` (doc_id and text) with the columns ``made`` and, as ``next`` and ``next_<name>``, the text and those columns of the next document.
 
-    Ranges of doc_id are ordered on their own; the first row of each also stands at the end of the range before.
+    The order is ascending doc_id; after the last comes the first. Ranges of doc_id (twice as many as
+    shuffle partitions, which follow the size of the input) are put in order on their own; the first row
+    of each also stands at the end of the range before. The columns are made once, after the shuffle. The
+    driver sees a few numbers of each range.
     """
     spark = docs.sparkSession
-    n = min(most_ranges, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("b")).first().b or []
-    marks = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
-    ranged = docs.withColumn("range", F.size(F.filter(marks, lambda b: F.coalesce(b <= F.col("doc_id"), F.lit(False)))))
+    ranged = docs.withColumn("range", _place(F.col("doc_id"), sorted(set(bounds))))
     firsts = sorted((r.range, r.first.doc_id) for r in ranged.groupBy("range").agg(F.min(F.struct("doc_id")).alias("first")).collect())  # a row for each range
     before = [(firsts[i - 1][0], doc_id) for i, (_, doc_id) in enumerate(firsts)]  # the first range's stands after the last
     guests = spark.createDataFrame(before, "guest_range int, guest_id long")
@@ -140,7 +139,8 @@ def with_next(docs: DataFrame, value: Column, most_ranges: int = MOST_RANGES) ->
         docs.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("guest_id"))).select(*docs.columns, F.col("guest_range").alias("range"), F.lit(1).alias("late"))
     )
     w = Window.partitionBy("range").orderBy("late", "doc_id", "text")
-    return rows.withColumn("next", F.lead(value).over(w)).where("late = 0").drop("late", "range")
+    rows = rows.repartition("range").withColumns(made) if made else rows
+    return rows.withColumns({"next": F.lead("text").over(w), **{f"next_{c}": F.lead(c).over(w) for c in made}}).where("late = 0").drop("late", "range")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -152,8 +152,8 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, as arrays of hash and position, and how alike they are."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(texts, F.col("text")).withColumn("edited", edited(F.col("text"), F.col("next")))
-    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), winnow_points(F.col("text")).alias("kept"), winnow_points(F.col("edited")).alias("edited_kept"), winnow_points(F.col("next")).alias("next_kept"))
+    pairs = with_next(texts, kept=winnow_points(F.col("text"))).withColumn("edited", edited(F.col("text"), F.col("next")))
+    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "kept", winnow_points(F.col("edited")).alias("edited_kept"), "next_kept")
     sets = both.withColumns({"h": hashes(F.col("kept")), "eh": hashes(F.col("edited_kept")), "nh": hashes(F.col("next_kept"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", "kept", "edited_kept", likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("nh")).alias("near_next"))
 

@@ -75,44 +75,50 @@ def test_both_sizes_remove_the_same(spark):
     assert len(got["spans", 0]) == docs.count()
 
 
-def spark_hashes(spark, grams):
-    df = spark.createDataFrame([(g,) for g in grams], "g array<string>")
-    return [r[0] for r in df.selectExpr("xxhash64(g)").collect()]
+def brute_points(text):
+    """(position, hash) kept of a text, by each gram and window in turn."""
+    solid, n, p = "".join((text or "").split()), winnowing.GRAM_POINTS, winnowing.PRIME
+    value = lambda g, h: h if not g else value(g[1:], (h * winnowing.BASE + ord(g[0])) % p)
+    if len(solid) < n:
+        return [(0, value(solid, 1))] if solid else []
+    hs = [value(solid[i : i + n], 0) for i in range(len(solid) - n + 1)]
+    w, want = min(winnowing.WINDOW_POINTS, len(hs)), []
+    for i in range(len(hs) - w + 1):
+        at = max(j for j in range(i, i + w) if hs[j] == min(hs[i : i + w]))
+        if not want or want[-1][0] != at:
+            want.append((at, hs[at]))
+    return want
 
 
-def test_winnowing_against_brute_force(spark):
-    docs = awkward(spark).where("length(text) < 10000 or text is null")
-    data = [r.text or "" for r in docs.orderBy("doc_id", "text").collect()]
-    got = {}
-    for r in docs.selectExpr("coalesce(text, '') as text").withColumn("k", winnowing.winnow(winnowing.F.col("text"))).collect():
-        got[r.text] = r.k
-    for text in set(data):
-        ts = re.findall(r"[^ \t\n\x0b\f\r]{1,4}", text)
-        n = winnowing.GRAM
-        grams = [ts[i : i + n] for i in range(len(ts) - n + 1)] if len(ts) >= n else ([ts] if ts else [])
-        hs = [h >> 24 for h in spark_hashes(spark, grams)] if grams else []
-        w = min(winnowing.WINDOW, len(hs))
-        want = []
-        for i in range(len(hs) - w + 1 if hs else 0):
-            at = max(j for j in range(i, i + w) if hs[j] == min(hs[i : i + w]))
-            if (at, hs[at]) not in want:
-                want.append((at, hs[at]))
-        assert [((1 << 24) - 1 - (k & ((1 << 24) - 1)), k >> 24) for k in got[text]] == want
+def brute_likeness(a, b):
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def unpacked(keys):
+    return [((1 << 32) - 1 - (k & ((1 << 32) - 1)), k >> 32) for k in keys]
 
 
 def test_points_against_brute_force(spark):
-    texts = ["", " \n\u3000", "short one", "x" * 300, "été naïve 你好 𝔘𝔫𝔦 " * 9, prose(90, 6), "abcdefghijkl", "a" * 11 + "bcdefghijklmnop" + "q"]
+    texts = ["", " \n\u3000", "short one", "x" * 300, "été naïve 你好 𝔘𝔫𝔦 " * 9, prose(90, 6), "abcdefghijkl", "a" * 11 + "bcdefghijklmnop" + "q", prose(9000, 8)]
     got = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("k", winnowing.winnow_points(winnowing.F.col("text"))).collect()
     for r in got:
-        solid, n = "".join(r.text.split()), winnowing.GRAM_POINTS
-        grams = [solid[i : i + n] for i in range(len(solid) - n + 1)] or ([solid] if solid else [])
-        hs = [x[0] >> 24 for x in spark.createDataFrame([(g,) for g in grams], "g string").selectExpr("xxhash64(g)").collect()] if grams else []
-        w, want = min(winnowing.WINDOW_POINTS, len(hs)), []
-        for i in range(len(hs) - w + 1 if hs else 0):
-            at = max(j for j in range(i, i + w) if hs[j] == min(hs[i : i + w]))
-            if (at, hs[at]) not in want:
-                want.append((at, hs[at]))
-        assert [((1 << 24) - 1 - (k & ((1 << 24) - 1)), k >> 24) for k in r.k] == want
+        assert unpacked(r.k) == brute_points(r.text)
+
+
+def test_all_columns_against_brute_force(spark):
+    docs = awkward(spark)
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    texts = [r.text or "" for r in order]
+    want = []
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        edit = t[: len(t) - half] + after[:half]
+        a, b, c = map(brute_points, (t, edit, after))
+        want.append((str(order[i].doc_id), len(t), hashlib.sha256(edit.encode()).hexdigest(), tuple(a), tuple(b), round(brute_likeness(a, b), 9), round(brute_likeness(a, c), 9)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, tuple(unpacked(r.kept)), tuple(unpacked(r.edited_kept)), round(r.near_edited, 9), round(r.near_next, 9)) for r in winnowing.fingerprint_edits(docs).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_a_character_inserted_in_text_without_spaces(spark):
@@ -128,12 +134,12 @@ def test_a_character_inserted_in_text_without_spaces(spark):
     assert all(set(r.a) & set(r.b) for r in kept.collect())
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 16])
+@pytest.mark.parametrize("ranges", [1, 3, 16, 150])
 def test_edits_follow_the_order_of_ids(spark, ranges):
     docs = awkward(spark).select("doc_id", winnowing.F.coalesce("text", winnowing.F.lit("")).alias("text"))
     order = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
     want = sorted((str(r.doc_id), r.text, order[(i + 1) % len(order)].text) for i, r in enumerate(order))
-    got = winnowing.with_next(docs, winnowing.F.col("text"), ranges)
+    got = winnowing.with_next(docs, ranges)
     assert sorted((str(r.doc_id), r.text, r.next) for r in got.collect()) == want
 
 
