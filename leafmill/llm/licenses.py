@@ -1,25 +1,32 @@
 """License scans (6): a trained paragraph classifier and a comparison with templates, with SQL functions only.
 
-Each line of a text is a paragraph. Its word n-grams (one to three words, with at least one word that
-is not a stop word) weigh for each licence family in a multinomial logistic regression with a class
-for everything else. A predicted family is confirmed when the paragraph shares enough word pairs with
-one of the family's templates.
+A paragraph is a line of a text, a sentence of it, or a run of lines that each have a word of some
+notice (a notice that is wrapped). Its word n-grams (one to three words, with at least one word that is
+not a stop word) weigh for each licence family in a multinomial logistic regression with a class for
+everything else. A predicted family is confirmed when the paragraph is alike enough to one of the
+family's templates: by the Dice coefficient of their word pairs, or, for a template of ``LEAST_PAIRS``
+pairs or more, by the share of its pairs that the paragraph has.
 
 The regression is fitted on the templates below, varied by leaving words out and by words of the corpus
-around them, and on a bounded sample of the corpus's lines as the class ``unknown``
-(``SAMPLE_LINES`` lines, those with the smallest hash). Its probabilities are calibrated by a
-temperature chosen on rows that the fit has not seen, and a family is predicted from ``LEAST_PROBABILITY`` on.
-Every n-gram with a weight has a word of the templates that is not a stop word, so a paragraph without such a
+around them, and on a bounded sample of the corpus's lines as the class ``unknown`` (``SAMPLE_LINES``
+lines of at most ``SAMPLE_BYTES`` bytes, those with the smallest hash; a bound on the hash, from the
+number of lines, leaves a few times as many before they are compared). Its probabilities are calibrated
+by a temperature: a first fit leaves out one whole template of each family and a part of the other
+rows, and the temperature makes these likeliest. A family is predicted from ``LEAST_PROBABILITY`` on.
+Every n-gram with a weight has a word of the templates that is not a stop word, so a line without such a
 word is ``unknown`` without looking further. Scoring is a projection: no join and no shuffle.
 
-Defined cases: a null, empty or blank text has no findings and the family ``none``; a document with
-several families has that of its most probable confirmed finding (ties: the earliest); repeated rows
-and null ids each give a row; extra columns are ignored.
+Defined cases: a null, empty or blank text has no findings and the family ``none``; a line counts once,
+by the best of its sentences and itself; a run of lines counts only where none of its lines is confirmed
+alone; a document with several families has that of its most probable confirmed finding (ties: the
+earliest); texts of any length are read whole; repeated rows and null ids each give a row; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -83,10 +90,27 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ],
     "Proprietary": [
+        "All rights reserved.",
         "Copyright. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+#: The names by which short forms state a licence.
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache License 2.0"],
+    "GPL": ["GPL-3.0", "GPL-2.0", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPLv3", "GPLv2"],
+    "LGPL": ["LGPL-3.0", "LGPL-2.1", "LGPL-3.0-or-later", "LGPLv3"],
+    "AGPL": ["AGPL-3.0", "AGPL-3.0-or-later", "AGPL-3.0-only", "AGPLv3"],
+    "BSD": ["BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "MPL-2.0": ["MPL-2.0", "MPL 2.0"],
+    "ISC": ["ISC"],
+    "CC-BY": ["CC-BY-4.0", "CC BY 4.0", "CC-BY-3.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 4.0", "CC-BY-SA-3.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 4.0", "CC-BY-NC-3.0"],
+    "CC0": ["CC0-1.0", "CC0"],
+    "Proprietary": ["Proprietary"],
+}
 #: Sentences with licence words that grant nothing.
 OTHER = [
     "The driver must show a valid license to the officer.",
@@ -105,8 +129,10 @@ STOP = set("a an and any are as at be by for from in is it its no not of on one
 
 UNKNOWN = "unknown"
 SAMPLE_LINES = 2000
+SAMPLE_BYTES = 1 << 16
 LEAST_PROBABILITY = 0.5
-LEAST_LIKENESS = 0.5
+LEAST_LIKENESS = 0.7
+LEAST_PAIRS = 4
 SLOTS = 1 << 13
 
 _SPLIT = "[^a-z0-9]+"
@@ -128,6 +154,11 @@ def _slot(gram: str) -> int:
     return (h - (1 << 64) if h >> 63 else h) % SLOTS
 
 
+def templates() -> dict[str, list[str]]:
+    """The notices of each family, and its short forms."""
+    return {f: [*texts, *[form for n in NAMES[f] for form in (f"SPDX-License-Identifier: {n}", f"License: {n}")]] for f, texts in TEMPLATES.items()}
+
+
 class Classifier:
     """Families, the n-grams with weights, and the weights by family and slot."""
 
@@ -147,37 +178,62 @@ def _variants(rng, text: str, around: list[list[str]]) -> list[str]:
     return out
 
 
+def _soft(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _regression(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent with momentum, of rows that stand for so many; rare classes count more."""
+    of_class = times @ y
+    balance = (times * np.minimum((1 / np.maximum(of_class, 1)) @ y.T * times.sum() / y.shape[1], 20))[:, None]
+    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(steps):
+        g = balance * (_soft(x @ w + b) - y) / times.sum()
+        vw, vb = 0.9 * vw - 0.5 * (x.T @ g + 2e-4 * w), 0.9 * vb - 0.5 * g.sum(axis=0)
+        w, b = w + vw, b + vb
+    return w, b
+
+
+def sample(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> list[str]:
+    """At most ``sample_lines`` distinct lines, those with the smallest hashes.
+
+    Only lines under a bound of the hash are compared at all, so what leaves the tasks does not grow.
+    """
+    lines = F.split("text", "\n", -1)
+    n = docs.agg(F.sum(F.size(F.when(F.col("text").isNotNull(), lines)).cast("long"))).first()[0] or 0
+    least = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 8 * sample_lines // max(n, 1))
+    found = docs.where("text is not null").select(F.explode(lines).alias("line")).select(F.xxhash64("line").alias("h"), "line")
+    found = found.where((F.col("h") <= F.lit(least)) & F.octet_length("line").between(1, SAMPLE_BYTES))
+    return [r.line for r in found.groupBy("h").agg(F.min("line").alias("line")).orderBy("h").limit(sample_lines).collect()]
+
+
 def train(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Classifier:
     """Fit on the templates and a bounded sample of the corpus's lines."""
-    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 2000")
-    picked = [r.line for r in lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("line")).orderBy("h").limit(sample_lines).collect()]
+    picked = sample(docs, sample_lines)
     rng = np.random.default_rng(42)
-    marks = {w for texts in TEMPLATES.values() for t in texts for w in words(t) if w not in STOP}
+    notices = templates()
+    marks = {w for texts in notices.values() for t in texts for w in words(t) if w not in STOP}
     plain = [x for x in picked if len(marks.intersection(words(x))) < 2]
     around = [words(x) for x in plain[:200]]
-    families = [*TEMPLATES, UNKNOWN]
-    samples = [(k, v) for k, f in enumerate(TEMPLATES) for t in TEMPLATES[f] for v in _variants(rng, t, around)]
-    samples += [(len(families) - 1, v) for t in OTHER for v in _variants(rng, t, around)] + [(len(families) - 1, x) for x in plain]
-    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words(t))} | {g for t in OTHER for g in grams(words(t)) if marks.intersection(g.split())})
+    families = [*notices, UNKNOWN]
+    samples = [(k, v, i == 1) for k, f in enumerate(notices) for i, t in enumerate(notices[f]) for v in _variants(rng, t, around)]
+    samples += [(len(families) - 1, v, i % 5 == 4) for i, t in enumerate(OTHER) for v in _variants(rng, t, around)] + [(len(families) - 1, x, i % 5 == 4) for i, x in enumerate(plain)]
+    vocabulary = sorted({g for texts in notices.values() for t in texts for g in grams(words(t))} | {g for t in OTHER for g in grams(words(t)) if marks.intersection(g.split())})
     known = set(vocabulary)
-    rows = [np.array([_slot(g) for g in grams(words(x)) if g in known], dtype=np.int64) for _, x in samples]
+    alike = Counter((k, tuple(sorted(_slot(g) for g in grams(words(x)) if g in known)), held) for k, x, held in samples)  # most lines have none
+    rows, times = [np.array(r, dtype=np.int64) for _, r, _ in alike], np.array(list(alike.values()), dtype=float)
     used = np.unique(np.concatenate(rows))
     x = np.zeros((len(rows), len(used)))
     for i, r in enumerate(rows):
         np.add.at(x[i], np.searchsorted(used, r), 1.0)
-    y = np.eye(len(families))[[k for k, _ in samples]]
-    away = np.arange(len(rows)) % 5 == 4
-    balance = (1 / np.maximum(y.sum(axis=0), 1)) @ y.T * len(rows) / len(families)
-    balance = np.minimum(balance, 20)[:, None]
-    w, b = np.zeros((len(used), len(families))), np.zeros(len(families))
-    soft = lambda z: (e := np.exp(z - z.max(axis=1, keepdims=True))) / e.sum(axis=1, keepdims=True)
-    fit, vw, vb = ~away, np.zeros_like(w), np.zeros_like(b)
-    for _ in range(300):
-        g = balance[fit] * (soft(x[fit] @ w + b) - y[fit]) / fit.sum()
-        vw, vb = 0.9 * vw - 0.5 * (x[fit].T @ g + 2e-4 * w), 0.9 * vb - 0.5 * g.sum(axis=0)
-        w, b = w + vw, b + vb
-    loss = lambda t: -(y[away] * np.log(soft((x[away] @ w + b) / t) + 1e-12)).sum()
+    y, away = np.eye(len(families))[[k for k, _, _ in alike]], np.array([held for _, _, held in alike])
+    w, b = _regression(x[~away], y[~away], times[~away])
+    share = 1 / np.maximum(times[away] @ y[away], 1)  # families count alike
+    loss = lambda t: -(times[away, None] * y[away] * share * np.log(_soft((x[away] @ w + b) / t) + 1e-12)).sum()
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+    w, b = _regression(x, y, times)
     weights = np.zeros((len(families), SLOTS))
     weights[:, used] = w.T
     return Classifier(families, vocabulary, weights, b, temperature)
@@ -197,14 +253,21 @@ def _grams(ws: Column, n: int) -> Column:
     return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def word_pairs(text: str) -> list[str]:
+    ws = words(text)
+    return sorted({" ".join(x) for x in zip(ws, ws[1:])} or set(ws))
+
+
 def findings(text: Column, model: Classifier) -> Column:
-    """Paragraphs that a family is predicted for: number, family, probability, likeness to its nearest template."""
+    """Paragraphs that a family is predicted for: number of the (first) line, family, probability, likeness to its nearest template."""
     anchors = sorted({w for g in model.vocabulary for w in g.split() if w not in STOP})
     size = len(model.families)
     weights, bias = _numbers(model.weights), _numbers(model.bias)
     names = F.array(*[F.lit(f) for f in model.families])
-    pairs = {f: [sorted({" ".join(x) for x in zip(words(t), words(t)[1:])}) for t in ts] for f, ts in TEMPLATES.items()}
-    templates = F.array(*[F.array(*[F.array(*[F.lit(p) for p in t]) for t in pairs[f]]) for f in model.families[:-1]])
+    notices = templates()
+    pairs = F.array(*[F.array(*[F.array(*[F.lit(p) for p in word_pairs(t)]) for t in notices[f]]) for f in model.families[:-1]])
+    cut = lambda line: F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "")
+    anchored = lambda ws: F.exists(ws, lambda w: w.isin(anchors))
 
     def score(ws: Column) -> Column:
         found = F.filter(F.concat(*[_grams(ws, n) for n in (1, 2, 3)]), lambda g: g.isin(model.vocabulary))
@@ -219,22 +282,40 @@ def findings(text: Column, model: Classifier) -> Column:
 
         return let(slots, chosen)
 
-    def judged(p: Column) -> Column:
-        """The paragraph with its family and its likeness to the family's nearest template, by shared word pairs."""
+    def alike(mine: Column, template: Column) -> Column:
+        both = F.size(F.array_intersect(mine, template))
+        return F.greatest(2 * both / (F.size(mine) + F.size(template)), F.when(F.size(template) >= LEAST_PAIRS, both / F.size(template)))
+
+    def judged(ws: Column, number: Column) -> Column:
+        """A paragraph's words as a finding."""
 
         def confirm(s: Column, mine: Column) -> Column:
-            near = F.transform(templates[s["family"]], lambda t: F.size(F.array_intersect(mine, t)) / F.least(F.size(mine), F.size(t)))
-            likeness = F.when(s["family"] < size - 1, F.coalesce(F.array_max(near), F.lit(0.0))).otherwise(F.lit(0.0))
-            return F.struct(p["number"].alias("number"), names[s["family"]].alias("family"), s["probability"].alias("probability"), likeness.alias("likeness"))
-
-        return let(score(p["words"]), lambda s: let(F.array_distinct(_grams(p["words"], 2)), lambda mine: confirm(s, mine)))
-
-    paragraphs = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda line, i: F.struct(i.alias("number"), F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "").alias("words")),
-    )
-    candidates = F.filter(paragraphs, lambda p: F.exists(p["words"], lambda w: w.isin(anchors)))
-    return F.filter(F.transform(candidates, judged), lambda f: (f["family"] != UNKNOWN) & (f["probability"] >= LEAST_PROBABILITY))
+            likeness = F.when(s["family"] < size - 1, F.array_max(F.transform(pairs[s["family"]], lambda t: alike(mine, t)))).otherwise(F.lit(0.0))
+            return F.struct((likeness >= LEAST_LIKENESS).alias("sure"), s["probability"].alias("probability"), names[s["family"]].alias("family"), likeness.alias("likeness"), number.alias("number"))
+
+        own = F.when(F.size(ws) > 1, F.array_distinct(_grams(ws, 2))).otherwise(ws)
+        return let(score(ws), lambda s: let(own, lambda mine: confirm(s, mine)))
+
+    predicted = lambda f: (f["family"] != UNKNOWN) & (f["probability"] >= LEAST_PROBABILITY)
+
+    def of_line(c: Column) -> Column:
+        """The best finding of a line and its sentences; null without any."""
+        parts = F.filter(F.transform(F.split(c["line"], r"[.;!?]\s+"), cut), anchored)
+        units = F.when(F.size(parts) > 0, F.array_distinct(F.concat(F.array(c["words"]), parts))).otherwise(F.array(c["words"]))
+        return F.array_max(F.filter(F.transform(units, lambda ws: judged(ws, c["number"])), predicted))
+
+    def with_runs(cs: Column, alone: Column) -> Column:
+        """The findings of lines, and of runs of lines where none is confirmed alone."""
+        starts = F.filter(F.transform(cs, lambda c, i: F.when((i == 0) | (c["number"] - F.get(cs, i - 1)["number"] > 1), i)), lambda i: i.isNotNull())
+        runs = lambda at: F.transform(at, lambda i, k: F.slice(cs, i + 1, F.coalesce(F.get(at, k + 1), F.size(cs)) - i))
+        sure = F.transform(F.filter(alone, lambda f: f["sure"]), lambda f: f["number"])
+        apart = lambda rs: F.filter(rs, lambda r: (F.size(r) > 1) & ~F.arrays_overlap(F.transform(r, lambda c: c["number"]), sure))
+        wrapped = let(starts, lambda at: F.transform(apart(runs(at)), lambda r: judged(F.flatten(F.transform(r, lambda c: c["words"])), r[0]["number"])))
+        return F.concat(alone, F.filter(wrapped, lambda f: f["sure"] & predicted(f)))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line, i: F.struct(i.alias("number"), line.alias("line"), cut(line).alias("words")))
+    found = let(F.filter(lines, lambda c: anchored(c["words"])), lambda cs: let(F.filter(F.transform(cs, of_line), lambda f: f.isNotNull()), lambda alone: with_runs(cs, alone)))
+    return F.transform(found, lambda f: F.struct(f["number"].alias("number"), f["family"].alias("family"), f["probability"].alias("probability"), f["likeness"].alias("likeness")))
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:

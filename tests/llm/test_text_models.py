@@ -128,6 +128,38 @@ def test_machine_learns_a_pair():
     assert m.score(np.array([0, 1])) > 0.7 > 0.3 > max(m.score(np.array([0])), m.score(np.array([1])), m.score(np.zeros(0, dtype=np.int64)))
 
 
+def test_pairs_that_tell_nothing_alone_are_learned(spark):
+    """Toxic is a text with exactly one of two words, each of which is as often in toxic texts as in others."""
+    data = []
+    for i in range(1600):
+        a, b = i % 2, i // 2 % 2
+        other = " ".join("abcdefghijklmnopqrst"[(i * k + k * k) % 20] * 3 for k in range(3, 7))
+        data.append((i, f"{'zork ' * a}{'blick ' * b}{other}", int(a != b)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # repeated ids
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    found = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    right = [(found[i] >= 0.5) == bool(y) for i, _, y in data]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_scores_against_a_double_loop(spark):
+    rng = np.random.default_rng(3)
+    terms = np.array(sorted({t for w in ("alpha", "beta", "one") for t in toxicity.terms_of_word(w)}), dtype=np.int64)
+    machine = toxicity.Machine(terms, -0.5, rng.normal(0, 1, len(terms)), rng.normal(0, 1, (len(terms), 3)))
+    texts = [(1, "Alpha one!"), (2, "beta BETA alpha one more"), (3, ""), (4, None), (5, "nothing known")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows(texts), SCHEMA), machine).collect()}
+    number = {int(t): i for i, t in enumerate(terms)}
+    for i, text in texts:
+        import re
+
+        held = sorted({number[t] for w in re.findall("[a-z]+", (text or "").lower()) for t in toxicity.terms_of_word(w) if t in number})
+        z = machine.bias + sum(machine.weight[a] for a in held) + sum(float(machine.vectors[a] @ machine.vectors[b]) for a in held for b in held if a < b)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert toxicity.score(empty(spark), machine).collect() == []
+
+
 def test_toxicity_of_held_out_documents(spark):
     from pyspark.sql import functions as F
 
@@ -150,3 +182,62 @@ def test_licenses(spark):
     assert next(x for x in got if x[0] == 5)[2] == 2
     assert licenses.scan(awkward(spark), model).count() == awkward(spark).count()
     assert licenses.scan(empty(spark), licenses.train(empty(spark))).collect() == []
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_licenses_of_every_form(spark):
+    """Each family by each of its notices, by short forms and by wrapped notices; sentences that grant nothing are none."""
+    cases = [(t, f) for f, ts in licenses.templates().items() for t in ts]
+    cases += [(f"{prose(8, 1)}\n{t}\n{prose(9, 2)}", f) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    cases += [(f"{prose(8, 1)}\n\n{t}\n\n{prose(9, 2)}", f) for f, t in WRAPPED.items()]
+    cases += [("Copyright 2020 Foo. All rights reserved.", "Proprietary"), (f"{prose(9, 3)}. Released under the MIT License. {prose(9, 4)}.", "MIT")]
+    none = ["He said all rights reserved tables were taken.", "rights reserved", "license", "The driver must show a valid license to the officer.", "free software", "MIT", "gnu", prose(400, 5), "this is a copy of the work\nthe rights of the person"]
+    cases += [(t, "none") for t in none]
+    docs = spark.createDataFrame(rows([(i, t) for i, (t, _) in enumerate(cases)]), SCHEMA)
+    model = licenses.train(spark.read.parquet(f"{DOCS}/documents.parquet"))
+    got = {r.doc_id: r.family for r in licenses.scan(docs, model).collect()}
+    wrong = [(t, f, got[i]) for i, (t, f) in enumerate(cases) if got[i] != f]
+    assert not wrong, wrong
+
+
+def test_license_scores_against_a_loop(spark):
+    """Probability and likeness of single lines, n-gram by n-gram."""
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet")
+    model = licenses.train(docs)
+    lines = ["Released under the MIT License.", "licensed under the apache license version 2.0 for all", "gnu license terms apply here", "a copy of the software and the work"]
+    known, notices = set(model.vocabulary), licenses.templates()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.findings for r in licenses.scan(df, model).collect()}
+    for i, line in enumerate(lines):
+        ws = licenses.words(line)
+        z = [model.bias[k] for k in range(len(model.families))]
+        for g in licenses.grams(ws):
+            if g in known:
+                for k in range(len(z)):
+                    z[k] += float(f"{model.weights[k, licenses._slot(g)]:.6g}")
+        e = np.exp((np.array(z) - max(z)) / model.temperature)
+        best = int(e.argmax())
+        if model.families[best] == licenses.UNKNOWN or e.max() / e.sum() < licenses.LEAST_PROBABILITY:
+            assert not got[i]
+            continue
+        mine, top = {" ".join(x) for x in zip(ws, ws[1:])}, 0.0
+        for t in notices[model.families[best]]:
+            p = set(licenses.word_pairs(t))
+            top = max(top, 2 * len(p & mine) / (len(p) + len(mine)), len(p & mine) / len(p) if len(p) >= licenses.LEAST_PAIRS else 0)
+        (f,) = got[i]
+        assert f.family == model.families[best] and abs(f.probability - e.max() / e.sum()) < 1e-4 and abs(f.likeness - top) < 1e-9
+
+
+def test_license_sample_is_bounded(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('line ', id, '\\nthe same line') as text")
+    picked = licenses.sample(docs, 50)
+    assert 0 < len(picked) <= 50 and len(set(picked)) == len(picked)
+    assert licenses.sample(empty(spark), 50) == []
