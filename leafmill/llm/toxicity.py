@@ -6,9 +6,13 @@ inner product of two latent vectors, so that it can learn that two terms togethe
 mention of a group) mean more than either.
 
 Fitting uses a bounded sample of the labelled rows: the ``SAMPLE_ROWS`` whose ids have the smallest
-hashes, which is also why their labels can be broadcast to the scan of the documents. On the sample,
-Spark counts each term's documents by label; the ``TERMS`` terms with the largest chi-square, of those
-whose chi-square is significant, are the machine's. The sample as term numbers goes to the driver, where the machine is fitted by AdaGrad.
+hashes, which is also why their labels can be broadcast to the scan of the documents; of texts that
+repeat an id one counts. On the sample, Spark counts each term's documents by label. The machine's terms
+are those that tell something alone (the ``TERMS`` with the largest chi-square, if it is significant)
+and those that tell something in a pair: of the ``PAIR_TERMS`` most frequent terms, the two of each pair
+whose documents have one label more often than chance allows, whatever each term does alone. The sample
+as term numbers goes to the driver, where the machine is fitted by AdaGrad. These bounds hold for the
+fit alone.
 Scoring runs over all rows and whole texts in the tasks.
 
 Defined cases: a null or empty text has no terms and gets the bias's score; conflicting labels of one
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table, written
+from .language_id import letters
 
 SAMPLE_ROWS = 30_000
 SPACE = 1 << 22
@@ -31,6 +36,9 @@ TERMS = 8192
 LEAST_DOCUMENTS = 4
 #: Terms below this chi-square (0.001 at one degree of freedom) are left out.
 LEAST_CHI = 10.83
+#: Frequent terms whose pairs are looked at, and deviations from the share of a label from which a pair counts.
+PAIR_TERMS = 1024
+LEAST_DEVIATIONS = 6.0
 PREFIXES = (3, 4, 5)
 FACTORS = 8
 EPOCHS = 12
@@ -47,9 +55,29 @@ def terms_of_word(word: str) -> tuple[int, ...]:
 
 
 def words_of(text: str | None) -> set[str]:
-    import regex
-
-    return set(regex.findall(r"\p{L}+", text.lower())) if text else set()
+    return set(letters(text))
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, n: int, least: float = LEAST_DEVIATIONS) -> np.ndarray:
+    """The terms (of 0 .. n - 1) that stand in a pair whose rows' labels deviate from the rows' share by ``least`` standard deviations.
+
+    What either term does alone is counted on another scale: a pair counts only if it deviates from both
+    its terms' own rows as well, so that it is the pair that tells.
+    """
+    both, hits = np.zeros((n, n), dtype=np.float32), np.zeros((n, n), dtype=np.float32)
+    for a in range(0, len(rows), 2048):
+        part = rows[a : a + 2048]
+        x = np.zeros((len(part), n), dtype=np.float32)
+        x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part) if part else []] = 1
+        both += x.T @ x
+        toxic = x[labels[a : a + 2048] > 0]
+        hits += toxic.T @ toxic
+    share = np.clip(np.diag(hits) / np.maximum(np.diag(both), 1), 0.001, 0.999)
+    base = min(0.999, max(0.001, labels.mean()))
+    off = lambda p: np.abs(hits - both * p) / np.sqrt(np.maximum(both, 1) * p * (1 - p))
+    tells = (both >= LEAST_DOCUMENTS) & (np.minimum(off(base), np.minimum(off(share[:, None]), off(share[None, :]))) >= least)
+    np.fill_diagonal(tells, False)
+    return np.flatnonzero(tells.any(axis=1))
 
 
 class Machine:
@@ -118,33 +146,42 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
                         t = known[w] = terms_of_word(w)
                     found.update(t)
                 out.append(list(found))
-            yield pd.DataFrame({"toxic": pdf.toxic, "terms": out})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "toxic": pdf.toxic, "terms": out})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # sample_rows labels
-    rows = written(texts.mapInPandas(hashed, "toxic int, terms array<int>"), "labelled-terms")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(F.broadcast(sample), "doc_id")  # sample_rows labels
+    every = texts.mapInPandas(hashed, "doc_id long, text_key long, toxic int, terms array<int>")
+    rows = written(every.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "terms"), "text_key").alias("r")).select("r.*"), "labelled-terms")
     n, n_toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not n_toxic or n_toxic == n:
         return None
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_DOCUMENTS)
     expected = F.col("df") * (n_toxic / n)
     chi = (F.col("hit") - expected) ** 2 / (expected * (1 - F.col("df") / (n + 1)))
-    chosen = counts.where((F.col("df") >= LEAST_DOCUMENTS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(terms)
-    known = np.sort(np.array([r.term for r in chosen.select("term").collect()], dtype=np.int64))  # at most ``terms`` rows
-    if not len(known):
+    alone = {r.term for r in counts.where(chi >= LEAST_CHI).orderBy(chi.desc(), "term").limit(terms).select("term").collect()}  # at most ``terms`` rows
+    frequent = np.sort(np.array([r.term for r in counts.orderBy(F.col("df").desc(), "term").limit(PAIR_TERMS).select("term").collect()], dtype=np.int64))
+
+    def held(known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The sample as numbers of the known terms, in an order of its own."""
+
+        def numbered(batches):
+            for pdf in batches:
+                out = []
+                for found in pdf.terms:
+                    found = np.asarray(found, dtype=np.int64)
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    out.append(np.sort(at[known[at] == found]).tolist())
+                yield pd.DataFrame({"toxic": pdf.toxic, "at": out})
+
+        got = rows.mapInPandas(numbered, "toxic int, at array<int>").toArrow()  # sample_rows rows of known terms
+        pairs = sorted(zip(got["toxic"].to_pylist(), map(tuple, got["at"].to_pylist())))
+        return [np.array(x, dtype=np.int64) for _, x in pairs], np.array([t for t, _ in pairs], dtype=float)
+
+    if len(frequent):
+        alone |= set(frequent[telling_pairs(*held(frequent), len(frequent))].tolist())
+    if not alone:
         return None
-
-    def numbered(batches):
-        for pdf in batches:
-            out = []
-            for found in pdf.terms:
-                found = np.asarray(found, dtype=np.int64)
-                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                out.append(np.sort(at[known[at] == found]).tolist())
-            yield pd.DataFrame({"toxic": pdf.toxic, "at": out})
-
-    held = rows.mapInPandas(numbered, "toxic int, at array<int>").toPandas()  # sample_rows rows of chosen terms
-    held = held.assign(key=[tuple(x) for x in held["at"]]).sort_values(["toxic", "key"], kind="stable")
-    return Machine.fit(known, [np.array(x, dtype=np.int64) for x in held.key], held.toxic.to_numpy(dtype=float))
+    known = np.array(sorted(alone), dtype=np.int64)
+    return Machine.fit(known, *held(known))
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
