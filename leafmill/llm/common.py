@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests, one
-    machine) a temporary folder is made and set for checkpoints too.
+    A cluster names it in ``spark.checkpoint.dir``; without it this is an error there. Only in local
+    mode (tests, one machine) a temporary folder is made where it is unset, and set for checkpoints too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,12 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, for small iterated tables."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text has the remainder that marks evaluation rows."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -193,8 +193,9 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r.at, r.at + r.n - 1)))))
     covered = F.coalesce(covered, F.array().cast("array<int>"))
-    firsts = F.filter("covered", lambda x: ~F.array_contains("covered", x - 1))
-    lasts = F.filter("covered", lambda x: ~F.array_contains("covered", x + 1))
+    beside = lambda i, step: F.coalesce(F.get("covered", i + step) == F.get("covered", i) + step, F.lit(False))
+    firsts = F.filter("covered", lambda x, i: ~beside(i, -1))
+    lasts = F.filter("covered", lambda x, i: ~beside(i, 1))
     spans = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
     return (
         joined.withColumn("covered", covered)

@@ -38,13 +38,13 @@ STEPS = 400
 
 _TOKENS = (
     "part int, row long, doc_id long, doc_tokens long, full_crcs array<long>, full_before long, "
-    "rem_len int, rem_rank long, rem_crc long, rem_ids binary"
+    "rem_len int, rem_rank long, rem_crc long, rem_ids binary, full_ids array<binary>"
 )
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
-    """A row for each document: its windows' checksums and its remainder, numbered within the input partition."""
+def tokenized(docs: DataFrame, path: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
+    """A row for each document: its windows' checksums (and ids, if asked for) and its remainder, numbered within the input partition."""
 
     def encode(batches):
         coder, end = encoder(path), packed([end_id])
@@ -55,9 +55,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
             for doc_id, ids in zip(pdf.doc_id, coder.encode(list(pdf.text))):
                 ids += end
                 n, rest = len(ids) // 4, len(ids) // 4 % window
-                crcs = [zlib.crc32(ids[i * 4 * window : (i + 1) * 4 * window]) for i in range(n // window)]
+                cuts = [ids[i * 4 * window : (i + 1) * 4 * window] for i in range(n // window)]
+                crcs = [zlib.crc32(x) for x in cuts]
                 tail = ids[len(ids) - 4 * rest :]
-                out.append((part, row, doc_id, n, crcs, full, rest, ranks[rest], zlib.crc32(tail), tail))
+                out.append((part, row, doc_id, n, crcs, full, rest, ranks[rest], zlib.crc32(tail), tail, cuts if with_ids else None))
                 ranks[rest] += 1
                 row, full = row + 1, full + len(crcs)
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in _TOKENS.split(", ")])
@@ -147,12 +148,14 @@ def _prefix(df: DataFrame, value: str, order: str, alias: str, by: list[str] | N
     return df.withColumn(alias, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW, bucket_tokens: int = BUCKET_TOKENS, with_ids: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids.
 
-    Sequences are numbered without gaps: whole windows first, then combinations, then leftovers.
+    ``ids`` are little-endian unsigned 32-bit integers (null unless ``with_ids``); ``sequences`` lays the
+    pieces into padded windows. Sequences are numbered without gaps: whole windows first, then
+    combinations, then leftovers.
     """
-    tokens = written(tokenized(docs, tokenizer_path, end_id, window), "tokens")
+    tokens = written(tokenized(docs, tokenizer_path, end_id, window, with_ids), "tokens")
     counts = tokens.groupBy("part", "rem_len").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).alias("full"))
     counts = written(counts, "remainder-counts")
     histogram = np.zeros(window + 1, dtype=np.int64)
@@ -179,18 +182,18 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
             doc = pdf.doc_id.astype("Int64")
             yield pd.DataFrame({
                 "doc_id": doc.iloc[k].array, "start": i * window, "length": window, "ids_crc32": crcs, "doc_tokens": pdf.doc_tokens.to_numpy()[k],
-                "sequence_id": (pdf.full_base + pdf.full_before).to_numpy()[k] + i, "offset": 0,
+                "sequence_id": (pdf.full_base + pdf.full_before).to_numpy()[k] + i, "offset": 0, "ids": [x for xs in pdf.full_ids if xs is not None for x in xs] if with_ids else None,
             })
             rest = pdf[(pdf.rem_len > 0) & ~pdf.left]
             for length, rows in rest.groupby("rem_len"):
                 sequence, at = plan.seat(int(length), rows["rank"].to_numpy())
                 yield pd.DataFrame({
                     "doc_id": rows.doc_id.astype("Int64").array, "start": rows.doc_tokens.to_numpy() - length, "length": length, "ids_crc32": rows.rem_crc.to_numpy(),
-                    "doc_tokens": rows.doc_tokens.to_numpy(), "sequence_id": n_full + sequence, "offset": at,
+                    "doc_tokens": rows.doc_tokens.to_numpy(), "sequence_id": n_full + sequence, "offset": at, "ids": rows.rem_ids.array if with_ids else None,
                 })
 
     narrow = ["doc_id", "doc_tokens", "full_crcs", "full_before", "full_base", "rem_len", "rem_crc", "rank", "left"]
-    pieces = ranked.select(*narrow).mapInPandas(seated, _PIECES)
+    pieces = ranked.select(*narrow, *(["full_ids", "rem_ids"] if with_ids else [])).mapInPandas(seated, _PIECES)
 
     buckets = max(1, -(-plan.left_tokens // bucket_tokens))
     left = ranked.where("left").withColumn("bucket", F.pmod(F.xxhash64("part", "row"), F.lit(buckets)))
@@ -207,8 +210,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
                 while done < r.rem_len:
                     at = (r.begin + done) % window
                     n = min(r.rem_len - done, window - at)
-                    crc = zlib.crc32(r.rem_ids[4 * done : 4 * (done + n)])
-                    out.append((r.doc_id, r.doc_tokens - r.rem_len + done, n, crc, r.doc_tokens, r.base + (r.begin + done) // window, at))
+                    ids = r.rem_ids[4 * done : 4 * (done + n)]
+                    out.append((r.doc_id, r.doc_tokens - r.rem_len + done, n, zlib.crc32(ids), r.doc_tokens, r.base + (r.begin + done) // window, at, ids if with_ids else None))
                     done += n
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")])
             yield frame.assign(doc_id=frame.doc_id.astype("Int64"))
@@ -217,6 +220,25 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     return pieces.unionByName(rest)
 
 
+def sequences(pieces: DataFrame, pad_id: int, window: int = WINDOW) -> DataFrame:
+    """(sequence_id, ids binary): the pieces of each sequence laid end to end, padded to a power of two or the window.
+
+    A sequence has at most ``window`` pieces, so a group is bounded.
+    """
+
+    def lay(batches):
+        for pdf in batches:
+            out = []
+            for parts in pdf.parts:
+                ids = b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["offset"]))
+                n = len(ids) // 4
+                out.append(ids + packed([pad_id]) * ((n if n & (n - 1) == 0 else window) - n))
+            yield pd.DataFrame({"sequence_id": pdf.sequence_id, "ids": out})
+
+    grouped = pieces.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("parts"))
+    return grouped.mapInPandas(lay, "sequence_id long, ids binary")
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
@@ -224,4 +246,4 @@ def byte_bpe_path() -> str:
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), byte_bpe_path())
+    return pack(table(spark, folder, "documents"), byte_bpe_path(), with_ids=False).drop("ids")

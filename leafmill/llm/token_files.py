@@ -76,8 +76,9 @@ def sample_ids(docs: DataFrame, path: str, sample_docs: int, sample_bytes: int)
         for pdf in batches:
             yield pd.DataFrame({"ids": encoder(path).encode(list(pdf.text))})
 
-    rows = short.join(F.broadcast(picked), "doc_id").mapInPandas(encode, "ids binary").collect()  # sample_docs rows
-    return sorted(bytes(r.ids) for r in rows)[:sample_docs]
+    one = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of texts that repeat an id, one
+    rows = one.select("text").mapInPandas(encode, "ids binary").collect()  # at most sample_docs rows
+    return sorted(bytes(r.ids) for r in rows)
 
 
 def write_token_files(
@@ -153,10 +154,29 @@ class Shard:
         raw = self.file.read_at(n * struct.calcsize(_ENTRY), self.index_at)
         self.index = np.frombuffer(raw, dtype="<i8").reshape(n, 5)
 
+    def _begin(self, k: int) -> int:
+        return int(self.index[k, 2]) if k < len(self.index) else self.index_at
+
     def ids(self, k: int) -> bytes:
-        begin = int(self.index[k, 2])
-        end = int(self.index[k + 1, 2]) if k + 1 < len(self.index) else self.index_at
-        return self.press.decompress(self.file.read_at(end - begin, begin), max_output_size=4 * int(self.index[k, 4]))
+        return next(self.run(k, k + 1))
+
+    def run(self, a: int, b: int):
+        """The ids of the documents a .. b - 1, by one read of their frames."""
+        start = self._begin(a)
+        raw = memoryview(self.file.read_at(self._begin(b) - start, start))
+        for k in range(a, b):
+            frame = raw[self._begin(k) - start : self._begin(k + 1) - start]
+            yield self.press.decompress(frame, max_output_size=4 * int(self.index[k, 4]))
+
+    def runs(self, most: int = 1 << 22):
+        """(a, b) of consecutive documents whose frames have about ``most`` bytes, or of one document."""
+        a = 0
+        while a < len(self.index):
+            b = a + 1
+            while b < min(len(self.index), a + 1000) and self._begin(b + 1) - self._begin(a) <= most:
+                b += 1
+            yield a, b
+            a = b
 
     def close(self):
         self.file.close()
@@ -171,9 +191,9 @@ def read_token_files(shards: DataFrame) -> DataFrame:
         for pdf in batches:
             for uri, base in zip(pdf.path, pdf.base):
                 shard = Shard(uri)
-                for a in range(0, len(shard.index), 1000):
-                    index = shard.index[a : a + 1000]
-                    ids = [shard.ids(a + k) for k in range(len(index))]
+                for a, b in shard.runs():
+                    index = shard.index[a:b]
+                    ids = list(shard.run(a, b))
                     yield pd.DataFrame({
                         "doc_id": pd.array(index[:, 0], dtype="Int64").copy() if not index[:, 1].any() else pd.array([None if z else d for d, z in index[:, :2].tolist()], dtype="Int64"),
                         "start": index[:, 3] + base, "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids],

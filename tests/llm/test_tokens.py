@@ -49,6 +49,8 @@ def check_pieces(docs, pieces, end, window=1024):
             assert offset == at
             at += length
         assert at <= window
+    for p in pieces:
+        assert p.ids is None or (len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32)
     for (doc_id, ids), copies in want.items():
         mine = [p for p in by_id[doc_id] if p.doc_tokens == len(ids) // 4]
         covered = sorted((p.start, p.length) for p in mine)
@@ -62,9 +64,20 @@ def check_pieces(docs, pieces, end, window=1024):
 
 def test_packing_covers_every_id_once(spark):
     docs = awkward(spark).unionByName(spark.createDataFrame(rows([(100 + i, prose(5 + 37 * i % 900, i)) for i in range(120)]), SCHEMA)).repartition(3)
-    pieces = packing.pack(docs, packing.byte_bpe_path()).collect()
+    table = packing.pack(docs, packing.byte_bpe_path())
+    pieces = table.collect()
     total, sequences = check_pieces(docs, pieces, 0)
-    assert sequences <= total / 1024 + 3
+    assert sequences <= total / 1024 + 3 and all(p.ids for p in pieces)
+    laid = {r.sequence_id: np.frombuffer(r.ids, dtype="<u4") for r in packing.sequences(table, 7).collect()}
+    assert len(laid) == sequences
+    for p in pieces:
+        assert laid[p.sequence_id][p.offset : p.offset + p.length].tobytes() == p.ids
+    for k, ids in laid.items():
+        held = sum(p.length for p in pieces if p.sequence_id == k)
+        assert len(ids) == (held if held & (held - 1) == 0 else 1024) and (ids[held:] == 7).all()
+    bare = packing.pack(docs, packing.byte_bpe_path(), with_ids=False)
+    check_pieces(docs, bare.collect(), 0)
+    assert bare.where("ids is not null").count() == 0
 
 
 def test_packing_when_all_lengths_are_equal(spark):
@@ -103,6 +116,22 @@ def test_token_files_round_trip(spark):
     assert [r.doc_id for r in one] == [7] and np.array(one[0].ids, dtype="<u4").tobytes() == want
 
 
+def test_dictionary_sample_of_a_repeated_id(spark):
+    docs = spark.range(300).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    assert len(token_files.sample_ids(docs, token_files.word_bpe_path(), 50, 1000)) == 1
+
+
+@pytest.mark.parametrize("path", [packing.byte_bpe_path(), token_files.word_bpe_path()])
+def test_ids_of_given_documents_and_of_all_characters(path):
+    """The library's ids of every text of a table, and of each character of the first planes beside letters, digits and spaces."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    chars = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3000, 0x20000, 97) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"{x}a{x} {x}{x}1 {x}" for x in chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    assert Encoder(path).encode(texts) == [ids_of(path, t, 0)[:-4] for t in texts]
+
+
 def test_token_files_of_nothing(spark):
     shards = token_files.write_token_files(empty(spark), new_path(spark, "tok"), token_files.word_bpe_path(), 2)
     assert token_files.read_token_files(shards).collect() == []
