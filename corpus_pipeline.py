@@ -1,4 +1,16 @@
-"""The corpus pipeline: documents to packed training sequences, each stage written and read again."""
+"""The corpus pipeline: documents to packed training sequences, each stage written and read again.
+
+Every stage takes rows with null ids, null, empty or very long texts, repeated rows and extra columns,
+and tables without rows, as its operator says; all but the last return the columns that they get:
+
+- language ID drops null texts and those without a letter, and those of no likely language; without a
+  row that has a language to learn from it drops all;
+- line dedup counts rows that repeat doc_id and text as one document; a document that loses all its
+  lines goes;
+- SimHash near-dedup keeps one row of each group, of equal rows one;
+- decontamination judges each row by its own text;
+- packing gives pieces with their ids for every row that is left.
+"""
 
 from __future__ import annotations
 
