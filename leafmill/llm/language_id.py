@@ -40,8 +40,9 @@ ITERATIONS = 2
 BLOCK = 10_000
 #: Weight of the pooled piece distribution in each language's.
 POOLED = 2000.0
-#: Distinct words that a task keeps before it hands on counts or forgets scores.
-MOST_WORDS = 600_000
+#: Distinct words that a task counts before it hands the counts on, and that a worker keeps the scores of.
+MOST_COUNTED = 150_000
+MOST_WORDS = 300_000
 #: Documents that the pipeline keeps have at least this score.
 MIN_SCORE = 0.5
 
@@ -206,11 +207,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for lang, text in zip(pdf.lang, pdf.text):
-                held[lang].update(letters(text))
-            size = sum(map(len, held.values()))
-            if size > MOST_WORDS:
-                yield rows()
-                held.clear()
+                counts, before = held[lang], len(held[lang])
+                counts.update(letters(text))
+                size += len(counts) - before
+                if size > MOST_COUNTED:
+                    yield rows()
+                    held.clear()
+                    size = 0
         if held:
             yield rows()
 

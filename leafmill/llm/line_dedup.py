@@ -38,12 +38,14 @@ ROWS = 4
 #: Bits of the bitmap that tells the scan which lines are in candidate pairs.
 BITMAP_BITS = 1 << 24
 #: Bits in a line's map of its shingles.
-MAP_BITS = 1 << 14
+MAP_BITS = 1 << 13
 #: Lines of a bucket in a block that one task compares with another block.
 MEET = 512
 #: Characters that are signed at once, and lines (whose numbers fit above a hash's bits).
 BLOCK = 1 << 16
 MOST_LINES = 1 << 12
+#: Lines whose bands go on together, the smallest of each bucket naming it.
+SIGNED = 20_000
 _HASH_BITS = np.uint64(52)
 
 
@@ -212,7 +214,7 @@ def _distinct_lines(texts: list[str], seen: set) -> tuple[list[str], np.ndarray]
     lines = list(dict.fromkeys(x for t in texts for x in t.split("\n") if x and not x.isspace()))
     node = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines], dtype=np.uint64).view(np.int64)
     new = [i for i, h in enumerate(node.tolist()) if h not in seen]
-    if len(seen) > 1_000_000:
+    if len(seen) > 300_000:
         seen.clear()
     seen.update(node[new].tolist())
     return [lines[i] for i in new], node[new]
@@ -231,7 +233,7 @@ def _met_here(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def banded(docs: DataFrame) -> DataFrame:
     """(key, node, met) of every distinct line and band; a task gives each line once.
 
-    Of a batch's lines in one bucket all name the smallest as ``met``; a line alone there names none.
+    Of SIGNED lines those in one bucket all name the smallest as ``met``; a line alone there names none.
     """
 
     def sign(batches):
@@ -240,11 +242,9 @@ def banded(docs: DataFrame) -> DataFrame:
         seen: set = set()
         for batch in batches:
             lines, node = _distinct_lines(batch.column(0).to_pylist(), seen)
-            if lines:
-                key, node, met, several = _met_here(band_keys(signatures(lines)), node)
-                for a in range(0, len(key), 200_000):
-                    part = slice(a, a + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.array(met[part], mask=~several[part])], ["key", "node", "met"])
+            for a in range(0, len(lines), SIGNED):
+                key, own, met, several = _met_here(band_keys(signatures(lines[a : a + SIGNED])), node[a : a + SIGNED])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(met, mask=~several)], ["key", "node", "met"])
 
     return docs.where("text is not null").select("text").mapInArrow(sign, "key long, node long, met long")
 
@@ -252,7 +252,7 @@ def banded(docs: DataFrame) -> DataFrame:
 def line_stars(docs: DataFrame) -> DataFrame:
     """(key, node, center) of the buckets with two lines or more.
 
-    A batch's smallest line of a bucket meets those of other batches; its other lines have met it
+    The smallest of SIGNED lines in a bucket meets those of the others; the rest have met it
     already and do not move with their bucket, so that a bucket of any size is spread over the tasks.
     """
     apart = F.when(F.col("met").isNull() | (F.col("met") == F.col("node")), 0).otherwise(1 + F.pmod("node", F.lit(4096)))
