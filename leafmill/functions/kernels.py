@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -18,6 +18,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda in it refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nfkc(c: Column) -> Column:
     """NFKC; ASCII text is its own and does not leave the JVM's expression."""
     plain = ~c.rlike(r"[^\x00-\x7F]")
@@ -53,29 +58,42 @@ def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.coalesce(decided, _ratio(F.when(decided.isNull(), x), F.when(decided.isNull(), y)))
 
 
-def _norm(token: str) -> str:
-    import unicodedata
+def comparable(word: Column) -> Column:
+    """A word after NFKC as it is compared: without the marks before it, cell borders as spaces."""
+    return strip(F.regexp_replace(F.replace(F.regexp_replace(word, r"^(?U)[#>*_\-\s]+", ""), F.lit("|"), F.lit(" ")), r"(?U)\s+", " "))
+
+
+def word_pieces(text: Column) -> Column:
+    """The text cut before each of its words; the pieces joined are the text, unless it has no word."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)^\s*\S+\s*|\S+\s*"), 0)
+
+
+def compared_words(words: Column) -> Column:
+    """What each word is compared by, empty for marks alone; ``words`` after NFKC, one to a line."""
+    return F.when(words != "", F.transform(F.split(words, "\n", -1), comparable)).otherwise(F.array().cast("array<string>"))
+
+
+def spans_and_words(pieces: Column, words: Column) -> Column:
+    """struct(spans, words): the words that are not empty, and the text of each.
+
+    Pieces without a word go to the word after them, the last ones to the last word.
+    """
 
-    t = re.sub(r"^[#>*_\-\s]+", "", unicodedata.normalize("NFKC", token)).replace("|", " ")
-    return re.sub(r"\s+", " ", t).strip()
+    def spans(at: Column) -> Column:
+        def span(i, k):
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + 1)
+            end = F.when(k == F.size(at) - 1, F.size(pieces)).otherwise(i + 1)
+            return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
 
+        return F.transform(at, span)
 
-def _tokens(text: str) -> list[tuple[str, int, int]]:
-    """Normalised words with the span of text that each stands for; words of marks alone join a neighbour's span."""
-    found = list(re.finditer(r"\S+", text))
-    out, begin = [], 0
-    for m, end in zip(found, [m.start() for m in found[1:]] + [len(text)]):
-        if word := _norm(m.group()):
-            out.append((word, begin, end))
-            begin = end
-    if out:
-        out[-1] = (out[-1][0], out[-1][1], len(text))
-    return out
+    places = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(w != "", i)), lambda i: i.isNotNull())
+    return let(words, lambda ws: let(places(ws), lambda at: F.struct(spans(at).alias("spans"), F.filter(ws, lambda w: w != "").alias("words"))))
 
 
-def diff_segments(primary: str, alternate: str) -> list[tuple[str, str, str, bool]]:
-    """(segment_id, primary text, alternate text, is_match); the primary texts in order are the primary reading."""
-    a, b = _tokens(primary), _tokens(alternate)
-    cut = lambda text, ts, i, j: text[ts[i][1] : ts[j - 1][2]] if j > i else ""
-    codes = SequenceMatcher(None, [t[0] for t in a], [t[0] for t in b], autojunk=False).get_opcodes()
-    return [(f"seg-{n}", cut(primary, a, i1, i2), cut(alternate, b, j1, j2), tag == "equal") for n, (tag, i1, i2, j1, j2) in enumerate(codes)]
+def differences(x: list[str], y: list[str]) -> list[dict]:
+    """Ranges of two lists of words, in order, that are alike or differ (Ratcliff-Obershelp)."""
+    ids: dict[str, int] = {}
+    numbered = [[ids.setdefault(w, len(ids)) for w in side] for side in (x, y)]
+    codes = SequenceMatcher(None, *numbered, autojunk=False).get_opcodes()
+    return [{"alike": kind == "equal", "a": a, "a_end": a_end, "b": b, "b_end": b_end} for kind, a, a_end, b, b_end in codes]

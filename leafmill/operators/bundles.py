@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,12 +97,18 @@ def default_candidate_order(files: DataFrame) -> DataFrame:
 
 
 def embeddable_images(files: DataFrame, most: int = IMAGE_BYTES) -> DataFrame:
-    """Images that can be embedded: mime (declared, or by extension if none is), alt text from the name. files: path, length, mime."""
+    """Images that can be embedded: mime (declared, or by extension if none is), alt text from the name, and, of files with content, ``uri``.
+
+    files: path, length, mime, and content (binary) if the data URI is wanted.
+    """
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     by_ext = F.try_element_at(F.create_map(*[F.lit(x) for kv in IMAGE_TYPES.items() for x in kv]), ext)
     mime = F.when(F.coalesce(strip(F.col("mime")), F.lit("")) != "", F.lower(strip(F.col("mime")))).otherwise(by_ext)
     alt = F.regexp_replace(F.element_at(F.split("path", "/", -1), -1), r"\.[^.]*$", "")
-    return files.withColumns({"mime": mime, "alt": alt}).where(F.col("mime").isin(*sorted(set(IMAGE_TYPES.values()))) & (F.col("length") <= most))
+    kept = files.withColumns({"mime": mime, "alt": alt}).where(F.col("mime").isin(*sorted(set(IMAGE_TYPES.values()))) & (F.col("length") <= most))
+    if "content" in files.columns:
+        kept = kept.withColumn("uri", F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.base64("content")))
+    return kept
 
 
 def plan_exports(outputs: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -132,7 +140,108 @@ def sanitize_html(pages: DataFrame, policy: str = "default-src 'none'; img-src d
     return pages.withColumn("html", F.when(clean.rlike("(?i)<head[\\s>]"), first).otherwise(F.concat(F.lit(meta), clean)))
 
 
-def lint_html(pages: DataFrame) -> DataFrame:
+#: What a page consists of: comments, scripts and styles with their content, tags, text.
+_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|</?[a-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<"
+#: Attributes that name a file, of elements that can show an image and of others.
+IMAGE_ATTRIBUTES = {"img": ("src", "srcset"), "source": ("src", "srcset"), "video": ("poster",), "input": ("src",)}
+OTHER_ATTRIBUTES = {"video": ("src",), "audio": ("src",), "iframe": ("src",), "embed": ("src",), "object": ("data",)}
+#: The codes of problems of a page and its stylesheets.
+PROBLEMS = {"external": "external-resource", "missing": "missing-resource", "unsupported": "unsupported-resource", "import": "css-import"}
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; empty without a value, null where the tag lacks it."""
+    at = rf"(?is)^<[^\s>]+(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?\s{name}(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)|(?=[\s/>]))"
+    return F.when(tag.rlike(at), F.regexp_replace(F.regexp_extract(tag, at, 1), r"^[\"']|[\"']$", ""))
+
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """(page_id, line, name, tag, content) of the elements' opening tags; content is a script's or a style's.
+
+    Tags follow patterns and not a DOM: nothing inside a comment, script or style is a tag.
+    """
+    pieces = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_MARKUP), 0)).alias("n", "piece"))
+    w = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n")))
+    name = F.lower(F.regexp_extract("piece", r"^<([A-Za-z][A-Za-z0-9-]*)", 1))
+    opening = r"(?s)^<(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>"
+    tag = F.regexp_extract("piece", opening, 0)
+    out = pieces.withColumn("line", (1 + F.coalesce(F.sum(breaks).over(w), F.lit(0))).cast("int")).withColumns({"name": name, "tag": tag})
+    content = F.when(F.col("name").isin("script", "style"), F.regexp_replace(F.substring("piece", F.length("tag") + 1, F.length("piece")), r"(?is)</(?:script|style)\s*>$", ""))
+    return out.where("name <> ''").withColumn("content", content).drop("piece", "n")
+
+
+def _css_problems(css: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of (key, first, css), css starting on line ``first``: references (key, line, ref), and the line of each first import."""
+    lines = css.select(*key, "first", F.posexplode(F.split("css", "\n", -1)).alias("n", "row")).withColumn("line", (F.col("first") + F.col("n")).cast("int"))
+    refs = lines.select(*key, "line", F.explode(css_urls(F.col("row"))).alias("ref"))
+    return refs, lines.where(r"row rlike '(?i)@import\\b'").groupBy(*key, "first").agg(F.min("line").alias("line")).drop("first")
+
+
+def reference_problems(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """refs (bundle_id, structured, base, ref, images) with ``problem``: external, missing or unsupported; shown ones are left out."""
+    known = refs.withColumn("c", classify_reference(F.col("ref"), F.col("base"))).where("c.kind <> 'inline'").withColumns({"path": F.col("c.path"), "kind": F.col("c.kind")}).drop("c")
+    found = resolve_references(known, files)
+    shown = F.col("images") & (file_kind(F.col("resolved")) == "image")
+    problem = F.when(F.col("kind") == "external", "external").when(F.col("resolved").isNull(), "missing").when(~shown, "unsupported")
+    return found.withColumn("problem", problem).where("problem is not null")
+
+
+def lint_pages(pages: DataFrame, files: DataFrame, css: DataFrame) -> DataFrame:
+    """(page_id, code, lines) of what a page shows otherwise than its author expects.
+
+    pages: page_id, bundle_id, structured, base (its folder), html; files: bundle_id, path; css: bundle_id,
+    path, text. Codes: script (and handlers), noscript, stylesheet-missing, external-, missing- and
+    unsupported-resource, css-import; of a stylesheet of the page's bundle its problem with its path behind
+    a colon, and unreferenced-stylesheet:<path>, without lines, where no link of the page names it.
+    """
+    own = pages.select("page_id", "bundle_id", "structured", "base")
+    elements = page_elements(pages)
+    tag, name = F.col("tag"), F.col("name")
+    links = elements.where(name == "link").where(F.array_contains(F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), r"\s+"), "stylesheet"))
+    hrefs = links.select("page_id", "line", F.coalesce(attribute(tag, "href"), F.lit("")).alias("ref")).join(own, "page_id")
+    hrefs = hrefs.withColumn("path", classify_reference(F.col("ref"), F.col("base"))["path"])
+    linked = resolve_references(hrefs, css.select("bundle_id", "path"))
+
+    values = []
+    for images, attributes in ((True, IMAGE_ATTRIBUTES), (False, OTHER_ATTRIBUTES)):
+        for element, names in attributes.items():
+            for a in names:
+                value = F.when(name == element, attribute(tag, a))
+                refs = srcset_urls(value) if a == "srcset" else F.array(value)
+                values.append(F.coalesce(F.arrays_zip(refs.alias("ref"), F.array_repeat(F.lit(images), F.size(refs)).alias("images")), F.array().cast("array<struct<ref:string,images:boolean>>")))
+    several = elements.where(name.isin(*IMAGE_ATTRIBUTES, *OTHER_ATTRIBUTES)).select("page_id", "line", F.explode(F.flatten(F.array(*values))).alias("v")).where("v.ref is not null").select("page_id", "line", "v.ref", "v.images")
+    styles = elements.where("name = 'style' and content <> ''").select("page_id", (F.col("line") + F.length("tag") - F.length(F.replace("tag", F.lit("\n")))).alias("first"), F.col("content").alias("css"))
+    inline = elements.withColumn("style", attribute(tag, "style")).where("style is not null").select("page_id", "line", "style")
+    style_refs, style_imports = _css_problems(styles, ["page_id"])
+    inline_refs = inline.select("page_id", "line", F.explode(css_urls(F.col("style"))).alias("ref"))
+    imports = style_imports.unionByName(inline.where(r"style rlike '(?i)@import\\b'").select("page_id", "line"))
+    refs = several.unionByName(style_refs.unionByName(inline_refs).withColumn("images", F.lit(True)))
+    problems = reference_problems(refs.join(own, "page_id"), files)
+
+    sheets = own.join(css.select("bundle_id", F.col("path").alias("sheet"), F.col("text").alias("css")), "bundle_id")
+    folder = F.regexp_replace("sheet", "/?[^/]*$", "")
+    sheet_refs, sheet_imports = _css_problems(css.select("bundle_id", F.col("path").alias("sheet"), F.lit(1).alias("first"), F.col("text").alias("css")), ["bundle_id", "sheet"])
+    kinds = own.select("bundle_id", "structured").distinct()
+    of_sheets = reference_problems(sheet_refs.join(kinds, "bundle_id").withColumns({"base": folder, "images": F.lit(True)}), files).select("bundle_id", "structured", "sheet", "line", "problem")
+    of_sheets = of_sheets.unionByName(sheet_imports.join(kinds, "bundle_id").select("bundle_id", "structured", "sheet", "line", F.lit("import").alias("problem")))
+    of_sheets = of_sheets.join(own.select("page_id", "bundle_id", "structured"), ["bundle_id", "structured"])
+
+    row = lambda df, code, line="line": df.select("page_id", code.alias("code"), F.col(line).cast("int").alias("line"))
+    named = F.create_map(*[F.lit(x) for kv in PROBLEMS.items() for x in kv])
+    handler = tag.rlike(r"(?is)^<[^\s>]+(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?\son[a-z]+\s*=")
+    found = [
+        row(elements.where((name == "script") | handler), F.lit("script")), row(elements.where(name == "noscript"), F.lit("noscript")),
+        row(linked.where("resolved is null"), F.lit("stylesheet-missing")), row(problems, F.try_element_at(named, F.col("problem"))),
+        row(imports, F.lit("css-import")), row(of_sheets, F.concat("problem", F.lit(":"), "sheet")),
+    ]
+    lines = reduce(DataFrame.unionByName, found).groupBy("page_id", "code").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    used = linked.where("resolved is not null").select("page_id", F.col("resolved").alias("sheet")).distinct()
+    unused = sheets.select("page_id", "sheet").distinct().join(used, ["page_id", "sheet"], "left_anti")
+    return lines.unionByName(unused.select("page_id", F.concat(F.lit("unreferenced-stylesheet:"), "sheet").alias("code"), F.array().cast("array<int>").alias("lines")))
+
+
+def count_markup(pages: DataFrame) -> DataFrame:
     """(page_id, code, count) by patterns over tags and attributes (not a DOM): scripts and handlers, noscript, stylesheets elsewhere, imports."""
     html = F.col("html")
     counts = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.kernels import let
 from leafmill.tables import blank, line_table, strip
 
 CHUNK_SIZE = 800
@@ -76,16 +77,32 @@ def _greedy(parts, size, start, joint):
     return F.aggregate(parts, empty, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))
 
 
-def pack_table(runs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """(keys, part, chunk) of table runs (keys, rows: array of lines, at least two): whole groups of rows under a repeated header.
+def table_groups(rows):
+    """The data rows (from the third on) of a table's lines as its ditto groups, struct(text, cost); the cost is the length of the rows and their line ends."""
+
+    def grouped(data):
+        cells = F.transform(data, first_cell)
+
+        def cut(cells):
+            real = F.filter(F.transform(cells, lambda c, i: F.when(~c.isin(*DITTO), i)), lambda i: i.isNotNull())
+            opening = lambda at: F.filter(F.transform(at, lambda i, k: F.when((k == 0) | (F.get(cells, i) != F.get(cells, F.get(at, k - 1))), i)), lambda i: i.isNotNull())
+            starts = let(real, lambda at: F.array_sort(F.array_union(F.array(F.lit(0)), opening(at))))
+            text = lambda g: F.struct(F.array_join(g, "\n").alias("text"), F.aggregate(g, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x) + 1).alias("cost"))
+            return let(starts, lambda at: F.transform(F.transform(at, lambda i, k: F.slice(data, i + 1, F.coalesce(F.get(at, k + 1), F.size(data)) - i)), text))
+
+        return F.when(F.size(data) > 0, let(cells, cut)).otherwise(F.array().cast("array<struct<text:string,cost:bigint>>"))
+
+    return let(F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0))), grouped)
 
-    Groups are the array ``groups`` of struct(text, cost), cost being the length of their rows and line ends.
-    """
-    header = F.array_join(F.slice("rows", 1, 2), "\n")
-    packed = _greedy(F.col("groups"), size, F.length(header), 0)
-    chunks = F.when(F.size("groups") > 0, F.transform(packed, lambda c: F.concat(header, F.lit("\n"), F.array_join(c, "\n")))).otherwise(F.array(header))
-    keys = [c for c in runs.columns if c not in ("rows", "groups", "text")]
-    return runs.select(*keys, F.posexplode(chunks).alias("part", "chunk"))
+
+def pack_table(rows, size: int = CHUNK_SIZE):
+    """The chunks of a table's lines (at least two): whole groups of rows under a repeated header."""
+
+    def under(header):
+        filled = lambda groups: F.transform(_greedy(groups, size, F.length(header), 0), lambda c: F.concat(header, F.lit("\n"), F.array_join(c, "\n")))
+        return let(table_groups(rows), lambda groups: F.when(F.size(groups) > 0, filled(groups)).otherwise(F.array(header)))
+
+    return let(F.array_join(F.slice(rows, 1, 2), "\n"), under)
 
 
 def windows_of(text, size: int = CHUNK_SIZE, overlap: int = OVERLAP):
@@ -102,20 +119,18 @@ def fixed_windows(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLA
     return docs.select("doc_id", F.posexplode(windows_of(F.col("text"), size, overlap)).alias("part", "chunk"))
 
 
-def pack_prose(runs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(keys, part, chunk) of prose runs (keys, text): paragraphs filled up to the size, longer ones as windows."""
-    keys = [c for c in runs.columns if c not in ("rows", "groups", "text")]
-    paragraphs = F.filter(F.transform(F.split(strip(F.col("text")), r"\n(?U)\s*\n", -1), strip), lambda p: p != "")
-    w = Window.partitionBy(*keys).orderBy("i")
-    rows = runs.select(*keys, F.posexplode(paragraphs).alias("i", "p")).withColumn("long", F.length("p") > size)
-    rows = rows.withColumn("flush", F.sum((F.col("long") | F.coalesce(F.lag("long").over(w), F.lit(False))).cast("int")).over(w))
-    per = rows.groupBy(*keys, "flush").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("ps"), F.max("long").alias("long"))
-    parts = F.transform("ps", lambda x: F.struct(x["p"].alias("text"), F.length(x["p"]).cast("bigint").alias("cost")))
-    short = F.transform(_greedy(parts, size, 0, 2), lambda c: F.array_join(c, "\n\n"))
-    chunks = F.when(F.col("long"), windows_of(F.col("ps")[0]["p"], size, overlap)).otherwise(short)
-    out = per.select(*keys, "flush", F.posexplode(chunks).alias("at", "chunk"))
-    order = Window.partitionBy(*keys).orderBy("flush", "at")
-    return out.withColumn("part", F.row_number().over(order) - 1).select(*keys, "part", "chunk")
+def pack_prose(text, size: int = CHUNK_SIZE, overlap: int = OVERLAP):
+    """The chunks of a text: paragraphs filled up to the size, longer ones as windows."""
+    paragraphs = F.filter(F.transform(F.split(strip(text), r"\n(?U)\s*\n", -1), strip), lambda p: p != "")
+
+    def of(ps):
+        too_long = lambda i: F.coalesce(F.length(F.get(ps, i)) > size, F.lit(False))
+        starts = F.filter(F.transform(ps, lambda p, i: F.when((i == 0) | too_long(i) | too_long(i - 1), i)), lambda i: i.isNotNull())
+        short = lambda part: F.transform(_greedy(F.transform(part, lambda x: F.struct(x.alias("text"), F.length(x).cast("bigint").alias("cost"))), size, 0, 2), lambda c: F.array_join(c, "\n\n"))
+        chunks = lambda part: F.when(F.length(part[0]) > size, windows_of(part[0], size, overlap)).otherwise(short(part))
+        return let(starts, lambda at: F.flatten(F.transform(F.transform(at, lambda i, k: F.slice(ps, i + 1, F.coalesce(F.get(at, k + 1), F.size(ps)) - i)), chunks)))
+
+    return let(paragraphs, of)
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -129,19 +144,12 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVER
     line = F.when(F.col("n") == F.col("lo"), F.regexp_replace("line", r"^(?U)\s+", "")).otherwise(F.col("line"))
     body = body.withColumn("line", line).withColumn("line", F.when(F.col("n") == F.col("hi"), F.regexp_replace("line", r"(?U)\s+$", "")).otherwise(F.col("line"))).drop("lo", "hi")
     keys = ["doc_id", "section", "heading", "run"]
-    lines = table_runs(body, ["doc_id", "section"])
-    runs = lines.groupBy(*keys, "is_table").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls")).withColumns({"rows": F.col("ls.line"), "text": strip(F.array_join(F.col("ls.line"), "\n"))}).where("text <> ''")
-    as_table = F.col("is_table") & (F.size("rows") >= 2)
-    nth = Window.partitionBy("doc_id", "section", "run").orderBy("n")
-    data = lines.where("is_table").withColumn("nth", F.row_number().over(nth)).where("nth > 2").drop("nth")
-    rows = ditto_groups(data, ["doc_id", "section", "run"]).groupBy("doc_id", "section", "run", "grp").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("g"))
-    rows = rows.select("doc_id", "section", "run", "grp", F.struct(F.array_join(F.col("g.line"), "\n").alias("text"), F.aggregate("g", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["line"]) + 1).alias("cost")).alias("part"))
-    groups = rows.groupBy("doc_id", "section", "run").agg(F.sort_array(F.collect_list(F.struct("grp", "part"))).alias("gs")).select("doc_id", "section", "run", F.col("gs.part").alias("groups"))
-    tables = runs.where(as_table).join(groups, ["doc_id", "section", "run"], "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<struct<text:string,cost:bigint>>")))
-    tabled = pack_table(tables.select(*keys, "rows", "groups"), size)
-    small = runs.where(~as_table & (F.length("text") <= size)).select(*keys, F.lit(0).alias("part"), F.col("text").alias("chunk"))
-    prose = pack_prose(runs.where(~as_table & (F.length("text") > size)).select(*keys, "text"), size, overlap)
-    out = tabled.unionByName(small).unionByName(prose).where(~blank(F.col("chunk")))
+    runs = table_runs(body, ["doc_id", "section"]).groupBy(*keys, "is_table").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    runs = runs.select(*keys, "is_table", F.col("ls.line").alias("rows")).withColumn("text", strip(F.array_join("rows", "\n"))).where("text <> ''")
+    # One pass: each run becomes its chunks where it stands, without a further shuffle.
+    table, small = F.col("is_table") & (F.size("rows") >= 2), F.length("text") <= size
+    chunks = F.when(table, pack_table(F.col("rows"), size)).when(small, F.array("text")).otherwise(pack_prose(F.col("text"), size, overlap))
+    out = runs.select(*keys, F.posexplode(chunks).alias("part", "chunk")).where(~blank(F.col("chunk")))
     content = F.when(F.col("heading") != "", F.concat(F.lit("【"), "heading", F.lit("】\n"), "chunk")).otherwise(F.col("chunk"))
     order = Window.partitionBy("doc_id").orderBy("section", "run", "part")
     return out.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), content.alias("content"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -29,13 +30,62 @@ def upsert_pdf(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a new version of a table beside the old ones; readers take the newest version that was finished."""
-    versions = df.sparkSession.sql("select uuid()").first()[0]
-    path = f"{folder}/version-{versions}"
+    """Write a new version of a table beside the old ones. The pointer to it is written last, so readers never see half of it.
+
+    A pointer is a table of one row, ``current/<number>``; the largest number that was finished counts.
+    """
+    spark = df.sparkSession
+    number = (_newest(spark, folder) or (0, ""))[0] + 1
+    path = f"{folder}/version-{spark.sql('select uuid()').first()[0]}"
     df.write.parquet(path)
+    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/current")
     return path
 
 
+def _newest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = files.Path(f"{folder}/current")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    row = spark.read.schema("number long, path string").parquet(f"{folder}/current").orderBy(F.col("number").desc(), "path").first()
+    return (row.number, row.path) if row else None
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a published table."""
+    if (found := _newest(spark, folder)) is None:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    return spark.read.parquet(found[1])
+
+
+def existing_registration(incoming: DataFrame, registered: DataFrame, key: str = "source_file_name") -> DataFrame:
+    """Incoming rows with ``registered``: whether their name is there already."""
+    known = registered.select(key).distinct().withColumn("_there", F.lit(True))
+    return incoming.join(known, key, "left").withColumn("registered", F.col("_there").isNotNull()).drop("_there")
+
+
+def replace_registrations(current: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables documents, tags, chunks and pdfs after registrations, and (document_id, reason) of those refused.
+
+    A document that is registered again is replaced whole: its row, tags and chunks. A pdf replaces the
+    stored one only with both a file name and content; else the stored one stays. A document without a
+    chunk is refused, and what was registered under its id stays as it was. Rows of one document repeat
+    only as their tables allow; of repeated document rows the last ``created_at`` counts.
+    """
+    w = Window.partitionBy("document_id").orderBy(F.col("created_at").desc())
+    documents = incoming["documents"].withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    chunked = incoming["chunks"].select("document_id").distinct()
+    good = documents.join(chunked, "document_id", "left_semi")
+    ids = good.select("document_id")
+    refused = documents.join(chunked, "document_id", "left_anti").select("document_id", F.lit("no-chunks").alias("reason"))
+    whole = lambda t, new: current[t].join(ids, "document_id", "left_anti").unionByName(new.select(current[t].columns))
+    mine = lambda t: incoming[t].join(ids, "document_id", "left_semi")
+    pdfs = mine("pdfs").where("file_name is not null and trim(file_name) <> '' and content is not null and length(content) > 0")
+    kept = current["pdfs"].join(pdfs.select("document_id").distinct(), "document_id", "left_anti")
+    out = {"documents": whole("documents", good), "tags": whole("tags", mine("tags").distinct()), "chunks": whole("chunks", mine("chunks")), "pdfs": kept.unionByName(pdfs.select(kept.columns))}
+    return out, refused
+
+
 def feature_hash(texts: list[str], dim: int) -> np.ndarray:
     """Deterministic unit vectors of word counts, for tests."""
     out = np.zeros((len(texts), dim))
@@ -65,14 +115,20 @@ def embed_column(df: DataFrame, column: str, fn: Callable = feature_hash, dim: i
 
 
 def model_rows(df: DataFrame, fn: Callable, key: str = "doc_id") -> DataFrame:
-    """(key, body, error) of a model called once per Arrow batch; a failure is a row's error, not the job's."""
+    """(key, body, error) of a model called once per Arrow batch; a failure is its row's error, not the job's or the batch's."""
+
+    def one(pdf):
+        try:
+            return list(fn(pdf))[0], None
+        except Exception as e:
+            return None, str(e)[:300]
 
     def run(batches):
         for pdf in batches:
             try:
                 body, error = list(fn(pdf)), [None] * len(pdf)
-            except Exception as e:  # the failure becomes data
-                body, error = [None] * len(pdf), [str(e)[:300]] * len(pdf)
+            except Exception:  # some row's failure becomes data: each is asked for alone
+                body, error = zip(*[one(pdf.iloc[i : i + 1]) for i in range(len(pdf))])
             yield pd.DataFrame({key: pdf[key], "body": body, "error": error})
 
     return df.mapInPandas(run, f"{key} long, body string, error string")
@@ -86,18 +142,44 @@ def from_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn(column, F.from_json(column, schema))
 
 
-EVENT = "type string, text string, message string, manual_references array<struct<document_title:string,document_id:string,similarity:double,content:string,has_pdf:boolean>>, bad string"
-REQUIRED = {"manual_references": "manual_references", "delta": "text", "error": "message", "done": None}
+#: The fields of answer events with their JSON types (as Spark names those of a variant), and of a reference.
+EVENT_FIELDS = {"delta": {"text": "STRING"}, "done": {"message_id": "STRING", "created_at": "STRING"}, "error": {"detail": "STRING"}, "manual_references": {}}
+REFERENCE = "document_title string, document_id string, similarity double, content string, has_pdf boolean"
+REFERENCE_TYPES = {"document_title": "STRING", "document_id": "STRING", "similarity": "number", "content": "STRING", "has_pdf": "BOOLEAN"}
 PREVIEW = 60
 
 
+def _kind(value: Column, field: str) -> Column:
+    """The JSON type of a field: STRING, BOOLEAN, VOID (null), number, OBJECT or ARRAY and what is in them; null where it is absent."""
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number").otherwise(kind)
+
+
 def parse_answer_events(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Events of non-blank JSON lines, with error (bad-json, unknown-type, missing-field) and a preview of what is wrong; nothing is dropped."""
-    parsed = lines.where(F.trim(column) != "").withColumn("event", F.from_json(column, EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}))
-    kind = F.col("event.type")
-    missing = F.lit(False)
-    for t, field in REQUIRED.items():
-        if field:
-            missing = missing | ((kind == t) & F.col(f"event.{field}").isNull())
-    error = F.when(F.col("event.bad").isNotNull() | F.col("event").isNull(), "bad-json").when(kind.isNull() | ~kind.isin(*REQUIRED), "unknown-type").when(missing, "missing-field")
-    return parsed.withColumns({"error": error, "preview": F.when(error.isNotNull(), F.left(column, F.lit(PREVIEW)))})
+    """Events of non-blank JSON lines, with error and a preview of what is wrong; nothing is dropped.
+
+    The error is bad-json (also for anything after the value), not-an-event (no object), unknown-type,
+    or missing-field (one that its type asks for is not there or is of another JSON type).
+    """
+    text = F.trim(F.regexp_replace(column, r"^[\s]+|[\s]+$", ""))
+    # A value in an array of its own: what follows it would be outside that array, or break it.
+    read = lines.where(F.trim(column) != "").withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    one = F.size(F.try_variant_get("_all", "$", "array<variant>")) == 1
+    read = read.withColumn("_v", F.when(one & F.try_parse_json(text).isNotNull(), F.try_variant_get("_all", "$[0]", "variant")))
+    shape = F.schema_of_variant("_v")
+    kind = F.when(_kind(F.col("_v"), "type") == "STRING", F.try_variant_get("_v", "$.type", "string"))
+    wrong = F.lit(False)
+    for name, fields in EVENT_FIELDS.items():
+        for field, wanted in fields.items():
+            wrong = wrong | ((kind == name) & ~F.coalesce(_kind(F.col("_v"), field) == wanted, F.lit(False)))
+    listed = F.try_variant_get("_v", "$.manual_references", "array<variant>")
+    whole = F.forall(listed, lambda r: F.coalesce(reduce(lambda a, b: a & b, [_kind(r, f) == t for f, t in REFERENCE_TYPES.items()]), F.lit(False)))
+    none = F.coalesce(_kind(F.col("_v"), "manual_references") == "VOID", F.lit(False))
+    wrong = wrong | ((kind == "manual_references") & ~none & ~F.coalesce(whole, F.lit(False)))
+    error = F.when(F.col("_v").isNull(), "bad-json").when(~shape.startswith("OBJECT"), "not-an-event").when(kind.isNull() | ~kind.isin(*EVENT_FIELDS), "unknown-type").when(wrong, "missing-field")
+    get = lambda f: F.try_variant_get("_v", f"$.{f}", "string").alias(f)
+    refs = F.from_json(F.to_json(F.try_variant_get("_v", "$.manual_references", "variant")), f"array<struct<{', '.join(c.strip().replace(' ', ':') for c in REFERENCE.split(','))}>>")
+    event = F.struct(kind.alias("type"), get("text"), get("message_id"), get("created_at"), get("detail"), refs.alias("manual_references"))
+    preview = F.when(F.length(column) > PREVIEW, F.concat(F.left(column, F.lit(PREVIEW)), F.lit("…"))).otherwise(F.col(column))
+    parsed = read.withColumns({"event": event, "error": error})
+    return parsed.withColumn("preview", F.when(F.col("error").isNotNull(), preview)).drop("_all", "_v")

@@ -28,17 +28,40 @@ def guarded_transition(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"next": next_state(F.col("state"), F.col("event")), "accepted": accepted})
 
 
+#: The states that a draft can be in before an event.
+STATES = (NEW, "QUEUED", "RUNNING", "DRAFT", "FAILED", "DISCARDED")
+
+
 def draft_lifecycle(events: DataFrame) -> DataFrame:
-    """(draft_id, status, applied): the state of each draft after its events in order of (ts, event_id), and how many took effect."""
+    """(draft_id, status, applied): the state of each draft after its events in order of (ts, event_id), and how many took effect.
+
+    The events of a draft and a day become a map from each state to the state after them; maps compose, so
+    a draft folds over its days and no task needs all events of a draft.
+    """
     kind = "struct<status:string,applied:bigint>"
-    ordered = events.groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("es"))
+    day = F.to_date(F.col("ts").cast("timestamp"))
+    ordered = events.groupBy("draft_id", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("es"))
 
     def step(s, e):
         takes = ((s["status"] == NEW) & (e["event"] == "queue")) | F.concat_ws(">", s["status"], e["event"]).isin(*[f"{a}>{x}" for a, x in TRANSITIONS])
         return F.struct(next_state(s["status"], e["event"]).alias("status"), (s["applied"] + takes.cast("bigint")).alias("applied")).cast(kind)
 
-    start = F.struct(F.lit(NEW).alias("status"), F.lit(0).cast("bigint").alias("applied")).cast(kind)
-    return ordered.select("draft_id", F.aggregate("es", start, step).alias("s")).select("draft_id", "s.status", "s.applied").where(F.col("status") != NEW)
+    start = lambda state: F.struct(F.lit(state).alias("status"), F.lit(0).cast("bigint").alias("applied")).cast(kind)
+    maps = ordered.select("draft_id", "day", F.transform(F.array(*[start(s) for s in STATES]), lambda s: F.aggregate("es", s, step)).alias("after"))
+    days = maps.groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("day", "after"))).alias("days"))
+    states = F.array(*[F.lit(s) for s in STATES])
+
+    def compose(s, d):
+        reached = F.get(d["after"], F.array_position(states, s["status"]).cast("int") - 1)
+        return F.struct(reached["status"].alias("status"), (s["applied"] + reached["applied"]).alias("applied")).cast(kind)
+
+    return days.select("draft_id", F.aggregate("days", start(NEW), compose).alias("s")).select("draft_id", "s.status", "s.applied").where(F.col("status") != NEW)
+
+
+def settled(drafts: DataFrame, states: DataFrame) -> DataFrame:
+    """Drafts (draft_id, pdf_content and more) with the status that their events lead to; a discarded one loses its pdf."""
+    out = drafts.drop("status").join(states.select("draft_id", "status"), "draft_id", "left")
+    return out.withColumn("pdf_content", F.when(~F.coalesce(F.col("status") == "DISCARDED", F.lit(False)), F.col("pdf_content")))
 
 
 def draft_progress_latest(events: DataFrame) -> DataFrame:

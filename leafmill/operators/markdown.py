@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from leafmill.tables import blank, line_table, strip
 
@@ -16,9 +14,10 @@ CODES = ("front-matter", "broken-table", "unsupported-image", "raw-html")
 
 
 def fence_state(lines: DataFrame) -> DataFrame:
-    """Lines with is_fence (a fence mark's own line) and in_fence (such a line, or inside).
+    """Lines with is_fence (a fence mark's own line) and in_fence (such a line, or inside), and of a fence opens and fence_end.
 
-    A fence closes only by the mark that opened it. The fold is over a document's fence lines alone.
+    A fence closes only by the mark that opened it. ``opens`` marks the line that opens one, ``fence_end``
+    is the line that closes the last one opened. The fold is over a document's fence lines alone.
     """
     mark = F.regexp_extract("line", FENCE, 1)
     fences = lines.withColumn("mark", mark).where("mark <> ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "mark"))).alias("marks"))
@@ -37,8 +36,8 @@ def fence_state(lines: DataFrame) -> DataFrame:
     # Back onto lines: the last opening at or before a line tells its span.
     opened = spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.a").alias("n"), F.col("s.b").alias("b"))
     w = Window.partitionBy("doc_id").orderBy("n")
-    joined = lines.join(opened, ["doc_id", "n"], "left").withColumn("until", F.last("b", ignorenulls=True).over(w))
-    return joined.withColumns({"is_fence": mark != "", "in_fence": (mark != "") | F.coalesce(F.col("n") <= F.col("until"), F.lit(False))}).drop("b", "until")
+    joined = lines.join(opened, ["doc_id", "n"], "left").withColumn("fence_end", F.last("b", ignorenulls=True).over(w))
+    return joined.withColumns({"is_fence": mark != "", "in_fence": (mark != "") | F.coalesce(F.col("n") <= F.col("fence_end"), F.lit(False)), "opens": F.col("b").isNotNull()}).drop("b")
 
 
 def split_cells(line: Column) -> Column:
@@ -82,50 +81,15 @@ def front_matter(lines: DataFrame) -> DataFrame:
     return per.where("opens = 1 and until is not null").select("doc_id", "until")
 
 
-@F.pandas_udf(StringType())
-def _masked(lines: pd.Series) -> pd.Series:
-    """Code spans blanked where a backslash stands before a backtick: such an opener opens nothing."""
-
-    def scan(line: str) -> str:
-        out, i, n = [], 0, len(line)
-        while i < n:
-            if line[i] == "\\" and i + 1 < n:
-                out.append(line[i : i + 2])
-                i += 2
-                continue
-            if line[i] != "`":
-                out.append(line[i])
-                i += 1
-                continue
-            j = i
-            while j < n and line[j] == "`":
-                j += 1
-            size, k = j - i, j
-            while k < n:
-                if line[k] != "`":
-                    k += 1
-                    continue
-                e = k
-                while e < n and line[e] == "`":
-                    e += 1
-                if e - k == size:
-                    break
-                k = e
-            if k < n:
-                out.append(" ")
-                i = k + size
-            else:
-                out.append(line[i:j])
-                i = j
-        return "".join(out)
-
-    return lines.map(lambda x: None if x is None else scan(x))
+#: What a line with escaped backticks consists of: an escaped character, a code span, other backticks, the rest.
+_LEXEMES = r"(?s)\\.|(`++).*?(?<!`)\1(?!`)|`++|[^\\`]++|\\"
 
 
 def mask_inline_code(line: Column) -> Column:
-    """The line with each code span as one space; lines with escaped backticks go through a scanner."""
-    escaped = F.contains(line, F.lit("\\`"))
-    return F.when(~escaped, F.regexp_replace(line, r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", " ")).otherwise(_masked(F.when(escaped, line)))
+    """The line with each code span as one space; an escaped backtick opens none."""
+    spans = F.regexp_replace(line, r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", " ")
+    lexed = F.transform(F.regexp_extract_all(line, F.lit(_LEXEMES), 0), lambda x: F.when(x.rlike(r"(?s)^`.*[^`]"), F.lit(" ")).otherwise(x))
+    return F.when(F.contains(line, F.lit("\\`")), F.array_join(lexed, "")).otherwise(spans)
 
 
 def image_references(prose: Column) -> Column:
@@ -228,13 +192,14 @@ def document_titles(docs: DataFrame, missing: str = "無題") -> DataFrame:
 
 
 def diagram_blocks(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, source, view) of mermaid fences; view is diagram, code or both, and code alone is left out."""
-    lines = fence_state(line_table(docs)).where("in_fence")
+    """Distinct (doc_id, source, view) of mermaid fences; view is diagram, code or both, and code alone is left out.
+
+    A mark of the other kind inside a fence is part of its source.
+    """
     w = Window.partitionBy("doc_id").orderBy("n")
-    info = F.when(F.col("is_fence"), F.regexp_replace("line", FENCE, ""))
-    opens = F.col("is_fence") & (F.row_number().over(Window.partitionBy("doc_id", "is_fence").orderBy("n")) % 2 == 1)
-    lines = lines.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(w)).withColumn("info", F.last(F.when(F.col("opens"), info), ignorenulls=True).over(w))
-    body = lines.where("not is_fence").groupBy("doc_id", "block", "info").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    info = F.when(F.col("opens"), F.regexp_replace("line", FENCE, ""))
+    lines = fence_state(line_table(docs)).where("n <= fence_end").withColumns({"block": F.sum(F.col("opens").cast("int")).over(w), "info": F.last(info, ignorenulls=True).over(w)})
+    body = lines.where("not opens and n <> fence_end").groupBy("doc_id", "block", "info").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
     view = F.coalesce(F.nullif(F.regexp_extract("info", r"show=(\w+)", 1), F.lit("")), F.lit("diagram"))
     return body.where(F.col("info").rlike(r"^\s*mermaid\b")).select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("source"), view.alias("view")).where("view <> 'code'").distinct()
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import kernels
+from leafmill.operators import markdown
 from leafmill.tables import blank, strip
 
 MOST_UNRESOLVED = 3
@@ -36,25 +36,46 @@ def clean_markup(text: Column) -> Column:
     return out
 
 
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with markup cleaned and then tables repaired."""
+    return markdown.repair_tables(docs.select("doc_id", clean_markup(F.col("text")).alias("text")))
+
+
 def page_diff(readings: DataFrame) -> DataFrame:
     """Segments (doc_id, pos, segment_id, primary_text, alternate_text, is_match) of (doc_id, text, alternate).
 
-    Pages whose words are alike are one matching segment, found in the JVM; only the others go through
-    the difference kernel.
+    Readings that differ in white space alone are one matching segment. Of the others the words are cut
+    and compared by SQL functions; only the arrays of words go to the difference kernel, and its ranges
+    are cut from the readings again by SQL functions. The primary texts in order are the primary reading.
+    A reading without a word has no text of its own in any segment; a null reading is empty.
     """
-    words = lambda c: F.filter(F.transform(F.split(F.col(c), r"\s+", -1), lambda w: F.trim(F.replace(F.regexp_replace(w, r"^[#>*_\-]+", ""), F.lit("|"), F.lit(" ")))), lambda w: w != "")
-    ascii_only = ~F.concat("text", "alternate").rlike(r"[^\x00-\x7F]")
-    marked = readings.withColumn("same", F.coalesce(ascii_only & (words("text") == words("alternate")) & (F.size(words("text")) > 0), F.lit(False)))
-    schema = "doc_id long, pos int, segment_id string, primary_text string, alternate_text string, is_match boolean"
+    spaced = lambda c: strip(F.regexp_replace(F.col(c), r"(?U)\s+", " "))
+    texts = readings.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("alternate", F.lit("")).alias("alternate"))
+    marked = texts.withColumn("same", (spaced("text") == spaced("alternate")) & F.col("text").rlike(r"[\p{L}\p{N}]"))
     alike = marked.where("same").selectExpr("doc_id", "0 as pos", "'seg-0' as segment_id", "text as primary_text", "alternate as alternate_text", "true as is_match")
 
-    def differ(batches):
-        for pdf in batches:
-            rows = [(d, n, *s) for d, a, b in zip(pdf.doc_id, pdf.text, pdf.alternate) for n, s in enumerate(kernels.diff_segments(a or "", b or ""))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "pos", "segment_id", "primary_text", "alternate_text", "is_match"])
+    cut = marked.where("not same").select("doc_id", *[kernels.word_pieces(F.col(c)).alias(f"{c}_pieces") for c in ("text", "alternate")])
+    listed = cut.withColumns({f"{c}_listed": F.array_join(F.transform(f"{c}_pieces", strip), "\n") for c in ("text", "alternate")})  # NFKC runs once over all words of a text
+    plain = listed.withColumns({f"{c}_listed": kernels.nfkc(F.col(f"{c}_listed")) for c in ("text", "alternate")})
+    side = lambda c: kernels.spans_and_words(F.col(f"{c}_pieces"), kernels.compared_words(F.col(f"{c}_listed"))).alias(c)
+    words = plain.select("doc_id", side("text"), side("alternate")).select("doc_id", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("text", "alternate") for f in ("spans", "words")])
+
+    def compare(batches):
+        import pyarrow as pa
 
-    return alike.unionByName(marked.where("not same").select("doc_id", "text", "alternate").mapInPandas(differ, schema))
+        kind = pa.list_(pa.struct([("alike", pa.bool_()), *((c, pa.int32()) for c in ("a", "a_end", "b", "b_end"))]))
+        for batch in batches:
+            found = [kernels.differences(x, y) for x, y in zip(batch["text_words"].to_pylist(), batch["alternate_words"].to_pylist())]
+            kept = [batch[c] for c in ("doc_id", "text_spans", "alternate_spans")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], ["doc_id", "text_spans", "alternate_spans", "ranges"])
+
+    schema = f"doc_id {readings.schema['doc_id'].dataType.simpleString()}, text_spans array<string>, alternate_spans array<string>, ranges array<struct<alike:boolean,a:int,a_end:int,b:int,b_end:int>>"
+    ranges = words.mapInArrow(compare, schema)
+    piece = lambda spans, r, x: F.array_join(F.slice(spans, r[x] + 1, r[f"{x}_end"] - r[x]), "")
+    of_range = lambda a, b: lambda r: F.struct(piece(a, r, "a").alias("primary_text"), piece(b, r, "b").alias("alternate_text"), r["alike"].alias("is_match"))
+    segments = kernels.let(F.col("text_spans"), lambda a: kernels.let(F.col("alternate_spans"), lambda b: F.transform("ranges", of_range(a, b))))
+    differ = ranges.select("doc_id", F.posexplode(segments).alias("pos", "s")).select("doc_id", "pos", F.concat(F.lit("seg-"), F.col("pos").cast("string")).alias("segment_id"), "s.*")
+    return alike.unionByName(differ)
 
 
 def apply_corrections(segments: DataFrame, corrections: DataFrame, similarity: str | None = None) -> DataFrame:
@@ -81,6 +102,15 @@ def text_layer_evidence(df: DataFrame, needle: str, page: str) -> Column:
     return F.when((F.length(n) >= NEEDLE_CHARS) & (F.length(p) >= LAYER_CHARS), F.contains(p, n))
 
 
+def page_texts(pages: DataFrame, layer: DataFrame) -> DataFrame:
+    """pages (doc_id, page) with ``page_text``: the text layer's page of that number; null without one, or one of fewer than LAYER_CHARS characters besides white space.
+
+    layer: doc_id, page_no, text, as split_text_layer gives it.
+    """
+    solid = F.length(F.regexp_replace("text", r"(?U)\s+", "")) >= LAYER_CHARS
+    return pages.join(layer.where(solid).select("doc_id", F.col("page_no").alias("page"), F.col("text").alias("page_text")), ["doc_id", "page"], "left")
+
+
 def recheck_corrections(segments: DataFrame, layer: DataFrame, judgments: DataFrame) -> DataFrame:
     """Corrected segments that are real rewrites, checked again: status, final_text and basis.
 
@@ -88,10 +118,14 @@ def recheck_corrections(segments: DataFrame, layer: DataFrame, judgments: DataFr
     The page's text decides when it holds exactly one wording; else a correction goes only if both runs prefer the primary.
     """
     run = lambda name: judgments.where(F.col("run") == name).select("doc_id", "segment_id", F.col("better").alias(name))
-    pages = layer.select("doc_id", kernels.squash(F.col("page_text")).alias("page_squashed"))
-    out = segments.join(pages, "doc_id", "left").join(run("straight"), ["doc_id", "segment_id"], "left").join(run("swapped"), ["doc_id", "segment_id"], "left")
+    out = segments.join(run("straight"), ["doc_id", "segment_id"], "left").join(run("swapped"), ["doc_id", "segment_id"], "left")
     out = out.withColumns({"c": kernels.squash(F.col("final_text")), "p": kernels.squash(F.col("primary_text")), "same": kernels.squash_diff(F.col("final_text")) == kernels.squash_diff(F.col("primary_text"))})
-    out = out.withColumns({"in_c": text_layer_evidence(out, "c", "page_squashed"), "in_p": text_layer_evidence(out, "p", "page_squashed")})
+    # A page goes once to the wordings that are looked for in it, and not to each of its segments.
+    asked = out.where("status = 'auto_corrected' and not same").groupBy("doc_id").agg(F.collect_set("c").alias("cs"), F.collect_set("p").alias("ps"))
+    pages = layer.where("page_text is not null").select("doc_id", kernels.squash(F.col("page_text")).alias("page")).join(asked, "doc_id")
+    there = lambda name: F.transform(F.array_distinct(F.concat("cs", "ps")), lambda n: F.struct(n.alias(name), F.when((F.length(n) >= NEEDLE_CHARS) & (F.length("page") >= LAYER_CHARS), F.contains(F.col("page"), n)).alias(f"in_{name}")))
+    for name in ("c", "p"):
+        out = out.join(pages.select("doc_id", F.explode(there(name)).alias("w")).select("doc_id", "w.*"), ["doc_id", name], "left")
     real = (F.col("status") == "auto_corrected") & ~F.col("same") & ~blank(F.col("final_text")) & ~blank(F.col("primary_text"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     both = F.coalesce((F.col("straight") == "1") & (F.col("swapped") == "2"), F.lit(False))
@@ -100,7 +134,7 @@ def recheck_corrections(segments: DataFrame, layer: DataFrame, judgments: DataFr
     return out.withColumns({
         "status": F.when(F.col("basis") == "layer-cancel", "match").when(F.col("basis") == "language-cancel", "needs_review").otherwise(F.col("status")),
         "final_text": F.when(F.col("basis").endswith("cancel"), F.col("primary_text")).otherwise(F.col("final_text")),
-    }).drop("c", "p", "same", "in_c", "in_p", "page_squashed", "straight", "swapped")
+    }).drop("c", "p", "same", "in_c", "in_p", "straight", "swapped")
 
 
 def page_review_load(segments: DataFrame, most: int = MOST_UNRESOLVED) -> DataFrame:
@@ -138,14 +172,17 @@ def locate_segments(segments: DataFrame, drafts: DataFrame) -> DataFrame:
 
     segments: draft_id, page, segment_id, final_text, primary_text; drafts: draft_id, markdown.
     """
-    head = F.concat(F.lit(PAGE_HEADING[0]), F.col("page").cast("string"), F.lit(PAGE_HEADING[1]))
-    out = segments.join(drafts, "draft_id").withColumn("from_pos", F.position(head, F.col("markdown")))
-    for name, c in (("f", "final_text"), ("p", "primary_text")):
-        needle = strip(F.col(c))
-        out = out.withColumns({f"{name}_needle": needle, f"{name}_at": F.when((needle != "") & (F.col("from_pos") > 0), F.position(needle, F.col("markdown"), F.col("from_pos"))).otherwise(F.lit(0))})
-    start = F.when(F.col("f_at") > 0, F.col("f_at") - 1).when(F.col("p_at") > 0, F.col("p_at") - 1)
-    size = F.when(F.col("f_at") > 0, F.length("f_needle")).otherwise(F.length("p_needle"))
-    return out.select("draft_id", "page", "segment_id", start.alias("start"), (start + size).alias("end"))
+    asked = segments.select("draft_id", "page", "segment_id", strip(F.col("final_text")).alias("f"), strip(F.col("primary_text")).alias("p"))
+    grouped = asked.groupBy("draft_id").agg(F.collect_list(F.struct("page", "segment_id", "f", "p")).alias("asked"))  # a draft's text goes to no segment
+    draft = F.col("markdown")
+
+    def place(s: Column) -> Column:
+        head = F.position(F.concat(F.lit(PAGE_HEADING[0]), s["page"].cast("string"), F.lit(PAGE_HEADING[1])), draft)
+        at = lambda needle: F.when((needle != "") & (head > 0), F.nullif(F.position(needle, draft, head), F.lit(0))) - 1
+        found = lambda f, p: F.struct(s["page"].alias("page"), s["segment_id"].alias("segment_id"), F.coalesce(f, p).alias("start"), F.coalesce(f + F.length(s["f"]), p + F.length(s["p"])).alias("end"))
+        return kernels.let(at(s["f"]), lambda f: kernels.let(at(s["p"]), lambda p: found(f, p)))
+
+    return grouped.join(drafts, "draft_id").select("draft_id", F.explode(F.transform("asked", place)).alias("s")).select("draft_id", "s.*")
 
 
 def cut_repeats(texts: DataFrame) -> DataFrame:
@@ -160,13 +197,18 @@ def cut_repeats(texts: DataFrame) -> DataFrame:
 
 def segment_context(segments: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
     """Segments with the characters of the primary reading before and after them."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    whole = F.array_join(F.collect_list("primary_text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "")
-    end = F.sum(F.length("primary_text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = segments.withColumns({"whole": whole, "stop": end}).withColumn("start", F.col("stop") - F.length("primary_text"))
-    before = F.substring("whole", (F.greatest(F.lit(0), F.col("start") - chars) + 1).cast("int"), F.least(F.lit(chars), F.col("start")).cast("int"))
-    after = F.substring("whole", (F.col("stop") + 1).cast("int"), F.lit(chars))
-    return out.withColumns({"before": before, "after": after}).drop("whole", "start", "stop")
+    own = Window.partitionBy("doc_id").orderBy("pos")
+    # Segments of one or more characters: so many neighbours on either side are enough.
+    solid = segments.where("primary_text <> ''").select("doc_id", "pos", "primary_text")
+    near = lambda a, b: F.array_join(F.collect_list("edge").over(own.rowsBetween(a, b)), "")
+    before = solid.withColumn("edge", F.right("primary_text", F.lit(chars))).select("doc_id", "pos", F.right(near(-chars, -1), F.lit(chars)).alias("before"), F.right(near(-chars, 0), F.lit(chars)).alias("upto"))
+    after = solid.withColumn("edge", F.left("primary_text", F.lit(chars))).select("doc_id", "pos", F.left(near(1, chars), F.lit(chars)).alias("after"), F.left(near(0, chars), F.lit(chars)).alias("from_here"))
+    out = segments.join(before, ["doc_id", "pos"], "left").join(after, ["doc_id", "pos"], "left")
+    # An empty segment has what its nearest neighbours that are not empty end and begin with.
+    gap = lambda c, near: F.coalesce(c, near, F.lit(""))
+    last = F.last("upto", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first("from_here", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    return out.withColumns({"before": gap(F.col("before"), last), "after": gap(F.col("after"), following)}).drop("upto", "from_here")
 
 
 def choose_reading(readings: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Retrieval: exact cosine search of a table of questions, tag scopes, thresholds and summaries.
 
-Questions are taken in blocks of a bounded number; each block goes to the tasks that scan the chunks,
-which keep the best few of every Arrow batch, and a window picks the best of those. No pair of a
-question and a chunk that cannot win leaves its task.
+A small table of questions (its number is checked) goes to the tasks that scan the chunks. A larger one
+is dealt into blocks of questions, the chunks into blocks of chunks, and each pair of blocks is one
+group of a cogrouped job. Either way a task keeps only the best few chunks of each question, and a
+window picks among those.
+
+A null, empty or zero vector, of a question or of a chunk, is like nothing and gives no hit. Rows that
+repeat an id are questions or chunks of their own; their hits stand under the same id.
 """
 
 from __future__ import annotations
@@ -12,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions in a block.
+#: Questions that one task compares with its chunks, and chunks of a block where there are more questions.
 BLOCK = 4096
+CHUNK_BLOCK = 16_384
+#: Chunks that are multiplied with the questions at once.
+STEP = 2048
 RELEVANCE = 0.45
 LOW_RELEVANCE = 0.50
 
-_HITS = "query_id long, chunk_id long, document_id long, chunk_index long, similarity double"
+_HITS = "row long, query_id long, chunk_id long, document_id long, chunk_index long, similarity double"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,63 +38,109 @@ def _unit(vectors) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _best(block: list, k: int, scope: str | None, per_document: bool, exclude_self: bool):
-    """A function for mapInPandas: the best k chunks (or documents, by their best chunk) of a batch for each question."""
-    ids = np.array([r.query_id for r in block], dtype=np.int64)
-    questions, wanted = _unit([r.embedding for r in block]), [r.wanted for r in block]
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf.sort_values(["chunk_id"], kind="stable").reset_index(drop=True)
-            sims = questions @ _unit(pdf.embedding).T
-            chunk, document = pdf.chunk_id.to_numpy(), pdf.document_id.to_numpy()
-            tags = [frozenset(t) if t is not None else frozenset() for t in pdf.tags]
-            allowed = {}
-            out = []
+class _Best:
+    """The best k chunks (or documents, by their best chunk) of each question among the chunks seen."""
+
+    def __init__(self, questions: pd.DataFrame, k: int, scope: str | None, per_document: bool, exclude_self: bool):
+        self.k, self.per_document, self.exclude_self = k, per_document, exclude_self
+        self.ids, self.rows = questions.query_id.to_numpy(dtype=np.int64), questions.row.to_numpy(dtype=np.int64)
+        self.vectors = _unit(questions.embedding)
+        self.wanted = [None if w is None else frozenset(w) for w in questions.wanted]
+        self.scope, self.kept, self.waiting = scope, None, []
+
+    def _allowed(self, tags: list[frozenset]) -> np.ndarray | None:
+        """(questions x chunks), or null where all are."""
+        if self.scope is None or (self.scope == "tag" and all(w is None for w in self.wanted)):
+            return None
+        names = {t: i for i, t in enumerate({t for w in self.wanted if w for t in w})}
+        asked, held = np.zeros((len(self.wanted), len(names) + 1), dtype=np.float32), np.zeros((len(tags), len(names) + 1), dtype=np.float32)
+        for i, w in enumerate(self.wanted):
+            asked[i, [names[t] for t in w or ()]] = 1
+        for i, ts in enumerate(tags):
+            held[i, [names[t] for t in ts if t in names]] = 1
+        allowed = asked @ held.T > 0
+        if self.scope == "tag":
+            allowed |= np.array([not ts for ts in tags])[None, :]
+            allowed[[w is None for w in self.wanted]] = True
+        return allowed
+
+    def add(self, chunks: pd.DataFrame) -> None:
+        for a in range(0, len(chunks), STEP):
+            part = chunks.iloc[a : a + STEP].sort_values(["document_id", "chunk_index", "chunk_id"] if self.per_document else ["chunk_id"], kind="stable")
+            sims = self.vectors @ _unit(part.embedding).T
+            chunk, document, index = (part[c].to_numpy() for c in ("chunk_id", "document_id", "chunk_index"))
+            if (allowed := self._allowed([frozenset() if t is None else frozenset(t) for t in part.tags])) is not None:
+                sims[~allowed] = -np.inf
+            if self.exclude_self:
+                sims[self.ids[:, None] == chunk[None, :]] = -np.inf
+            at = None
+            if self.per_document:  # each document's best chunk, the first of equal ones
+                starts = np.flatnonzero(np.r_[True, document[1:] != document[:-1]])
+                ends = np.r_[starts[1:], len(document)]
+                at = np.stack([s + sims[:, s:e].argmax(axis=1) for s, e in zip(starts, ends)], axis=1)
+                sims = np.take_along_axis(sims, at, axis=1)
+            k = min(self.k, sims.shape[1])
+            least = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
             for i, row in enumerate(sims):
-                key = None if wanted[i] is None else tuple(wanted[i])
-                if key not in allowed:
-                    free = key is None and scope != "tagged"
-                    allowed[key] = None if free or scope is None else np.array([(scope == "tag" and not t) or bool(t.intersection(key or ())) for t in tags])
-                ok = np.ones(len(row), bool) if allowed[key] is None else allowed[key].copy()
-                if exclude_self:
-                    ok &= chunk != ids[i]
-                at = np.flatnonzero(ok)
-                at = at[np.argsort(-row[at], kind="stable")]
-                if per_document:
-                    _, first = np.unique(document[at], return_index=True)
-                    at = at[np.sort(first)]
-                at = at[:k]
-                out.append(pd.DataFrame({"query_id": ids[i], "chunk_id": chunk[at], "document_id": document[at], "chunk_index": pdf.chunk_index.to_numpy()[at], "similarity": row[at]}))
-            yield pd.concat(out)
-
-    return run
-
-
-def _blocks(queries: DataFrame, block: int):
-    """The questions in blocks of bounded size, in order of query_id."""
-    last = None
-    while True:
-        rest = queries if last is None else queries.where(F.col("query_id") > last)
-        rows = rest.orderBy("query_id").limit(block).collect()
-        if not rows:
-            return
-        yield rows
-        last = rows[-1].query_id
+                best = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+                best = best[np.argsort(-row[best], kind="stable")][:k]
+                if len(best):
+                    c = best if at is None else at[i, best]
+                    self.waiting.append((np.full(len(best), i), chunk[c], document[c], index[c], row[best]))
+            if sum(len(x[0]) for x in self.waiting) > 4 * self.k * len(self.ids):
+                self._reduce()
+
+    def _reduce(self) -> None:
+        if self.waiting:
+            new = pd.DataFrame(dict(zip(("q", "chunk_id", "document_id", "chunk_index", "similarity"), map(np.concatenate, zip(*self.waiting)))))
+            both = new if self.kept is None else pd.concat([self.kept, new])
+            if self.per_document:
+                both = both.sort_values(["q", "document_id", "similarity", "chunk_index", "chunk_id"], ascending=[True, True, False, True, True]).drop_duplicates(["q", "document_id"])
+            both = both.sort_values(["q", "similarity", "document_id" if self.per_document else "chunk_id"], ascending=[True, False, True])
+            self.kept, self.waiting = both.groupby("q").head(self.k), []
+
+    def hits(self) -> pd.DataFrame:
+        self._reduce()
+        if self.kept is None:
+            return pd.DataFrame({c: [] for c in ("row", "query_id", "chunk_id", "document_id", "chunk_index", "similarity")})
+        return self.kept.assign(row=self.rows[self.kept.q], query_id=self.ids[self.kept.q]).drop(columns="q")
 
 
 def _candidates(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None, per_document: bool, exclude_self: bool, block: int) -> DataFrame:
     """Hits that contain each question's best k. queries: query_id, embedding, wanted (array of tags or null); chunks may have tags."""
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", "wanted" if "wanted" in queries.columns else F.lit(None).cast("array<string>").alias("wanted"))
+    spark = queries.sparkSession
+    solid = lambda df: df.where(F.exists("embedding", lambda x: x != 0))
+    wanted = F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("array<string>")
+    asked = solid(queries.select(F.monotonically_increasing_id().alias("row"), F.col("query_id").cast("long").alias("query_id"), "embedding", wanted.alias("wanted")))
     tags = F.col("tags") if "tags" in chunks.columns else F.lit(None).cast("array<string>")
-    held = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "embedding", tags.alias("tags"))
-    out = None
-    for rows in _blocks(queries, block):
-        hits = held.mapInPandas(_best(rows, k, scope, per_document, exclude_self), _HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else chunks.sparkSession.createDataFrame([], _HITS)
+    held = solid(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "embedding", tags.alias("tags")))
+    few = asked.limit(block + 1).toPandas()  # a bounded look: is this one block?
+    if not len(few):
+        return spark.createDataFrame([], _HITS)
+    if len(few) <= block:
+        shared = spark.sparkContext.broadcast(few)
+
+        def scan(batches):
+            best = _Best(shared.value, k, scope, per_document, exclude_self)
+            for pdf in batches:
+                best.add(pdf)
+            yield best.hits()
+
+        return held.mapInPandas(scan, _HITS)
+
+    rows, columns = -(-asked.count() // block), -(-held.count() // CHUNK_BLOCK)
+    dealt = lambda df, mine, own, other, others: df.withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    q = dealt(asked, "r", rows, "c", max(columns, 1)).groupBy("r", "c")
+    c = dealt(held, "c", max(columns, 1), "r", rows).groupBy("r", "c")
+
+    def compare(questions: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(questions):
+            return _Best(pd.DataFrame({"query_id": [0], "row": [0], "embedding": [[1.0]], "wanted": [None]}), k, scope, per_document, exclude_self).hits()
+        best = _Best(questions, k, scope, per_document, exclude_self)
+        best.add(some)
+        return best.hits()
+
+    return q.cogroup(c).applyInPandas(compare, _HITS)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: str | None = "tag", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
@@ -97,17 +150,17 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: str | None
     none; "tagged": only chunks with a wanted tag; None: all chunks. No threshold; an empty corpus gives no rows.
     """
     hits = _candidates(queries, chunks, k, scope, False, exclude_self, block)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = Window.partitionBy("row").orderBy(F.col("similarity").desc(), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("row")
 
 
 def best_chunk_per_document(queries: DataFrame, chunks: DataFrame, k: int = 5, scope: str | None = "tagged", block: int = BLOCK) -> DataFrame:
     """The k best documents of each question by their most similar chunk (ties: the smaller index), with rank."""
     hits = _candidates(queries, chunks, k, scope, True, False, block)
-    one = Window.partitionBy("query_id", "document_id").orderBy(F.col("similarity").desc(), "chunk_index")
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "document_id")
+    one = Window.partitionBy("row", "document_id").orderBy(F.col("similarity").desc(), "chunk_index", "chunk_id")
+    w = Window.partitionBy("row").orderBy(F.col("similarity").desc(), "document_id")
     best = hits.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("row")
 
 
 def with_tags(chunks: DataFrame, tags: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def rank_import_candidates(spark, folder):
     return op.rank_import_candidates(files)
 
 
-@query("candidate_order", "select p_partkey % 20 as bundle_id, path, row_number() over (partition by p_partkey % 20 order by len(string_split(path, '/')), path) as position from (select p_partkey, repeat('d/', cast(p_size % 3 as int)) || cast(p_partkey as varchar) || '.md' as path from part)")
+@query("candidate_order", "select p_partkey // 20 as bundle_id, path, row_number() over (partition by p_partkey // 20 order by len(string_split(path, '/')), path) as position from (select p_partkey, repeat('d/', cast(p_size % 3 as int)) || cast(p_partkey as varchar) || '.md' as path from part)")
 def candidate_order(spark, folder):
-    files = table(spark, folder, "part").selectExpr("p_partkey % 20 as bundle_id", "concat(repeat('d/', cast(p_size % 3 as int)), p_partkey, '.md') as path")
+    files = table(spark, folder, "part").selectExpr("p_partkey div 20 as bundle_id", "concat(repeat('d/', cast(p_size % 3 as int)), p_partkey, '.md') as path")
     return op.default_candidate_order(files)
 
 
@@ -62,6 +62,12 @@ def embeddable_images(spark, folder):
     return op.embeddable_images(files, 30).select("file_id", "mime", "alt")
 
 
+@query("image_uris", """select p_partkey as file_id, 'data:image/png;base64,' || to_base64(encode(p_name)) as uri from part where p_size <= 30""")
+def image_uris(spark, folder):
+    files = table(spark, folder, "part").selectExpr("p_partkey as file_id", "concat('n', p_partkey, '.png') as path", "p_size as length", "'' as mime", "cast(p_name as binary) as content")
+    return op.embeddable_images(files, 30).select("file_id", "uri")
+
+
 @query("link_stylesheets", """with css as (select distinct p_partkey % 20 as bundle_id, p_partkey % 20 % 2 = 0 as structured, case when p_size % 2 = 0 then 'C' else 'c' end || cast(p_size % 10 as varchar) || '.css' as path from part),
 links as (select distinct p_partkey % 20 as bundle_id, 'c' || cast(p_size % 5 as varchar) || '.css' as path from part)
 select 'used' as what, bundle_id, path from css where not structured or (bundle_id, path) in (select bundle_id, path from links)
@@ -76,12 +82,12 @@ def link_stylesheets(spark, folder):
     return row(used, "used").unionByName(row(unreferenced, "unreferenced")).unionByName(row(clash, "clash", "name"))
 
 
-@query("plan_exports", """with o as (select s_suppkey % 9 as export_id, s_suppkey, case when s_suppkey % 50 = 7 then 'a/../b' else 'out/' || cast(s_suppkey as varchar) || '.pdf' end as path from supplier),
+@query("plan_exports", """with o as (select s_suppkey // 9 as export_id, s_suppkey, case when s_suppkey % 50 = 7 then 'a/../b' else 'out/' || cast(s_suppkey as varchar) || '.pdf' end as path from supplier),
 m as (select export_id, path, path = 'a/../b' as bad, s_suppkey % 11 = 0 and path <> 'a/../b' as "exists" from o)
 select export_id, path, bad, "exists", case when bool_or(bad) over (partition by export_id) then 'reject' when bool_or("exists") over (partition by export_id) then 'ask' else 'write' end as decision from m""")
 def plan_exports(spark, folder):
     suppliers = table(spark, folder, "supplier")
-    outputs = suppliers.selectExpr("s_suppkey % 9 as export_id", "if(s_suppkey % 50 = 7, 'a/../b', concat('out/', s_suppkey, '.pdf')) as path")
+    outputs = suppliers.selectExpr("s_suppkey div 9 as export_id", "if(s_suppkey % 50 = 7, 'a/../b', concat('out/', s_suppkey, '.pdf')) as path")
     return op.plan_exports(outputs, suppliers.where("s_suppkey % 11 = 0").selectExpr("concat('out/', s_suppkey, '.pdf') as path"))
 
 
@@ -89,7 +95,32 @@ def plan_exports(spark, folder):
   len(regexp_extract_all(html, '(?i)<link\b[^>]*href\s*=\s*["'']?(?:https?:)?//')) as c, len(regexp_extract_all(html, '(?i)@import\b')) as d from pages)
 select page_id, code, count from (select page_id, unnest(['script', 'noscript', 'external-css', 'import']) as code, unnest([a, b, c, d]) as count from c) where count > 0""")
 def html_lint(spark, folder):
-    return op.lint_html(table(spark, folder, "pages"))
+    return op.count_markup(table(spark, folder, "pages"))
+
+
+#: Pages with markup of every kind behind them, and the bundles that they are in; lines are counted from the page's own last one.
+PAGE_TAIL = """'\\n<link rel="stylesheet" href="css/' {c} if(page_id % 3 = 2, 'none', cast(page_id % 3 as string)) {c} '.css">\\n<img src="' {c}
+  case page_id % 4 when 0 then 'img/A.png' when 1 then 'http://e.example/a.png' when 2 then 'img/lost.png' else 'doc.pdf' end {c} '">\\n<img srcset="img/a.png 1x, img/lost.png 2x">\\n<div ' {c}
+  if(page_id % 2 = 0, 'onclick="go()" style="background:url(//e.example/x.png)"', 'class=">"') {c} '>\\n<style>\\n@import "x.css";\\np{{background:url(data:image/png;base64,AA)}}\\n</style><!-- <img src="no.png"> -->\\n<noscript>x</noscript><iframe src="page2.html"></iframe>'"""
+
+
+@query("lint_pages", r"""with l as (select page_id, len(string_split(html, chr(10))) as n, list_filter(range(1, len(string_split(html, chr(10))) + 1), lambda i: regexp_matches(string_split(html, chr(10))[i], '(?i)<script[\s>]')) as scripts from pages)
+select page_id, 'script' as code, list_sort(list_concat([x::int for x in scripts], case when page_id % 2 = 0 then [(n + 4)::int] else [] end)) as lines from l where len(scripts) > 0 or page_id % 2 = 0
+union all select page_id, 'noscript', [(n + 9)::int] from l union all select page_id, 'stylesheet-missing', [(n + 1)::int] from l where page_id % 3 = 2
+union all select page_id, 'external-resource', list_concat(case when page_id % 4 = 1 then [(n + 2)::int] else [] end, case when page_id % 2 = 0 then [(n + 4)::int] else [] end) from l where page_id % 4 <> 3
+union all select page_id, 'missing-resource', list_concat(case when page_id % 4 = 2 then [(n + 2)::int] else [] end, [(n + 3)::int]) from l
+union all select page_id, 'unsupported-resource', list_concat(case when page_id % 4 = 3 then [(n + 2)::int] else [] end, [(n + 9)::int]) from l
+union all select page_id, 'css-import', [(n + 6)::int] from l
+union all select page_id, 'external:css/9.css', [2::int] from l union all select page_id, 'import:css/9.css', [3::int] from l
+union all select page_id, 'unreferenced-stylesheet:css/' || s || '.css', []::int[] from l, (values ('0'), ('1'), ('9')) v(s) where s <> cast(page_id % 3 as varchar)""")
+def lint_pages(spark, folder):
+    tail = PAGE_TAIL.format(c="||")
+    pages = table(spark, folder, "pages").selectExpr("page_id", "page_id div 10 as bundle_id", "true as structured", "'' as base", f"concat(html, {tail}) as html")
+    bundle = pages.select("bundle_id").distinct()
+    files = bundle.select("bundle_id", F.explode(F.array(*[F.lit(x) for x in ("img/a.png", "doc.pdf", "page2.html", "css/0.css")])).alias("path"))
+    sheets = {"css/0.css": "p{}", "css/1.css": "", "css/9.css": 'a{}\nb{background:url(http://e.example/y)}\n@import "z";'}
+    css = bundle.select("bundle_id", F.explode(F.create_map(*[F.lit(x) for kv in sheets.items() for x in kv])).alias("path", "text"))
+    return op.lint_pages(pages, files, css)
 
 
 @query("html_refs", r"""select distinct page_id, regexp_replace(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*"[^"]*"')), '(?i)^(?:href|src)\s*=\s*"|"$', '', 'g') as ref from pages""")

@@ -36,11 +36,23 @@ def expire_interrupted(spark, folder):
     return op.expire_interrupted(op.draft_lifecycle(fx.life(spark, folder))).select("draft_id", "status", "error_message")
 
 
-@query("latest_drafts", RUN_SQL + ", t as (select draft_id, max(event_id) as created_at from life group by draft_id) select draft_id, status, created_at from final join t using (draft_id) where status not in ('', 'DISCARDED') order by created_at desc, draft_id limit 50")
+#: The same without the discards of every other draft.
+KEPT_SQL = RUN_SQL.replace("as i from life)", "as i from life where event <> 'discard' or draft_id % 2 = 1)")
+
+
+@query("latest_drafts", KEPT_SQL + ", t as (select draft_id, max(event_id) as created_at from life group by draft_id) select draft_id, status, created_at from final join t using (draft_id) where status not in ('', 'DISCARDED') order by created_at desc, draft_id limit 50")
 def latest_drafts(spark, folder):
     events = fx.life(spark, folder)
     created = events.groupBy("draft_id").agg(F.max("event_id").alias("created_at"))
-    return op.latest_drafts(op.draft_lifecycle(events).join(created, "draft_id")).select("draft_id", "status", "created_at")
+    return op.latest_drafts(op.draft_lifecycle(events.where("event <> 'discard' or draft_id % 2 = 1")).join(created, "draft_id")).select("draft_id", "status", "created_at")
+
+
+@query("settled_drafts", RUN_SQL + " select draft_id, status, case when status <> 'DISCARDED' then 'pdf' || cast(draft_id as varchar) end as pdf from final where status <> ''")
+def settled_drafts(spark, folder):
+    """Drafts after their events; a discarded one has no pdf any more."""
+    states = op.draft_lifecycle(fx.life(spark, folder))
+    drafts = states.selectExpr("draft_id", "cast(concat('pdf', draft_id) as binary) as pdf_content")
+    return op.settled(drafts, states).select("draft_id", "status", F.col("pdf_content").cast("string").alias("pdf"))
 
 
 @query("guarded_transition", """with e as (select event_id, case event_id % 6 when 0 then 'QUEUED' when 1 then 'RUNNING' when 2 then 'DRAFT' when 3 then 'FAILED' when 4 then 'DISCARDED' else 'QUEUED' end as state,
@@ -88,5 +100,17 @@ def upsert_pdf(spark, folder):
 
 @query("answer_events", """select event_id, case when event_type = 'error' then 'bad-json' when event_type = 'signup' then 'unknown-type' when event_type = 'view' then 'missing-field' end as error from events""")
 def answer_events(spark, folder):
-    lines = table(spark, folder, "events").selectExpr("event_id", """case event_type when 'error' then '{"type":' when 'signup' then '{"type":"x"}' when 'view' then '{"type":"delta"}' when 'click' then '{"type":"done"}' else concat('{"type":"delta","text":"t', event_id, '"}') end as line""")
+    lines = table(spark, folder, "events").selectExpr("event_id", """case event_type when 'error' then '{"type":' when 'signup' then '{"type":"x"}' when 'view' then '{"type":"delta"}' when 'click' then '{"type":"done","message_id":"m","created_at":"now"}' else concat('{"type":"delta","text":"t', event_id, '"}') end as line""")
     return ingest.parse_answer_events(lines).select("event_id", "error")
+
+
+@query("answer_event_types", """select event_id, case event_id % 12 when 0 then null when 1 then 'missing-field' when 2 then 'missing-field' when 3 then 'bad-json' when 4 then 'missing-field' when 5 then 'missing-field'
+  when 6 then null when 7 then 'missing-field' when 8 then 'not-an-event' when 9 then 'unknown-type' when 10 then null when 11 then 'missing-field' end as error,
+  case when event_id % 12 in (0, 10) then 'x' || cast(event_id as varchar) end as text from events""")
+def answer_event_types(spark, folder):
+    """Fields of other JSON types than their event's, and what follows the value."""
+    lines = table(spark, folder, "events").selectExpr("event_id", r"""element_at(array(
+      concat('{"type":"delta","text":"x', event_id, '"}'), '{"type":"delta","text":5}', '{"type":"error","detail":true}', '{"type":"delta","text":"x"} trailing', '{"type":"done","message_id":"m"}', '{"type":"done","message_id":1,"created_at":"t"}',
+      '{"type":"manual_references","manual_references":[{"document_title":"t","document_id":"d","similarity":1,"content":"c","has_pdf":false}]}', '{"type":"manual_references","manual_references":[{"document_title":"t","document_id":"d","similarity":"1","content":"c","has_pdf":false}]}',
+      '[1]', '{"type":7}', concat('  {"type":"delta","text":"x', event_id, '"}  '), '{"type":"manual_references"}'), cast(event_id % 12 as int) + 1) as line""")
+    return ingest.parse_answer_events(lines).select("event_id", "error", F.col("event.text").alias("text")).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))

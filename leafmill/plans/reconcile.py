@@ -47,7 +47,7 @@ def apply_corrections(spark, folder):
 
 
 RECHECK_SQL = "with " + SEGMENTS_SQL + r""", sq as (select *, regexp_replace(regexp_replace(regexp_replace(final_text, '[|*_`#>~]', '', 'g'), '\.{2,}', '', 'g'), '\s+', '', 'g') as c,
-  regexp_replace(regexp_replace(regexp_replace(primary_text, '[|*_`#>~]', '', 'g'), '\.{2,}', '', 'g'), '\s+', '', 'g') as p from done where doc_id not in (select doc_id from documents where regexp_matches(text, '[^\x00-\x7F]'))),
+  regexp_replace(regexp_replace(regexp_replace(primary_text, '[|*_`#>~]', '', 'g'), '\.{2,}', '', 'g'), '\s+', '', 'g') as p from done),
 pg as (select doc_id, regexp_replace(regexp_replace(regexp_replace(case doc_id % 3 when 0 then text when 1 then replace(text, chr(10), ' y') end, '[|*_`#>~]', '', 'g'), '\.{2,}', '', 'g'), '\s+', '', 'g') as page from documents),
 ev as (select sq.*, case when length(c) >= 3 and length(page) >= 20 then contains(page, c) end as in_c, case when length(p) >= 3 and length(page) >= 20 then contains(page, p) end as in_p from sq left join pg using (doc_id)),
 v as (select *, case when status <> 'auto_corrected' or trim(primary_text) = '' then 'none' when coalesce(in_c, false) and not coalesce(in_p, false) then 'layer-keep' when coalesce(in_p, false) and not coalesce(in_c, false) then 'layer-cancel'
@@ -56,14 +56,12 @@ v as (select *, case when status <> 'auto_corrected' or trim(primary_text) = ''
 
 @query("recheck", RECHECK_SQL + " select doc_id, pos, basis, case basis when 'layer-cancel' then 'match' when 'language-cancel' then 'needs_review' else status end as status, case when basis in ('layer-cancel', 'language-cancel') then primary_text else final_text end as final_text from v")
 def recheck(spark, folder):
-    docs = table(spark, folder, "documents")
-    plain = docs.where(r"not text rlike '[^\\x00-\\x7F]'").select("doc_id")
-    return _rechecked(docs, _corrected(spark, folder).join(plain, "doc_id", "left_semi"))
+    return _rechecked(table(spark, folder, "documents"), _corrected(spark, folder))
 
 
 @query("recheck_all")
 def recheck_all(spark, folder):
-    """Of all documents; SQL has no NFKC, so recheck alone, of those in ASCII, is checked by SQL."""
+    """The same, under the name by which the tests know it."""
     return _rechecked(table(spark, folder, "documents"), _corrected(spark, folder))
 
 
@@ -86,9 +84,9 @@ def assemble_page(spark, folder):
     return op.assemble_page(_corrected(spark, folder))
 
 
-@query("assemble_draft", """select doc_id % 50 as draft_id, string_agg('## PDF ' || cast(doc_id as varchar) || 'ページ目' || chr(10) || chr(10) || (case when doc_id % 7 = 0 then '（このページはテキストを検出できませんでした）' else text end) || chr(10), chr(10) order by doc_id) as markdown from documents group by 1""")
+@query("assemble_draft", """select doc_id // 50 as draft_id, string_agg('## PDF ' || cast(doc_id as varchar) || 'ページ目' || chr(10) || chr(10) || (case when doc_id % 7 = 0 then '（このページはテキストを検出できませんでした）' else text end) || chr(10), chr(10) order by doc_id) as markdown from documents group by 1""")
 def assemble_draft(spark, folder):
-    return op.assemble_draft(table(spark, folder, "documents").selectExpr("doc_id % 50 as draft_id", "doc_id as page", "if(doc_id % 7 = 0, ' ', text) as text"))
+    return op.assemble_draft(table(spark, folder, "documents").selectExpr("doc_id div 50 as draft_id", "doc_id as page", "if(doc_id % 7 = 0, ' ', text) as text"))
 
 
 @query("locate_segments", """with m as (select doc_id, '## PDF 1ページ目' || chr(10) || chr(10) || text as md, text from documents), s as (select doc_id, md, trim(substring(text, 1, 30), ' ' || chr(10)) as needle, doc_id % 3 = 0 as lost from m)
@@ -123,6 +121,19 @@ def clean_markup(spark, folder):
     return pages.select("page_id", op.clean_markup(F.col("text")).alias("text"))
 
 
+@query("page_diff_rebuilt", "with " + fx.READING_SQL.strip() + " select doc_id, text as primary_text, doc_id % 3 <> 1 or not regexp_matches(text, '\\bthe\\b') as alike from ocr where regexp_matches(text, '[A-Za-z]')")
+def page_diff_rebuilt(spark, folder):
+    """The primary texts of each document's segments in order, which are its reading, and whether all of them match."""
+    segments = op.page_diff(fx.readings(spark, folder).where("text rlike '[A-Za-z]'"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "primary_text"))), lambda s: s["primary_text"])
+    return segments.groupBy("doc_id").agg(F.array_join(parts, "").alias("primary_text"), F.min("is_match").alias("alike"))
+
+
+@query("clean_documents", f"""with {fx.MARKDOWN_SQL} select doc_id, '① a b' || chr(10) || (case when doc_id % 4 = 1 then replace(text, chr(10) || '| --- | --- |' || chr(10), chr(10) || '| --- | --- | --- |' || chr(10)) else text end) as text from md""")
+def clean_documents(spark, folder):
+    return op.clean_documents(fx.markdown(spark, folder).selectExpr("doc_id", r"concat('$\\textcircled{1}$ a <br/> b\n', text) as text"))
+
+
 @query("choose_reading", """select doc_id, 1 as page, case when doc_id % 5 = 0 then 'a' || cast(doc_id as varchar) else 'p' end as primary_text,
   case when doc_id % 5 = 0 then 'a' || cast(doc_id as varchar) when doc_id % 5 = 1 then 'a' || cast(doc_id as varchar) when doc_id % 5 = 2 then 's' when doc_id % 5 = 3 then 'v' else 'p' end as alternate_text, doc_id % 5 in (0, 4) as review from documents""")
 def choose_reading(spark, folder):

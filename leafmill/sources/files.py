@@ -52,7 +52,8 @@ def read_pdf_blobs(spark: SparkSession, path: str, most: int = PDF_BYTES) -> tup
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """(bundle_id, path, length, content, kind): each folder under ``path`` is a bundle; its own name, hidden and module folders are left out."""
     files = _files(spark, path).select("path", "length", "content")
-    inside = files.withColumn("path", F.regexp_replace("path", "^.*?" + path.rstrip("/").split("://")[-1].rstrip("/") + "/", ""))
+    root = path.rstrip("/").split("://")[-1].rstrip("/") + "/"
+    inside = files.withColumn("path", F.substring("path", F.position(F.lit(root), F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))) + len(root), F.length("path")))
     inside = inside.withColumn("bundle_id", F.split("path", "/", -1)[0])
     kept = bundles.bundle_paths(inside)
     too_many = bundles.size_guard(kept).where("too_many").select("bundle_id")
@@ -65,4 +66,4 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 def read_answer_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A stream of JSON lines as good events and as errors with a preview."""
     parsed = ingest.parse_answer_events(spark.readStream.text(path).withColumnRenamed("value", "line"))
-    return parsed.where("error is null").select("event.*").drop("bad"), parsed.where("error is not null").select("error", "preview")
+    return parsed.where("error is null").select("event.*"), parsed.where("error is not null").select("error", "preview")

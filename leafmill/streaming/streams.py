@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -38,30 +38,36 @@ def draft_lifecycle(events: DataFrame) -> DataFrame:
 
 
 class _Answer(StatefulProcessor):
-    """The deltas of one message until it is done; the end clears the state and a blank or failed answer gives nothing."""
+    """The references and deltas of one message until it is done; the end clears the state and a blank or failed answer gives nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.deltas = handle.getListState("deltas", StructType([StructField("part", StringType())]))
+        self.references = handle.getValueState("references", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq")
+        for told in events.loc[events.kind == "references", "text"]:
+            if not self.references.exists():  # once for a message; the first ones count
+                self.references.update((told,))
         new = [(t,) for t in events.loc[events.kind == "delta", "text"]]
         if new:
             self.deltas.appendList(new)
         kinds = set(events.kind)
         if kinds & {"done", "error"}:
             text = "".join(p[0] or "" for p in self.deltas.get()) if self.deltas.exists() else ""
+            references = self.references.get()[0] if self.references.exists() else None
             self.deltas.clear()
+            self.references.clear()
             if "error" not in kinds and text.strip():
-                yield pd.DataFrame({"message_id": [key[0]], "answer": [text]})
+                yield pd.DataFrame({"message_id": [key[0]], "answer": [text], "manual_references": [references]})
 
     def close(self) -> None:
         pass
 
 
 def answer_stream(events: DataFrame) -> DataFrame:
-    """(message_id, answer) once a message is done. events: message_id, seq, kind, text."""
-    return events.groupBy("message_id").transformWithStateInPandas(statefulProcessor=_Answer(), outputStructType="message_id long, answer string", outputMode="Append", timeMode="None")
+    """(message_id, answer, manual_references) once a message is done. events: message_id, seq, kind (references, delta, done or error), text."""
+    return events.groupBy("message_id").transformWithStateInPandas(statefulProcessor=_Answer(), outputStructType="message_id long, answer string, manual_references string", outputMode="Append", timeMode="None")
 
 
 def debounce_latest(edits: DataFrame, quiet: str = "1.5 seconds", late: str = "10 seconds") -> DataFrame:
@@ -74,7 +80,9 @@ def debounce_latest(edits: DataFrame, quiet: str = "1.5 seconds", late: str = "1
 def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int = 64):
     """Start a query that chunks and embeds each micro-batch of documents (doc_id, text) into ``folder``, a folder for each batch.
 
-    A batch that is run again replaces its own folder, so each document's chunks are there once.
+    A batch that is run again replaces its own folder, so each document's chunks are there once in a
+    batch; ``read_ingested`` gives those of the last batch that has any of the document, so a document
+    that is registered again is replaced, and one without a chunk leaves what was there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,3 +90,10 @@ def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, dim: int =
         chunks.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return documents.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of each document's last registration."""
+    chunks = spark.read.parquet(folder)
+    last = chunks.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return chunks.join(last, ["doc_id", "batch"], "left_semi").drop("batch")

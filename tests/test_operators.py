@@ -174,6 +174,74 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     for _ in range(2):
         streams.ingest_stream(spark.readStream.schema(source.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["【A】\nx"]
+    docs(spark, "## A\ny", "new").write.mode("append").parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(7, " ")], source.schema).write.mode("append").parquet(str(tmp_path / "docs"))
+    streams.ingest_stream(spark.readStream.schema(source.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted((r.doc_id, r.content) for r in streams.read_ingested(spark, str(tmp_path / "out")).collect()) == [(0, "【A】\ny"), (1, "new")]
+
+
+def test_answers_carry_their_references(spark, tmp_path):
+    from leafmill.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = spark.createDataFrame([(1, 0, "references", "[1]"), (1, 1, "references", "[2]"), (1, 2, "delta", "a"), (1, 3, "done", None), (2, 0, "delta", "b"), (2, 1, "done", None), (3, 0, "references", "[3]")], "message_id long, seq long, kind string, text string")
+    events.repartition(1).write.parquet(str(tmp_path / "in"))
+    q = streams.answer_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("refs").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("refs").collect()} == {(1, "a", "[1]"), (2, "b", None)}
+
+
+def test_published_versions(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        ingest.read_published(spark, folder)
+    for text in ("first", "second"):
+        ingest.publish(docs(spark, text), folder)
+        assert [r.text for r in ingest.read_published(spark, folder).collect()] == [text]
+
+
+def test_answer_events_of_wrong_types(spark):
+    cases = {'{"type":"delta","text":5}': "missing-field", '{"type":"error","detail":true}': "missing-field", '{"type":"delta","text":"x"} trailing': "bad-json", '{"type":"delta","text":"x"},{}': "bad-json", '{"type":"delta","text":""}': None, "7": "not-an-event", '{"type":"manual_references","manual_references":null}': None, '{"type":"manual_references","manual_references":[1]}': "missing-field", '{"type":"done","message_id":"m","created_at":"c"}': None}
+    got = {r.line: r.error for r in ingest.parse_answer_events(spark.createDataFrame([(c,) for c in [*cases, "  "]], "line string")).collect()}
+    assert got == cases
+
+
+def test_search_keeps_repeated_questions_and_passes_over_odd_vectors(spark):
+    chunks = spark.createDataFrame([(i, i % 7, i, [math.cos(i / 9), math.sin(i / 9)], None) for i in range(40)] + [(100, 1, 0, None, None), (101, 1, 0, [0.0, 0.0], None), (3, 9, 3, [math.cos(3 / 9), math.sin(3 / 9)], ["t"])], "chunk_id long, document_id long, chunk_index long, embedding array<double>, tags array<string>")
+    asked = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (None, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [])]
+    queries = spark.createDataFrame([(q, v, None) for q, v in asked], "query_id long, embedding array<double>, wanted array<string>")
+    rows = lambda df: sorted((str(r.query_id), r["rank"], r.chunk_id, r.document_id, round(r.similarity, 9)) for r in df.collect())
+    whole = rows(retrieval.search(queries, chunks, 3))
+    assert len(whole) == 12 and rows(retrieval.search(queries, chunks, 3, block=1)) == whole
+    best = rows(retrieval.best_chunk_per_document(queries, chunks, 3, None))
+    assert len(best) == 12 and rows(retrieval.best_chunk_per_document(queries, chunks, 3, None, block=2)) == best
+
+
+def test_one_failing_row_is_its_own_error(spark):
+    def model(pdf):
+        if (pdf.text == "bad").any():
+            raise ValueError("bad row")
+        return list(pdf.text)
+
+    got = {r.doc_id: (r.body, r.error) for r in ingest.model_rows(docs(spark, "a", "bad", "c").coalesce(1), model).collect()}
+    assert got == {0: ("a", None), 1: (None, "bad row"), 2: ("c", None)}
+
+
+def test_diagrams_with_the_other_mark_inside(spark):
+    text = "```\n~~~\n```\n```mermaid show=both\ngraph\n~~~\n```\n~~~mermaid\nopen"
+    assert {(r.source, r.view) for r in markdown.diagram_blocks(docs(spark, text)).collect()} == {("graph\n~~~", "both"), ("open", "diagram")}
+
+
+def test_bundle_ids_of_odd_folders(spark, tmp_path):
+    (tmp_path / "a+b" / "one").mkdir(parents=True)
+    (tmp_path / "a+b" / "one" / "x.md").write_text("x")
+    assert [(r.bundle_id, r.path) for r in files.read_bundles(spark, str(tmp_path / "a+b")).collect()] == [("one", "x.md")]
+
+
+def test_escaped_backticks(spark):
+    cases = {r"\`a `b` c": r"\`a   c", r"a `\` b": "a   b", r"\`` x `` y`": "\\` ", r"\\`a`": r"\\ ", r"``a\`b`` \`": r"  \`", "\\": "\\"}
+    got = {r.text: r.m for r in docs(spark, *cases).select("text", markdown.mask_inline_code(F.col("text")).alias("m")).collect()}
+    assert got == cases
 
 
 def test_names(spark):
