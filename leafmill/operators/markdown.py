@@ -63,12 +63,26 @@ def table_starts(lines: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.sum("opens").over(w)).where("is_row").drop("opens", "is_row")
 
 
+def _is_table(first: Column, second: Column) -> Column:
+    """Whether the second line is a delimiter row of as many cells as the first has."""
+    return F.coalesce(is_delimiter(second) & (F.size(split_cells(first)) == F.size(split_cells(second))), F.lit(False))
+
+
+def _has_odd_run(text: Column) -> Column:
+    """Whether a text has a run of lines that start with a pipe but are no table, inside fences or not."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?m)(?:^[^\S\n]*\|[^\n]*(?:\n|\z))+"), 0)
+    return F.coalesce(F.exists(F.transform(runs, lambda r: F.split(r, "\n", -1)), lambda ls: ~_is_table(ls[0], F.get(ls, F.lit(1)))), F.lit(False))
+
+
 def broken_tables(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, excerpt) of runs of table lines that are no table: the second must be a delimiter row of as many cells."""
-    rows = table_starts(line_table(docs))
+    """(doc_id, line, excerpt) of runs of table lines that are no table: the second must be a delimiter row of as many cells.
+
+    Only documents with such a run are cut into lines.
+    """
+    rows = table_starts(line_table(docs.where(_has_odd_run(F.col("text")))))
     w = Window.partitionBy("doc_id", "run").orderBy("n")
     runs = rows.withColumns({"nth": F.row_number().over(w), "second": F.lead("line").over(w)}).where("nth = 1")
-    valid = F.coalesce(is_delimiter(F.col("second")) & (F.size(split_cells(F.col("line"))) == F.size(split_cells(F.col("second")))), F.lit(False))
+    valid = _is_table(F.col("line"), F.col("second"))
     looks = F.col("second").isNotNull() | (F.size(split_cells(F.col("line"))) >= 2)
     trimmed = strip(F.col("line"))
     return runs.where(looks & ~valid).select("doc_id", F.col("n").alias("line"), F.when(F.length(trimmed) > 40, F.concat(F.left(trimmed, F.lit(40)), F.lit("…"))).otherwise(trimmed).alias("excerpt"))
@@ -113,8 +127,12 @@ def group_warnings(found: DataFrame) -> DataFrame:
 
 
 def lint_markdown(docs: DataFrame, displayable: DataFrame | None = None) -> DataFrame:
-    """Warnings (doc_id, code, lines) of four codes. displayable: (doc_id, ref) of images that can be shown."""
-    lines = line_table(docs)
+    """Warnings (doc_id, code, lines) of four codes. displayable: (doc_id, ref) of images that can be shown.
+
+    Only documents that hold what a code looks for are cut into lines.
+    """
+    some = F.col("text").rlike(r"<[A-Za-z/!]|!\[|\A---")
+    lines = line_table(docs.where(some))
     front = front_matter(lines)
     text = fence_state(lines).where("not in_fence").join(front, "doc_id", "left").where("until is null or n > until").where(~F.col("line").rlike(PAGE_BREAK))
     text = text.withColumn("prose", mask_inline_code(F.col("line")))
@@ -134,8 +152,17 @@ def _joined(cells: Column) -> Column:
 def repair_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with headers and delimiter rows of tables in agreement, and notes between them moved below.
 
-    A header longer than its delimiter row loses cells without content, or the delimiter row grows; valid tables stay as they are.
+    A header longer than its delimiter row loses cells without content, or the delimiter row grows; valid
+    tables stay as they are. Only documents with a longer header, or a line that may be such a note, are
+    cut into lines; the others pass as they are. A null text has no row.
     """
+    pairs = F.regexp_extract_all("text", F.lit(r"(?m)^[^\S\n]*\|[^\n]*\n[^\S\n]*\|(?:[^\S\n]|[|:\\-])*$"), 0)
+    longer = F.exists(F.transform(pairs, lambda p: F.split(p, "\n", -1)), lambda ls: F.size(split_cells(ls[0])) > F.size(split_cells(ls[1])))
+    marked = docs.where("text is not null").select("doc_id", "text", (longer | F.col("text").rlike(r"(?m)^[^\S\n]*[^|\s][^\n]*\|[^\S\n]*$")).alias("odd"))
+    return marked.where("not odd").select("doc_id", "text").unionByName(_repaired(marked.where("odd").select("doc_id", "text")))
+
+
+def _repaired(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("n")
     lines = fence_state(line_table(docs)).withColumns({"row": _starts_table(F.col("line")), "delim": is_delimiter(F.col("line"))})
     lines = lines.withColumn("wedged", ~blank(F.col("line")) & ~F.col("row") & F.endswith(strip(F.col("line")), F.lit("|")) & ~F.col("is_fence"))
