@@ -132,7 +132,7 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.
     shingles themselves.
     """
     out = np.zeros(len(xs), dtype=bool)
-    for start, stop in _blocks([x if len(x) > len(y) else y for x, y in zip(xs, ys)], BLOCK * 16):
+    for start, stop in _blocks([x if len(x) > len(y) else y for x, y in zip(xs, ys)], BLOCK * 4):
         pairs, keys = stop - start, []
         for side in (xs, ys):
             hashed, held = _shingle_hashes(side[start:stop])
@@ -176,7 +176,7 @@ def possible_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, similarity: f
     if len(x) * len(y) <= 32:
         return np.repeat(x, len(y)), np.tile(y, len(x)), np.ones(len(x) * len(y))
     counts, maps = np.zeros(len(lines)), np.zeros((len(lines), MAP_BITS), dtype=np.float32)
-    for start, stop in _blocks(lines, BLOCK * 16):
+    for start, stop in _blocks(lines, BLOCK * 4):
         hashed, held = _shingle_hashes(lines[start:stop])
         of = np.repeat(np.arange(stop - start), held)
         counts[start:stop] = np.bincount(_tagged(of, hashed) >> _HASH_BITS, minlength=stop - start)
