@@ -67,29 +67,61 @@ def gram_hashes(codes: Column) -> Column:
     return let(four, twelve)
 
 
-def point_keys(text: Column) -> Column:
-    """Hash and position, as one long, of the code points without white space from each one on."""
+def solid(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\p{Z}]+", "")
+
+
+def point_keys(points: Column) -> Column:
+    """Hash and position, as one long, of the code points (without white space) from each one on."""
 
     def of(codes: Column) -> Column:
         whole = F.aggregate(codes, F.lit(1).cast("long"), lambda h, c: (h * F.lit(BASE) + c) % F.lit(PRIME))
         long_enough = F.size(codes) >= GRAM_POINTS
         return F.when(long_enough, F.transform(gram_hashes(codes), key)).otherwise(F.array(key(whole, F.lit(0))))
 
-    solid = F.regexp_replace(text, r"[\s\p{Z}]+", "")
     codes = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long"))
-    return let(solid, lambda t: F.when(t == "", F.array().cast("array<long>")).otherwise(let(codes(t), of)))
-
+    return let(points, lambda t: F.when(t == "", F.array().cast("array<long>")).otherwise(let(codes(t), of)))
 
-def winnow_points(text: Column) -> Column:
-    """The kept hashes of code points with their positions, in order of position."""
 
+def _winnow(points: Column) -> Column:
     def of(keys: Column) -> Column:
         minima, width = keys, 1
         while width < WINDOW_POINTS:
             minima, width = _beside(minima, width, lambda x, y: F.least(x, y)), 2 * width
         return F.when(F.size(keys) > WINDOW_POINTS, F.array_distinct(minima)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
 
-    return let(point_keys(text), of)
+    return let(point_keys(points), of)
+
+
+def winnow_points(text: Column) -> Column:
+    """The kept hashes of code points with their positions, in order of position."""
+    return _winnow(solid(text))
+
+
+def winnow_joined(head: Column, rest: Column, kept: Column, rest_kept: Column) -> Column:
+    """``winnow_points`` of head and rest joined, both without white space.
+
+    ``kept`` is that of a text that begins with head, ``rest_kept`` of one that begins with rest. Whether a
+    hash is kept depends on the 15 hashes on either side alone: away from the seam and the end it is as in
+    those texts, and only some tens of code points there are hashed again.
+    """
+    reach = WINDOW_POINTS - 1
+    near, wide = GRAM_POINTS + reach, GRAM_POINTS + 2 * reach
+
+    def joined(points: Column) -> Column:
+        a, b, n = F.length(head), F.length(rest), F.length(points)
+        between = lambda ks, first, last: F.filter(ks, lambda k: (position(k) >= first) & (position(k) <= last))
+        moved = lambda ks, by: F.transform(ks, lambda k: k - by)
+
+        def again(low: Column, high: Column, first: Column, last: Column) -> Column:
+            return let(F.greatest(low, F.lit(0)), lambda lo: between(moved(_winnow(F.substring(points, lo + 1, high - lo)), lo), first, last))
+
+        before, after = between(kept, F.lit(0), a - near), moved(between(rest_kept, F.lit(reach), b - near), a)
+        seam, end = again(a - wide, a + wide, a - near + 1, a + reach - 1), again(n - wide, n, n - near + 1, n)
+        short_rest = F.concat(before, again(a - wide, n, a - near + 1, n))
+        return F.when(n < 2 * wide, _winnow(points)).when(b <= 2 * wide, short_rest).otherwise(F.concat(before, seam, after, end))
+
+    return let(F.concat(head, rest), joined)
 
 
 def position(key: Column) -> Column:
@@ -143,17 +175,16 @@ def with_next(docs: DataFrame, ranges: int | None = None, **made: Column) -> Dat
     return rows.withColumns({"next": F.lead("text").over(w), **{f"next_{c}": F.lead(c).over(w) for c in made}}).where("late = 0").drop("late", "range")
 
 
-def edited(text: Column, following: Column) -> Column:
-    """The text with the last half of its characters replaced by as many of the next one's first."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    return F.concat(F.left(text, F.length(text) - half), F.left(following, half))
-
-
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, as arrays of hash and position, and how alike they are."""
+    """Fingerprints of every text and of its edited text, as arrays of hash and position, and how alike they are.
+
+    The edited text is the text with the last half of its characters replaced by as many of the next one's first.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(texts, kept=winnow_points(F.col("text"))).withColumn("edited", edited(F.col("text"), F.col("next")))
-    both = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "kept", winnow_points(F.col("edited")).alias("edited_kept"), "next_kept")
+    half = F.floor(F.length("text") / 2).cast("int")
+    pairs = with_next(texts, kept=winnow_points(F.col("text"))).withColumns({"head": F.left("text", F.length("text") - half), "rest": F.left("next", half)})
+    joined = winnow_joined(F.col("head_points"), F.col("rest_points"), F.col("kept"), F.col("next_kept"))
+    both = pairs.withColumns({"head_points": solid(F.col("head")), "rest_points": solid(F.col("rest"))}).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat("head", "rest"), 256).alias("edited_sha256"), "kept", joined.alias("edited_kept"), "next_kept")
     sets = both.withColumns({"h": hashes(F.col("kept")), "eh": hashes(F.col("edited_kept")), "nh": hashes(F.col("next_kept"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", "kept", "edited_kept", likeness(F.col("h"), F.col("eh")).alias("near_edited"), likeness(F.col("h"), F.col("nh")).alias("near_next"))
 

@@ -121,6 +121,26 @@ def test_all_columns_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_edited_texts_of_all_lengths(spark):
+    """The fingerprint of an edited text, made from those of its two texts, is that of the edited text itself."""
+    lengths = [0, 1, 5, 11, 12, 13, 26, 27, 28, 29, 40, 53, 54, 55, 56, 83, 84, 85, 86, 110, 166, 168, 170, 171, 250, 340, 600]
+    texts, x = [], 7
+    for i, n in enumerate(lengths * 3):
+        chars = []
+        while len(chars) < n * (1 + i % 2):
+            x = (x * 1103515245 + 12345) % (1 << 31)
+            chars.append("ab cdé \n你𝔘efg"[(x >> 9) % 13] if i % 3 else "ab "[(x >> 9) % 3])
+        texts.append((hash((i, n)) % 100_003, "".join(chars)))
+    docs = spark.createDataFrame(rows(list(dict(texts).items())), SCHEMA)
+    order = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r for r in winnowing.fingerprint_edits(docs).collect()}
+    for i, (doc_id, t) in enumerate(order):
+        half = len(t) // 2
+        edit = t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]
+        assert got[doc_id].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
+        assert unpacked(got[doc_id].edited_kept) == brute_points(edit), (doc_id, len(t), half)
+
+
 def test_a_character_inserted_in_text_without_spaces(spark):
     """One code point more before a shared passage changes little, and a shared passage of 27 is found at any offset."""
     chinese = "".join(chr(0x4E00 + (i * i * 37 + i * 11) % 5000) for i in range(400))
