@@ -1,7 +1,8 @@
 """Tags that questions mention, and the tag that a question resolves to.
 
-Questions meet tags by an equality: every position of a question where a tag can begin gives a row with
-the characters there, for each length that a tag has. No cross join.
+Questions meet tags by an equality: every position of a question where a tag can begin gives a row for
+each length, up to three, of the first characters there; those of a tag join it, and only then is the
+whole name compared. No cross join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql.types import StringType
 #: Words by which a question asks for a manual itself.
 MANUAL_WORDS = ("マニュアル", "取説", "取扱説明書", "説明書")
 PREFIX_LEAST = 3
+#: First characters by which a name is looked up.
+KEY_CHARS = 3
 
 
 @F.pandas_udf(StringType())
@@ -40,23 +43,19 @@ def mention_join(questions: DataFrame, tags: DataFrame) -> DataFrame:
     questions: question_id, text; tags: tag.
     """
     names = tags.select("tag").distinct().withColumn("name", norm_name(F.col("tag"))).where(F.trim("name") != "")
-    names = names.withColumns({"size": F.length("name")})
-    sizes = sorted(r["size"] for r in names.select("size").distinct().collect())  # lengths of tags: at most 255
-    if not sizes:
-        return questions.sparkSession.createDataFrame([], questions.select("question_id").schema.add("tag", "string").add("start", "int").add("end", "int"))
-    texts = questions.select("question_id", F.split(norm_name(F.col("text")), "").alias("q")).where("size(q) > 0")
-    # One row for each length that some tag has, at each position where a tag can begin: not within a run of ASCII letters and digits.
-    begins = F.expr("filter(sequence(1, size(q)), p -> p = 1 or not (q[p - 1] rlike '^[a-zA-Z0-9]$' and q[p - 2] rlike '^[a-zA-Z0-9]$'))")
-    spans = (
-        texts.select("question_id", "q", F.explode(begins).alias("p"))
-        .select("question_id", "q", "p", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
-        .where("p + size - 1 <= size(q)")
-        .select("question_id", F.expr("array_join(slice(q, p, size), '')").alias("name"), (F.col("p") - 1).alias("start"), (F.col("p") + F.col("size") - 1).alias("end"),
-                F.expr("if(p > 1, q[p - 2], '')").alias("before"), F.expr("coalesce(get(q, p + size - 1), '')").alias("after"))
-    )
+    names = names.withColumn("size", F.length("name")).withColumn("key", F.left("name", F.lit(KEY_CHARS)))
+    longest = names.agg(F.max("size")).first()[0] or 0  # one number
+    texts = questions.select("question_id", norm_name(F.col("text")).alias("q")).where("q <> ''").withColumn("cs", F.split("q", ""))
+    # Not within a run of ASCII letters and digits.
+    begins = F.expr("filter(sequence(1, size(cs)), p -> p = 1 or not (cs[p - 1] rlike '^[a-zA-Z0-9]$' and cs[p - 2] rlike '^[a-zA-Z0-9]$'))")
+    places = F.transform(begins, lambda p: F.struct(p.alias("p"), F.when(p > 1, F.get("cs", p - 2)).otherwise("").alias("before"), F.array_join(F.slice("cs", p, F.lit(longest + 1)), "").alias("rest")))
+    spots = texts.select("question_id", F.explode(places).alias("at")).select("question_id", "at.*")
+    keys = F.array_distinct(F.array(*[F.left("rest", F.lit(n)) for n in range(1, KEY_CHARS + 1)]))
+    met = spots.withColumn("key", F.explode(keys)).join(names.select("tag", "name", "size", "key"), "key").where(F.expr("left(rest, size) = name"))
+    spans = met.select("question_id", "tag", "name", (F.col("p") - 1).alias("start"), (F.col("p") + F.col("size") - 1).alias("end"), "before", F.expr("substring(rest, size + 1, 1)").alias("after"))
     word = "^[a-z0-9A-Z]$"
     edge = lambda c, outside: ~(c.rlike("^[a-zA-Z0-9]") & F.col(outside).rlike(word))
-    found = spans.join(names.select("tag", "name"), "name").where(edge(F.col("name"), "before") & edge(F.reverse("name"), "after")).select("question_id", "tag", "start", "end")
+    found = spans.where(edge(F.col("name"), "before") & edge(F.reverse("name"), "after")).select("question_id", "tag", "start", "end")
     longer = found.select("question_id", F.col("tag").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
     inside = found.join(longer, "question_id").where("other <> tag and s <= start and end <= e and not (s = start and e = end)").select("question_id", "tag", "start", "end").distinct()
     free = found.join(inside, ["question_id", "tag", "start", "end"], "left_anti").select("question_id", "tag").distinct()
