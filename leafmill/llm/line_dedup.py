@@ -41,6 +41,8 @@ BITMAP_BITS = 1 << 24
 MAP_BITS = 1 << 13
 #: Lines of a bucket in a block that one task compares with another block.
 MEET = 512
+#: Pairs of lines that a task holds at once, but for those of one pair of blocks.
+MOST_PAIRS = 50_000
 #: Characters that are signed at once, and lines (whose numbers fit above a hash's bits).
 BLOCK = 1 << 16
 MOST_LINES = 1 << 12
@@ -240,8 +242,8 @@ def banded(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seen: set = set()
-        for batch in batches:
-            lines, node = _distinct_lines(batch.column(0).to_pylist(), seen)
+        for texts in (batch.column(0).slice(k, 2000) for batch in batches for k in range(0, batch.num_rows, 2000)):
+            lines, node = _distinct_lines(texts.to_pylist(), seen)
             for a in range(0, len(lines), SIGNED):
                 key, own, met, several = _met_here(band_keys(signatures(lines[a : a + SIGNED])), node[a : a + SIGNED])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(met, mask=~several)], ["key", "node", "met"])
@@ -298,33 +300,40 @@ def _meet(members: DataFrame, centers: int, texts: DataFrame, similarity: float,
 
         def links(pdf):
             pdf = pdf.reset_index(drop=True)
-            lines = list(pdf.line)
-            side, component = pdf.side.to_numpy(), pdf.component.to_numpy()
-            xs, ys, bounds = [], [], []
+            lines, side, component, node = list(pdf.line), pdf.side.to_numpy(), pdf.component.to_numpy(), pdf.node.to_numpy()
+            pairs: list[tuple] = []
+
+            def found():
+                x, y, bound = map(np.concatenate, zip(*pairs))
+                pairs.clear()
+                order = np.lexsort((component[y], node[x]))
+                new = (np.diff(node[x[order]], prepend=0) != 0) | (np.diff(component[y[order]], prepend=0) != 0)
+                groups = np.empty(len(x), dtype=np.int64)
+                groups[order] = np.cumsum(new)
+                good = first_links(x, y, groups, bound, lines, similarity)
+                p, q = node[x[good]], node[y[good]]
+                return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
             for at in pdf.groupby(["key", "x", "y"], sort=False).indices.values():
                 asking, asked = at[side[at] == 0], at[side[at] == 1]
                 if len(asking) and len(asked):
-                    a, b, bound = possible_pairs([lines[i] for i in at], np.searchsorted(at, asking), np.searchsorted(at, asked), similarity)
-                    a, b = at[a], at[b]
-                    apart = component[a] != component[b]
-                    xs.append(a[apart]), ys.append(b[apart]), bounds.append(bound[apart])
-            if not xs:
-                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-            x, y, bound = np.concatenate(xs), np.concatenate(ys), np.concatenate(bounds)
-            node = pdf.node.to_numpy()
-            _, groups = np.unique(np.stack([node[x], component[y]], axis=1), axis=0, return_inverse=True)
-            good = first_links(x, y, groups.ravel(), bound, lines, similarity)
-            a, b = node[x[good]], node[y[good]]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    x, y, bound = possible_pairs([lines[i] for i in at], np.searchsorted(at, asking), np.searchsorted(at, asked), similarity)
+                    x, y = at[x], at[y]
+                    apart = component[x] != component[y]
+                    pairs.append((x[apart], y[apart], bound[apart]))
+                    if sum(len(p[0]) for p in pairs) > MOST_PAIRS:
+                        yield found()
+            if pairs:
+                yield found()
 
         for pdf in batches:
             pdf = pdf if carried is None else pd.concat([carried, pdf])
             last = (pdf[["key", "x", "y"]] == pdf[["key", "x", "y"]].iloc[-1]).all(axis=1)  # may go on in the next batch
             carried = pdf[last]
             if not last.all():
-                yield links(pdf[~last])
+                yield from links(pdf[~last])
         if carried is not None:
-            yield links(carried)
+            yield from links(carried)
 
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
