@@ -21,7 +21,6 @@ a row; extra columns are ignored by ``predict`` and kept by ``keep_identified``.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -40,7 +39,7 @@ ITERATIONS = 2
 BLOCK = 10_000
 #: Weight of the pooled piece distribution in each language's.
 POOLED = 2000.0
-#: Distinct words that a task counts before it hands the counts on, and that a worker keeps the scores of.
+#: Distinct words that a task counts before it hands the counts on, and that a task keeps the scores of.
 MOST_COUNTED = 150_000
 MOST_WORDS = 300_000
 #: Documents that the pipeline keeps have at least this score.
@@ -224,7 +223,6 @@ class Model:
     """Languages and their piece probabilities."""
 
     def __init__(self, languages: list[str], pieces: list[str], weight: np.ndarray, prior: np.ndarray):
-        self.name = uuid.uuid4().hex
         self.languages, self.pieces, self.weight, self.prior = languages, pieces, weight.astype(np.float32), prior
 
 
@@ -272,16 +270,6 @@ class Scorer:
         return out, np.array([sum(c.values()) for c in counted], dtype=np.int64)
 
 
-#: The scorer of the model that this Python worker used last: its tasks share the words that it has scored.
-_LAST: list = []
-
-
-def _scorer(model: Model) -> Scorer:
-    if not _LAST or _LAST[0] != model.name:
-        _LAST[:] = [model.name, Scorer(model)]
-    return _LAST[1]
-
-
 def train(docs: DataFrame, pieces: list[str], iterations: int = ITERATIONS) -> Model:
     """Fit on the rows with a language and a text."""
     spark = docs.sparkSession
@@ -331,7 +319,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = _scorer(shared.value)
+        scorer = Scorer(shared.value)
         for pdf in batches:
             for a in range(0, len(pdf), 200):
                 part = pdf.iloc[a : a + 200]
@@ -348,7 +336,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
     def run(batches):
         import pyarrow as pa
 
-        scorer = _scorer(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
