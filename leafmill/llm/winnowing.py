@@ -108,8 +108,8 @@ def winnow_joined(head: Column, rest: Column, kept: Column, rest_kept: Column) -
     reach = WINDOW_POINTS - 1
     near, wide = GRAM_POINTS + reach, GRAM_POINTS + 2 * reach
 
-    def joined(points: Column) -> Column:
-        a, b, n = F.length(head), F.length(rest), F.length(points)
+    def joined(points: Column, a: Column, b: Column) -> Column:
+        n = a + b
         between = lambda ks, first, last: F.filter(ks, lambda k: (position(k) >= first) & (position(k) <= last))
         moved = lambda ks, by: F.transform(ks, lambda k: k - by)
 
@@ -121,7 +121,8 @@ def winnow_joined(head: Column, rest: Column, kept: Column, rest_kept: Column) -
         short_rest = F.concat(before, again(a - wide, n, a - near + 1, n))
         return F.when(n < 2 * wide, _winnow(points)).when(b <= 2 * wide, short_rest).otherwise(F.concat(before, seam, after, end))
 
-    return let(F.concat(head, rest), joined)
+    # The lengths are counted once, not for each element that is compared with them.
+    return let(F.length(head), lambda a: let(F.length(rest), lambda b: let(F.concat(head, rest), lambda points: joined(points, a, b))))
 
 
 def position(key: Column) -> Column:
