@@ -74,17 +74,18 @@ def _open_members(active: DataFrame, labels: DataFrame, least: int) -> DataFrame
     ``largest`` is the component with the most members, ``waiting`` the number of members outside it,
     ``members`` that of all.
     """
-    named = active.join(labels, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
+    named = active.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("waiting"), F.sum("n").alias("members"))
     return named.join(mixed.where((F.col("waiting") > 0) & (F.col("members") >= least)), "key")
 
 
-def all_components(star: DataFrame, verify, meet, centers: int) -> DataFrame:
+def all_components(star: DataFrame, verify, meet, centers: int, first: DataFrame | None = None) -> DataFrame:
     """(node, component) by all pairs of a bucket that are links.
 
-    ``star`` has (key, node, center): the buckets, and the member that a node is compared with first.
-    ``verify`` maps pairs (a, b) to those that are links. ``meet`` maps members (key, node, center,
+    ``star`` has (key, node, center) and what else ``meet`` needs: the buckets, and the member that a node is
+    compared with first. ``first`` are the pairs (a, b), a < b, of members with their centers that can be links
+    (unless given, all). ``verify`` maps pairs (a, b) to those that are links. ``meet`` maps members (key, node, center,
     component, waiting, members, chosen) and the number of chosen ones to expect of a bucket to links
     (a, b) of the chosen ones with other components of their bucket; of several links with a component one is enough.
 
@@ -94,7 +95,8 @@ def all_components(star: DataFrame, verify, meet, centers: int) -> DataFrame:
     number chosen grows with each round, so the rounds are few; where members are alike, most are in the
     largest component after the first one. No pair of a bucket stays unchecked whose ends are not connected.
     """
-    first = star.where("node <> center").select(*_ordered("center", "node")).distinct()
+    if first is None:
+        first = star.where("node <> center").select(*_ordered("center", "node")).distinct()
     labels = connected_components(verify(first))
     active, least = star, 3  # the two of a pair have met
     while True:
@@ -105,7 +107,7 @@ def all_components(star: DataFrame, verify, meet, centers: int) -> DataFrame:
         links = written(meet(members, centers), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
-        active, least, centers = members.where("not chosen").select("key", "node", "center"), 2, centers * GROWTH
+        active, least, centers = members.where("not chosen").select(star.columns), 2, centers * GROWTH
 
 
 def with_component(nodes: DataFrame, labels: DataFrame, node: str = "node") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, licenses, line_dedup, packing, simhash, token_files, toxicity, warc, winnowing
+from . import decontamination, jaccard_join, language_id, licenses, line_dedup, merkle, packing, ranked_search, simhash, token_files, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_token_files": token_files.op10_token_files,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 
 ORACLES = {
     "op2_decontamination": decontamination.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_jaccard_join": jaccard_join.ORACLE,
 }
