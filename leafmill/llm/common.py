@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -30,15 +31,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Intermediate tables of this driver that are still there.
+_TABLES: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    Lineage ends here, and a lost executor costs no more than the tasks that it was running.
+    Lineage ends here, and a lost executor costs no more than the tasks that it was running. The table
+    goes by ``discard``, by ``remove_tables``, or when the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not _TABLES:
+        atexit.unregister(remove_tables)
+        atexit.register(remove_tables)
+    _TABLES.add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove intermediate tables that nothing reads any more."""
+    _remove([t.written_to for t in tables])
+
+
+def remove_tables() -> None:
+    """Remove all intermediate tables; results that were not saved by then can no longer be read."""
+    _remove(list(_TABLES))
+
+
+def _remove(paths: list[str]) -> None:
+    _TABLES.difference_update(paths)
+    spark = SparkSession.getActiveSession()
+    if not paths or spark is None or spark.sparkContext._jsc is None:
+        return
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

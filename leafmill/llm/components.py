@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: By how much the number of members that a round compares with all others of their bucket grows.
 GROWTH = 8
@@ -38,14 +38,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rounds.append(points)
         a, b = (points.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         ends = left.join(a, "a").join(b, "b")
-        left = written(ends.select(*_ordered("a_to", "b_to")).where("a < b").distinct(), "edges")
+        last, left = left, written(ends.select(*_ordered("a_to", "b_to")).where("a < b").distinct(), "edges")
+        discard(last)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = rounds[0].select(F.col("a").alias("node"), F.col("to").alias("component"))
     for points in rounds[1:]:  # each later round moves what the one before pointed at
         moved = points.select(F.col("a").alias("component"), F.col("to"))
         labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return written(labels, "labels") if len(rounds) > 1 else labels
+    if len(rounds) > 1:
+        labels = written(labels, "labels")
+        discard(*rounds)
+    return labels
 
 
 def stars(keyed: DataFrame, key: str = "key", node: str = "node") -> DataFrame:
@@ -98,15 +102,18 @@ def all_components(star: DataFrame, verify, meet, centers: int, first: DataFrame
     if first is None:
         first = star.where("node <> center").select(*_ordered("center", "node")).distinct()
     labels = connected_components(verify(first))
-    active, least = star, 3  # the two of a pair have met
+    active, least, past = star, 3, []  # the two of a pair have met
     while True:
         chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(centers)), F.lit(PARTS)) * F.col("waiting") < F.lit(PARTS * centers))
         members = written(_open_members(active, labels, least).withColumn("chosen", chosen), "open-members")
+        discard(*past)
         if members.isEmpty():
             return labels
         links = written(meet(members, centers), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
+        discard(links)
+        past = [members]
         active, least, centers = members.where("not chosen").select(star.columns), 2, centers * GROWTH
 
 

@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import table
 
@@ -234,11 +235,12 @@ def decontaminate(
     if index is None:
         return _decontaminate_by_join(docs, benchmark, remove)
 
+    at = docs.columns.index("text")
+
     def clean(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             hits = [index.value.scan(words(t))[0] for t in texts]
             if remove == "documents":
@@ -247,30 +249,33 @@ def decontaminate(
                 left = [t if h is None else without_spans(t, _spans(h)) for t, h in zip(texts, hits)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots are no names for mapInArrow
+    return numbered.mapInArrow(clean, numbered.schema).toDF(*docs.columns)
 
 
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, remove: str) -> DataFrame:
-    """The same rows as by the broadcast index: a row is judged by its own text, whatever rows share its doc_id."""
+    """The same rows as by the broadcast index: a row is judged by its own text, whatever rows share its doc_id.
+
+    Rows go along as structs, so that no name of theirs can clash.
+    """
     found = _contamination_by_join(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").dropDuplicates(["doc_id", "digest"])
-    found = found.select(F.col("doc_id").alias("__found_id"), F.col("digest").alias("__found_digest"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__digest", _digest())
-    same = F.col("doc_id").eqNullSafe(F.col("__found_id")) & (F.col("__digest") == F.col("__found_digest"))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest"), "spans")
+    rows = docs.select("doc_id", _digest().alias("digest"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("digest") == F.col("found_digest"))
+    column = lambda c: F.col(f"row.`{c}`").alias(c)
     if remove == "documents":
-        return keyed.join(found, same, "left_anti").select(docs.columns)
-
-    columns = docs.columns
+        return rows.join(found, same, "left_anti").select(*map(column, docs.columns))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            rows = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
-            left = [t if spans is None else without_spans(t, [(x["first"], x["last"]) for x in spans]) for t, spans in rows]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type)).select(columns)
+            left = [t if spans is None else without_spans(t, [(x["first"], x["last"]) for x in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["row", "left"])
 
-    return keyed.join(found, same, "left").select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
+    judged = rows.join(found, same, "left").select("row", "text", "spans")
+    schema = StructType([judged.schema["row"], StructField("left", StringType())])
+    return judged.mapInArrow(cut, schema).select(*[F.col("left").alias(c) if c == "text" else column(c) for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -341,18 +341,19 @@ def op13_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE = r"""
-with recursive words as (
+with recursive words as materialized (
     select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents
-), sets as (
+), sets as materialized (
     select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
         else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s
     from words
 ), tokens as materialized (select r, unnest(s) as t from sets
-), links as materialized (
-    select x.r as a, y.r as b from tokens x join tokens y on x.t = y.t join sets p on p.r = x.r join sets q on q.r = y.r
-    where x.r <> y.r group by x.r, y.r having 100 * count(*) >= 85 * (any_value(len(p.s)) + any_value(len(q.s)) - count(*))
+), sizes as materialized (select r, len(s) as n from sets
+), pairs as materialized (select x.r as a, y.r as b, count(*) as shared from tokens x join tokens y on x.t = y.t where x.r < y.r group by x.r, y.r
+), linked as materialized (select a, b from pairs join sizes p on p.r = a join sizes q on q.r = b where 100 * shared >= 85 * (p.n + q.n - shared)
+), links as materialized (select a, b from linked union all select b, a from linked
 ), reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
-select s.doc_id, cast(any_value(len(s.s)) as bigint) as n_shingles, least(s.doc_id, min(o.doc_id)) as component_id
-from sets s left join reach on reach.a = s.r left join sets o on o.r = reach.b
+select s.doc_id, cast(any_value(n.n) as bigint) as n_shingles, least(s.doc_id, min(o.doc_id)) as component_id
+from words s join sizes n on n.r = s.r left join reach on reach.a = s.r left join words o on o.r = reach.b
 group by s.r, s.doc_id
 """

@@ -146,18 +146,17 @@ def _digest() -> Column:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, one row of each group: that with the smallest (doc_id, digest of the text), null ids last.
 
-    Of rows that are equal in both, one stays.
+    Of rows that are equal in both, one stays. Rows go along as structs, so that no name of theirs can clash.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text")
-    prints = written(_prints(own, "doc_id long, digest string, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    prints = written(_prints(rows.select("doc_id", "digest", F.col("row.text").alias("text")), "doc_id long, digest string, fp long"), "fingerprints")
     repeats = prints.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")
     keepers = repeats.join(groups(prints), "fp").groupBy("component").agg(F.min(rank).alias("k"))
-    keepers = keepers.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.digest").alias("__kept_digest"), F.col("k.n").alias("__n"))
-    found = docs.withColumn("__digest", _digest()).withColumn("__id", F.col("doc_id").cast("long"))
-    kept = found.join(keepers, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")))
-    once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__kept_id", "__kept_digest"])
-    return once.unionByName(more).select(docs.columns)
+    keepers = keepers.select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"), F.col("k.n").alias("n"))
+    kept = rows.join(keepers, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    once, more = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["kept_id", "kept_digest"])
+    return once.unionByName(more).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

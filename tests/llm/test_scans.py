@@ -5,6 +5,7 @@ import re
 
 import pytest
 from documents import SCHEMA, awkward, empty, prose, rows
+from pyspark.sql import functions as F
 
 from leafmill.llm import decontamination, warc, winnowing
 from leafmill.llm.common import new_path
@@ -48,6 +49,17 @@ def test_contamination(spark, bound):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(x[0] for x in want if not x[2])
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_columns_of_any_name_stay(spark, bound, remove):
+    docs = contaminated(spark)
+    for c in ("digest", "found_id", "__digest", "__spans", "spans", "row", "left", "a.b"):
+        docs = docs.withColumn(c, F.lit(c))
+    kept = decontamination.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), remove, bound)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[-8:] for r in kept.collect()} == {("digest", "found_id", "__digest", "__spans", "spans", "row", "left", "a.b")}
+
+
 def test_removed_spans(spark):
     docs, bench = contaminated(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     left = decontamination.decontaminate(docs, bench, "spans")

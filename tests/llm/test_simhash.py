@@ -1,4 +1,5 @@
 from documents import SCHEMA, awkward, empty, prose, rows
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from leafmill.llm import simhash
@@ -52,6 +53,15 @@ def test_one_row_of_each_group(spark):
     assert simhash.deduplicate(empty(spark)).collect() == []
 
 
+def test_columns_of_any_name_stay(spark):
+    docs, names = awkward(spark), ("__n", "n", "digest", "kept_id", "__digest", "__id", "row", "fp", "a.b")
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[-len(names) :] for r in kept.collect()} == {names}
+
+
 def test_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
 
