@@ -12,9 +12,11 @@ told by a summary of fixed size: each task reports the shingles that it meets mo
 
 - Lists are kept in blocks of near sizes and positions. Two sets that meet at positions i and j share at
   most the smaller of n - i and m - j shingles; where the largest sizes and smallest positions of two blocks
-  rule a link out, the pair of blocks is skipped as a whole, before any text moves.
-- In a pair of blocks the sets are taken in order of their components, and the overlaps of one with all
-  sets of the other block are derived from those of the one before it: only the shingles in which
+  rule a link out, the pair of blocks is skipped as a whole.
+- Of the pairs that are left, those go whose sketches (how many shingles fall into each class of hashes) show
+  that they share too few; only then do texts move, those of the sets that are left.
+- Where two components meet, the sets of one are taken in order, and the overlaps of one with all
+  sets of the other are derived from those of the one before it: only the shingles in which
   the two differ are looked up, their number permitting.
 - In each list one set (the center) is compared with all; afterwards only sets outside the list's largest component
   are compared further (see ``components``), so that thousands of variants cost few pairs. No pair that
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import megabytes_of, table, written
 from .components import all_components, with_component
+from .line_dedup import BITMAP_BITS, _bitmap
 
 GRAM = 4
 PERCENT = 85
@@ -43,8 +46,11 @@ REPORTED = 1 << 14
 FREQUENT = 1 << 17
 #: Members outside a list's largest component that its first round compares with all.
 CENTERS = 16
-#: Shingles of the sets in a block.
+#: Sets in a block of a list, and shingles of the sets of a component that are compared at once.
+HELD = 256
 BLOCK = 1 << 18
+#: Shingles for each class of a sketch, and classes at most.
+CLASS, CLASSES = 8, 1 << 10
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -76,6 +82,22 @@ def node_of(grams: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(grams.tobytes())).view(np.int64))
 
 
+def sketch(grams: np.ndarray) -> bytes | None:
+    """How many shingles fall into each class of hashes, a power of two of them; None where a count takes more than a byte."""
+    classes = min(CLASSES, 1 << max(0, int(len(grams)) // CLASS).bit_length())
+    counts = np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return counts.astype(np.uint8).tobytes() if len(grams) and counts.max() < 256 else None
+
+
+def most_shared(x: bytes | None, y: bytes | None, n: int, m: int) -> int:
+    """No fewer than the shingles that sets of n and m share, by their sketches."""
+    if x is None or y is None:
+        return min(n, m)
+    a, b = (np.frombuffer(s, dtype=np.uint8).astype(np.int32) for s in (x, y))
+    k = min(len(a), len(b))  # a class of fewer ones holds several of more
+    return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum())
+
+
 def needed(n, m, percent: int = PERCENT):
     """The least overlap of linked sets of n and m shingles."""
     return -((-percent * (n + m)) // (100 + percent))
@@ -106,12 +128,12 @@ class Summary:
 
 
 def measured(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, n, node) of every document, and (token, times) rows of the tasks' summaries."""
+    """(doc_id, text_key, n, node, sketch) of every document, and (token, times) rows of the tasks' summaries."""
 
     def measure(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("times", pa.int64())])
         summary, seen, waiting, size = Summary(REPORTED), set(), [], 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -130,15 +152,15 @@ def measured(docs: DataFrame, gram: int = GRAM) -> DataFrame:
                     seen.clear()
                 own = batch.slice(a, b - a)
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), none, none], schema=schema)
         if waiting:
             summary.add(np.concatenate(waiting))
         items, counts = summary.top()
         none = pa.nulls(len(items), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(items.view(np.int64)), pa.array(counts)], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(items), pa.binary()), pa.array(items.view(np.int64)), pa.array(counts)], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(measure, "doc_id long, text_key long, n long, node long, token long, times long")
+    return own.mapInArrow(measure, "doc_id long, text_key long, n long, node long, sketch binary, token long, times long")
 
 
 def frequent_shingles(reported: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -236,67 +258,134 @@ class Answers:
         return self.known
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, gram: int) -> DataFrame:
-    """(a, b, n, m, both): the sizes of the pairs' sets and of what they share."""
+class _Sets:
+    """The distinct sets that have candidates: their sketches, and their texts when they are asked for."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, nodes: DataFrame, gram: int, percent: int):
+        self.docs, self.gram, self.percent = docs, gram, percent
+        own = sets.join(nodes, "node", "left_semi").groupBy("node")
+        self.known = written(own.agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) whose sketches do not rule a link out, written."""
+        side = lambda c: self.known.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+        percent, kept = self.percent, pairs.columns
+
+        def judge(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                rows = zip(*(batch.column(batch.schema.get_field_index(f"of_{c}")).to_pylist() for c in "ab"))
+                good = [most_shared(x["sketch"], y["sketch"], x["n"], y["n"]) >= needed(x["n"], y["n"], percent) for x, y in rows]
+                yield batch.filter(pa.array(good, pa.bool_())).select(kept)
+
+        schema = ", ".join(f"{c} long" for c in kept)
+        return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(judge, schema), "possible-pairs")
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """(node, text) of the sets in the pairs, each once.
+
+        The scan is told by a bitmap of fixed size which texts may be asked for; the join decides.
+        """
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = written(self.known.join(nodes, "node", "left_semi").select("text_key", F.col("node").alias("of")), "asked-texts")
+        at = F.pmod("text_key", F.lit(BITMAP_BITS))
+        found = self.docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
+        found = found.join(F.broadcast(_bitmap(asked.select(F.col("text_key").alias("node")))), F.floor(at / 64) == F.col("word"))
+        found = found.where(F.expr(f"shiftrightunsigned(bits, cast(pmod(text_key, {BITMAP_BITS}L) % 64 as int)) & 1 = 1"))
+        one_each = found.groupBy("text_key").agg(F.first("text").alias("text"))
+        return written(one_each.join(asked, "text_key").select(F.col("of").alias("node"), "text"), "candidate-texts")
+
+
+def _linked(pairs: DataFrame, sets: _Sets) -> DataFrame:
+    """The pairs (a, b) that are links, each judged by its texts."""
+    possible = sets.possible(pairs)
+    texts, gram, percent = sets.texts(possible), sets.gram, sets.percent
     side = lambda c, text: texts.select(F.col("node").alias(c), F.col("text").alias(text))
-    sides = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+    sides = possible.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
 
-    def count(batches):
+    def judge(batches):
         import pyarrow as pa
 
         at, grams = None, None
         for batch in batches:
-            out = []
+            good = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != at:  # a center's pairs come together
                     at, grams = a, gram_set(x.as_py(), gram)
                 other = gram_set(y.as_py(), gram)
-                out.append((len(grams), len(other), len(np.intersect1d(grams, other, assume_unique=True))))
-            n, m, both = (pa.array(c, pa.int64()) for c in zip(*out)) if out else (pa.array([], pa.int64()),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, m, both], ["a", "b", "n", "m", "both"])
+                good.append(len(np.intersect1d(grams, other, assume_unique=True)) >= needed(len(grams), len(other), percent))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return sides.mapInArrow(count, "a long, b long, n long, m long, both long")
+    return sides.mapInArrow(judge, "a long, b long")
 
 
-def _meet(members: DataFrame, centers: int, texts: DataFrame, gram: int, percent: int) -> DataFrame:
-    """Links (a, b) of the chosen members with other components of their list, pairs of blocks at a time."""
+def _candidates(members: DataFrame, centers: int, percent: int) -> DataFrame:
+    """(a, b, of_a, of_b): chosen members and members of other components that two blocks of a list do not rule out, and their components."""
     width = math.log(100 / percent)
-    size = F.floor(F.log("n") / F.lit(width))
-    placed = members.withColumns({"size": size, "band": F.floor(64 * F.col("pos") / F.col("n"))})
-    seats = lambda many: F.ceil(many * F.exp((F.col("size") + 1) * F.lit(width)) / F.lit(BLOCK)).cast("long")
+    placed = members.withColumns({"size": F.floor(F.log("n") / F.lit(width)), "band": F.floor(64 * F.col("pos") / F.col("n"))})
 
     def blocks(rows: DataFrame, many, salt: int, name: str) -> DataFrame:
-        seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.lit(1), seats(many)))
-        entry = F.struct("component", "node")
-        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_set(entry).alias("held"))
-        at = F.struct("size", "band", "seat")
-        return held.select("key", F.struct(at.alias("at"), "low_n", "high_n", "low_pos", "held").alias(name))
+        seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(many / F.lit(HELD)).cast("long"))
+        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("node", "component", "n", "pos")).alias("held"))
+        return held.select("key", F.struct("low_n", "high_n", "low_pos", "held").alias(name))
 
     asking = blocks(placed.where("chosen"), F.least("waiting", F.lit(centers)), 1, "x_block")
-    asked = blocks(placed, F.col("members"), 2, "y_block")
-    apart = F.size(F.array_distinct(F.concat("x_block.held.component", "y_block.held.component"))) > 1
-    met = asking.join(asked, "key").where(_possible("x_block", "y_block", percent) & apart)
-    sided = lambda side, held: F.transform(held, lambda e: F.struct(F.lit(side).alias("side"), e.component.alias("component"), e.node.alias("node")))
-    both = F.concat(sided(0, "x_block.held"), sided(1, "y_block.held"))
-    group = F.xxhash64("key", "x_block.at", "y_block.at").alias("meeting")
-    rows = met.select(group, F.explode(both).alias("e")).select("meeting", "e.*").join(texts, "node")
-
-    def compare(pdf):
+    met = asking.join(blocks(placed, F.col("members"), 2, "y_block"), "key").where(_possible("x_block", "y_block", percent))
+    pairs = met.select(F.explode("x_block.held").alias("x"), F.col("y_block.held").alias("ys")).select("x", F.explode("ys").alias("y"))
+    pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("of_x"), F.col("y.component").alias("of_y")).distinct()
+
+
+def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
+    """Links (a, b) of the chosen members with other components of their list, where components meet."""
+    gram, percent = sets.gram, sets.percent
+    possible = sets.possible(_candidates(members, centers, percent))
+    texts = sets.texts(possible)
+    between = ["of_x", "of_y"]
+    sides = []
+    for c in ("a", "b"):
+        own = possible.select(*between, F.col(c).alias("node")).distinct().join(sets.known.select("node", "n"), "node")
+        seats = own.groupBy(*between).agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias(f"seats_{c}"))
+        sides.append((own, seats))
+    (xs, x_seats), (ys, y_seats) = sides
+    seats = x_seats.join(y_seats, between)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    seat = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    at = ["of_x", "of_y", "x", "y"]
+    asking = xs.join(seats, between).select(*between, seat("seats_a").alias("x"), upto("seats_b").alias("y"), F.lit(0).alias("side"), "node")
+    asked = ys.join(seats, between).select(*between, upto("seats_a").alias("x"), seat("seats_b").alias("y"), F.lit(1).alias("side"), "node")
+    dealt = asking.unionByName(asked).join(texts, "node").repartition(*at).sortWithinPartitions(*at, "side", "node")
+
+    def compare(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["component", "node"], kind="stable")
-        sets = [gram_set(t, gram) for t in pdf.text]
-        x, y = np.flatnonzero(pdf.side.to_numpy() == 0), np.flatnonzero(pdf.side.to_numpy() == 1)
-        component, node, n = pdf.component.to_numpy(), pdf.node.to_numpy(), np.array([len(s) for s in sets])
-        answers, out = Answers([sets[i] for i in y]), []
-        for i in x:
-            both = answers.of(sets[i])
-            good = y[(both >= needed(n[i], n[y], percent)) & (component[y] != component[i])]
-            _, one = np.unique(component[good], return_index=True)
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in good[one]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        def links(pdf):
+            out = []
+            for _, group in pdf.groupby(at, sort=False):
+                grams = [gram_set(t, gram) for t in group.text]
+                side, node = group.side.to_numpy(), group.node.to_numpy()
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                if not len(x) or not len(y):
+                    continue
+                n, answers = np.array([len(g) for g in grams]), Answers([grams[i] for i in y])
+                for i in x:
+                    good = y[answers.of(grams[i]) >= needed(n[i], n[y], percent)]
+                    if len(good):  # of several links with a component one is enough
+                        out.append((min(node[i], node[good[0]]), max(node[i], node[good[0]])))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        carried = None
+        for batch in batches:
+            pdf = batch if carried is None else pd.concat([carried, batch])
+            last = (pdf[at] == pdf[at].iloc[-1]).all(axis=1)  # may go on in the next batch
+            carried = pdf[last]
+            if not last.all():
+                yield links(pdf[~last])
+        if carried is not None:
+            yield links(carried)
 
-    return rows.groupBy("meeting").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
 def candidate_lists(docs: DataFrame, reported: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -314,15 +403,9 @@ def components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tup
     found = written(measured(docs, gram), "shingle-sets")
     sets = found.where("n is not null").drop("token", "times")
     star = written(candidate_lists(docs, found.where("token is not null"), gram, percent), "list-stars")
-    sources = sets.join(star.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    one_each = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = written(one_each.join(sources, "text_key").select("node", "text"), "candidate-texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _overlaps(pairs, texts, gram).where(f"100 * both >= {percent} * (n + m - both)").select("a", "b")
-
+    held = _Sets(docs, sets, star.select("node").distinct(), gram, percent)
     first = star.where("near and node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    labels = all_components(star, verify, lambda members, centers: _meet(members, centers, texts, gram, percent), CENTERS, first)
+    labels = all_components(star, lambda pairs: _linked(pairs, held), lambda members, centers: _meet(members, centers, held), CENTERS, first)
     return sets, labels
 
 

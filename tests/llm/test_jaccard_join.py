@@ -52,6 +52,7 @@ def test_frequent_shingles_and_small_blocks(spark, monkeypatch):
     """Lists of several blocks, and an order with frequent shingles last, give the same components."""
     monkeypatch.setattr(jj, "BLOCK", 500)
     monkeypatch.setattr(jj, "CENTERS", 2)
+    monkeypatch.setattr(jj, "HELD", 3)
     texts = [(i, varied(80 + i % 3, 21, [5 * (i % 11), 9 * (i % 7)])) for i in range(120)] + [(1000 + i, prose(40, 70 + i % 5) + " " + prose(20, i)) for i in range(60)]
     docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(6)
     assert found(docs) == brute(texts)
@@ -79,3 +80,12 @@ def test_summary_keeps_what_is_frequent():
         summary.add(np.concatenate([rng.integers(1000, 1 << 60, 5000).astype(np.uint64), np.repeat(np.arange(50, dtype=np.uint64), 20)]))
     items, counts = summary.top()
     assert set(range(50)) <= set(items.tolist()) and len(items) <= 100 and counts.min() > 1
+
+
+def test_sketches_bound_what_is_shared():
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 1), (3, 200), (700, 650), (20_000, 17_500), (400_000, 4)]:
+        pool = rng.integers(0, 1 << 63, n + m).astype(np.uint64)
+        x, y = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
+        both = len(np.intersect1d(x, y))
+        assert both <= jj.most_shared(jj.sketch(x), jj.sketch(y), len(x), len(y)) <= min(len(x), len(y))
