@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,9 +46,94 @@ def squash_diff(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(norm_diff(c), r"\.{2,}", ""), r"(?U)\s+", "")
 
 
+#: Products of lengths up to which two sequences are compared item by item.
+_SMALL = 1 << 14
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of all prefixes as sums of item * base ** place, and the powers, in 64-bit arithmetic."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(x) + 1, _BASE, dtype=np.uint64))
+        mixed = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+        mixed ^= mixed >> np.uint64(29)
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * powers[:-1], dtype=np.uint64)]), powers
+
+
+class _Windows:
+    """Hashes of all windows of a length in a sequence, comparable between sequences: shifted to one common place."""
+
+    def __init__(self, x: np.ndarray, places: int):
+        self.sums, self.powers = _prefix_sums(x)
+        with np.errstate(over="ignore"):
+            # base ** (places - i): what brings a window that begins at i to the place ``places``
+            up = np.cumprod(np.full(places + 1, _BASE, dtype=np.uint64))
+        self.shift = up[places - np.arange(len(x) + 1)]
+
+    def of(self, start: int, stop: int, length: int) -> np.ndarray:
+        at = np.arange(start, stop - length + 1)
+        return (self.sums[at + length] - self.sums[at]) * self.shift[at]
+
+
+def matching_blocks(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """The blocks (a, b, size) that Ratcliff-Obershelp matching finds in two integer sequences, in order.
+
+    In each range the longest common run counts, of several the first in x, of those the first in y, and
+    then what is before and after it. The longest run is found by bisection over its length with hashes of all
+    windows, so repeated items cost no more than others; small ranges go to difflib.
+    """
+    places = max(len(x), len(y))
+    wx, wy = _Windows(x, places), _Windows(y, places)
+    found, todo = [], [(0, len(x), 0, len(y))]
+
+    def longest(a, a_end, b, b_end):
+        low, high, at = 0, min(a_end - a, b_end - b), None
+        step = 1
+        while low < high:  # lengths double until one is not found, then are bisected
+            n = min(high, low + step)
+            ha, hb = wx.of(a, a_end, n), wy.of(b, b_end, n)
+            hit = np.flatnonzero(np.isin(ha, hb))
+            if len(hit):
+                low, at = n, (a + int(hit[0]), b + int(np.flatnonzero(hb == ha[hit[0]])[0]))
+                step *= 2
+            else:
+                high, step = n - 1, max(1, min(step // 2, (n - 1 - low + 1) // 2))
+        return None if at is None else (*at, low)
+
+    while todo:
+        a, a_end, b, b_end = todo.pop()
+        if a == a_end or b == b_end:
+            continue
+        if (a_end - a) * (b_end - b) <= _SMALL:
+            blocks = SequenceMatcher(None, x[a:a_end].tolist(), y[b:b_end].tolist(), autojunk=False).get_matching_blocks()
+            found += [(a + i, b + j, n) for i, j, n in blocks if n]
+            continue
+        run = longest(a, a_end, b, b_end)
+        if run is None:
+            continue
+        i, j, n = run
+        found.append(run)
+        todo += [(a, i, b, j), (i + n, a_end, j + n, b_end)]
+    merged: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
+            merged[-1] = (*merged[-1][:2], merged[-1][2] + n)
+        else:
+            merged.append((i, j, n))
+    return merged
+
+
+def ratio(x: str, y: str) -> float:
+    """Twice the matched characters by all characters; 1 for two empty texts."""
+    if not x and not y:
+        return 1.0
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) for t in (x, y)]
+    return 2 * sum(n for _, _, n in matching_blocks(*points)) / (len(x) + len(y))
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)])
 
 
 def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -94,6 +180,12 @@ def spans_and_words(pieces: Column, words: Column) -> Column:
 def differences(x: list[str], y: list[str]) -> list[dict]:
     """Ranges of two lists of words, in order, that are alike or differ (Ratcliff-Obershelp)."""
     ids: dict[str, int] = {}
-    numbered = [[ids.setdefault(w, len(ids)) for w in side] for side in (x, y)]
-    codes = SequenceMatcher(None, *numbered, autojunk=False).get_opcodes()
-    return [{"alike": kind == "equal", "a": a, "a_end": a_end, "b": b, "b_end": b_end} for kind, a, a_end, b, b_end in codes]
+    numbered = [np.array([ids.setdefault(w, len(ids)) for w in side], dtype=np.int64) for side in (x, y)]
+    out, a, b = [], 0, 0
+    for i, j, n in [*matching_blocks(*numbered), (len(x), len(y), 0)]:
+        if a < i or b < j:
+            out.append({"alike": False, "a": a, "a_end": i, "b": b, "b_end": j})
+        a, b = i + n, j + n
+        if n:
+            out.append({"alike": True, "a": i, "a_end": a, "b": j, "b_end": b})
+    return out

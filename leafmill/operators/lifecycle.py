@@ -32,30 +32,47 @@ def guarded_transition(pairs: DataFrame) -> DataFrame:
 STATES = (NEW, "QUEUED", "RUNNING", "DRAFT", "FAILED", "DISCARDED")
 
 
-def draft_lifecycle(events: DataFrame) -> DataFrame:
-    """(draft_id, status, applied): the state of each draft after its events in order of (ts, event_id), and how many took effect.
+#: Events that are folded at once.
+RANGE = 10_000
+
+
+def folded_events(events: DataFrame) -> DataFrame:
+    """(draft_id, status, applied, pages_done): each draft after its events in order of (ts, event_id), how many took effect, and the pages of the last progress that did.
 
-    The events of a draft and a day become a map from each state to the state after them; maps compose, so
-    a draft folds over its days and no task needs all events of a draft.
+    A range partitioning by (draft, time) splits the events of a draft of any size; in each partition at
+    most RANGE events in a row become a map from each state to what they lead to. Maps compose: those of a partition
+    and then those of a draft, so that no row grows with a draft's events but by one map for each partition.
     """
-    kind = "struct<status:string,applied:bigint>"
-    day = F.to_date(F.col("ts").cast("timestamp"))
-    ordered = events.groupBy("draft_id", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event"))).alias("es"))
+    kind = "struct<status:string,applied:bigint,pages:int>"
+    pages = F.col("pages_done").cast("int") if "pages_done" in events.columns else F.lit(None).cast("int")
+    own = events.select("draft_id", "ts", "event_id", "event", pages.alias("pages"))
+    place = ["draft_id", "ts", "event_id", "event"]
+    numbered = own.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("at", F.monotonically_increasing_id())
+    ranges = numbered.groupBy("draft_id", F.expr(f"at div {RANGE}").alias("range")).agg(F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "event", "pages"))).alias("es"))
 
     def step(s, e):
         takes = ((s["status"] == NEW) & (e["event"] == "queue")) | F.concat_ws(">", s["status"], e["event"]).isin(*[f"{a}>{x}" for a, x in TRANSITIONS])
-        return F.struct(next_state(s["status"], e["event"]).alias("status"), (s["applied"] + takes.cast("bigint")).alias("applied")).cast(kind)
+        done = F.when((s["status"] == "RUNNING") & (e["event"] == "progress"), F.coalesce(e["pages"], s["pages"])).otherwise(s["pages"])
+        return F.struct(next_state(s["status"], e["event"]).alias("status"), (s["applied"] + takes.cast("bigint")).alias("applied"), done.alias("pages")).cast(kind)
 
-    start = lambda state: F.struct(F.lit(state).alias("status"), F.lit(0).cast("bigint").alias("applied")).cast(kind)
-    maps = ordered.select("draft_id", "day", F.transform(F.array(*[start(s) for s in STATES]), lambda s: F.aggregate("es", s, step)).alias("after"))
-    days = maps.groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("day", "after"))).alias("days"))
+    start = lambda state: F.struct(F.lit(state).alias("status"), F.lit(0).cast("bigint").alias("applied"), F.lit(None).cast("int").alias("pages")).cast(kind)
     states = F.array(*[F.lit(s) for s in STATES])
+    from_all = lambda column, fold: F.transform(F.array(*[start(s) for s in STATES]), lambda s: F.aggregate(column, s, fold)).alias("after")
 
-    def compose(s, d):
-        reached = F.get(d["after"], F.array_position(states, s["status"]).cast("int") - 1)
-        return F.struct(reached["status"].alias("status"), (s["applied"] + reached["applied"]).alias("applied")).cast(kind)
+    def compose(s, m):
+        reached = F.get(m["after"], F.array_position(states, s["status"]).cast("int") - 1)
+        return F.struct(reached["status"].alias("status"), (s["applied"] + reached["applied"]).alias("applied"), F.coalesce(reached["pages"], s["pages"]).alias("pages")).cast(kind)
 
-    return days.select("draft_id", F.aggregate("days", start(NEW), compose).alias("s")).select("draft_id", "s.status", "s.applied").where(F.col("status") != NEW)
+    in_order = F.sort_array(F.collect_list(F.struct("at", "after"))).alias("maps")
+    maps = ranges.select("draft_id", "at", from_all("es", step))
+    parts = maps.groupBy("draft_id", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("at"), in_order)
+    whole = parts.select("draft_id", "at", from_all("maps", compose)).groupBy("draft_id").agg(in_order)
+    return whole.select("draft_id", F.aggregate("maps", start(NEW), compose).alias("s")).select("draft_id", "s.status", "s.applied", F.col("s.pages").alias("pages_done"))
+
+
+def draft_lifecycle(events: DataFrame) -> DataFrame:
+    """(draft_id, status, applied): the state of each draft after its events in order of (ts, event_id), and how many took effect."""
+    return folded_events(events).where(F.col("status") != NEW).drop("pages_done")
 
 
 def settled(drafts: DataFrame, states: DataFrame) -> DataFrame:
@@ -65,8 +82,8 @@ def settled(drafts: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def draft_progress_latest(events: DataFrame) -> DataFrame:
-    """(draft_id, pages_done) of each draft's last progress."""
-    return events.where("event = 'progress'").groupBy("draft_id").agg(F.max_by("pages_done", F.struct("ts", "event_id")).alias("pages_done"))
+    """(draft_id, pages_done) of each draft's last progress while it was running; other progress changes nothing."""
+    return folded_events(events).where("pages_done is not null").select("draft_id", "pages_done")
 
 
 def expire_interrupted(drafts: DataFrame, message: str = "interrupted") -> DataFrame:

@@ -5,12 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import kernels
 from leafmill.tables import blank, line_table, strip
 
+#: Patterns of a fence's mark, raw HTML, a page break's line, an image link and a link definition; the codes of warnings.
 FENCE = r"^\s{0,3}(```|~~~)"
 RAW_HTML = r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|<!--"
 PAGE_BREAK = r"(?i)^\s*<div\s+style\s*=\s*(?:\"\s*(?:page-break-after|break-after)\s*:\s*(?:always|page)\s*;?\s*\"|'\s*(?:page-break-after|break-after)\s*:\s*(?:always|page)\s*;?\s*')\s*>\s*</div\s*>\s*$"
 CODES = ("front-matter", "broken-table", "unsupported-image", "raw-html")
+IMAGE_LINK = r"!\[[^\]]*\]\(\s*(?:<([^>]*)>|([^)\s]*))"
+DEFINITION = r"(?U)^\s{0,3}\[[^\]]+\]:\s*(?:<([^>]*)>|(\S+))"
+
+
+def lines_of(text: str = "text") -> Column:
+    return F.split(F.col(text), "\n", -1)
+
+
+def fence_spans(lines: Column) -> Column:
+    """The spans of fences in an array of lines, numbered from 0: struct(a, b) of the mark that opens one and the one that closes it.
+
+    Only the mark that opened a fence closes it; an open one goes on to the end.
+    """
+    marks = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("n"), F.regexp_extract(l, FENCE, 1).alias("mark"))), lambda m: m["mark"] != "")
+    kind = "struct<open:string,at:int,spans:array<struct<a:int,b:int>>>"
+    state = lambda open_, at, spans: F.struct(open_.alias("open"), at.alias("at"), spans.alias("spans")).cast(kind)
+    none = F.lit(None).cast("string")
+    span = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
+    start = state(none, F.lit(0), F.array().cast("array<struct<a:int,b:int>>"))
+
+    def step(s, m):
+        return F.when(s["open"].isNull(), state(m["mark"], m["n"], s["spans"])).when(s["open"] == m["mark"], state(none, F.lit(0), F.concat(s["spans"], span(s["at"], m["n"])))).otherwise(s)
+
+    return F.aggregate(marks, start, step, lambda s: F.when(s["open"].isNotNull(), F.concat(s["spans"], span(s["at"], F.size(lines)))).otherwise(s["spans"]))
+
+
+def fenced(spans: Column, i: Column) -> Column:
+    """Whether line i is a fence's mark or inside one."""
+    return F.exists(spans, lambda s: (s["a"] <= i) & (i <= s["b"]))
+
+
+def with_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``lines`` and the spans of fences among them: each row by itself, whatever ids repeat or lack."""
+    return docs.withColumn("lines", lines_of()).withColumn("spans", fence_spans(F.col("lines")))
+
+
+def outside_fences(body) -> Column:
+    """``body(line, number from 0)`` of each line outside fences, in order, of rows ``with_lines``."""
+    numbered = F.transform("lines", lambda l, i: F.struct(l.alias("line"), i.alias("i")))
+    return F.transform(F.filter(numbered, lambda x: ~fenced(F.col("spans"), x["i"])), lambda x: body(x["line"], x["i"]))
+
+
+def code_segments(line: Column) -> Column:
+    """The line as an array of struct(code, text): code spans with their backticks, and the text between them."""
+    kind = "array<struct<code:boolean,text:string>>"
+    lexemes = F.regexp_extract_all(line, F.lit(_LEXEMES), 0)
+
+    def step(found, x):
+        code = x.rlike(r"(?s)^`.*[^`]")
+        last = F.element_at(found, -1)
+        joins = (F.size(found) > 0) & ~code & ~F.coalesce(last["code"], F.lit(True))
+        one = lambda text: F.array(F.struct(code.alias("code"), text.alias("text")))
+        return F.when(joins, F.concat(F.slice(found, F.lit(1), F.size(found) - 1), one(F.concat(last["text"], x)))).otherwise(F.concat(found, one(x))).cast(kind)
+
+    return F.aggregate(lexemes, F.array().cast(kind), step)
+
+
+def map_outside_code(line: Column, rewrite) -> Column:
+    """The line with ``rewrite`` applied to each stretch between code spans."""
+    parts = F.transform(code_segments(line), lambda s: F.when(s["code"], s["text"]).otherwise(rewrite(s["text"])))
+    return F.when(F.contains(line, F.lit("`")), F.array_join(parts, "")).otherwise(rewrite(line))
+
+
+def prose_of(line: Column) -> Column:
+    """What a line has outside code spans, joined by spaces."""
+    texts = F.transform(F.filter(code_segments(line), lambda s: ~s["code"]), lambda s: s["text"])
+    return F.when(F.contains(line, F.lit("`")), F.array_join(texts, " ")).otherwise(line)
 
 
 def fence_state(lines: DataFrame) -> DataFrame:
@@ -55,14 +124,6 @@ def is_delimiter(line: Column) -> Column:
     return _starts_table(line) & F.forall(split_cells(line), lambda c: c.rlike("^:?-+:?$"))
 
 
-def table_starts(lines: DataFrame) -> DataFrame:
-    """Lines outside fences that start with a pipe, with the number of their run."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    rows = fence_state(lines).withColumn("is_row", _starts_table(F.col("line")) & ~F.col("in_fence"))
-    rows = rows.withColumn("opens", (F.col("is_row") & ~F.coalesce(F.lag("is_row").over(w), F.lit(False))).cast("int"))
-    return rows.withColumn("run", F.sum("opens").over(w)).where("is_row").drop("opens", "is_row")
-
-
 def _is_table(first: Column, second: Column) -> Column:
     """Whether the second line is a delimiter row of as many cells as the first has."""
     return F.coalesce(is_delimiter(second) & (F.size(split_cells(first)) == F.size(split_cells(second))), F.lit(False))
@@ -74,25 +135,34 @@ def _has_odd_run(text: Column) -> Column:
     return F.coalesce(F.exists(F.transform(runs, lambda r: F.split(r, "\n", -1)), lambda ls: ~_is_table(ls[0], F.get(ls, F.lit(1)))), F.lit(False))
 
 
+def _broken(lines: Column, spans: Column) -> Column:
+    """struct(n, line) of each run of table lines outside fences that is no table, n from 1."""
+    rows = F.transform(lines, lambda l, i: _starts_table(l) & ~fenced(spans, i))
+
+    def check(rows):
+        at = lambda i: F.coalesce(F.get(rows, i), F.lit(False))
+        first = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).alias("n"), l.alias("line"), F.when(at(i + 1), F.get(lines, i + 1)).alias("second"), (at(i) & ~at(i - 1)).alias("opens"))), lambda x: x["opens"])
+        looks = lambda x: x["second"].isNotNull() | (F.size(split_cells(x["line"])) >= 2)
+        return F.transform(F.filter(first, lambda x: looks(x) & ~_is_table(x["line"], x["second"])), lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line")))
+
+    return kernels.let(rows, check)
+
+
 def broken_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, line, excerpt) of runs of table lines that are no table: the second must be a delimiter row of as many cells.
 
-    Only documents with such a run are cut into lines.
+    Each row is checked by itself. Only texts with such a run are looked at line by line.
     """
-    rows = table_starts(line_table(docs.where(_has_odd_run(F.col("text")))))
-    w = Window.partitionBy("doc_id", "run").orderBy("n")
-    runs = rows.withColumns({"nth": F.row_number().over(w), "second": F.lead("line").over(w)}).where("nth = 1")
-    valid = _is_table(F.col("line"), F.col("second"))
-    looks = F.col("second").isNotNull() | (F.size(split_cells(F.col("line"))) >= 2)
-    trimmed = strip(F.col("line"))
-    return runs.where(looks & ~valid).select("doc_id", F.col("n").alias("line"), F.when(F.length(trimmed) > 40, F.concat(F.left(trimmed, F.lit(40)), F.lit("…"))).otherwise(trimmed).alias("excerpt"))
+    rows = with_lines(docs.where(_has_odd_run(F.col("text")))).select("doc_id", F.explode(_broken(F.col("lines"), F.col("spans"))).alias("x"))
+    trimmed = strip(F.col("x.line"))
+    return rows.select("doc_id", F.col("x.n").alias("line"), F.when(F.length(trimmed) > 40, F.concat(F.left(trimmed, F.lit(40)), F.lit("…"))).otherwise(trimmed).alias("excerpt"))
 
 
-def front_matter(lines: DataFrame) -> DataFrame:
-    """(doc_id, until): the last line of a front matter that opens the text and is closed."""
-    mark = F.regexp_replace("line", r"(?U)\s+$", "")
-    per = lines.withColumn("m", mark).groupBy("doc_id").agg(F.max(F.when((F.col("n") == 1) & (F.col("m") == "---"), 1)).alias("opens"), F.min(F.when((F.col("n") > 1) & F.col("m").isin("---", "..."), F.col("n"))).alias("until"))
-    return per.where("opens = 1 and until is not null").select("doc_id", "until")
+def front_matter_lines(lines: Column) -> Column:
+    """The number of lines of a front matter that opens the text and is closed, else 0."""
+    trimmed = lambda l: F.regexp_replace(l, r"(?U)\s+$", "")
+    ends = F.filter(F.transform(lines, lambda l, i: F.when(trimmed(l).isin("---", "...") & (i > 0), i + 1)), lambda n: n.isNotNull())
+    return F.when(trimmed(lines[0]) == "---", F.coalesce(F.get(ends, F.lit(0)), F.lit(0))).otherwise(0)
 
 
 #: What a line with escaped backticks consists of: an escaped character, a code span, other backticks, the rest.
@@ -106,19 +176,31 @@ def mask_inline_code(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("\\`")), F.array_join(lexed, "")).otherwise(spans)
 
 
+_IMAGE_TAG = r"(?i)<img\b[^<>]*>"
+_ATTRIBUTE = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?"
+
+
+def _source(tag: Column) -> Column:
+    """The trimmed src of an image tag; empty without one."""
+    attributes = F.regexp_extract_all(F.regexp_replace(tag, r"(?i)^<img|/?>$", ""), F.lit(_ATTRIBUTE), 0)
+    own = F.get(F.filter(attributes, lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == "src"), F.lit(0))
+    value = F.regexp_replace(own, r"^[^\s=]+(?:\s*=\s*)?", "")
+    return F.coalesce(strip(F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")), F.lit(""))
+
+
 def image_references(prose: Column) -> Column:
-    """References of images and image tags in a line."""
-    links = F.regexp_extract_all(prose, F.lit(r"!\[[^\]]*\]\(\s*(?:<([^>]*)>|([^()\s]+))"), 0)
-    plain = F.transform(links, lambda m: F.regexp_replace(F.regexp_replace(m, r"^!\[[^\]]*\]\(\s*", ""), "^<|>$", ""))
-    tags = F.transform(F.regexp_extract_all(prose, F.lit(r"(?i)<img\s[^>]*?src\s*=\s*(?:\"[^\"]*\"|'[^']*')"), 0), lambda m: F.regexp_replace(F.regexp_replace(m, r"(?i)^<img\s[^>]*?src\s*=\s*[\"']", ""), "[\"']$", ""))
-    return F.filter(F.concat(plain, tags), lambda r: strip(r) != "")
+    """References of image links and of image tags in what a line has outside code."""
+    links = F.transform(F.regexp_extract_all(prose, F.lit(IMAGE_LINK), 0), lambda m: F.regexp_replace(F.regexp_replace(m, r"^!\[[^\]]*\]\(\s*", ""), r"^<([^>]*)>$", "$1"))
+    tags = F.transform(F.regexp_extract_all(prose, F.lit(_IMAGE_TAG), 0), _source)
+    return F.filter(F.concat(links, tags), lambda r: r != "")
 
 
 def collect_references(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, ref) of images and of link definitions, outside fences and inline code."""
-    lines = fence_state(line_table(docs)).where("not in_fence").withColumn("prose", mask_inline_code(F.col("line")))
-    defined = F.regexp_extract("prose", r"^ {0,3}\[[^\]]+\]:\s*<?([^\s>]+)", 1)
-    return lines.select("doc_id", F.explode(F.array_union(image_references(F.col("prose")), F.filter(F.array(defined), lambda r: r != ""))).alias("ref")).distinct()
+    """Distinct (doc_id, ref) of images outside inline code and of link definitions, outside fences."""
+    defined = lambda line: F.filter(F.array(F.concat(F.regexp_extract(line, DEFINITION, 1), F.regexp_extract(line, DEFINITION, 2))), lambda r: r != "")
+    some = with_lines(docs.where(F.col("text").rlike(r"(?i)!\[|<img|\]:")))  # other texts hold neither
+    refs = F.flatten(outside_fences(lambda l, i: F.concat(image_references(prose_of(l)), defined(l))))
+    return some.select("doc_id", F.explode(refs).alias("ref")).distinct()
 
 
 def group_warnings(found: DataFrame) -> DataFrame:
@@ -129,20 +211,28 @@ def group_warnings(found: DataFrame) -> DataFrame:
 def lint_markdown(docs: DataFrame, displayable: DataFrame | None = None) -> DataFrame:
     """Warnings (doc_id, code, lines) of four codes. displayable: (doc_id, ref) of images that can be shown.
 
-    Only documents that hold what a code looks for are cut into lines.
+    Each row is checked by itself, in one pass over the lines of those texts that hold what a code looks for;
+    only ``displayable`` asks for a join.
     """
-    some = F.col("text").rlike(r"<[A-Za-z/!]|!\[|\A---")
-    lines = line_table(docs.where(some))
-    front = front_matter(lines)
-    text = fence_state(lines).where("not in_fence").join(front, "doc_id", "left").where("until is null or n > until").where(~F.col("line").rlike(PAGE_BREAK))
-    text = text.withColumn("prose", mask_inline_code(F.col("line")))
-    refs = text.select("doc_id", "n", F.explode(image_references(F.col("prose"))).alias("ref")).where(~F.col("ref").rlike(r"(?i)^\s*data:image/"))
+    some = with_lines(docs.where(F.col("text").rlike(r"<[A-Za-z/!]|!\[|\A---") | _has_odd_run(F.col("text"))))
+    some = some.withColumn("front", front_matter_lines(F.col("lines")))
     if displayable is not None:
-        refs = refs.join(displayable, ["doc_id", "ref"], "left_anti")
-    no_images = F.regexp_replace("prose", r"(?i)<img\s[^>]*?src\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>", " ")
-    code = lambda df, c, line="n": df.select("doc_id", F.lit(c).alias("code"), F.col(line).cast("int").alias("line"))
-    found = code(front.withColumn("n", F.lit(1)), CODES[0]).unionByName(code(broken_tables(docs), CODES[1], "line")).unionByName(code(refs, CODES[2])).unionByName(code(text.where(no_images.rlike(RAW_HTML)), CODES[3]))
-    return group_warnings(found)
+        shown = displayable.groupBy(F.col("doc_id").alias("shown_id")).agg(F.collect_set("ref").alias("shown"))
+        some = some.join(shown, F.col("doc_id").eqNullSafe(F.col("shown_id")), "left")
+    unshown = lambda r: ~r.rlike(r"(?i)^\s*data:image/") & (F.lit(True) if displayable is None else ~F.coalesce(F.array_contains("shown", r), F.lit(False)))
+
+    def judge(prose, i):
+        bare = F.regexp_replace(prose, r"(?i)<img\b(?=[^<>]*?\ssrc\s*=\s*[^\s>])[^<>]*>", " ")
+        return F.struct((i + 1).alias("n"), F.exists(image_references(prose), unshown).alias("image"), bare.rlike(RAW_HTML).alias("html"))
+
+    marked = F.col("lines")
+    checked = F.filter(outside_fences(lambda l, i: F.when((i >= F.col("front")) & l.rlike(r"<|!\[") & ~l.rlike(PAGE_BREAK), judge(prose_of(l), i))), lambda x: x.isNotNull())
+    lines = lambda flag: F.transform(F.filter("checked", lambda x: x[flag]), lambda x: x["n"])
+    found = some.select("doc_id", "front", checked.alias("checked"), _broken(marked, F.col("spans"))["n"].alias("broken"))
+    none = F.array().cast("array<int>")
+    by_code = [F.when(F.col("front") > 0, F.array(F.lit(1))).otherwise(none), F.col("broken"), lines("image"), lines("html")]
+    listed = F.array(*[F.struct(F.lit(c).alias("code"), l.cast("array<int>").alias("lines")) for c, l in zip(CODES, by_code)])
+    return found.select("doc_id", F.explode(listed).alias("w")).select("doc_id", "w.code", "w.lines").where(F.size("lines") > 0)
 
 
 def _joined(cells: Column) -> Column:
@@ -153,69 +243,99 @@ def repair_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with headers and delimiter rows of tables in agreement, and notes between them moved below.
 
     A header longer than its delimiter row loses cells without content, or the delimiter row grows; valid
-    tables stay as they are. Only documents with a longer header, or a line that may be such a note, are
-    cut into lines; the others pass as they are. A null text has no row.
+    tables stay as they are. Each row is repaired by itself, without a shuffle; texts without a longer header
+    or a line that may be such a note pass as they are. A null text has no row.
     """
     pairs = F.regexp_extract_all("text", F.lit(r"(?m)^[^\S\n]*\|[^\n]*\n[^\S\n]*\|(?:[^\S\n]|[|:\\-])*$"), 0)
     longer = F.exists(F.transform(pairs, lambda p: F.split(p, "\n", -1)), lambda ls: F.size(split_cells(ls[0])) > F.size(split_cells(ls[1])))
-    marked = docs.where("text is not null").select("doc_id", "text", (longer | F.col("text").rlike(r"(?m)^[^\S\n]*[^|\s][^\n]*\|[^\S\n]*$")).alias("odd"))
-    return marked.where("not odd").select("doc_id", "text").unionByName(_repaired(marked.where("odd").select("doc_id", "text")))
+    odd = longer | F.col("text").rlike(r"(?m)^[^\S\n]*[^|\s][^\n]*\|[^\S\n]*$")
+    return docs.where("text is not null").select("doc_id", F.when(odd, _repaired(lines_of())).otherwise(F.col("text")).alias("text"))
 
 
-def _repaired(docs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("n")
-    lines = fence_state(line_table(docs)).withColumns({"row": _starts_table(F.col("line")), "delim": is_delimiter(F.col("line"))})
-    lines = lines.withColumn("wedged", ~blank(F.col("line")) & ~F.col("row") & F.endswith(strip(F.col("line")), F.lit("|")) & ~F.col("is_fence"))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    lines = lines.withColumns({
-        "candidate": F.col("row") & ~F.col("in_fence") & ~F.col("delim") & ~F.coalesce(F.lag("row").over(w), F.lit(False)),
-        "next_plain": F.min(F.when(~F.col("wedged"), F.struct("n", "delim", "line"))).over(after),
-        "next_other": F.min(F.when(~F.col("row"), F.col("n"))).over(after), "last": F.max("n").over(Window.partitionBy("doc_id")),
-    })
-    heads = lines.where("candidate and next_plain.delim").select("doc_id", F.col("n").alias("h"), F.col("next_plain.n").alias("d"), split_cells(F.col("line")).alias("hc"), F.col("next_plain.line").alias("dl"), F.col("line").alias("hl"))
-    # A header inside the lines that another header has taken (its notes) does not occur: notes do not start with a pipe.
-    width = F.size(split_cells(F.col("dl")))
-    junk = F.size("hc") - F.coalesce(F.array_max(F.transform("hc", lambda c, i: F.when(~c.rlike("^:?-*:?$"), i + 1).otherwise(0))), F.lit(0))
-    keep = F.greatest(width, F.size("hc") - junk)
-    heads = heads.withColumns({"width": width, "keep": keep}).withColumns({
-        "new_h": F.when(F.size("hc") <= F.col("width"), F.col("hl")).otherwise(_joined(F.slice("hc", F.lit(1), F.col("keep")))),
-        "new_d": F.when((F.size("hc") <= F.col("width")) | (F.col("keep") == F.col("width")), F.col("dl")).otherwise(_joined(F.concat(split_cells(F.col("dl")), F.array_repeat(F.lit("---"), F.col("keep") - F.col("width"))))),
-    }).select("doc_id", "h", "d", "new_h", "new_d")
-    own = lines.join(heads.withColumn("n", F.col("h")), ["doc_id", "n"], "left").withColumns({"at": F.last("h", ignorenulls=True).over(w), "dd": F.last("d", ignorenulls=True).over(w), "nh": F.last("new_h", ignorenulls=True).over(w), "nd": F.last("new_d", ignorenulls=True).over(w)})
-    # The end of a table is the first line after the delimiter row that is no row.
-    first_after = F.min(F.when(~F.col("row") & (F.col("n") > F.col("dd")), F.col("n"))).over(Window.partitionBy("doc_id", "at"))
-    own = own.withColumn("stop", F.coalesce(first_after, F.col("last") + 1))
-    is_note = F.coalesce((F.col("n") > F.col("at")) & (F.col("n") < F.col("dd")), F.lit(False))
-    has_notes = F.coalesce(F.col("dd") > F.col("at") + 1, F.lit(False))
-    note = F.regexp_replace(F.regexp_replace(strip(F.col("line")), r"\|+$", ""), r"(?U)\s+$", "")
-    out = F.when(F.col("n") == F.col("at"), F.col("nh")).when(F.col("n") == F.col("dd"), F.col("nd")).when(is_note, note).otherwise(F.col("line"))
-    place = F.when(is_note, F.struct((F.col("stop") - 1).alias("p"), F.lit(2).alias("q"), F.col("n").alias("r"))).otherwise(F.struct(F.col("n").alias("p"), F.lit(0).alias("q"), F.col("n").alias("r")))
-    placed = own.select("doc_id", place.alias("place"), out.alias("line"), "n", "stop", has_notes.alias("has_notes"))
-    gap = placed.where(F.col("has_notes") & (F.col("n") == F.col("stop") - 1)).select("doc_id", F.struct(F.col("n").alias("p"), F.lit(1).alias("q"), F.lit(0).alias("r")).alias("place"), F.lit("").alias("line"))
-    text_after = placed.where(F.col("has_notes") & (F.col("n") == F.col("stop")) & ~blank(F.col("line"))).select("doc_id", F.struct((F.col("n") - 1).alias("p"), F.lit(3).alias("q"), F.lit(0).alias("r")).alias("place"), F.lit("").alias("line"))
-    every = placed.select("doc_id", "place", "line").unionByName(gap).unionByName(text_after)
-    return every.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("ls")).select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
+def _rebuilt(lines: Column, edits: Column, block) -> Column:
+    """The text whose lines from ``edit.h`` up to before ``edit.stop`` (from 0) become ``block(edit)``; edits stand in order and apart."""
+
+    def piece(e, k):
+        done = F.coalesce(F.get(edits, k - 1)["stop"], F.lit(0))
+        return F.concat(F.slice(lines, done + 1, e["h"] - done), block(e))
+
+    done = F.coalesce(F.element_at(edits, -1)["stop"], F.lit(0))
+    whole = F.concat(F.flatten(F.transform(edits, piece)), F.slice(lines, done + 1, F.size(lines) - done))
+    return F.when(F.size(edits) == 0, F.array_join(lines, "\n")).otherwise(F.array_join(whole, "\n"))
+
+
+def _repaired(lines: Column) -> Column:
+    def kinds(lines, spans):
+        def kind(l, i):
+            row = _starts_table(l)
+            wedged = ~row & F.endswith(strip(l), F.lit("|")) & ~l.rlike(FENCE)
+            return F.struct(row.alias("row"), is_delimiter(l).alias("delim"), wedged.alias("wedged"), fenced(spans, i).alias("fenced"))
+
+        return F.transform(lines, kind)
+
+    def edit(lines, h, d, stop):
+        head, delim = F.get(lines, h), F.get(lines, d)
+
+        def agreed(hc, dc):
+            width = F.size(dc)
+            junk = F.size(hc) - F.coalesce(F.array_max(F.transform(hc, lambda c, i: F.when(~c.rlike("^:?-*:?$"), i + 1).otherwise(0))), F.lit(0))
+            keep = F.greatest(width, F.size(hc) - junk)
+            as_is = F.size(hc) <= width
+            new_h = F.when(as_is, head).otherwise(_joined(F.slice(hc, F.lit(1), keep)))
+            new_d = F.when(as_is | (keep == width), delim).otherwise(_joined(F.concat(dc, F.array_repeat(F.lit("---"), keep - width))))
+            return F.array(new_h, new_d)
+
+        note = lambda l: F.regexp_replace(F.regexp_replace(strip(l), r"\|+$", ""), r"(?U)\s+$", "")
+        notes = F.transform(F.slice(lines, h + 2, d - h - 1), note)
+        first_two = kernels.let(split_cells(head), lambda hc: kernels.let(split_cells(delim), lambda dc: agreed(hc, dc)))
+        return F.struct(h.alias("h"), stop.alias("stop"), first_two.alias("two"), F.slice(lines, d + 2, stop - d - 1).alias("body"), notes.alias("notes"))
+
+    def edits(lines, kinds):
+        of = lambda i, flag: F.coalesce(F.get(kinds, i)[flag], F.lit(False))
+        places = lambda keep: F.filter(F.transform(kinds, lambda k, i: F.when(keep(k), i)), lambda i: i.isNotNull())
+
+        def found(plain, other):
+            heads = F.filter(F.transform(kinds, lambda k, i: F.when(k["row"] & ~k["fenced"] & ~k["delim"] & ~of(i - 1, "row"), i)), lambda i: i.isNotNull())
+            after = lambda places, i: F.get(F.filter(places, lambda p: p > i), F.lit(0))
+            paired = F.filter(F.transform(heads, lambda h: F.struct(h.alias("h"), after(plain, h).alias("d"))), lambda x: of(x["d"], "delim"))
+            return F.transform(paired, lambda x: edit(lines, x["h"], x["d"], F.coalesce(after(other, x["d"]), F.size(lines))))
+
+        return kernels.let(places(lambda k: ~k["wedged"]), lambda plain: kernels.let(places(lambda k: ~k["row"]), lambda other: found(plain, other)))
+
+    def block(lines):
+        gap = F.array(F.lit(""))
+        none = F.array().cast("array<string>")
+        below = lambda e: F.when(F.coalesce(~blank(F.get(lines, e["stop"])) & (e["stop"] < F.size(lines)), F.lit(False)), gap).otherwise(none)
+        return lambda e: F.concat(e["two"], e["body"], F.when(F.size(e["notes"]) > 0, F.concat(gap, e["notes"], below(e))).otherwise(none))
+
+    return kernels.let(lines, lambda ls: kernels.let(fence_spans(ls), lambda spans: kernels.let(kinds(ls, spans), lambda ks: kernels.let(edits(ls, ks), lambda es: _rebuilt(ls, es, block(ls))))))
 
 
 def blank_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with blank paragraphs written out: inside a text floor((n - 1) / 2) for a run of n blank lines, at its start floor(n / 2), at its end none."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    lines = fence_state(line_table(docs)).withColumn("is_blank", blank(F.col("line")) & ~F.col("in_fence"))
-    lines = lines.withColumn("opens", (F.col("is_blank") != F.coalesce(F.lag("is_blank").over(w), ~F.col("is_blank"))).cast("int")).withColumn("run", F.sum("opens").over(w))
-    lines = lines.withColumns({"last": F.max("n").over(Window.partitionBy("doc_id")), "size": F.count("*").over(Window.partitionBy("doc_id", "run")), "first": F.min("n").over(Window.partitionBy("doc_id", "run"))})
-    head, tail = F.col("first") == 1, F.col("first") + F.col("size") - 1 == F.col("last")
-    count = F.when(tail, 0).when(head, F.floor(F.col("size") / 2)).otherwise(F.greatest(F.lit(0), F.floor((F.col("size") - 1) / 2)))
-    at = F.col("n") - F.col("first") - F.when(head, 0).otherwise(1)
-    marks = F.col("is_blank") & (at >= 0) & (at < 2 * count) & (at % 2 == 0)
-    out = F.when(marks, F.lit("&nbsp;")).when(F.col("is_blank") & ~tail, F.lit("")).otherwise(F.col("line"))
-    return lines.select("doc_id", "n", out.alias("line")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls")).select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
+
+    def runs(blanks):
+        at = lambda i: F.coalesce(F.get(blanks, i), F.lit(False))
+        edge = lambda step: F.filter(F.transform(blanks, lambda b, i: F.when(b & ~at(i + step), i)), lambda i: i.isNotNull())
+        return F.transform(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last")), lambda r: F.struct(r["first"].alias("h"), (r["last"] + 1).alias("stop")))
+
+    def block(r):
+        n, head, tail = r["stop"] - r["h"], r["h"] == 0, r["stop"] == F.size("lines")
+        count = F.when(head, F.floor(n / 2)).otherwise(F.greatest(F.lit(0), F.floor((n - 1) / 2)))
+        at = lambda i: i - F.when(head, 0).otherwise(1)
+        written = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((at(i) >= 0) & (at(i) < 2 * count) & (at(i) % 2 == 0), F.lit("&nbsp;")).otherwise(F.lit("")))
+        return F.when(tail, F.slice("lines", r["h"] + 1, n)).otherwise(written)
+
+    blanks = F.transform("lines", lambda l, i: blank(l) & ~fenced(F.col("spans"), i))
+    rows = with_lines(docs.where("text is not null").select("doc_id", "text"))
+    return rows.select("doc_id", kernels.let(kernels.let(blanks, runs), lambda es: _rebuilt(F.col("lines"), es, block)).alias("text"))
 
 
 def document_titles(docs: DataFrame, missing: str = "無題") -> DataFrame:
     """(doc_id, title): the first level-1 heading outside fences."""
-    lines = fence_state(line_table(docs)).where(r"not in_fence and line rlike '^ {0,3}#[ \\t]+'")
-    first = lines.groupBy("doc_id").agg(F.min_by(strip(F.regexp_replace("line", r"^ {0,3}#[ \t]+|[ \t]+#*[ \t]*$", "")), "n").alias("title"))
-    return docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit(missing)).alias("title"))
+    title = lambda l: F.when(l.rlike(r"^ {0,3}#[ \t]+"), strip(F.regexp_replace(l, r"^ {0,3}#[ \t]+|[ \t]+#*[ \t]*$", "")))
+    first = F.get(F.filter(outside_fences(lambda l, i: title(l)), lambda t: t.isNotNull()), F.lit(0))
+    return with_lines(docs).select("doc_id", F.coalesce(F.nullif(first, F.lit("")), F.lit(missing)).alias("title"))
 
 
 def diagram_blocks(docs: DataFrame) -> DataFrame:
@@ -223,19 +343,23 @@ def diagram_blocks(docs: DataFrame) -> DataFrame:
 
     A mark of the other kind inside a fence is part of its source.
     """
-    w = Window.partitionBy("doc_id").orderBy("n")
-    info = F.when(F.col("opens"), F.regexp_replace("line", FENCE, ""))
-    lines = fence_state(line_table(docs)).where("n <= fence_end").withColumns({"block": F.sum(F.col("opens").cast("int")).over(w), "info": F.last(info, ignorenulls=True).over(w)})
-    body = lines.where("not opens and n <> fence_end").groupBy("doc_id", "block", "info").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
-    view = F.coalesce(F.nullif(F.regexp_extract("info", r"show=(\w+)", 1), F.lit("")), F.lit("diagram"))
-    return body.where(F.col("info").rlike(r"^\s*mermaid\b")).select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("source"), view.alias("view")).where("view <> 'code'").distinct()
+
+    def block(s):
+        info = F.regexp_replace(F.get("lines", s["a"]), FENCE, "")
+        view = F.coalesce(F.nullif(F.regexp_extract(info, r"show=(\w+)", 1), F.lit("")), F.lit("diagram"))
+        source = F.array_join(F.slice("lines", s["a"] + 2, s["b"] - s["a"] - 1), "\n")
+        return F.struct(info.rlike(r"^\s*mermaid\b").alias("own"), source.alias("source"), view.alias("view"), (s["b"] > s["a"] + 1).alias("solid"))
+
+    found = with_lines(docs.where(F.contains("text", F.lit("mermaid")))).select("doc_id", F.explode(F.transform("spans", block)).alias("s"))
+    return found.where("s.own and s.solid and s.view <> 'code'").select("doc_id", "s.source", "s.view").distinct()
 
 
 def page_parts(docs: DataFrame) -> DataFrame:
     """Lines with the number of their part; a page break line opens the next and belongs to none."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    lines = line_table(docs).withColumn("is_break", F.col("line").rlike(PAGE_BREAK))
-    return lines.withColumn("part", F.sum(F.col("is_break").cast("int")).over(w)).where("not is_break").drop("is_break")
+    rows = docs.withColumn("lines", lines_of())
+    rows = rows.withColumn("breaks", F.filter(F.transform("lines", lambda l, i: F.when(l.rlike(PAGE_BREAK), i)), lambda i: i.isNotNull()))
+    lines = rows.select("doc_id", "breaks", F.posexplode("lines").alias("at", "line")).where("not array_contains(breaks, at)")
+    return lines.select("doc_id", (F.col("at") + 1).alias("n"), "line", F.size(F.filter("breaks", lambda b: b < F.col("at"))).cast("long").alias("part"))
 
 
 def neutralize_links(df: DataFrame, column: str = "text") -> DataFrame:
@@ -255,11 +379,10 @@ def strip_data_images(docs: DataFrame, placeholder: str = "data:,") -> tuple[Dat
 
 
 def escape_angles(docs: DataFrame, undo: bool = False) -> DataFrame:
-    """(doc_id, text) with ``<`` escaped (or unescaped) outside fences and inline code; escaped ones stay."""
-    lines = fence_state(line_table(docs))
-    change = F.regexp_replace("line", r"(?<!\\)((?:\\\\)*)\\<", "$1<") if undo else F.regexp_replace("line", r"(?<!\\)((?:\\\\)*)<", r"$1\\\\<".replace("\\\\\\\\", "\\\\"))
-    line = F.when(F.col("in_fence") | F.contains("line", F.lit("`")), F.col("line")).otherwise(change)
-    return lines.select("doc_id", "n", line.alias("line")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls")).select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
+    """(doc_id, text) with ``<`` escaped (or unescaped) outside fences and inline code; escaped ones stay. A null text stays null."""
+    change = lambda t: F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)\\<", "$1<") if undo else F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)<", r"$1\\<")
+    lines = F.transform("lines", lambda l, i: F.when(fenced(F.col("spans"), i) | ~F.contains(l, F.lit("<")), l).otherwise(map_outside_code(l, change)))
+    return with_lines(docs).select("doc_id", F.when(F.contains("text", F.lit("<")), F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text"))
 
 
 def nth_visible_char(pieces: DataFrame, targets: DataFrame) -> DataFrame:

@@ -46,19 +46,22 @@ def page_diff(readings: DataFrame) -> DataFrame:
 
     Readings that differ in white space alone are one matching segment. Of the others the words are cut
     and compared by SQL functions; only the arrays of words go to the difference kernel, and its ranges
-    are cut from the readings again by SQL functions. The primary texts in order are the primary reading.
-    A reading without a word has no text of its own in any segment; a null reading is empty.
+    are cut from the readings again by SQL functions. The primary texts in order are the primary reading:
+    one without a word is a single segment, which matches if the other has none either. A null reading is empty.
+    Each row is compared by itself, whatever ids repeat.
     """
     spaced = lambda c: strip(F.regexp_replace(F.col(c), r"(?U)\s+", " "))
     texts = readings.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("alternate", F.lit("")).alias("alternate"))
-    marked = texts.withColumn("same", (spaced("text") == spaced("alternate")) & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    marked = texts.withColumn("same", spaced("text") == spaced("alternate"))
     alike = marked.where("same").selectExpr("doc_id", "0 as pos", "'seg-0' as segment_id", "text as primary_text", "alternate as alternate_text", "true as is_match")
 
-    cut = marked.where("not same").select("doc_id", *[kernels.word_pieces(F.col(c)).alias(f"{c}_pieces") for c in ("text", "alternate")])
+    cut = marked.where("not same").select("doc_id", "text", "alternate", *[kernels.word_pieces(F.col(c)).alias(f"{c}_pieces") for c in ("text", "alternate")])
     listed = cut.withColumns({f"{c}_listed": F.array_join(F.transform(f"{c}_pieces", strip), "\n") for c in ("text", "alternate")})  # NFKC runs once over all words of a text
     plain = listed.withColumns({f"{c}_listed": kernels.nfkc(F.col(f"{c}_listed")) for c in ("text", "alternate")})
     side = lambda c: kernels.spans_and_words(F.col(f"{c}_pieces"), kernels.compared_words(F.col(f"{c}_listed"))).alias(c)
-    words = plain.select("doc_id", side("text"), side("alternate")).select("doc_id", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("text", "alternate") for f in ("spans", "words")])
+    lone = F.when(F.size("x.words") == 0, F.struct("text", "alternate")).alias("lone")
+    words = plain.select("doc_id", "text", "alternate", side("text").alias("x"), side("alternate").alias("y"))
+    words = words.select("doc_id", lone, *[F.col(f"{s}.{f}").alias(f"{c}_{f}") for s, c in (("x", "text"), ("y", "alternate")) for f in ("spans", "words")])
 
     def compare(batches):
         import pyarrow as pa
@@ -66,14 +69,16 @@ def page_diff(readings: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("alike", pa.bool_()), *((c, pa.int32()) for c in ("a", "a_end", "b", "b_end"))]))
         for batch in batches:
             found = [kernels.differences(x, y) for x, y in zip(batch["text_words"].to_pylist(), batch["alternate_words"].to_pylist())]
-            kept = [batch[c] for c in ("doc_id", "text_spans", "alternate_spans")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], ["doc_id", "text_spans", "alternate_spans", "ranges"])
+            kept = ("doc_id", "lone", "text_spans", "alternate_spans")
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(found, kind)], [*kept, "ranges"])
 
-    schema = f"doc_id {readings.schema['doc_id'].dataType.simpleString()}, text_spans array<string>, alternate_spans array<string>, ranges array<struct<alike:boolean,a:int,a_end:int,b:int,b_end:int>>"
+    schema = f"doc_id {readings.schema['doc_id'].dataType.simpleString()}, lone struct<text:string,alternate:string>, text_spans array<string>, alternate_spans array<string>, ranges array<struct<alike:boolean,a:int,a_end:int,b:int,b_end:int>>"
     ranges = words.mapInArrow(compare, schema)
     piece = lambda spans, r, x: F.array_join(F.slice(spans, r[x] + 1, r[f"{x}_end"] - r[x]), "")
     of_range = lambda a, b: lambda r: F.struct(piece(a, r, "a").alias("primary_text"), piece(b, r, "b").alias("alternate_text"), r["alike"].alias("is_match"))
     segments = kernels.let(F.col("text_spans"), lambda a: kernels.let(F.col("alternate_spans"), lambda b: F.transform("ranges", of_range(a, b))))
+    alone = F.array(F.struct(F.col("lone.text").alias("primary_text"), F.col("lone.alternate").alias("alternate_text"), (F.size("alternate_spans") == 0).alias("is_match")))
+    segments = F.when(F.col("lone").isNotNull(), alone).otherwise(segments)
     differ = ranges.select("doc_id", F.posexplode(segments).alias("pos", "s")).select("doc_id", "pos", F.concat(F.lit("seg-"), F.col("pos").cast("string")).alias("segment_id"), "s.*")
     return alike.unionByName(differ)
 
@@ -186,13 +191,14 @@ def locate_segments(segments: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def cut_repeats(texts: DataFrame) -> DataFrame:
-    """(doc_id, text): blocks between code fence marks up to the first that came before, joined by blank lines."""
-    blocks = F.filter(F.transform(F.split("text", r"```\w*", -1), strip), lambda b: b != "")
-    rows = texts.select("doc_id", F.posexplode(blocks).alias("i", "b"))
-    seen = Window.partitionBy("doc_id", "b").orderBy("i")
-    first = rows.withColumn("nth", F.row_number().over(seen)).withColumn("cut", F.min(F.when(F.col("nth") > 1, F.col("i"))).over(Window.partitionBy("doc_id")))
-    kept = first.where("cut is null or i < cut")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "\n\n").alias("text"))
+    """(doc_id, text): blocks between code fence marks up to the first that came before, joined by blank lines; empty where there is no block."""
+
+    def kept(blocks):
+        repeated = F.filter(F.transform(blocks, lambda b, i: F.when(F.array_position(blocks, b) <= i, i)), lambda i: i.isNotNull())
+        return F.array_join(F.slice(blocks, F.lit(1), F.coalesce(F.get(repeated, F.lit(0)), F.size(blocks))), "\n\n")
+
+    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"```\w*", -1), strip), lambda b: b != "")
+    return texts.select("doc_id", kernels.let(blocks, kept).alias("text"))
 
 
 def segment_context(segments: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
@@ -226,6 +232,54 @@ def choose_reading(readings: DataFrame) -> DataFrame:
     return per.select("doc_id", "page", primary.alias("primary_text"), alternate.alias("alternate_text"), review.alias("review"))
 
 
+#: The readings that a primary one is compared with, in the order in which they are asked for.
+SOURCES = ("alternate", "second", "verify")
+
+
+def route_readings(readings: DataFrame, corrections: DataFrame, most: int = MOST_UNRESOLVED, similarity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages compared with the first reading that serves: their segments, and (doc_id, page, source, review).
+
+    readings: doc_id, page, source (primary, alternate, second or verify), text, ok; corrections as
+    ``apply_corrections`` has them, with page and source. A page goes through stages, each of which takes only the pages that the
+    ones before left over: its alternate reading serves unless more than ``most`` segments stay open after
+    corrections (the comparison itself is then in doubt); then a second reading; then the verified one, if it
+    holds or differs from the primary. A page that none serves is compared with itself and needs review as a whole, as
+    does one without a primary reading, whose alternate stands in. Segments keep the first primary text in every stage.
+    """
+    of = lambda s, c="text": F.max(F.when(F.col("source") == s, F.col(c)))
+    page = F.struct("doc_id", "page")
+    per = readings.groupBy("doc_id", "page").agg(*[of(s).alias(s) for s in ("primary", *SOURCES)], of("verify", "ok").alias("ok"))
+    per = per.select(page.alias("doc_id"), *["primary", *SOURCES, "ok"])
+    own = corrections.select(page.alias("doc_id"), *[c for c in corrections.columns if c not in ("doc_id", "page")])
+
+    def compared(pages: DataFrame, alternate: str, source: str) -> DataFrame:
+        pairs = pages.select("doc_id", F.col("primary").alias("text"), F.col(alternate).alias("alternate"))
+        told = own.where(F.col("source") == source).drop("source")
+        return apply_corrections(page_diff(pairs), told, similarity).withColumn("source", F.lit(source))
+
+    named = lambda pages, source, review: pages.select("doc_id", F.lit(source).alias("source"), F.lit(review).alias("review"))
+    lost = per.where(blank(F.col("primary"))).withColumn("primary", F.coalesce("alternate", F.lit("")))
+    read = per.where(~blank(F.col("primary")))
+    # The first comparison is cached, for both its outcomes read it.
+    tried = compared(read.where(~blank(F.col("alternate"))), "alternate", "alternate").cache()
+    load = page_review_load(tried, most)
+    usable = load.where("not unusable").select("doc_id")
+    left = read.join(usable, "doc_id", "left_anti")
+    again = left.where(~blank(F.col("second")))
+    left = left.where(blank(F.col("second")))
+    holds = F.coalesce(F.col("ok"), F.lit(False)) | F.coalesce(F.col("verify") != F.col("primary"), F.lit(False))
+    verified = left.where(holds).withColumn("verify", F.coalesce("verify", "primary"))
+    none = left.where(~holds)
+    stages = [(again, "second", "second"), (verified, "verify", "verify"), (none, "primary", "none"), (lost, "primary", "lost")]
+    segments = tried.join(usable, "doc_id", "left_semi")
+    routes = named(usable, "alternate", False)
+    for pages, alternate, source in stages:
+        segments = segments.unionByName(compared(pages, alternate, source))
+        routes = routes.unionByName(named(pages, source, source in ("none", "lost")))
+    apart = lambda df: df.select("doc_id.doc_id", "doc_id.page", *[c for c in df.columns if c != "doc_id"])
+    return apart(segments), apart(routes)
+
+
 def first_valid_response(responses: DataFrame, schema: str, valid: Column, key: list[str], most: int = 2) -> DataFrame:
     """Of model responses (key, attempt, body) the first attempt whose JSON is valid; none of ``most`` makes the row uncertain.
 

@@ -26,7 +26,7 @@ def draft_lifecycle(spark, folder):
     return op.draft_lifecycle(fx.life(spark, folder))
 
 
-@query("draft_progress_latest", f"with {fx.LIFE_SQL} select draft_id, arg_max(pages_done, (ts, event_id)) as pages_done from life where event = 'progress' group by draft_id")
+@query("draft_progress_latest", RUN_SQL + ", told as (select s.draft_id, s.i, s.pages_done from seq s join run r on r.draft_id = s.draft_id and r.i = s.i - 1 where s.event = 'progress' and r.status = 'RUNNING') select draft_id, arg_max(pages_done, i) as pages_done from told group by draft_id")
 def draft_progress_latest(spark, folder):
     return op.draft_progress_latest(fx.life(spark, folder))
 
