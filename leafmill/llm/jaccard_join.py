@@ -13,10 +13,10 @@ told by a summary of fixed size: each task reports the shingles that it meets mo
 - Lists are kept in blocks of near sizes and positions. Two sets that meet at positions i and j share at
   most the smaller of n - i and m - j shingles; where the largest sizes and smallest positions of two blocks
   rule a link out, the pair of blocks is skipped as a whole.
-- Of the pairs that are left, those go whose sketches (how many shingles fall into each class of hashes) show
-  that they share too few; only then do texts move, those of the sets that are left.
-- Where two components meet, the sets of one are taken in order, and the overlaps of one with all
-  sets of the other are derived from those of the one before it: only the shingles in which
+- Where blocks meet, sketches (how many shingles fall into each class of hashes) come first; only the texts of sets
+  that may then still have a link with the other block move.
+- In a pair of blocks the sets are taken in order of their components, and the overlaps of one with all
+  sets of the other block are derived from those of the one before it: only the shingles in which
   the two differ are looked up, their number permitting.
 - In each list one set (the center) is compared with all; afterwards only sets outside the list's largest component
   are compared further (see ``components``), so that thousands of variants cost few pairs. No pair that
@@ -46,8 +46,7 @@ REPORTED = 1 << 14
 FREQUENT = 1 << 17
 #: Members outside a list's largest component that its first round compares with all.
 CENTERS = 16
-#: Sets in a block of a list, and shingles of the sets of a component that are compared at once.
-HELD = 256
+#: Shingles of the sets in a block of a list.
 BLOCK = 1 << 18
 #: Shingles for each class of a sketch, and classes at most.
 CLASS, CLASSES = 8, 1 << 10
@@ -320,91 +319,117 @@ def _linked(pairs: DataFrame, sets: _Sets) -> DataFrame:
     return sides.mapInArrow(judge, "a long, b long")
 
 
-def _candidates(members: DataFrame, centers: int, percent: int) -> DataFrame:
-    """(a, b, of_a, of_b): chosen members and members of other components that two blocks of a list do not rule out, and their components."""
+def _meetings(members: DataFrame, centers: int, percent: int) -> DataFrame:
+    """(meeting, side, node, component): chosen members (side 0) and all members of a list (1), where two of their blocks may hold a link."""
     width = math.log(100 / percent)
     placed = members.withColumns({"size": F.floor(F.log("n") / F.lit(width)), "band": F.floor(64 * F.col("pos") / F.col("n"))})
 
     def blocks(rows: DataFrame, many, salt: int, name: str) -> DataFrame:
-        seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(many / F.lit(HELD)).cast("long"))
-        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("node", "component", "n", "pos")).alias("held"))
-        return held.select("key", F.struct("low_n", "high_n", "low_pos", "held").alias(name))
+        seats = F.ceil(many * F.exp((F.col("size") + 1) * F.lit(width)) / F.lit(BLOCK)).cast("long")
+        seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.lit(1), F.least(seats, many)))
+        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("node", "component")).alias("held"))
+        return held.select("key", F.struct(F.struct("size", "band", "seat").alias("at"), "low_n", "high_n", "low_pos", "held").alias(name))
 
     asking = blocks(placed.where("chosen"), F.least("waiting", F.lit(centers)), 1, "x_block")
     met = asking.join(blocks(placed, F.col("members"), 2, "y_block"), "key").where(_possible("x_block", "y_block", percent))
-    pairs = met.select(F.explode("x_block.held").alias("x"), F.col("y_block.held").alias("ys")).select("x", F.explode("ys").alias("y"))
-    pairs = pairs.where((F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("of_x"), F.col("y.component").alias("of_y")).distinct()
+    sided = lambda side, held: F.transform(held, lambda e: F.struct(F.lit(side).alias("side"), e.node.alias("node"), e.component.alias("component")))
+    both = F.concat(sided(0, "x_block.held"), sided(1, "y_block.held"))
+    return met.select(F.xxhash64("key", "x_block.at", "y_block.at").alias("meeting"), F.explode(both).alias("e")).select("meeting", "e.*")
 
 
-def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
-    """Links (a, b) of the chosen members with other components of their list, where components meet."""
-    gram, percent = sets.gram, sets.percent
-    possible = sets.possible(_candidates(members, centers, percent))
-    texts = sets.texts(possible)
-    between = ["of_x", "of_y"]
-    sides = []
-    for c in ("a", "b"):
-        own = possible.select(*between, F.col(c).alias("node")).distinct().join(sets.known.select("node", "n"), "node")
-        seats = own.groupBy(*between).agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias(f"seats_{c}"))
-        sides.append((own, seats))
-    (xs, x_seats), (ys, y_seats) = sides
-    seats = x_seats.join(y_seats, between)
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    seat = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    at = ["of_x", "of_y", "x", "y"]
-    asking = xs.join(seats, between).select(*between, seat("seats_a").alias("x"), upto("seats_b").alias("y"), F.lit(0).alias("side"), "node")
-    asked = ys.join(seats, between).select(*between, upto("seats_a").alias("x"), seat("seats_b").alias("y"), F.lit(1).alias("side"), "node")
-    dealt = asking.unionByName(asked).join(texts, "node").repartition(*at).sortWithinPartitions(*at, "side", "node")
-
-    def compare(batches):
-        import pandas as pd
+def _by_meeting(rows: DataFrame, judge, schema: str) -> DataFrame:
+    """``judge`` applied to all rows of each meeting at once, as pandas."""
+    dealt = rows.repartition("meeting").sortWithinPartitions("meeting", "side", "component", "node")
 
-        def links(pdf):
-            out = []
-            for _, group in pdf.groupby(at, sort=False):
-                grams = [gram_set(t, gram) for t in group.text]
-                side, node = group.side.to_numpy(), group.node.to_numpy()
-                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                if not len(x) or not len(y):
-                    continue
-                n, answers = np.array([len(g) for g in grams]), Answers([grams[i] for i in y])
-                for i in x:
-                    good = y[answers.of(grams[i]) >= needed(n[i], n[y], percent)]
-                    if len(good):  # of several links with a component one is enough
-                        out.append((min(node[i], node[good[0]]), max(node[i], node[good[0]])))
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def each(batches):
+        import pandas as pd
 
         carried = None
         for batch in batches:
             pdf = batch if carried is None else pd.concat([carried, batch])
-            last = (pdf[at] == pdf[at].iloc[-1]).all(axis=1)  # may go on in the next batch
+            last = (pdf.meeting == pdf.meeting.iloc[-1]).to_numpy()  # may go on in the next batch
             carried = pdf[last]
             if not last.all():
-                yield links(pdf[~last])
+                yield pd.concat([judge(group) for _, group in pdf[~last].groupby("meeting", sort=False)])
         if carried is not None:
-            yield links(carried)
+            yield judge(carried)
+
+    return dealt.mapInPandas(each, schema)
+
+
+def _folded(sketches: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of a matrix with as many classes as the smallest has, and which of them there are."""
+    there = np.array([s is not None for s in sketches])
+    k = min((len(s) for s in sketches if s is not None), default=1)
+    rows = [np.zeros(k, dtype=np.int32) if s is None else np.frombuffer(s, dtype=np.uint8).reshape(-1, k).sum(axis=0, dtype=np.int32) for s in sketches]
+    return np.stack(rows), there
+
+
+def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
+    """Links (a, b) of the chosen members with other components of their list; pairs stay in their tasks.
+
+    Sketches meet first, and of those the sets that may have a link with a set of the other block; only their texts move.
+    """
+    gram, percent = sets.gram, sets.percent
+    rows = _meetings(members, centers, percent).join(sets.known.select("node", "n", "sketch"), "node").select("meeting", "side", "component", "node", "n", "sketch")
+
+    def possible(pdf):
+        pdf = pdf.reset_index(drop=True)
+        side, component, n = pdf.side.to_numpy(), pdf.component.to_numpy(), pdf.n.to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        kept = np.zeros(len(pdf), dtype=bool)
+        if len(x) and len(y):
+            classes, there = _folded(pdf.sketch.tolist())
+            for i in x:
+                most = np.minimum(n[i], n[y]) if not there[i] else np.where(there[y], np.minimum(classes[y], classes[i]).sum(axis=1), np.minimum(n[i], n[y]))
+                good = y[(most >= needed(n[i], n[y], percent)) & (component[y] != component[i])]
+                kept[good] = True
+                kept[i] = len(good) > 0
+        return pdf.loc[kept, ["meeting", "side", "component", "node"]]
+
+    left = written(_by_meeting(rows, possible, "meeting long, side int, component long, node long"), "possible-meetings")
+    texts = sets.texts(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
+
+    def links(pdf):
+        import pandas as pd
+
+        sets_, out = [gram_set(t, gram) for t in pdf.text], []
+        side, component, node = pdf.side.to_numpy(), pdf.component.to_numpy(), pdf.node.to_numpy()
+        x, y, n = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.array([len(s) for s in sets_])
+        answers = Answers([sets_[i] for i in y])
+        for i in x:
+            both = answers.of(sets_[i])
+            good = y[(both >= needed(n[i], n[y], percent)) & (component[y] != component[i])]
+            _, one = np.unique(component[good], return_index=True)  # of several links with a component one is enough
+            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in good[one]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return _by_meeting(left.join(texts, "node").select("meeting", "side", "component", "node", "text"), links, "a long, b long").distinct()
 
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
 
+def candidate_lists(docs: DataFrame, reported: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the lists' centers with members that they may link with, and (key, node, center, n, pos) of the lists with three sets or more.
 
-def candidate_lists(docs: DataFrame, reported: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """(key, node, n, pos, center, near) of the lists with two sets or more; near: whether it can link with the center."""
+    The center of a list is its smallest set; lists with one center are one (key), which has each set once.
+    """
     lists = written(index_lists(docs, frequent_shingles(reported), gram, percent), "index-lists")
-    ends = lists.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("top")).where("center <> top").drop("top")
-    held = written(lists.join(ends, "key").distinct(), "candidate-lists")
-    centers = held.where("node = center").select("key", F.struct("n", "pos").alias("y"))
-    star = held.join(centers, "key").withColumn("x", F.struct("n", "pos"))
-    return star.select("key", "node", "n", "pos", "center", _possible("x", "y", percent).alias("near"))
+    ends = lists.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("top"), F.count("*").alias("held")).where("center <> top").drop("top")
+    held = written(lists.join(ends, "key"), "candidate-lists")
+    centers = held.where("node = center").select("key", F.struct("n", "pos").alias("y")).distinct()
+    star = held.where("node <> center").join(centers, "key").withColumn("x", F.struct("n", "pos"))
+    first = star.where(_possible("x", "y", percent)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    # A list of two sets has no other pair. A task gives a set once, so that copies may count as sets here; they are one later.
+    merged = held.where("held > 2").groupBy("center", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    return first, merged.select(F.col("center").alias("key"), "node", "center", "n", "pos")
 
 
 def components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every document, and (node, component) of the nodes that have links."""
     found = written(measured(docs, gram), "shingle-sets")
     sets = found.where("n is not null").drop("token", "times")
-    star = written(candidate_lists(docs, found.where("token is not null"), gram, percent), "list-stars")
-    held = _Sets(docs, sets, star.select("node").distinct(), gram, percent)
-    first = star.where("near and node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    first, star = (written(df, "list-stars") for df in candidate_lists(docs, found.where("token is not null"), gram, percent))
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(star.select("node")).distinct()
+    held = _Sets(docs, sets, nodes, gram, percent)
     labels = all_components(star, lambda pairs: _linked(pairs, held), lambda members, centers: _meet(members, centers, held), CENTERS, first)
     return sets, labels
 

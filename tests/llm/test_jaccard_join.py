@@ -52,7 +52,6 @@ def test_frequent_shingles_and_small_blocks(spark, monkeypatch):
     """Lists of several blocks, and an order with frequent shingles last, give the same components."""
     monkeypatch.setattr(jj, "BLOCK", 500)
     monkeypatch.setattr(jj, "CENTERS", 2)
-    monkeypatch.setattr(jj, "HELD", 3)
     texts = [(i, varied(80 + i % 3, 21, [5 * (i % 11), 9 * (i % 7)])) for i in range(120)] + [(1000 + i, prose(40, 70 + i % 5) + " " + prose(20, i)) for i in range(60)]
     docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(6)
     assert found(docs) == brute(texts)
