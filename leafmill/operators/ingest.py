@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from leafmill.operators import publication
+
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, key: str = "source_file_name", version: str = "version") -> DataFrame:
     """Whole documents replaced by key, the last incoming version winning; the old pdf is kept where the new one has none."""
@@ -29,33 +31,14 @@ def upsert_pdf(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "priority")
 
 
-def publish(df: DataFrame, folder: str) -> str:
-    """Write a new version of a table beside the old ones. The pointer to it is written last, so readers never see half of it.
-
-    A pointer is a table of one row, ``current/<number>``; the largest number that was finished counts.
-    """
-    spark = df.sparkSession
-    number = (_newest(spark, folder) or (0, ""))[0] + 1
-    path = f"{folder}/version-{spark.sql('select uuid()').first()[0]}"
-    df.write.parquet(path)
-    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/current")
-    return path
-
-
-def _newest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = files.Path(f"{folder}/current")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return None
-    row = spark.read.schema("number long, path string").parquet(f"{folder}/current").orderBy(F.col("number").desc(), "path").first()
-    return (row.number, row.path) if row else None
+def publish(df: DataFrame, folder: str) -> publication.Snapshot:
+    """A new version of a table beside the old ones; of writers at once each gets a number of its own (see ``publication``)."""
+    return publication.update(df.sparkSession, folder, lambda base: {"replaced": {"table": df}})
 
 
 def read_published(spark: SparkSession, folder: str) -> DataFrame:
     """The newest version of a published table."""
-    if (found := _newest(spark, folder)) is None:
-        raise FileNotFoundError(f"nothing is published in {folder}")
-    return spark.read.parquet(found[1])
+    return publication.snapshot(spark, folder).table(spark, "table")
 
 
 def existing_registration(incoming: DataFrame, registered: DataFrame, key: str = "source_file_name") -> DataFrame:

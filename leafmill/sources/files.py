@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import bundles, ingest
+from leafmill.operators import bundles, chunking, ingest, registration, validation
 from leafmill.tables import blank
 
 PDF_BYTES = 100 << 20
@@ -49,6 +49,32 @@ def read_pdf_blobs(spark: SparkSession, path: str, most: int = PDF_BYTES) -> tup
     return found.where("reason is null").drop("reason"), found.where("reason is not null").select("path", "reason").unionByName(large)
 
 
+def registrations(files: DataFrame, dim: int = 64) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The registrations that files (path, modificationTime, length, content) ask for, and (path, reason) of those rejected.
+
+    A Markdown file registers a document under its name; ``<name>.tags`` beside it holds its tags, ``<name>.pdf`` its original.
+    A pdf without its Markdown in the same batch belongs to the document that is registered under the name (document_id is null). Ids
+    come from a file's path, time and content, so that the same files give the same ids again.
+    """
+    path = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    named = files.withColumn("path", path).withColumn("name", F.element_at(F.split("path", "/", -1), -1)).withColumn("ext", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
+    beside = named.withColumn("at", F.regexp_replace("path", r"\.[^.]*$", ""))  # the Markdown file's path
+    texts = named.where("ext not in ('pdf', 'tags')")
+    judged = classify_markdown(texts).join(texts.select("path", "name", "modificationTime", F.sha2("content", 256).alias("digest")), "path")
+    own_id = registration.document_id(F.col("path"), F.col("modificationTime").cast("string"), F.col("digest"))
+    good = judged.where("reason is null").withColumn("document_id", own_id)
+    documents = good.select("document_id", "title", F.col("name").alias(registration.KEY), F.col("modificationTime").alias("created_at"))
+    chunks = chunking.chunk_documents(good.select(F.col("document_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "document_id")
+    listed = validation.normalize_tags(beside.where("ext = 'tags'").select("path", "at", F.col("content").cast("string").alias("raw")))
+    tags = listed.join(good.select(F.col("path").alias("at"), "document_id"), "at").select("document_id", F.explode("tags").alias("tag"))
+    blobs = classify_pdfs(beside.where("ext = 'pdf'"))
+    name = F.element_at(F.split("at", "/", -1), -1)
+    pdfs = blobs.where("reason is null").join(good.select(F.col("path").alias("at"), "document_id"), "at", "left")
+    pdfs = pdfs.select("document_id", F.col("name").alias("file_name"), "content", name.alias(registration.KEY))
+    rejected = judged.select("path", "reason").unionByName(blobs.select("path", "reason")).unionByName(listed.select("path", F.when(F.col("error").isNotNull(), "tags").alias("reason")))
+    return {"documents": documents, "tags": tags, "chunks": ingest.embed_column(chunks, "content", dim=dim), "pdfs": pdfs}, rejected.where("reason is not null")
+
+
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """(bundle_id, path, length, content, kind): each folder under ``path`` is a bundle; its own name, hidden and module folders are left out."""
     files = _files(spark, path).select("path", "length", "content")
@@ -63,6 +89,21 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return kept
 
 
+def answer_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (message_id, seq, line) of answers as events (message_id, seq, kind, text) for ``answer_stream``, and as errors with a preview."""
+    parsed = ingest.parse_answer_events(lines)
+    kind = F.when(F.col("event.type") == "manual_references", "references").otherwise(F.col("event.type"))
+    text = F.coalesce("event.text", "event.detail", F.to_json("event.manual_references"))
+    good = parsed.where("error is null").select("message_id", "seq", kind.alias("kind"), text.alias("text"))
+    return good, parsed.where("error is not null").select("message_id", "seq", "error", "preview")
+
+
+def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A stream of answers, each a file of JSON lines, as ``answer_messages``; the message's id is its file's path."""
+    whole = spark.readStream.text(path, wholetext=True)
+    return answer_messages(whole.select(F.col("_metadata.file_path").alias("message_id"), F.posexplode(F.split("value", "\n", -1)).alias("seq", "line")))
+
+
 def read_answer_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A stream of JSON lines as good events and as errors with a preview."""
     parsed = ingest.parse_answer_events(spark.readStream.text(path).withColumnRenamed("value", "line"))

@@ -10,64 +10,122 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from leafmill.operators import chunking, ingest, lifecycle
+from leafmill.operators import chunking, ingest, lifecycle, registration
+from leafmill.sources import files
+
+
+#: What an interrupted draft is told.
+INTERRUPTED = "interrupted"
+_OPEN = ("QUEUED", "RUNNING")
 
 
 class _Lifecycle(StatefulProcessor):
-    """The state of one draft; pairs that no rule has change nothing."""
+    """The state of one draft; pairs that no rule has change nothing. With a timeout, a timer fails a draft that stays queued or running."""
+
+    def __init__(self, timeout_ms: int | None = None, event_clock: bool = False, message: str = INTERRUPTED):
+        self.timeout_ms, self.event_clock, self.message = timeout_ms, event_clock, message
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.status = handle.getValueState("status", StructType([StructField("status", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         status = self.status.get()[0] if self.status.exists() else lifecycle.NEW
-        for event in events.event:
-            status = "QUEUED" if status == lifecycle.NEW and event == "queue" else lifecycle.TRANSITIONS.get((status, event), status)
+        heard = None
+        for event, ts in zip(events.event, events.ts):
+            after = "QUEUED" if status == lifecycle.NEW and event == "queue" else lifecycle.TRANSITIONS.get((status, event), status)
+            if after != status or (status, event) in lifecycle.TRANSITIONS:
+                heard = ts
+            status = after
         self.status.update((status,))
+        if self.timeout_ms is not None and heard is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if status in _OPEN:
+                now = pd.Timestamp(heard).value // 1_000_000 if self.event_clock else timerValues.getCurrentProcessingTimeInMs()
+                self.handle.registerTimer(int(now) + self.timeout_ms)
         if status != lifecycle.NEW:
-            yield pd.DataFrame({"draft_id": [key[0]], "status": [status]})
+            yield pd.DataFrame({"draft_id": [key[0]], "status": [status], "error_message": [None]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.status.exists() and self.status.get()[0] in _OPEN:
+            self.status.update(("FAILED",))
+            yield pd.DataFrame({"draft_id": [key[0]], "status": ["FAILED"], "error_message": [self.message]})
 
     def close(self) -> None:
         pass
 
 
-def draft_lifecycle(events: DataFrame) -> DataFrame:
-    """(draft_id, status) after each micro-batch that has events of the draft. events: draft_id, ts, event_id, event."""
-    return events.groupBy("draft_id").transformWithStateInPandas(statefulProcessor=_Lifecycle(), outputStructType="draft_id long, status string", outputMode="Update", timeMode="None")
+def draft_lifecycle(events: DataFrame, timeout_ms: int | None = None, clock: str = "processing") -> DataFrame:
+    """(draft_id, status, error_message) after each micro-batch that has events of the draft. events: draft_id, ts, event_id, event.
+
+    With a timeout, every event that takes effect sets the draft's timer anew and its end removes it; a draft still
+    queued or running when it goes off turns FAILED by itself, and late events find it so. The clock is the machine's (``processing``) or
+    the events' (``event``: ts is a timestamp with a watermark, and the watermark is the time).
+    """
+    if clock not in ("processing", "event"):
+        raise ValueError(f"clock must be processing or event, not {clock!r}")
+    mode = "None" if timeout_ms is None else "EventTime" if clock == "event" else "ProcessingTime"
+    kind = events.schema["draft_id"].dataType.simpleString()
+    return events.groupBy("draft_id").transformWithStateInPandas(statefulProcessor=_Lifecycle(timeout_ms, clock == "event"), outputStructType=f"draft_id {kind}, status string, error_message string", outputMode="Update", timeMode=mode)
 
 
 class _Answer(StatefulProcessor):
-    """The references and deltas of one message until it is done; the end clears the state and a blank or failed answer gives nothing."""
+    """The references and deltas of one message until it is done; the end clears them, and a blank or failed answer gives nothing.
+
+    Events of a number that was seen are dropped, and with a time to live so is all that follows the end. What is kept of a message without
+    an end goes when nothing has been added to it for that time.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.deltas = handle.getListState("deltas", StructType([StructField("part", StringType())]))
-        self.references = handle.getValueState("references", StructType([StructField("json", StringType())]))
+        self.deltas = handle.getListState("deltas", StructType([StructField("part", StringType())]), self.ttl_ms)
+        self.references = handle.getValueState("references", StructType([StructField("json", StringType())]), self.ttl_ms)
+        self.seen = handle.getValueState("seen", "seq long, ended boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
+        events = pd.concat(list(rows)).sort_values("seq").drop_duplicates("seq")
+        if self.seen.exists():
+            seq, ended = self.seen.get()
+            events = events[(events.seq > seq) & (not ended)]
+        if events.empty:
+            return
+        stop = events.kind.isin(["done", "error"])
+        if stop.any():  # nothing counts after the first end
+            events = events[events.seq <= events.seq[stop].iloc[0]]
         for told in events.loc[events.kind == "references", "text"]:
             if not self.references.exists():  # once for a message; the first ones count
                 self.references.update((told,))
         new = [(t,) for t in events.loc[events.kind == "delta", "text"]]
         if new:
-            self.deltas.appendList(new)
-        kinds = set(events.kind)
-        if kinds & {"done", "error"}:
+            kept = list(self.deltas.get()) if self.ttl_ms is not None and self.deltas.exists() else []
+            self.deltas.put(kept + new) if kept else self.deltas.appendList(new)  # with a time to live, all parts live as long as the last
+        self.seen.update((int(events.seq.iloc[-1]), bool(stop.any())))
+        if stop.any():
             text = "".join(p[0] or "" for p in self.deltas.get()) if self.deltas.exists() else ""
             references = self.references.get()[0] if self.references.exists() else None
             self.deltas.clear()
             self.references.clear()
-            if "error" not in kinds and text.strip():
+            if self.ttl_ms is None:
+                self.seen.clear()
+            if "error" not in set(events.kind) and text.strip():
                 yield pd.DataFrame({"message_id": [key[0]], "answer": [text], "manual_references": [references]})
 
     def close(self) -> None:
         pass
 
 
-def answer_stream(events: DataFrame) -> DataFrame:
-    """(message_id, answer, manual_references) once a message is done. events: message_id, seq, kind (references, delta, done or error), text."""
-    return events.groupBy("message_id").transformWithStateInPandas(statefulProcessor=_Answer(), outputStructType="message_id long, answer string, manual_references string", outputMode="Append", timeMode="None")
+def answer_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(message_id, answer, manual_references) once a message is done. events: message_id, seq, kind (references, delta, done or error), text.
+
+    ``ttl_ms`` is how long a message without an end is kept, and how long the end is remembered, so that a
+    batch that is delivered again gives no second answer; without it nothing is remembered of ended messages.
+    """
+    kind = events.schema["message_id"].dataType.simpleString()
+    return events.groupBy("message_id").transformWithStateInPandas(statefulProcessor=_Answer(ttl_ms), outputStructType=f"message_id {kind}, answer string, manual_references string", outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 def debounce_latest(edits: DataFrame, quiet: str = "1.5 seconds", late: str = "10 seconds") -> DataFrame:
@@ -97,3 +155,30 @@ def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
     chunks = spark.read.parquet(folder)
     last = chunks.groupBy("doc_id").agg(F.max("batch").alias("batch"))
     return chunks.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
+def register_batch(batch: DataFrame, folder: str, writer: str = "", number: int | None = None, dim: int = 64) -> None:
+    """Register the files (path, modificationTime, length, content) of one batch in the published tables of ``folder``."""
+    incoming, rejected = files.registrations(batch, dim)
+    kept = [incoming[t].persist() for t in ("documents", "chunks")]  # chunked and embedded once, read by several writes
+    try:
+        registration.append_registrations(batch.sparkSession, folder, incoming, writer, number, rejected)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def registration_stream(spark: SparkSession, path: str, folder: str, checkpoint: str, dim: int = 64, files_per_batch: int = 1000):
+    """Start a query that registers the files that come into ``path``: Markdown with what lies beside it, see ``files.registrations``.
+
+    Each micro-batch is one published version of all tables. Its number goes with it under the query's id, so a batch that is run again
+    after a failure, at whatever point that came, counts once. The tables are read by ``registration.registered``.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        register_batch(batch, folder, writer, number, dim)
+
+    return found.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,14 @@ def blank(c: Column) -> Column:
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, line): the lines of each text, numbered from 1."""
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which a cluster names in ``spark.checkpoint.dir``; in local mode one is made where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
