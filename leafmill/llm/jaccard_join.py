@@ -46,8 +46,11 @@ REPORTED = 1 << 14
 FREQUENT = 1 << 17
 #: Members outside a list's largest component that its first round compares with all.
 CENTERS = 16
-#: Shingles of the sets in a block of a list.
+#: Sets of a list from which on it is cut into blocks, and meets as one with the other such lists of its center; shingles of a block.
+LONG = 64
 BLOCK = 1 << 18
+#: Pairs of sketches that are compared at once.
+PAIRS = 1 << 18
 #: Shingles for each class of a sketch, and classes at most.
 CLASS, CLASSES = 8, 1 << 10
 
@@ -320,25 +323,27 @@ def _linked(pairs: DataFrame, sets: _Sets) -> DataFrame:
 
 
 def _meetings(members: DataFrame, centers: int, percent: int) -> DataFrame:
-    """(meeting, side, node, component): chosen members (side 0) and all members of a list (1), where two of their blocks may hold a link."""
-    width = math.log(100 / percent)
-    placed = members.withColumns({"size": F.floor(F.log("n") / F.lit(width)), "band": F.floor(64 * F.col("pos") / F.col("n"))})
+    """(meeting, side, component, node, n, pos): chosen members (side 0) and all members of a list (1), where two of their blocks may hold a link."""
+    width, long = math.log(100 / percent), F.col("members") > LONG
+    size, band = F.floor(F.log("n") / F.lit(width)), F.floor(64 * F.col("pos") / F.col("n"))
+    placed = members.withColumns({"size": F.when(long, size).otherwise(0), "band": F.when(long, band).otherwise(0)})
 
     def blocks(rows: DataFrame, many, salt: int, name: str) -> DataFrame:
         seats = F.ceil(many * F.exp((F.col("size") + 1) * F.lit(width)) / F.lit(BLOCK)).cast("long")
         seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.lit(1), F.least(seats, many)))
-        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("node", "component")).alias("held"))
+        held = rows.groupBy("key", "size", "band", F.when(F.col("members") > LONG, seat).otherwise(0).alias("seat"))
+        held = held.agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("component", "node", "n", "pos")).alias("held"))
         return held.select("key", F.struct(F.struct("size", "band", "seat").alias("at"), "low_n", "high_n", "low_pos", "held").alias(name))
 
     asking = blocks(placed.where("chosen"), F.least("waiting", F.lit(centers)), 1, "x_block")
     met = asking.join(blocks(placed, F.col("members"), 2, "y_block"), "key").where(_possible("x_block", "y_block", percent))
-    sided = lambda side, held: F.transform(held, lambda e: F.struct(F.lit(side).alias("side"), e.node.alias("node"), e.component.alias("component")))
+    sided = lambda side, held: F.transform(held, lambda e: F.struct(F.lit(side).alias("side"), e.component.alias("component"), e.node.alias("node"), e.n.alias("n"), e.pos.alias("pos")))
     both = F.concat(sided(0, "x_block.held"), sided(1, "y_block.held"))
     return met.select(F.xxhash64("key", "x_block.at", "y_block.at").alias("meeting"), F.explode(both).alias("e")).select("meeting", "e.*")
 
 
 def _by_meeting(rows: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge`` applied to all rows of each meeting at once, as pandas."""
+    """``judge`` applied to whole meetings, many at once, as pandas in order of (meeting, side, component)."""
     dealt = rows.repartition("meeting").sortWithinPartitions("meeting", "side", "component", "node")
 
     def each(batches):
@@ -350,19 +355,72 @@ def _by_meeting(rows: DataFrame, judge, schema: str) -> DataFrame:
             last = (pdf.meeting == pdf.meeting.iloc[-1]).to_numpy()  # may go on in the next batch
             carried = pdf[last]
             if not last.all():
-                yield pd.concat([judge(group) for _, group in pdf[~last].groupby("meeting", sort=False)])
+                yield judge(pdf[~last].reset_index(drop=True))
         if carried is not None:
-            yield judge(carried)
+            yield judge(carried.reset_index(drop=True))
 
     return dealt.mapInPandas(each, schema)
 
 
-def _folded(sketches: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as rows of a matrix with as many classes as the smallest has, and which of them there are."""
-    there = np.array([s is not None for s in sketches])
-    k = min((len(s) for s in sketches if s is not None), default=1)
-    rows = [np.zeros(k, dtype=np.int32) if s is None else np.frombuffer(s, dtype=np.uint8).reshape(-1, k).sum(axis=0, dtype=np.int32) for s in sketches]
-    return np.stack(rows), there
+def _ranges(pdf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, rows of side 0, rows of side 1) of each meeting."""
+    meeting, side = pdf.meeting.to_numpy(), pdf.side.to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], meeting[1:] != meeting[:-1])))
+    asked = np.add.reduceat(side, first)
+    return first, np.diff(first, append=len(pdf)) - asked, asked
+
+
+def _pairs(first: np.ndarray, nx: np.ndarray, ny: np.ndarray):
+    """Places (i, j) of each side's rows in all meetings, PAIRS of them or one meeting's at a time."""
+    counts = nx * ny
+    at, ends = 0, np.cumsum(counts)
+    while at < len(counts):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        c, part = counts[at:stop], slice(at, stop)
+        t = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        width = np.repeat(ny[part], c)
+        yield np.repeat(first[part], c) + t // np.maximum(width, 1), np.repeat(first[part] + nx[part], c) + t % np.maximum(width, 1)
+        at = stop
+
+
+class _Sketches:
+    """Sketches of rows, compared many pairs at once: first folded to a few classes, then as they are."""
+
+    FEW = 16
+
+    def __init__(self, sketches: list):
+        self.length = np.array([0 if s is None else len(s) for s in sketches])
+        self.place, self.by_length = np.zeros(len(sketches), dtype=np.int64), {}
+        for k in np.unique(self.length[self.length > 0]):
+            own = np.flatnonzero(self.length == k)
+            self.place[own] = np.arange(len(own))
+            self.by_length[int(k)] = np.frombuffer(b"".join(sketches[i] for i in own), dtype=np.uint8).reshape(-1, k)
+        self._folded: dict = {}
+
+    def _matrix(self, length: int, classes: int) -> np.ndarray:
+        if (length, classes) not in self._folded:
+            self._folded[length, classes] = self.by_length[length].reshape(-1, length // classes, classes).sum(axis=1, dtype=np.int32)
+        return self._folded[length, classes]
+
+    def share(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether the sketches of rows i and j do not rule out that they share ``least``; without a sketch nothing is ruled out."""
+        out = np.ones(len(i), dtype=bool)
+        for few in (True, False):
+            for a in self.by_length:
+                for b in self.by_length:
+                    k = min(a, b)
+                    if few and k <= self.FEW:
+                        continue
+                    k = self.FEW if few else k
+                    at = np.flatnonzero(out & (self.length[i] == a) & (self.length[j] == b))
+                    x, y = self._matrix(a, k), self._matrix(b, k)
+                    step = max(1, (1 << 22) // k)
+                    for s in range(0, len(at), step):
+                        part = at[s : s + step]
+                        most = np.minimum(x[self.place[i[part]]], y[self.place[j[part]]]).sum(axis=1)
+                        out[part] = most >= least[part]
+        return out
 
 
 def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
@@ -371,20 +429,19 @@ def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
     Sketches meet first, and of those the sets that may have a link with a set of the other block; only their texts move.
     """
     gram, percent = sets.gram, sets.percent
-    rows = _meetings(members, centers, percent).join(sets.known.select("node", "n", "sketch"), "node").select("meeting", "side", "component", "node", "n", "sketch")
+    rows = _meetings(members, centers, percent).join(sets.known.select("node", "sketch"), "node").select("meeting", "side", "component", "node", "n", "pos", "sketch")
 
     def possible(pdf):
-        pdf = pdf.reset_index(drop=True)
-        side, component, n = pdf.side.to_numpy(), pdf.component.to_numpy(), pdf.n.to_numpy()
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        kept = np.zeros(len(pdf), dtype=bool)
-        if len(x) and len(y):
-            classes, there = _folded(pdf.sketch.tolist())
-            for i in x:
-                most = np.minimum(n[i], n[y]) if not there[i] else np.where(there[y], np.minimum(classes[y], classes[i]).sum(axis=1), np.minimum(n[i], n[y]))
-                good = y[(most >= needed(n[i], n[y], percent)) & (component[y] != component[i])]
-                kept[good] = True
-                kept[i] = len(good) > 0
+        component, n, pos = pdf.component.to_numpy(), pdf.n.to_numpy(), pdf.pos.to_numpy()
+        kept, sketches = np.zeros(len(pdf), dtype=bool), _Sketches(pdf.sketch.tolist())
+        for i, j in _pairs(*_ranges(pdf)):
+            apart = component[i] != component[j]
+            i, j = i[apart], j[apart]
+            least = needed(n[i], n[j], percent)
+            near = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+            i, j, least = i[near], j[near], least[near]
+            good = sketches.share(i, j, least)
+            kept[i[good]] = kept[j[good]] = True
         return pdf.loc[kept, ["meeting", "side", "component", "node"]]
 
     left = written(_by_meeting(rows, possible, "meeting long, side int, component long, node long"), "possible-meetings")
@@ -393,15 +450,18 @@ def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
     def links(pdf):
         import pandas as pd
 
-        sets_, out = [gram_set(t, gram) for t in pdf.text], []
-        side, component, node = pdf.side.to_numpy(), pdf.component.to_numpy(), pdf.node.to_numpy()
-        x, y, n = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.array([len(s) for s in sets_])
-        answers = Answers([sets_[i] for i in y])
-        for i in x:
-            both = answers.of(sets_[i])
-            good = y[(both >= needed(n[i], n[y], percent)) & (component[y] != component[i])]
-            _, one = np.unique(component[good], return_index=True)  # of several links with a component one is enough
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in good[one]]
+        out, component, node, texts_ = [], pdf.component.to_numpy(), pdf.node.to_numpy(), pdf.text.to_numpy()
+        for at, nx, ny in zip(*_ranges(pdf)):
+            if not nx or not ny:
+                continue
+            held = [gram_set(t, gram) for t in texts_[at : at + nx + ny]]
+            n, c, y = np.array([len(g) for g in held]), component[at : at + nx + ny], np.arange(nx, nx + ny)
+            answers = Answers(held[nx:])
+            for i in range(nx):
+                both = answers.of(held[i])
+                good = y[(both >= needed(n[i], n[y], percent)) & (c[y] != c[i])]
+                _, one = np.unique(c[good], return_index=True)  # of several links with a component one is enough
+                out += [(min(node[at + i], node[at + j]), max(node[at + i], node[at + j])) for j in good[one]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return _by_meeting(left.join(texts, "node").select("meeting", "side", "component", "node", "text"), links, "a long, b long").distinct()
@@ -410,7 +470,7 @@ def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
 def candidate_lists(docs: DataFrame, reported: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of the lists' centers with members that they may link with, and (key, node, center, n, pos) of the lists with three sets or more.
 
-    The center of a list is its smallest set; lists with one center are one (key), which has each set once.
+    The center of a list is its smallest set. Long lists with one center are one, which has each set once.
     """
     lists = written(index_lists(docs, frequent_shingles(reported), gram, percent), "index-lists")
     ends = lists.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("top"), F.count("*").alias("held")).where("center <> top").drop("top")
@@ -419,8 +479,9 @@ def candidate_lists(docs: DataFrame, reported: DataFrame, gram: int = GRAM, perc
     star = held.where("node <> center").join(centers, "key").withColumn("x", F.struct("n", "pos"))
     first = star.where(_possible("x", "y", percent)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     # A list of two sets has no other pair. A task gives a set once, so that copies may count as sets here; they are one later.
-    merged = held.where("held > 2").groupBy("center", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    return first, merged.select(F.col("center").alias("key"), "node", "center", "n", "pos")
+    key = F.when(F.col("held") > LONG, F.xxhash64(F.lit("center"), "center")).otherwise(F.col("key")).alias("key")
+    merged = held.where("held > 2").groupBy(key, "center", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    return first, merged.select("key", "node", "center", "n", "pos")
 
 
 def components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,8 @@ def test_against_all_pairs(spark):
 def test_frequent_shingles_and_small_blocks(spark, monkeypatch):
     """Lists of several blocks, and an order with frequent shingles last, give the same components."""
     monkeypatch.setattr(jj, "BLOCK", 500)
+    monkeypatch.setattr(jj, "LONG", 6)
+    monkeypatch.setattr(jj, "PAIRS", 10)
     monkeypatch.setattr(jj, "CENTERS", 2)
     texts = [(i, varied(80 + i % 3, 21, [5 * (i % 11), 9 * (i % 7)])) for i in range(120)] + [(1000 + i, prose(40, 70 + i % 5) + " " + prose(20, i)) for i in range(60)]
     docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(6)
@@ -87,4 +89,7 @@ def test_sketches_bound_what_is_shared():
         pool = rng.integers(0, 1 << 63, n + m).astype(np.uint64)
         x, y = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
         both = len(np.intersect1d(x, y))
+        for least in (both, both + 1, min(len(x), len(y)) + 1):
+            said = jj._Sketches([jj.sketch(x), None, jj.sketch(y)]).share(np.array([0, 0, 1]), np.array([2, 1, 2]), np.full(3, least))
+            assert said.tolist() == [jj.sketch(x) is None or jj.sketch(y) is None or jj.most_shared(jj.sketch(x), jj.sketch(y), len(x), len(y)) >= least, True, True]
         assert both <= jj.most_shared(jj.sketch(x), jj.sketch(y), len(x), len(y)) <= min(len(x), len(y))
