@@ -1,7 +1,8 @@
 """Splitting Markdown into chunks: sections by headings, runs of table and prose lines, greedy packing.
 
-The steps are windows over a table of lines; only the packing itself, which depends on what was packed
-before, folds over the array of one run, so memory is bounded by a run.
+Sections, runs and groups are also there as windows over a table of lines. Chunking itself goes row by row:
+the lines of a document are an array that functions cut into sections, runs and chunks, and packing, which depends
+on what was packed before, folds over one run.
 """
 
 from __future__ import annotations
@@ -133,23 +134,50 @@ def pack_prose(text, size: int = CHUNK_SIZE, overlap: int = OVERLAP):
     return let(paragraphs, of)
 
 
+def sections_of(text):
+    """The sections of a text as struct(heading, body): what follows each heading line, and before them the preamble; stripped, blank ones left out."""
+
+    def cut(lines):
+        heads = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(HEADING), i)), lambda i: i.isNotNull())
+        name = lambda h: F.coalesce(F.when(h >= 0, strip(F.regexp_extract(F.get(lines, h), HEADING, 2))), F.lit(""))
+        body = lambda at, h, k: strip(F.array_join(F.slice(lines, h + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - h - 1), "\n"))
+        starts = F.concat(F.array(F.lit(-1)), heads)
+        return let(starts, lambda at: F.filter(F.transform(at, lambda h, k: F.struct(name(h).alias("heading"), body(at, h, k).alias("body"))), lambda s: s["body"] != ""))
+
+    return let(F.split(strip(text), "\n", -1), cut)
+
+
+def runs_of(body):
+    """The runs of table and other lines of a section as struct(is_table, rows)."""
+
+    def cut(lines):
+        flags = F.transform(lines, _is_table)
+        starts = lambda flags: F.filter(F.transform(flags, lambda t, i: F.when((i == 0) | (t != F.get(flags, i - 1)), i)), lambda i: i.isNotNull())
+        piece = lambda at, i, k: F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - i)
+        return let(let(flags, starts), lambda at: F.transform(at, lambda i, k: F.struct(_is_table(F.get(lines, i)).alias("is_table"), piece(at, i, k).alias("rows"))))
+
+    return let(F.split(body, "\n", -1), cut)
+
+
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, content): tables keep their rows and header together, prose its paragraphs; the heading goes before each chunk."""
+    """(doc_id, chunk_index, content): tables keep their rows and header together, prose its paragraphs; the heading goes before each chunk.
+
+    Each row is cut by itself, without a shuffle, whatever ids repeat or lack; a null or blank text gives no chunk.
+    """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunks")
-    docs = docs.select("doc_id", strip(F.col("text")).alias("text"))
-    w = Window.partitionBy("doc_id", "section")
-    solid = F.when(~blank(F.col("line")), F.col("n"))
-    body = section_lines(docs).withColumns({"lo": F.min(solid).over(w), "hi": F.max(solid).over(w)}).where("n between lo and hi")
-    line = F.when(F.col("n") == F.col("lo"), F.regexp_replace("line", r"^(?U)\s+", "")).otherwise(F.col("line"))
-    body = body.withColumn("line", line).withColumn("line", F.when(F.col("n") == F.col("hi"), F.regexp_replace("line", r"(?U)\s+$", "")).otherwise(F.col("line"))).drop("lo", "hi")
-    keys = ["doc_id", "section", "heading", "run"]
-    runs = table_runs(body, ["doc_id", "section"]).groupBy(*keys, "is_table").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("ls"))
-    runs = runs.select(*keys, "is_table", F.col("ls.line").alias("rows")).withColumn("text", strip(F.array_join("rows", "\n"))).where("text <> ''")
-    # One pass: each run becomes its chunks where it stands, without a further shuffle.
-    table, small = F.col("is_table") & (F.size("rows") >= 2), F.length("text") <= size
-    chunks = F.when(table, pack_table(F.col("rows"), size)).when(small, F.array("text")).otherwise(pack_prose(F.col("text"), size, overlap))
-    out = runs.select(*keys, F.posexplode(chunks).alias("part", "chunk")).where(~blank(F.col("chunk")))
-    content = F.when(F.col("heading") != "", F.concat(F.lit("【"), "heading", F.lit("】\n"), "chunk")).otherwise(F.col("chunk"))
-    order = Window.partitionBy("doc_id").orderBy("section", "run", "part")
-    return out.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), content.alias("content"))
+
+    def of_run(run):
+        text = strip(F.array_join(run["rows"], "\n"))
+        none = F.array().cast("array<string>")
+        prose = lambda t: F.when(F.length(t) <= size, F.array(t)).otherwise(pack_prose(t, size, overlap))
+        table = run["is_table"] & (F.size(run["rows"]) >= 2)
+        return let(text, lambda t: F.when(t == "", none).when(table, pack_table(run["rows"], size)).otherwise(prose(t)))
+
+    def of_section(s):
+        headed = lambda c: F.when(s["heading"] != "", F.concat(F.lit("【"), s["heading"], F.lit("】\n"), c)).otherwise(c)
+        chunks = F.filter(F.flatten(F.transform(runs_of(s["body"]), of_run)), lambda c: ~blank(c))
+        return F.transform(chunks, headed)
+
+    chunks = F.flatten(F.transform(sections_of(F.col("text")), of_section))
+    return docs.where("text is not null").select("doc_id", F.posexplode(chunks).alias("chunk_index", "content"))

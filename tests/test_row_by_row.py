@@ -168,3 +168,43 @@ def test_pages_go_on_to_another_reading(spark):
     assert sum(r.status == "needs_review" for r in got if r.page == 2) == 3
     strict, _ = reconcile.route_readings(readings, fixes, most=1, similarity="near")
     assert {r.page: r.source for r in strict.select("page", "source").distinct().collect()} == {1: "none", 2: "second", 3: "verify", 4: "none", 5: "lost", 6: "second", 7: "lost"}
+
+
+def test_mentions_by_automaton_and_by_join(spark):
+    """The automaton, its twin and all spans compared with each other give the same mentions."""
+    from leafmill.operators import mentions
+
+    rng = random.Random(11)
+    alphabet = ["a", "b", "ab", "-", "1", " ", "é", "Ａ", "ß", "."]
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, n)))
+    tags = sorted({word(4) for _ in range(60)} | {"A", "a", "SS", "ss", " "})
+    texts = [word(14) for _ in range(300)] + [None, ""]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "question_id long, text string")
+    known = spark.createDataFrame([(t,) for t in tags] + [(None,)], "tag string")
+    want = []
+    for i, text in enumerate(texts):
+        q, found = mentions._plain(text or ""), []
+        for tag in tags:
+            name = mentions._plain(tag)
+            for at in range(len(q)) if name.strip(" ") else ():
+                end = at + len(name)
+                edge = lambda inner, outer: not (re.match("[a-zA-Z0-9]", inner) and re.match("[a-zA-Z0-9]", outer))
+                if q[at:end] == name and edge(name[0], q[at - 1 : at] if at else "") and edge(name[-1], q[end : end + 1]):
+                    found.append((tag, at, end))
+        inside = lambda m: any((a, b) != m[1:] and a <= m[1] and m[2] <= b for _, a, b in found)
+        free = {m[0] for m in found if not inside(m)}
+        want += [(i, *m) for m in found if m[0] in free]
+    for bound in (1 << 20, 0):
+        got = [tuple(r) for r in mentions.mention_join(asked, known, bound).select("question_id", "tag", "start", "end").collect()]
+        assert sorted(got) == sorted(want), bound
+    assert mentions.mention_join(asked, known.limit(0)).collect() == []
+
+
+def test_chunks_of_rows_that_share_an_id(spark):
+    from leafmill.operators import chunking
+
+    texts = ["# A\nx\n\n| h |\n| - |\n| 1 |", "plain\n# B\n" + "word " * 300, None, " \n"]
+    alone = {r.content for r in chunking.chunk_documents(docs(spark, *texts)).collect()}
+    shared = chunking.chunk_documents(spark.createDataFrame([(k, t) for k in (1, None) for t in texts], "doc_id long, text string").repartition(3)).collect()
+    assert {r.content for r in shared} == alone and len(shared) == 2 * len(chunking.chunk_documents(docs(spark, *texts)).collect())
+    assert {r.chunk_index for r in shared} == {0, 1, 2, 3} or max(r.chunk_index for r in shared) >= 2
