@@ -50,7 +50,7 @@ CENTERS = 16
 LONG = 64
 BLOCK = 1 << 18
 #: Pairs of sketches that are compared at once.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 #: Shingles for each class of a sketch, and classes at most.
 CLASS, CLASSES = 8, 1 << 10
 
@@ -322,17 +322,23 @@ def _linked(pairs: DataFrame, sets: _Sets) -> DataFrame:
     return sides.mapInArrow(judge, "a long, b long")
 
 
+def _pairs_of_lists(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): chosen members and members of other components of the same list that may link by their places in it."""
+    side = lambda name: F.struct("node", "component", "n", "pos").alias(name)
+    met = members.where("chosen").select("key", side("x")).join(members.select("key", side("y")), "key")
+    met = met.where((F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _meetings(members: DataFrame, centers: int, percent: int) -> DataFrame:
     """(meeting, side, component, node, n, pos): chosen members (side 0) and all members of a list (1), where two of their blocks may hold a link."""
-    width, long = math.log(100 / percent), F.col("members") > LONG
-    size, band = F.floor(F.log("n") / F.lit(width)), F.floor(64 * F.col("pos") / F.col("n"))
-    placed = members.withColumns({"size": F.when(long, size).otherwise(0), "band": F.when(long, band).otherwise(0)})
+    width = math.log(100 / percent)
+    placed = members.withColumns({"size": F.floor(F.log("n") / F.lit(width)), "band": F.floor(64 * F.col("pos") / F.col("n"))})
 
     def blocks(rows: DataFrame, many, salt: int, name: str) -> DataFrame:
         seats = F.ceil(many * F.exp((F.col("size") + 1) * F.lit(width)) / F.lit(BLOCK)).cast("long")
         seat = F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.lit(1), F.least(seats, many)))
-        held = rows.groupBy("key", "size", "band", F.when(F.col("members") > LONG, seat).otherwise(0).alias("seat"))
-        held = held.agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("component", "node", "n", "pos")).alias("held"))
+        held = rows.groupBy("key", "size", "band", seat.alias("seat")).agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("pos").alias("low_pos"), F.collect_list(F.struct("component", "node", "n", "pos")).alias("held"))
         return held.select("key", F.struct(F.struct("size", "band", "seat").alias("at"), "low_n", "high_n", "low_pos", "held").alias(name))
 
     asking = blocks(placed.where("chosen"), F.least("waiting", F.lit(centers)), 1, "x_block")
@@ -415,7 +421,7 @@ class _Sketches:
                     k = self.FEW if few else k
                     at = np.flatnonzero(out & (self.length[i] == a) & (self.length[j] == b))
                     x, y = self._matrix(a, k), self._matrix(b, k)
-                    step = max(1, (1 << 22) // k)
+                    step = max(1, (1 << 20) // k)
                     for s in range(0, len(at), step):
                         part = at[s : s + step]
                         most = np.minimum(x[self.place[i[part]]], y[self.place[j[part]]]).sum(axis=1)
@@ -424,7 +430,17 @@ class _Sketches:
 
 
 def _meet(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
-    """Links (a, b) of the chosen members with other components of their list; pairs stay in their tasks.
+    """Links (a, b) of the chosen members with other components of their list.
+
+    Pairs of short lists are told once, however many lists they share, and judged like those of the centers.
+    """
+    short = _linked(_pairs_of_lists(members.where(F.col("members") <= LONG), sets.percent), sets)
+    long = members.where(F.col("members") > LONG)
+    return short if long.isEmpty() else short.unionByName(_meet_in_blocks(long, centers, sets)).distinct()
+
+
+def _meet_in_blocks(members: DataFrame, centers: int, sets: _Sets) -> DataFrame:
+    """Links (a, b) of the chosen members of long lists; pairs stay in their tasks.
 
     Sketches meet first, and of those the sets that may have a link with a set of the other block; only their texts move.
     """
