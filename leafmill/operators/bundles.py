@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.tables import strip
+from leafmill.tables import shared_folder, strip
 
 MOST_FILES = 5000
 IMAGE_BYTES = 10 << 20
@@ -156,11 +157,11 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, line, name, tag, content) of the elements' opening tags; content is a script's or a style's.
+    """``pages`` without html, with (line, name, tag, content) of the elements' opening tags; content is a script's or a style's.
 
     Tags follow patterns and not a DOM: nothing inside a comment, script or style is a tag.
     """
-    pieces = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_MARKUP), 0)).alias("n", "piece"))
+    pieces = pages.select(*[c for c in pages.columns if c != "html"], F.posexplode(F.regexp_extract_all("html", F.lit(_MARKUP), 0)).alias("n", "piece"))
     w = Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n")))
     name = F.lower(F.regexp_extract("piece", r"^<([A-Za-z][A-Za-z0-9-]*)", 1))
@@ -171,11 +172,49 @@ def page_elements(pages: DataFrame) -> DataFrame:
     return out.where("name <> ''").withColumn("content", content).drop("piece", "n")
 
 
-def _css_problems(css: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of (key, first, css), css starting on line ``first``: references (key, line, ref), and the line of each first import."""
-    lines = css.select(*key, "first", F.posexplode(F.split("css", "\n", -1)).alias("n", "row")).withColumn("line", (F.col("first") + F.col("n")).cast("int"))
-    refs = lines.select(*key, "line", F.explode(css_urls(F.col("row"))).alias("ref"))
-    return refs, lines.where(r"row rlike '(?i)@import\\b'").groupBy(*key, "first").agg(F.min("line").alias("line")).drop("first")
+_FACT = "array<struct<what:string,line:int,ref:string,images:boolean>>"
+
+
+def _fact(what: str, line: Column, ref: Column | None = None, images: bool = False) -> Column:
+    said = F.lit(None).cast("string") if ref is None else ref
+    return F.struct(F.lit(what).alias("what"), line.cast("int").alias("line"), said.alias("ref"), F.lit(images).alias("images"))
+
+
+def css_facts(css: Column, first: Column) -> Column:
+    """Facts of a stylesheet that begins on line ``first``: what it refers to, and its first import."""
+    rows = F.split(css, "\n", -1)
+    refs = F.flatten(F.transform(rows, lambda row, i: F.transform(css_urls(row), lambda u: _fact("ref", first + i, u, True))))
+    imports = F.filter(F.transform(rows, lambda row, i: F.when(row.rlike(r"(?i)@import\b"), _fact("import", first + i))), lambda f: f.isNotNull())
+    return F.concat(refs, F.slice(imports, F.lit(1), F.lit(1))).cast(_FACT)
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """``pages`` without html, with (what, line, ref, images): scripts, noscripts, links of stylesheets, references and imports, from one pass over the elements."""
+    elements = page_elements(pages)
+    tag, name, line = F.col("tag"), F.col("name"), F.col("line")
+    none = F.array().cast(_FACT)
+    only = lambda condition, fact: F.when(condition, F.array(fact)).otherwise(none)
+    handler = tag.rlike(r"(?is)^<[^\s>]+(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?\son[a-z]+\s*=")
+    rel = F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), r"\s+")
+    facts = [only((name == "script") | handler, _fact("script", line)), only(name == "noscript", _fact("noscript", line))]
+    facts.append(F.when(name == "link", only(F.array_contains(rel, "stylesheet"), _fact("link", line, F.coalesce(attribute(tag, "href"), F.lit(""))))).otherwise(none))
+    for images, attributes in ((True, IMAGE_ATTRIBUTES), (False, OTHER_ATTRIBUTES)):
+        for element, names in attributes.items():
+            for a in names:
+                value = attribute(tag, a)
+                refs = srcset_urls(value) if a == "srcset" else F.array(value)
+                facts.append(F.when(name == element, F.coalesce(_as_refs(F.filter(refs, lambda r: r.isNotNull()), line, images), none)).otherwise(none))
+    begins = line + F.length("tag") - F.length(F.replace("tag", F.lit("\n")))
+    facts.append(F.when((name == "style") & (F.col("content") != ""), css_facts(F.col("content"), begins)).otherwise(none))
+    style = attribute(tag, "style")
+    inline = F.transform(css_urls(style), lambda u: _fact("ref", line, u, True))
+    facts.append(F.when(F.contains(F.lower(tag), F.lit("style")), F.coalesce(F.concat(inline, only(style.rlike(r"(?i)@import\b"), _fact("import", line))), none)).otherwise(none))
+    kept = [c for c in pages.columns if c != "html"]
+    return elements.select(*kept, F.explode(F.concat(*[f.cast(_FACT) for f in facts])).alias("f")).select(*kept, "f.*")
+
+
+def _as_refs(refs: Column, line: Column, images: bool) -> Column:
+    return F.transform(refs, lambda r: _fact("ref", line, r, images))
 
 
 def reference_problems(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -195,47 +234,35 @@ def lint_pages(pages: DataFrame, files: DataFrame, css: DataFrame) -> DataFrame:
     unsupported-resource, css-import; of a stylesheet of the page's bundle its problem with its path behind
     a colon, and unreferenced-stylesheet:<path>, without lines, where no link of the page names it.
     """
-    own = pages.select("page_id", "bundle_id", "structured", "base")
-    elements = page_elements(pages)
-    tag, name = F.col("tag"), F.col("name")
-    links = elements.where(name == "link").where(F.array_contains(F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), r"\s+"), "stylesheet"))
-    hrefs = links.select("page_id", "line", F.coalesce(attribute(tag, "href"), F.lit("")).alias("ref")).join(own, "page_id")
-    hrefs = hrefs.withColumn("path", classify_reference(F.col("ref"), F.col("base"))["path"])
+    spark, columns = pages.sparkSession, ("page_id", "bundle_id", "structured", "base")
+    own = pages.select(*columns)
+    # The pages are read once; what was found in them is a small table that all codes read.
+    path = f"{shared_folder(spark)}/page-facts-{uuid.uuid4().hex}"
+    facts = page_facts(pages.select(*columns, "html"))
+    facts.write.parquet(path)
+    facts = spark.read.schema(facts.schema).parquet(path)
+    hrefs = facts.where("what = 'link'").withColumn("path", classify_reference(F.col("ref"), F.col("base"))["path"])
     linked = resolve_references(hrefs, css.select("bundle_id", "path"))
+    problems = reference_problems(facts.where("what = 'ref'").drop("what"), files)
 
-    values = []
-    for images, attributes in ((True, IMAGE_ATTRIBUTES), (False, OTHER_ATTRIBUTES)):
-        for element, names in attributes.items():
-            for a in names:
-                value = F.when(name == element, attribute(tag, a))
-                refs = srcset_urls(value) if a == "srcset" else F.array(value)
-                values.append(F.coalesce(F.arrays_zip(refs.alias("ref"), F.array_repeat(F.lit(images), F.size(refs)).alias("images")), F.array().cast("array<struct<ref:string,images:boolean>>")))
-    several = elements.where(name.isin(*IMAGE_ATTRIBUTES, *OTHER_ATTRIBUTES)).select("page_id", "line", F.explode(F.flatten(F.array(*values))).alias("v")).where("v.ref is not null").select("page_id", "line", "v.ref", "v.images")
-    styles = elements.where("name = 'style' and content <> ''").select("page_id", (F.col("line") + F.length("tag") - F.length(F.replace("tag", F.lit("\n")))).alias("first"), F.col("content").alias("css"))
-    inline = elements.withColumn("style", attribute(tag, "style")).where("style is not null").select("page_id", "line", "style")
-    style_refs, style_imports = _css_problems(styles, ["page_id"])
-    inline_refs = inline.select("page_id", "line", F.explode(css_urls(F.col("style"))).alias("ref"))
-    imports = style_imports.unionByName(inline.where(r"style rlike '(?i)@import\\b'").select("page_id", "line"))
-    refs = several.unionByName(style_refs.unionByName(inline_refs).withColumn("images", F.lit(True)))
-    problems = reference_problems(refs.join(own, "page_id"), files)
-
-    sheets = own.join(css.select("bundle_id", F.col("path").alias("sheet"), F.col("text").alias("css")), "bundle_id")
+    sheets = own.join(css.select("bundle_id", F.col("path").alias("sheet")), "bundle_id")
     folder = F.regexp_replace("sheet", "/?[^/]*$", "")
-    sheet_refs, sheet_imports = _css_problems(css.select("bundle_id", F.col("path").alias("sheet"), F.lit(1).alias("first"), F.col("text").alias("css")), ["bundle_id", "sheet"])
-    kinds = own.select("bundle_id", "structured").distinct()
-    of_sheets = reference_problems(sheet_refs.join(kinds, "bundle_id").withColumns({"base": folder, "images": F.lit(True)}), files).select("bundle_id", "structured", "sheet", "line", "problem")
-    of_sheets = of_sheets.unionByName(sheet_imports.join(kinds, "bundle_id").select("bundle_id", "structured", "sheet", "line", F.lit("import").alias("problem")))
-    of_sheets = of_sheets.join(own.select("page_id", "bundle_id", "structured"), ["bundle_id", "structured"])
+    sheet_facts = css.select("bundle_id", F.col("path").alias("sheet"), F.explode(css_facts(F.col("text"), F.lit(1))).alias("f")).select("bundle_id", "sheet", "f.*")
+    of_bundle = sheet_facts.join(own.select("bundle_id", "structured").distinct(), "bundle_id").withColumn("base", folder)
+    of_sheets = reference_problems(of_bundle.where("what = 'ref'").drop("what"), files).select("bundle_id", "structured", "sheet", "line", "problem")
+    of_sheets = of_sheets.unionByName(of_bundle.where("what = 'import'").select("bundle_id", "structured", "sheet", "line", F.lit("import").alias("problem")))
+    # Lines of a stylesheet are gathered once for its bundle, and only then go to the bundle's pages.
+    of_sheets = of_sheets.groupBy("bundle_id", "structured", F.concat("problem", F.lit(":"), "sheet").alias("code")).agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    of_sheets = of_sheets.join(own.select("page_id", "bundle_id", "structured").distinct(), ["bundle_id", "structured"]).select("page_id", "code", "lines")
 
     row = lambda df, code, line="line": df.select("page_id", code.alias("code"), F.col(line).cast("int").alias("line"))
     named = F.create_map(*[F.lit(x) for kv in PROBLEMS.items() for x in kv])
-    handler = tag.rlike(r"(?is)^<[^\s>]+(?:[^\"'>]|\"[^\"]*\"|'[^']*')*?\son[a-z]+\s*=")
+    plain = facts.where("what in ('script', 'noscript', 'import')")
     found = [
-        row(elements.where((name == "script") | handler), F.lit("script")), row(elements.where(name == "noscript"), F.lit("noscript")),
-        row(linked.where("resolved is null"), F.lit("stylesheet-missing")), row(problems, F.try_element_at(named, F.col("problem"))),
-        row(imports, F.lit("css-import")), row(of_sheets, F.concat("problem", F.lit(":"), "sheet")),
+        row(plain, F.when(F.col("what") == "import", "css-import").otherwise(F.col("what"))), row(linked.where("resolved is null"), F.lit("stylesheet-missing")),
+        row(problems, F.try_element_at(named, F.col("problem"))),
     ]
-    lines = reduce(DataFrame.unionByName, found).groupBy("page_id", "code").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    lines = reduce(DataFrame.unionByName, found).groupBy("page_id", "code").agg(F.sort_array(F.collect_set("line")).alias("lines")).unionByName(of_sheets)
     used = linked.where("resolved is not null").select("page_id", F.col("resolved").alias("sheet")).distinct()
     unused = sheets.select("page_id", "sheet").distinct().join(used, ["page_id", "sheet"], "left_anti")
     return lines.unionByName(unused.select("page_id", F.concat(F.lit("unreferenced-stylesheet:"), "sheet").alias("code"), F.array().cast("array<int>").alias("lines")))

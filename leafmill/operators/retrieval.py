@@ -11,11 +11,15 @@ repeat an id are questions or chunks of their own; their hits stand under the sa
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.tables import shared_folder
+
 #: Questions that one task compares with its chunks, and chunks of a block where there are more questions.
 BLOCK = 4096
 CHUNK_BLOCK = 16_384
@@ -128,10 +132,14 @@ def _candidates(queries: DataFrame, chunks: DataFrame, k: int, scope: str | None
 
         return held.mapInPandas(scan, _HITS)
 
-    rows, columns = -(-asked.count() // block), -(-held.count() // CHUNK_BLOCK)
-    dealt = lambda df, mine, own, other, others: df.withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
-    q = dealt(asked, "r", rows, "c", max(columns, 1)).groupBy("r", "c")
-    c = dealt(held, "c", max(columns, 1), "r", rows).groupBy("r", "c")
+    # Numbered questions are written, and chunks dealt by their own values: a stage that is run again deals them alike.
+    path = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    rows, columns = -(-asked.count() // block), max(1, -(-held.count() // CHUNK_BLOCK))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = asked.withColumn("r", F.pmod(F.xxhash64("row"), F.lit(rows))).withColumn("c", upto(columns)).groupBy("r", "c")
+    c = held.withColumn("c", F.pmod(F.xxhash64("chunk_id", "document_id", "chunk_index", "embedding"), F.lit(columns))).withColumn("r", upto(rows)).groupBy("r", "c")
 
     def compare(questions: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(questions):
