@@ -10,7 +10,12 @@ frequent ones by how often they occur. Two linked sets share a shingle among the
 the sets that hold it, with the set's size and the shingle's position. Which shingles are frequent is
 told by a summary of fixed size: each task reports the shingles that it meets most, over all texts.
 
-- Lists are kept in blocks of near sizes and positions. Two sets that meet at positions i and j share at
+- In each list one set (the center) is compared with all; afterwards only sets outside the list's largest component
+  are compared further (see ``components``), so that thousands of variants cost few pairs. No pair that
+  could still join two components stays unchecked.
+- Pairs of a short list that their sizes and positions do not rule out are told once, however many lists they share,
+  and judged by their sketches and then by their texts. Long lists of one center meet as one, and their pairs stay in their tasks:
+- Long lists are kept in blocks of near sizes and positions. Two sets that meet at positions i and j share at
   most the smaller of n - i and m - j shingles; where the largest sizes and smallest positions of two blocks
   rule a link out, the pair of blocks is skipped as a whole.
 - Where blocks meet, sketches (how many shingles fall into each class of hashes) come first; only the texts of sets
@@ -18,9 +23,6 @@ told by a summary of fixed size: each task reports the shingles that it meets mo
 - In a pair of blocks the sets are taken in order of their components, and the overlaps of one with all
   sets of the other block are derived from those of the one before it: only the shingles in which
   the two differ are looked up, their number permitting.
-- In each list one set (the center) is compared with all; afterwards only sets outside the list's largest component
-  are compared further (see ``components``), so that thousands of variants cost few pairs. No pair that
-  could still join two components stays unchecked.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; repeated rows each
 give a row; a null doc_id is never a component's id unless all its ids are null; extra columns, whatever
