@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import kernels
 from leafmill.tables import strip
 
 QUERY_CHARS = 2000
@@ -44,7 +45,12 @@ def safe_base_names(rows: DataFrame) -> DataFrame:
     """Rows (raw) with a base name that any file system takes, of at most 200 UTF-8 bytes, else ``document``."""
     base = F.regexp_replace("raw", rf"(?i)\.(?:{EXTENSIONS})$", "")
     base = F.regexp_replace(strip(F.regexp_replace(base, r'[\\/:*?"<>|\x00-\x1f]', "_")), r"\.+$", "")
-    sizes = F.filter(F.sequence(F.lit(0), F.length(base)), lambda n: F.octet_length(F.left(base, n)) <= NAME_BYTES)
-    cut = F.regexp_replace(strip(F.when(F.octet_length(base) <= NAME_BYTES, base).otherwise(F.left(base, F.array_max(sizes)))), r"\.+$", "")
-    bad = (cut == "") | F.upper(F.regexp_extract(cut, r"^([^.]*)", 1)).isin(*RESERVED)
-    return rows.withColumn("base", F.when(bad, "document").otherwise(cut))
+
+    def fitting(base):
+        # Of the characters that begin within one byte more than fit, all but the last fit whole.
+        begun = F.length(F.substring(base.cast("binary"), 1, NAME_BYTES + 1).cast("string"))
+        return F.when(F.octet_length(base) <= NAME_BYTES, base).otherwise(F.left(base, begun - 1))
+
+    cut = F.regexp_replace(strip(kernels.let(base, fitting)), r"\.+$", "")
+    named = lambda cut: F.when((cut == "") | F.upper(F.regexp_extract(cut, r"^([^.]*)", 1)).isin(*RESERVED), "document").otherwise(cut)
+    return rows.withColumn("base", kernels.let(cut, named))
