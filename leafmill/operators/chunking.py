@@ -35,7 +35,7 @@ def section_lines(docs: DataFrame) -> DataFrame:
 
 
 def _is_table(line):
-    return F.startswith(strip(line), F.lit("|"))
+    return line.rlike(r"\A(?U)\s*\|")
 
 
 def table_runs(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -97,13 +97,14 @@ def table_groups(rows):
 
 
 def pack_table(rows, size: int = CHUNK_SIZE):
-    """The chunks of a table's lines (at least two): whole groups of rows under a repeated header."""
+    """The chunks of a table's lines (at least two): whole groups of rows under a repeated header. A table that fits is one chunk, whatever its groups."""
 
     def under(header):
         filled = lambda groups: F.transform(_greedy(groups, size, F.length(header), 0), lambda c: F.concat(header, F.lit("\n"), F.array_join(c, "\n")))
         return let(table_groups(rows), lambda groups: F.when(F.size(groups) > 0, filled(groups)).otherwise(F.array(header)))
 
-    return let(F.array_join(F.slice(rows, 1, 2), "\n"), under)
+    groups = let(F.array_join(F.slice(rows, 1, 2), "\n"), under)
+    return let(F.array_join(rows, "\n"), lambda whole: F.when(F.length(whole) <= size, F.array(whole)).otherwise(groups))
 
 
 def windows_of(text, size: int = CHUNK_SIZE, overlap: int = OVERLAP):

@@ -44,15 +44,20 @@ def fenced(spans: Column, i: Column) -> Column:
     return F.exists(spans, lambda s: (s["a"] <= i) & (i <= s["b"]))
 
 
-def with_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``lines`` and the spans of fences among them: each row by itself, whatever ids repeat or lack."""
-    return docs.withColumn("lines", lines_of()).withColumn("spans", fence_spans(F.col("lines")))
+def with_lines(body, text: str = "text") -> Column:
+    """``body(lines, spans of fences among them)`` of a text, both computed once: each row by itself, whatever ids repeat or lack.
+
+    As columns of their own, Spark would put them into each lambda of ``body`` again, once for every line.
+    """
+    marked = F.contains(F.col(text), F.lit("```")) | F.contains(F.col(text), F.lit("~~~"))
+    spans = lambda lines: F.when(marked, fence_spans(lines)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    return kernels.let(lines_of(text), lambda lines: kernels.let(spans(lines), lambda spans: body(lines, spans)))
 
 
-def outside_fences(body) -> Column:
-    """``body(line, number from 0)`` of each line outside fences, in order, of rows ``with_lines``."""
-    numbered = F.transform("lines", lambda l, i: F.struct(l.alias("line"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda x: ~fenced(F.col("spans"), x["i"])), lambda x: body(x["line"], x["i"]))
+def outside_fences(lines: Column, spans: Column, like: str, body) -> Column:
+    """``body(line, number from 0)`` of each line outside fences that is ``like`` a pattern, in order."""
+    numbered = F.transform(lines, lambda l, i: F.struct(l.alias("line"), i.alias("i")))
+    return F.transform(F.filter(numbered, lambda x: x["line"].rlike(like) & ~fenced(spans, x["i"])), lambda x: body(x["line"], x["i"]))
 
 
 def code_segments(line: Column) -> Column:
@@ -117,11 +122,12 @@ def split_cells(line: Column) -> Column:
 
 
 def _starts_table(line: Column) -> Column:
-    return F.startswith(strip(line), F.lit("|"))
+    return line.rlike(r"\A(?U)\s*\|")
 
 
 def is_delimiter(line: Column) -> Column:
-    return _starts_table(line) & F.forall(split_cells(line), lambda c: c.rlike("^:?-+:?$"))
+    # Cells are looked at only where a line has no other characters than theirs.
+    return line.rlike(r"\A(?U)\s*\|[\s|:-]*\z") & F.forall(split_cells(line), lambda c: c.rlike("^:?-+:?$"))
 
 
 def _is_table(first: Column, second: Column) -> Column:
@@ -153,7 +159,7 @@ def broken_tables(docs: DataFrame) -> DataFrame:
 
     Each row is checked by itself. Only texts with such a run are looked at line by line.
     """
-    rows = with_lines(docs.where(_has_odd_run(F.col("text")))).select("doc_id", F.explode(_broken(F.col("lines"), F.col("spans"))).alias("x"))
+    rows = docs.where(_has_odd_run(F.col("text"))).select("doc_id", F.explode(with_lines(_broken)).alias("x"))
     trimmed = strip(F.col("x.line"))
     return rows.select("doc_id", F.col("x.n").alias("line"), F.when(F.length(trimmed) > 40, F.concat(F.left(trimmed, F.lit(40)), F.lit("…"))).otherwise(trimmed).alias("excerpt"))
 
@@ -198,9 +204,9 @@ def image_references(prose: Column) -> Column:
 def collect_references(docs: DataFrame) -> DataFrame:
     """Distinct (doc_id, ref) of images outside inline code and of link definitions, outside fences."""
     defined = lambda line: F.filter(F.array(F.concat(F.regexp_extract(line, DEFINITION, 1), F.regexp_extract(line, DEFINITION, 2))), lambda r: r != "")
-    some = with_lines(docs.where(F.col("text").rlike(r"(?i)!\[|<img|\]:")))  # other texts hold neither
-    refs = F.flatten(outside_fences(lambda l, i: F.concat(image_references(prose_of(l)), defined(l))))
-    return some.select("doc_id", F.explode(refs).alias("ref")).distinct()
+    telling = r"(?i)!\[|<img|\]:"  # other texts, and other lines, hold neither
+    refs = with_lines(lambda lines, spans: F.flatten(outside_fences(lines, spans, telling, lambda l, i: F.concat(image_references(prose_of(l)), defined(l)))))
+    return docs.where(F.col("text").rlike(telling)).select("doc_id", F.explode(refs).alias("ref")).distinct()
 
 
 def group_warnings(found: DataFrame) -> DataFrame:
@@ -214,8 +220,7 @@ def lint_markdown(docs: DataFrame, displayable: DataFrame | None = None) -> Data
     Each row is checked by itself, in one pass over the lines of those texts that hold what a code looks for;
     only ``displayable`` asks for a join.
     """
-    some = with_lines(docs.where(F.col("text").rlike(r"<[A-Za-z/!]|!\[|\A---") | _has_odd_run(F.col("text"))))
-    some = some.withColumn("front", front_matter_lines(F.col("lines")))
+    some = docs.where(F.col("text").rlike(r"<[A-Za-z/!]|!\[|\A---") | _has_odd_run(F.col("text")))
     if displayable is not None:
         shown = displayable.groupBy(F.col("doc_id").alias("shown_id")).agg(F.collect_set("ref").alias("shown"))
         some = some.join(shown, F.col("doc_id").eqNullSafe(F.col("shown_id")), "left")
@@ -225,14 +230,19 @@ def lint_markdown(docs: DataFrame, displayable: DataFrame | None = None) -> Data
         bare = F.regexp_replace(prose, r"(?i)<img\b(?=[^<>]*?\ssrc\s*=\s*[^\s>])[^<>]*>", " ")
         return F.struct((i + 1).alias("n"), F.exists(image_references(prose), unshown).alias("image"), bare.rlike(RAW_HTML).alias("html"))
 
-    marked = F.col("lines")
-    checked = F.filter(outside_fences(lambda l, i: F.when((i >= F.col("front")) & l.rlike(r"<|!\[") & ~l.rlike(PAGE_BREAK), judge(prose_of(l), i))), lambda x: x.isNotNull())
-    lines = lambda flag: F.transform(F.filter("checked", lambda x: x[flag]), lambda x: x["n"])
-    found = some.select("doc_id", "front", checked.alias("checked"), _broken(marked, F.col("spans"))["n"].alias("broken"))
-    none = F.array().cast("array<int>")
-    by_code = [F.when(F.col("front") > 0, F.array(F.lit(1))).otherwise(none), F.col("broken"), lines("image"), lines("html")]
-    listed = F.array(*[F.struct(F.lit(c).alias("code"), l.cast("array<int>").alias("lines")) for c, l in zip(CODES, by_code)])
-    return found.select("doc_id", F.explode(listed).alias("w")).select("doc_id", "w.code", "w.lines").where(F.size("lines") > 0)
+    def listed(lines, spans):
+        front = F.when(lines[0].startswith("---"), front_matter_lines(lines)).otherwise(0)
+        marked = lambda front: F.filter(outside_fences(lines, spans, r"<|!\[", lambda l, i: F.when((i >= front) & ~l.rlike(PAGE_BREAK), kernels.let(prose_of(l), lambda prose: judge(prose, i)))), lambda x: x.isNotNull())
+        found = lambda checked, flag: F.transform(F.filter(checked, lambda x: x[flag]), lambda x: x["n"])
+        none = F.array().cast("array<int>")
+
+        def by_code(front, checked):
+            lines_of_code = [F.when(front > 0, F.array(F.lit(1))).otherwise(none), _broken(lines, spans)["n"], found(checked, "image"), found(checked, "html")]
+            return F.array(*[F.struct(F.lit(c).alias("code"), l.cast("array<int>").alias("lines")) for c, l in zip(CODES, lines_of_code)])
+
+        return kernels.let(front, lambda front: kernels.let(marked(front), lambda checked: by_code(front, checked)))
+
+    return some.select("doc_id", F.explode(with_lines(listed)).alias("w")).select("doc_id", "w.code", "w.lines").where(F.size("lines") > 0)
 
 
 def _joined(cells: Column) -> Column:
@@ -319,23 +329,28 @@ def blank_runs(docs: DataFrame) -> DataFrame:
         edge = lambda step: F.filter(F.transform(blanks, lambda b, i: F.when(b & ~at(i + step), i)), lambda i: i.isNotNull())
         return F.transform(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last")), lambda r: F.struct(r["first"].alias("h"), (r["last"] + 1).alias("stop")))
 
-    def block(r):
-        n, head, tail = r["stop"] - r["h"], r["h"] == 0, r["stop"] == F.size("lines")
-        count = F.when(head, F.floor(n / 2)).otherwise(F.greatest(F.lit(0), F.floor((n - 1) / 2)))
-        at = lambda i: i - F.when(head, 0).otherwise(1)
-        written = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((at(i) >= 0) & (at(i) < 2 * count) & (at(i) % 2 == 0), F.lit("&nbsp;")).otherwise(F.lit("")))
-        return F.when(tail, F.slice("lines", r["h"] + 1, n)).otherwise(written)
+    def block(lines):
+        def written(r):
+            n, head, tail = r["stop"] - r["h"], r["h"] == 0, r["stop"] == F.size(lines)
+            count = F.when(head, F.floor(n / 2)).otherwise(F.greatest(F.lit(0), F.floor((n - 1) / 2)))
+            at = lambda i: i - F.when(head, 0).otherwise(1)
+            marks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((at(i) >= 0) & (at(i) < 2 * count) & (at(i) % 2 == 0), F.lit("&nbsp;")).otherwise(F.lit("")))
+            return F.when(tail, F.slice(lines, r["h"] + 1, n)).otherwise(marks)
+
+        return written
+
+    def filled(lines, spans):
+        blanks = F.transform(lines, lambda l, i: blank(l) & ~fenced(spans, i))
+        return kernels.let(kernels.let(blanks, runs), lambda es: _rebuilt(lines, es, block(lines)))
 
-    blanks = F.transform("lines", lambda l, i: blank(l) & ~fenced(F.col("spans"), i))
-    rows = with_lines(docs.where("text is not null").select("doc_id", "text"))
-    return rows.select("doc_id", kernels.let(kernels.let(blanks, runs), lambda es: _rebuilt(F.col("lines"), es, block)).alias("text"))
+    return docs.where("text is not null").select("doc_id", with_lines(filled).alias("text"))
 
 
 def document_titles(docs: DataFrame, missing: str = "無題") -> DataFrame:
     """(doc_id, title): the first level-1 heading outside fences."""
-    title = lambda l: F.when(l.rlike(r"^ {0,3}#[ \t]+"), strip(F.regexp_replace(l, r"^ {0,3}#[ \t]+|[ \t]+#*[ \t]*$", "")))
-    first = F.get(F.filter(outside_fences(lambda l, i: title(l)), lambda t: t.isNotNull()), F.lit(0))
-    return with_lines(docs).select("doc_id", F.coalesce(F.nullif(first, F.lit("")), F.lit(missing)).alias("title"))
+    title = lambda l: strip(F.regexp_replace(l, r"^ {0,3}#[ \t]+|[ \t]+#*[ \t]*$", ""))
+    first = with_lines(lambda lines, spans: F.get(outside_fences(lines, spans, r"^ {0,3}#[ \t]+", lambda l, i: title(l)), F.lit(0)))
+    return docs.select("doc_id", F.coalesce(F.nullif(first, F.lit("")), F.lit(missing)).alias("title"))
 
 
 def diagram_blocks(docs: DataFrame) -> DataFrame:
@@ -344,13 +359,14 @@ def diagram_blocks(docs: DataFrame) -> DataFrame:
     A mark of the other kind inside a fence is part of its source.
     """
 
-    def block(s):
-        info = F.regexp_replace(F.get("lines", s["a"]), FENCE, "")
+    def block(lines, s):
+        info = F.regexp_replace(F.get(lines, s["a"]), FENCE, "")
         view = F.coalesce(F.nullif(F.regexp_extract(info, r"show=(\w+)", 1), F.lit("")), F.lit("diagram"))
-        source = F.array_join(F.slice("lines", s["a"] + 2, s["b"] - s["a"] - 1), "\n")
+        source = F.array_join(F.slice(lines, s["a"] + 2, s["b"] - s["a"] - 1), "\n")
         return F.struct(info.rlike(r"^\s*mermaid\b").alias("own"), source.alias("source"), view.alias("view"), (s["b"] > s["a"] + 1).alias("solid"))
 
-    found = with_lines(docs.where(F.contains("text", F.lit("mermaid")))).select("doc_id", F.explode(F.transform("spans", block)).alias("s"))
+    blocks = with_lines(lambda lines, spans: F.transform(spans, lambda s: block(lines, s)))
+    found = docs.where(F.contains("text", F.lit("mermaid"))).select("doc_id", F.explode(blocks).alias("s"))
     return found.where("s.own and s.solid and s.view <> 'code'").select("doc_id", "s.source", "s.view").distinct()
 
 
@@ -381,8 +397,8 @@ def strip_data_images(docs: DataFrame, placeholder: str = "data:,") -> tuple[Dat
 def escape_angles(docs: DataFrame, undo: bool = False) -> DataFrame:
     """(doc_id, text) with ``<`` escaped (or unescaped) outside fences and inline code; escaped ones stay. A null text stays null."""
     change = lambda t: F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)\\<", "$1<") if undo else F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)<", r"$1\\<")
-    lines = F.transform("lines", lambda l, i: F.when(fenced(F.col("spans"), i) | ~F.contains(l, F.lit("<")), l).otherwise(map_outside_code(l, change)))
-    return with_lines(docs).select("doc_id", F.when(F.contains("text", F.lit("<")), F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text"))
+    escaped = lambda lines, spans: F.transform(lines, lambda l, i: F.when(~F.contains(l, F.lit("<")) | fenced(spans, i), l).otherwise(map_outside_code(l, change)))
+    return docs.select("doc_id", F.when(F.contains("text", F.lit("<")), F.array_join(with_lines(escaped), "\n")).otherwise(F.col("text")).alias("text"))
 
 
 def nth_visible_char(pieces: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 import time
 
-from leafmill.operators import validation
+from leafmill.operators import chunking, markdown, reconcile, validation
 
 
 def base_name(raw):
@@ -25,3 +25,31 @@ def test_base_names_are_cut_by_bytes_in_one_pass(spark):
     found = {r.id: r.base for r in validation.safe_base_names(rows).collect()}
     assert time.time() - began < 20
     assert found == {i: None if n is None else base_name(n) for i, n in enumerate(names)}
+
+
+def test_fences_are_found_once_for_a_text(spark):
+    """Before, the fences of a text were found again for each of its lines."""
+    n = 6000
+    text = "\n".join(["~~~", "# inside", "~~~"] + ["", "line ![p](a.png)"] * n + ["# Title #", "<b>x</b>"])
+    docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").repartition(4)
+    began = time.time()
+    assert {r.title for r in markdown.document_titles(docs).collect()} == {"Title"}
+    assert {r.text for r in markdown.blank_runs(docs).collect()} == {text}
+    assert {(r.code, len(r.lines)) for r in markdown.lint_markdown(docs).collect()} == {("unsupported-image", n), ("raw-html", 1)}
+    assert {r.ref for r in markdown.collect_references(docs).collect()} == {"a.png"}
+    assert time.time() - began < 30
+
+
+def test_circled_numbers_in_one_pass(spark):
+    texts = [r"$\textcircled{1}$\textcircled{02}$ \textcircled{20}$$\textcircled{7} \textcircled{21} \textcircled{0}", "none", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = [r.t for r in rows.select("id", reconcile.clean_markup(rows.text).alias("t")).orderBy("id").collect()]
+    assert found == [r"①② ⑳⑦ \textcircled{21} \textcircled{0}", "none", None]
+
+
+def test_a_table_that_fits_is_one_chunk(spark):
+    rows = ["| a | b |", "| --- | --- |", *[f"| {k % 3} | {k} |" for k in range(40)]]
+    for size in (len("\n".join(rows)), len("\n".join(rows)) - 1):
+        table = spark.createDataFrame([(rows,)], "rows array<string>")
+        chunks = table.select(chunking.pack_table(table.rows, size).alias("c")).first().c
+        assert chunks == ["\n".join(rows)] if size >= len("\n".join(rows)) else len(chunks) == 2
