@@ -3,7 +3,11 @@
 import random
 import re
 import time
+import unicodedata
 
+from pyspark.sql import functions as F
+
+from leafmill.functions import kernels
 from leafmill.operators import chunking, markdown, reconcile, validation
 
 
@@ -53,3 +57,21 @@ def test_a_table_that_fits_is_one_chunk(spark):
         table = spark.createDataFrame([(rows,)], "rows array<string>")
         chunks = table.select(chunking.pack_table(table.rows, size).alias("c")).first().c
         assert chunks == ["\n".join(rows)] if size >= len("\n".join(rows)) else len(chunks) == 2
+
+
+def test_words_are_rewritten_together_as_each_by_itself(spark):
+    """Pieces and words are computed once for a text; before, word by word, and all batches became Python's texts."""
+    words = ["#", "|", "**a**", "a|b", "|x", "--", "> q", "ｆｕｌｌ", "\\u00a8", "e\\u0301", "-_-a-_", "c||", "ß", "漢", "~"]
+    rng = random.Random(5)
+    texts = ["\\n".join(rng.choices([w.replace(" ", "") for w in words], k=rng.randint(1, 12))) for _ in range(100)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    listed = kernels.nfkc(kernels.listed_words(rows.t))
+    each = F.transform(F.split(listed, "\\n", -1), kernels.comparable)
+    assert rows.select(kernels.compared_words(listed).alias("a"), each.alias("b")).where("a <> b").count() == 0
+
+
+def test_inert_characters_are_their_own_nfkc():
+    listed = re.findall(r"(.)-(.)|(.)", kernels.INERT, re.S)
+    chars = [chr(k) for a, b, c in listed for k in (range(ord(a), ord(b) + 1) if a else [ord(c)])]
+    assert "ß" in chars and not any(unicodedata.combining(c) for c in chars)
+    assert all(unicodedata.normalize("NFKC", c) == c for c in chars) and unicodedata.normalize("NFKC", "".join(chars)) == "".join(chars)
