@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -69,32 +69,39 @@ def replace_registrations(current: dict[str, DataFrame], incoming: dict[str, Dat
     return out, refused
 
 
+@lru_cache(1 << 16)
+def _place(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def feature_hash(texts: list[str], dim: int) -> np.ndarray:
     """Deterministic unit vectors of word counts, for tests."""
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        for w in (t or "").split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            out[i, h % dim] += 1 - 2 * (h >> 63)
-        out[i] /= np.linalg.norm(out[i]) or 1
-    return out
+    places = [[_place(w) for w in (t or "").split()] for t in texts]
+    hashes = np.array([h for hs in places for h in hs], dtype=np.uint64)
+    rows = np.repeat(np.arange(len(texts)), [len(hs) for hs in places])
+    signs = 1.0 - 2.0 * (hashes >> np.uint64(63)).astype(float)
+    out = np.bincount(rows * dim + (hashes % np.uint64(dim)).astype(np.int64), weights=signs, minlength=len(texts) * dim).reshape(len(texts), dim)
+    norms = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norms > 0, norms, 1)[:, None]
 
 
 def embed_column(df: DataFrame, column: str, fn: Callable = feature_hash, dim: int = 64, batch: int = 256) -> DataFrame:
-    """Adds ``embedding``, one vector per row by ``fn(texts, dim)``; a vector of another dimension is an error."""
+    """Adds ``embedding``, one vector per row by ``fn(texts, dim)``; a vector of another dimension is an error. The other columns pass as Arrow has them."""
     schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches):
-        for pdf in batches:
-            parts = []
-            for a in range(0, len(pdf), batch):
-                v = np.asarray(fn(list(pdf[column].iloc[a : a + batch]), dim), dtype=np.float32)
+        import pyarrow as pa
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch):
+                rows = whole.slice(a, batch)
+                v = np.asarray(fn(rows.column(column).to_pylist(), dim), dtype=np.float32)
                 if v.ndim != 2 or v.shape[1] != dim:
                     raise ValueError(f"embeddings must have {dim} dimensions")
-                parts += v.tolist()
-            yield pdf.assign(embedding=parts)
+                vectors = pa.ListArray.from_arrays(pa.array(range(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, vectors], [*rows.schema.names, "embedding"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def model_rows(df: DataFrame, fn: Callable, key: str = "doc_id") -> DataFrame:

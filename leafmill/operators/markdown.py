@@ -107,11 +107,14 @@ def fence_state(lines: DataFrame) -> DataFrame:
 
     end = F.lit(2147483647)
     spans = fences.select("doc_id", F.aggregate("marks", start, step, lambda s: F.when(s["open"].isNotNull(), F.concat(s["spans"], F.array(F.struct(s["from"].alias("a"), end.alias("b"))))).otherwise(s["spans"])).alias("spans"))
-    # Back onto lines: the last opening at or before a line tells its span.
+    # Back onto lines: the last opening at or before a line tells its span. Openings stand among the lines, so that lines meet them without a join.
     opened = spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.a").alias("n"), F.col("s.b").alias("b"))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    joined = lines.join(opened, ["doc_id", "n"], "left").withColumn("fence_end", F.last("b", ignorenulls=True).over(w))
-    return joined.withColumns({"is_fence": mark != "", "in_fence": (mark != "") | F.coalesce(F.col("n") <= F.col("fence_end"), F.lit(False)), "opens": F.col("b").isNotNull()}).drop("b")
+    both = lines.withColumn("b", F.lit(None).cast("int")).unionByName(opened, allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("n", F.col("b").isNull())
+    last = lambda c: F.last(F.when(F.col("b").isNotNull(), F.col(c)), ignorenulls=True).over(w)
+    joined = both.withColumns({"fence_end": last("b"), "opened_at": last("n")}).where("b is null")
+    inside = F.coalesce(F.col("n") <= F.col("fence_end"), F.lit(False))
+    return joined.withColumns({"is_fence": mark != "", "in_fence": (mark != "") | inside, "opens": F.coalesce(F.col("n") == F.col("opened_at"), F.lit(False))}).drop("b", "opened_at")
 
 
 def split_cells(line: Column) -> Column:

@@ -1,14 +1,17 @@
 """Steps whose cost must grow with the input alone, against plain Python."""
 
+import hashlib
 import random
 import re
 import time
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from leafmill.functions import kernels
-from leafmill.operators import chunking, markdown, reconcile, validation
+from leafmill.operators import chunking, ingest, markdown, reconcile, validation
+from leafmill.tables import line_table
 
 
 def base_name(raw):
@@ -61,12 +64,12 @@ def test_a_table_that_fits_is_one_chunk(spark):
 
 def test_words_are_rewritten_together_as_each_by_itself(spark):
     """Pieces and words are computed once for a text; before, word by word, and all batches became Python's texts."""
-    words = ["#", "|", "**a**", "a|b", "|x", "--", "> q", "ｆｕｌｌ", "\\u00a8", "e\\u0301", "-_-a-_", "c||", "ß", "漢", "~"]
+    words = ["#", "|", "**a**", "a|b", "|x", "--", "> q", "ｆｕｌｌ", "\u00a8", "e\u0301", "-_-a-_", "c||", "ß", "漢", "~"]
     rng = random.Random(5)
-    texts = ["\\n".join(rng.choices([w.replace(" ", "") for w in words], k=rng.randint(1, 12))) for _ in range(100)]
+    texts = ["\n".join(rng.choices([w.replace(" ", "") for w in words], k=rng.randint(1, 12))) for _ in range(100)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
     listed = kernels.nfkc(kernels.listed_words(rows.t))
-    each = F.transform(F.split(listed, "\\n", -1), kernels.comparable)
+    each = F.transform(F.split(listed, "\n", -1), kernels.comparable)
     assert rows.select(kernels.compared_words(listed).alias("a"), each.alias("b")).where("a <> b").count() == 0
 
 
@@ -75,3 +78,26 @@ def test_inert_characters_are_their_own_nfkc():
     chars = [chr(k) for a, b, c in listed for k in (range(ord(a), ord(b) + 1) if a else [ord(c)])]
     assert "ß" in chars and not any(unicodedata.combining(c) for c in chars)
     assert all(unicodedata.normalize("NFKC", c) == c for c in chars) and unicodedata.normalize("NFKC", "".join(chars)) == "".join(chars)
+
+
+def test_fence_state_moves_no_lines_again(spark):
+    """Lines that are partitioned by document meet the openings without a shuffle; before, a join dealt all of them anew."""
+    texts = ["a\n```\nb\n~~~\nc\n```\nd\n~~~\ne", "~~~", "plain\ntext"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    found = markdown.fence_state(line_table(docs))
+    assert [(r.n, r.is_fence, r.in_fence, r.opens) for r in found.where("doc_id = 0").orderBy("n").collect()] == [
+        (1, False, False, False), (2, True, True, True), (3, False, True, False), (4, True, True, False), (5, False, True, False),
+        (6, True, True, False), (7, False, False, False), (8, True, True, True), (9, False, True, False),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_hashed_vectors_are_counts_of_words():
+    texts = ["a b a", "", None, "x " * 50 + "y"]
+    for v, t in zip(ingest.feature_hash(texts, 16), texts):
+        plain = np.zeros(16)
+        for w in (t or "").split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            plain[h % 16] += 1 - 2 * (h >> 63)
+        assert (v == plain / (np.linalg.norm(plain) or 1)).all()
