@@ -13,7 +13,12 @@ PDF_BYTES = 100 << 20
 
 def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return in_few_tasks((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+
+
+def in_few_tasks(files: DataFrame) -> DataFrame:
+    """Files in four tasks a core at most: Spark counts each file as 4 MB, so small ones by the thousand would be thousands of tasks in every scan."""
+    return files.coalesce(4 * files.sparkSession.sparkContext.defaultParallelism)
 
 
 def classify_markdown(files: DataFrame) -> DataFrame:

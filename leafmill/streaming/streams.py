@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -159,8 +160,9 @@ def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
 
 def register_batch(batch: DataFrame, folder: str, writer: str = "", number: int | None = None, dim: int = 64) -> None:
     """Register the files (path, modificationTime, length, content) of one batch in the published tables of ``folder``."""
+    batch = files.in_few_tasks(batch).persist(StorageLevel.DISK_ONLY)  # each file is opened once, whatever reads it
     incoming, rejected = files.registrations(batch, dim)
-    kept = [incoming[t].persist() for t in ("documents", "chunks")]  # chunked and embedded once, read by several writes
+    kept = [batch, *(incoming[t].persist() for t in ("documents", "chunks"))]  # chunked and embedded once, read by several writes
     try:
         registration.append_registrations(batch.sparkSession, folder, incoming, writer, number, rejected)
     finally:

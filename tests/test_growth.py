@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import kernels
 from leafmill.operators import chunking, ingest, markdown, reconcile, validation
+from leafmill.sources import files
 from leafmill.tables import line_table
 
 
@@ -101,3 +102,12 @@ def test_hashed_vectors_are_counts_of_words():
             h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
             plain[h % 16] += 1 - 2 * (h >> 63)
         assert (v == plain / (np.linalg.norm(plain) or 1)).all()
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    """Before, a task for every few files in each scan of them."""
+    for i in range(300):
+        (tmp_path / f"{i}.md").write_text(f"text {i}")
+    good, bad = files.read_markdown(spark, str(tmp_path))
+    assert good.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {r.text for r in good.collect()} == {f"text {i}" for i in range(300)} and bad.count() == 0
