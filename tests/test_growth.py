@@ -5,10 +5,12 @@ import random
 import re
 import time
 import unicodedata
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from leafmill import tables
 from leafmill.functions import kernels
 from leafmill.operators import chunking, ingest, markdown, reconcile, validation
 from leafmill.sources import files
@@ -111,3 +113,27 @@ def test_small_files_are_read_in_few_tasks(spark, tmp_path):
     good, bad = files.read_markdown(spark, str(tmp_path))
     assert good.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert {r.text for r in good.collect()} == {f"text {i}" for i in range(300)} and bad.count() == 0
+
+
+def test_corrections_are_squashed_once(spark):
+    """Before, both readings of every line passed the patterns, again for each place that named them, and whole matches went to the kernel."""
+    rng = random.Random(11)
+    words = ["#", "|", "a|b", "..", ". .", "..|..", "> q", "ｆｕｌｌ", "é", "ß", "漢", "　", " ", "x-y", " ", "\n"]
+    texts = ["".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(300)] + [None, "", " 　", "long " * 900, "long " * 900 + "y"]
+    rows = spark.createDataFrame([(i, t, rng.choice(texts), rng.choice(texts)) for i, t in enumerate(texts)], "i long, a string, b string, c string")
+    old = F.regexp_replace(F.regexp_replace(kernels.norm_diff(rows.a), r"\.{2,}", ""), r"(?U)\s+", "")
+    assert rows.where(~kernels.squash_diff(rows.a).eqNullSafe(old)).count() == 0
+    assert rows.where(tables.blank(rows.a) != F.coalesce(tables.strip(rows.a) == "", F.lit(True))).count() == 0
+    told = rows.select("i", *[kernels.squash_diff(rows[x]).alias(x) for x in "abc"], kernels.nearest(rows.a, [rows.b, rows.c], 0.6).alias("near")).collect()
+    for r in told:
+        ratios = [SequenceMatcher(None, r.a, y, autojunk=False).ratio() for y in (r.b, r.c) if r.a is not None and y is not None]
+        assert (r.near is None) == (not ratios) and (not ratios or (r.near >= 0.6) == (max(ratios) >= 0.6)) and (not r.near or r.near in ratios)
+    segments = rows.selectExpr("i as doc_id", "'s' as segment_id", "b as primary_text", "c as alternate_text", "i % 2 = 0 as is_match")
+    corrections = rows.selectExpr("i as doc_id", "'s' as segment_id", "a as corrected_text", "i % 3 = 0 as still_uncertain", "'r' as reason")
+    judged = reconcile.apply_corrections(segments, corrections)
+    assert judged.columns[-2:] == ["status", "final_text"] and "_near" not in judged.columns
+    near, a = {r.i: r.near for r in told}, dict(enumerate(texts))
+    for r in judged.collect():
+        sure = (a[r.doc_id] or "").strip() and r.doc_id % 3
+        assert r.status == ("match" if r.doc_id % 2 == 0 else "auto_corrected" if sure and (near[r.doc_id] or 0) >= 0.6 else "needs_review")
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 20
