@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill import tables
 from leafmill.functions import kernels
-from leafmill.operators import chunking, ingest, markdown, reconcile, validation
+from leafmill.operators import chunking, ingest, markdown, mentions, reconcile, validation
 from leafmill.sources import files
 from leafmill.tables import line_table
 
@@ -137,3 +137,21 @@ def test_corrections_are_squashed_once(spark):
         sure = (a[r.doc_id] or "").strip() and r.doc_id % 3
         assert r.status == ("match" if r.doc_id % 2 == 0 else "auto_corrected" if sure and (near[r.doc_id] or 0) >= 0.6 else "needs_review")
     assert judged._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 20
+
+
+def test_pairs_of_prefixes_are_not_gathered(spark):
+    """Before, the pairs of all questions and tags, which grow faster than either, went through an aggregate that held them in memory."""
+    rng = random.Random(13)
+    parts = ["con", "cone", "cont", "contra", "the", "them", "theme-a", "Ä", "co", "x1", "x1-", "-", " ", "straße"]
+    named = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(60)] + ["CONTRA", "contra", "", None, "the me"]
+    asked = [(rng.choice([1, 2, 3, 4, None]) if k < 12 else k, " ".join(rng.choices(parts + named[:20], k=rng.randint(0, 6)))) for k in range(60)] + [(99, None)]
+    tags = spark.createDataFrame([(t,) for t in named], "tag string")
+    questions = spark.createDataFrame(asked, "question_id long, text string").repartition(5)
+    fold = lambda t: unicodedata.normalize("NFKC", t).casefold()
+    tokens = {(i, w) for i, t in asked if t for w in re.findall("[A-Za-z0-9][A-Za-z0-9-]*", fold(t)) if len(w) >= 3}
+    want = sorted({(str(i), t) for i, w in tokens for t in named if t and fold(t).startswith(w)})
+    for most in (mentions.MAX_STARTS, 0):
+        found = mentions.prefix_mentions(questions, tags, most)
+        assert sorted((str(r.question_id), r.tag) for r in found.collect()) == want and len(want) > 100
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert "Aggregate" not in above
