@@ -1,6 +1,6 @@
 """Splitting Markdown into chunks: sections by headings, runs of table and prose lines, greedy packing.
 
-Sections, runs and groups are also there as windows over a table of lines. Chunking itself goes row by row:
+Runs and groups are also there as windows over a table of lines. Sections and chunking go row by row:
 the lines of a document are an array that functions cut into sections, runs and chunks, and packing, which depends
 on what was packed before, folds over one run.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.kernels import let
-from leafmill.tables import blank, line_table, strip
+from leafmill.tables import blank, strip
 
 CHUNK_SIZE = 800
 OVERLAP = 100
@@ -22,16 +22,19 @@ DITTO = ("", "〃")
 def section_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n, line, section, heading) of every line that is not a heading; section 0 is the preamble.
 
-    Code fences do not count here: a heading line inside one opens a section too.
+    Code fences do not count here: a heading line inside one opens a section too. Each row is cut by itself.
     """
-    is_heading = F.col("line").rlike(HEADING)
-    w = Window.partitionBy("doc_id").orderBy("n")
-    lines = line_table(docs).withColumn("is_heading", is_heading)
-    lines = lines.withColumns({
-        "section": F.sum(F.col("is_heading").cast("int")).over(w),
-        "heading": F.coalesce(F.last(F.when(F.col("is_heading"), strip(F.regexp_extract("line", HEADING, 2))), ignorenulls=True).over(w), F.lit("")),
-    })
-    return lines.where(~F.col("is_heading")).drop("is_heading")
+
+    def cut(lines):
+        heads = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(HEADING), i)), lambda i: i.isNotNull())
+        name = lambda h: F.coalesce(F.when(h >= 0, strip(F.regexp_extract(F.get(lines, h), HEADING, 2))), F.lit(""))
+        body = lambda at, h, k: F.slice(lines, h + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - h - 1)
+        section = lambda at, h, k: F.struct(k.cast("bigint").alias("section"), name(h).alias("heading"), (h + 2).alias("first"), body(at, h, k).alias("lines"))
+        return let(F.concat(F.array(F.lit(-1)), heads), lambda at: F.transform(at, lambda h, k: section(at, h, k)))
+
+    sections = docs.select("doc_id", F.explode(let(F.split(F.col("text"), "\n", -1), cut)).alias("s"))
+    lines = sections.select("doc_id", "s.section", "s.heading", "s.first", F.posexplode("s.lines").alias("at", "line"))
+    return lines.select("doc_id", (F.col("first") + F.col("at")).alias("n"), "line", "section", "heading")
 
 
 def _is_table(line):

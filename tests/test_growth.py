@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafmill import tables
 from leafmill.functions import kernels
 from leafmill.operators import chunking, ingest, markdown, mentions, reconcile, validation
+from leafmill.plans import fixtures
 from leafmill.sources import files
 from leafmill.tables import line_table
 
@@ -155,3 +156,32 @@ def test_pairs_of_prefixes_are_not_gathered(spark):
         assert sorted((str(r.question_id), r.tag) for r in found.collect()) == want and len(want) > 100
         above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
         assert "Aggregate" not in above
+
+
+def test_sections_and_their_input_sort_no_growing_parts(spark, tmp_path):
+    """Before, windows sorted all lines of a task, and a task had its share of the order lines however many they were."""
+    rng = random.Random(17)
+    kinds = ["# One", "## Two ## ", "#", "#x", "####### seven", "", " ", "text", "| a |", "#\tTab　", "~~~", "### "]
+    texts = [(i % 30, "\n".join(rng.choices(kinds, k=rng.randint(0, 9)))) for i in range(80)] + [(7, None), (None, "# A\nb"), (8, ""), (9, "a\n")]
+    want = []
+    for i, t in texts:
+        section, heading = 0, ""
+        for n, line in enumerate([] if t is None else t.split("\n"), 1):
+            if m := re.match(chunking.HEADING, line):
+                section, heading = section + 1, m[2].strip()
+            else:
+                want.append((i, n, line, section, heading))
+    found = chunking.section_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found.dtypes == [("doc_id", "bigint"), ("n", "int"), ("line", "string"), ("section", "bigint"), ("heading", "string")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(1000).selectExpr("id % 100 as k", "id")
+    assert tables.dealt(rows, "k", 100).rdd.getNumPartitions() == 10 and tables.dealt(rows, "k", 100).count() == 1000
+    assert tables.dealt(rows, "k", 250).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    lines = [(1, 7, 1, 2, 3.0, 1.5), (1, 2, 2, 2, 4.0, 2.5), (1, 6, 3, 2, 5.0, 0.125), (2, 5, 1, 1, 1.0, 9.99), (3, 1, 1, 1, 1.0, 1.0), (2, None, 2, 1, 1.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "O"), (2, "F"), (4, "P")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    head = "# Order {0}\n\nStatus {1}.\n\n## Lines\n\n| part | qty | cents |\n{2}\n{3}"
+    assert {r.doc_id: r.text for r in fixtures.markdown(spark, str(tmp_path)).collect()} == {
+        1: head.format(1, "O", "| --- | --- |", "| 1 | 5 | 13 |\n| 2 | 3 | 150 |\n| 〃 | 4 | 250 |"), 2: head.format(2, "F", "| --- | --- | --- |", "| 0 | 1 | 999 |"),
+    }
