@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 
 from leafmill import plans
+from leafmill.operators import reconcile
 
 DOCS = [
     (0, "Ｆｕｌｌ　ｗｉｄｔｈ heading of the page\nzweite Zeile übrig\nthird line"), (1, "ascii text only, of twenty characters or more\nsecond"), (2, "ﬁne ligatures on the page\nÄ Ö Ü ß\nmore of the same"),
@@ -79,3 +80,19 @@ def test_tags(spark, folder):
     assert sorted(run("tag_mentions_all")) == sorted(mentions)
     assert sorted(run("prefix_mentions_all")) == sorted(prefixes)
     assert dict(run("resolve_tag_all")) == resolved
+
+
+def test_drafts_equal_their_sql(spark, tmp_path):
+    """Before, blank and null texts that the SQL takes as they are became the sentence for pages without text."""
+    import duckdb
+
+    texts = {0: "zero", 1: "one\ntwo", 2: "", 3: " \n\t", 4: None, 5: "　", 7: "", 8: "eight", 50: None, 51: "", 52: "x", 101: None, 102: None, None: "no id"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {tuple(r) for r in con.execute(plans.ORACLES["assemble_draft"]).fetchall()}
+    assert {tuple(r) for r in plans.QUERIES["assemble_draft"](spark, str(tmp_path)).collect()} == want
+    assert (2, None) in want and len(want) == 4
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 1, " "), (1, 3, None)], "draft_id int, page int, text string")
+    blanks = [f"## PDF {n}ページ目\n\n{reconcile.NO_TEXT if t is None else t}\n" for n, t in ((1, None), (2, "b"), (3, None))]
+    assert reconcile.assemble_draft(pages).first().markdown == "\n".join(blanks)  # by itself the operator marks the blank ones
