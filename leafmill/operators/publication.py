@@ -42,7 +42,8 @@ class Snapshot:
         return spark.read.schema(schema).parquet(*self.parts[name]) if self.parts[name] else spark.createDataFrame([], schema)
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
@@ -53,7 +54,7 @@ def _local(path: str) -> str | None:
 
 
 def _listed(spark: SparkSession, folder: str) -> list:
-    files, at = _files(spark, folder)
+    files, at = hadoop_path(spark, folder)
     return list(files.listStatus(at)) if files.exists(at) else []
 
 
@@ -68,7 +69,7 @@ def snapshot(spark: SparkSession, folder: str, number: int | None = None) -> Sna
         number = max(_numbers(spark, folder), default=0)
     if number == 0:
         return Snapshot(folder)
-    files, at = _files(spark, f"{folder}/commits/{number:012d}.json")
+    files, at = hadoop_path(spark, f"{folder}/commits/{number:012d}.json")
     stream = files.open(at)
     try:
         said = json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -93,7 +94,7 @@ def _create(spark: SparkSession, path: str, content: bytes) -> None:
         finally:
             os.unlink(_local(waiting))
         return
-    files, at = _files(spark, waiting)
+    files, at = hadoop_path(spark, waiting)
     out = files.create(at, False)
     out.write(content)
     out.close()
@@ -152,6 +153,6 @@ def vacuum(spark: SparkSession, folder: str, keep: int = 2, older_than: float =
     before = (time.time() - older_than * 3600) * 1000
     gone += [f"{folder}/data/{f.getPath().getName()}" for f in _listed(spark, f"{folder}/data") if f.getPath().getName() not in named and f.getModificationTime() <= before]
     for path in gone:
-        files, at = _files(spark, path)
+        files, at = hadoop_path(spark, path)
         files.delete(at, True)
     return gone

@@ -5,35 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import folders
 from leafmill.operators import bundles, chunking, ingest, registration, validation
 from leafmill.tables import blank
 
 PDF_BYTES = 100 << 20
 
 
-def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return in_few_tasks((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
-
-
-def in_few_tasks(files: DataFrame) -> DataFrame:
-    """Files in four tasks a core at most: Spark counts each file as 4 MB, so small ones by the thousand would be thousands of tasks in every scan."""
-    return files.coalesce(4 * files.sparkSession.sparkContext.defaultParallelism)
-
-
-def classify_markdown(files: DataFrame) -> DataFrame:
-    """Files (path, content) with title, text and reason (extension, encoding or blank; null if accepted)."""
+def _judged(files: DataFrame) -> DataFrame:
+    """Files (path, content, any others) with title, text and reason, in place of their content."""
     name = F.element_at(F.split("path", "/", -1), -1)
     known = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin("md", "markdown", "txt")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(F.when(valid, F.col("content").cast("string")), "^﻿", "")
     reason = F.when(~known, "extension").when(~valid, "encoding").when(blank(text), "blank")
-    return files.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
+    return files.withColumns({"title": F.regexp_replace(name, r"\.[^.]*$", ""), "text": F.when(reason.isNull(), text), "reason": reason}).drop("content")
+
+
+def classify_markdown(files: DataFrame) -> DataFrame:
+    """Files (path, content) with title, text and reason (extension, encoding or blank; null if accepted)."""
+    return _judged(files).select("path", "title", "text", "reason")
+
+
+def markdown_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, text, reason): accepted and rejected files in one pass, see ``classify_markdown``."""
+    return classify_markdown(folders.stored(spark, path).select("path", "content"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Accepted documents (path, title, text) and rejected files (path, reason)."""
-    found = classify_markdown(_files(spark, path).select("path", "content"))
+    found = markdown_files(spark, path)
     return found.where("reason is null").drop("reason"), found.where("reason is not null").select("path", "reason")
 
 
@@ -43,15 +44,19 @@ def classify_pdfs(files: DataFrame, most: int = PDF_BYTES) -> DataFrame:
     return files.withColumn("reason", reason)
 
 
-def read_pdf_blobs(spark: SparkSession, path: str, most: int = PDF_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Accepted blobs (path, length, content) and rejected files (path, reason); what is too large is rejected by its length, unread.
+def pdf_files(spark: SparkSession, path: str, most: int = PDF_BYTES) -> DataFrame:
+    """(path, length, content, reason): accepted and rejected files in one pass; what is too large is rejected by its length, unread.
 
     Spark's file source passes over files of no bytes; ``classify_pdfs`` names them in tables of blobs.
     """
-    files = _files(spark, path).select("path", "length", "content")
-    large = files.select("path", "length").where(F.col("length") > most).select("path", F.lit("too-large").alias("reason"))
-    found = classify_pdfs(files.where(F.col("length") <= most), most)
-    return found.where("reason is null").drop("reason"), found.where("reason is not null").select("path", "reason").unionByName(large)
+    large = folders.listed(spark, path).where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("too-large").alias("reason"))
+    return classify_pdfs(folders.stored(spark, path, f"length <= {most}").select("path", "length", "content"), most).unionByName(large)
+
+
+def read_pdf_blobs(spark: SparkSession, path: str, most: int = PDF_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Accepted blobs (path, length, content) and rejected files (path, reason), see ``pdf_files``."""
+    found = pdf_files(spark, path, most)
+    return found.where("reason is null").drop("reason"), found.where("reason is not null").select("path", "reason")
 
 
 def registrations(files: DataFrame, dim: int = 64) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -64,8 +69,7 @@ def registrations(files: DataFrame, dim: int = 64) -> tuple[dict[str, DataFrame]
     path = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     named = files.withColumn("path", path).withColumn("name", F.element_at(F.split("path", "/", -1), -1)).withColumn("ext", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
     beside = named.withColumn("at", F.regexp_replace("path", r"\.[^.]*$", ""))  # the Markdown file's path
-    texts = named.where("ext not in ('pdf', 'tags')")
-    judged = classify_markdown(texts).join(texts.select("path", "name", "modificationTime", F.sha2("content", 256).alias("digest")), "path")
+    judged = _judged(named.where("ext not in ('pdf', 'tags')").withColumn("digest", F.sha2("content", 256)))
     own_id = registration.document_id(F.col("path"), F.col("modificationTime").cast("string"), F.col("digest"))
     good = judged.where("reason is null").withColumn("document_id", own_id)
     documents = good.select("document_id", "title", F.col("name").alias(registration.KEY), F.col("modificationTime").alias("created_at"))
@@ -82,7 +86,7 @@ def registrations(files: DataFrame, dim: int = 64) -> tuple[dict[str, DataFrame]
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """(bundle_id, path, length, content, kind): each folder under ``path`` is a bundle; its own name, hidden and module folders are left out."""
-    files = _files(spark, path).select("path", "length", "content")
+    files = folders.stored(spark, path).select("path", "length", "content")
     root = path.rstrip("/").split("://")[-1].rstrip("/") + "/"
     inside = files.withColumn("path", F.substring("path", F.position(F.lit(root), F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))) + len(root), F.length("path")))
     inside = inside.withColumn("bundle_id", F.split("path", "/", -1)[0])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from leafmill.operators import chunking, ingest, lifecycle, registration
+from leafmill import folders
+from leafmill.operators import chunking, ingest, lifecycle, publication, registration
 from leafmill.sources import files
+from leafmill.tables import shared_folder
 
 
 #: What an interrupted draft is told.
@@ -160,7 +163,8 @@ def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
 
 def register_batch(batch: DataFrame, folder: str, writer: str = "", number: int | None = None, dim: int = 64) -> None:
     """Register the files (path, modificationTime, length, content) of one batch in the published tables of ``folder``."""
-    batch = files.in_few_tasks(batch).persist(StorageLevel.DISK_ONLY)  # each file is opened once, whatever reads it
+    batch = batch.persist(StorageLevel.DISK_ONLY)  # each file is opened once, whatever reads it
+    batch.count()  # and its size is known: by that of their names alone, joins would broadcast the files
     incoming, rejected = files.registrations(batch, dim)
     kept = [batch, *(incoming[t].persist() for t in ("documents", "chunks"))]  # chunked and embedded once, read by several writes
     try:
@@ -170,17 +174,60 @@ def register_batch(batch: DataFrame, folder: str, writer: str = "", number: int
             df.unpersist()
 
 
+#: Files that a part of the listing names, on average at most.
+PART_FILES = 20_000
+
+
+def list_new(spark: SparkSession, path: str, kept: str, files_per_batch: int) -> None:
+    """Add the files under ``path`` that the listing ``kept`` lacks, in parts of about ``files_per_batch`` or ``PART_FILES``, whichever is less.
+
+    What belongs to one document stands in one part. Where there are more than ``files_per_batch``, the parts of the
+    older documents are written first.
+    """
+    store, at = publication.hadoop_path(spark, kept)
+    store.mkdirs(at)
+    name = F.element_at(F.split("path", "/", -1), -1)
+    beside = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin("tags", "pdf")
+    known = spark.read.schema(folders.LISTED).parquet(kept).select("path")
+    new = folders.listed(spark, path).join(known, "path", "left_anti").withColumn("document", F.when(beside, F.regexp_replace("path", r"\.[^.]*$", "")).otherwise(F.col("path"))).persist(StorageLevel.DISK_ONLY)
+    try:
+        if not (count := new.count()):
+            return
+        runs, most = [(new, count)], min(PART_FILES, files_per_batch)
+        if (batches := -(-count // files_per_batch)) > 1:
+            own = Window.partitionBy("document")
+            time = F.coalesce(F.max(F.when(F.col("document") == F.col("path"), F.col("modificationTime"))).over(own), F.min("modificationTime").over(own))
+            written = f"{shared_folder(spark)}/dealt-{uuid.uuid4().hex}"  # once: dealt again, rows could change their batch
+            new.withColumn("time", time).repartitionByRange(batches, "time", "document").withColumn("batch", F.spark_partition_id()).write.parquet(written)
+            dealt = spark.read.parquet(written)
+            runs = [(dealt.where(F.col("batch") == b), n) for b, n in sorted(dealt.groupBy("batch").count().collect())]
+        for run, n in runs:
+            run.repartition(max(1, round(n / most)), "document").select("path", "modificationTime", "length").write.mode("append").parquet(kept)
+    finally:
+        new.unpersist()
+
+
 def registration_stream(spark: SparkSession, path: str, folder: str, checkpoint: str, dim: int = 64, files_per_batch: int = 1000):
     """Start a query that registers the files that come into ``path``: Markdown with what lies beside it, see ``files.registrations``.
 
     Each micro-batch is one published version of all tables. Its number goes with it under the query's id, so a batch that is run again
     after a failure, at whatever point that came, counts once. The tables are read by ``registration.registered``.
+
+    Tasks list the folder, and the stream is that of the listing in the checkpoint, of about ``files_per_batch`` files a batch: the driver holds the
+    names of its parts alone. A store that tasks cannot list is left to Spark's own source, which holds all names.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    full = folders.known(spark, path)
+    if full is None:
+        schema = "path string, modificationTime timestamp, length long, content binary"
+        found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+        whole = folders.in_few_tasks
+    else:
+        list_new(spark, path, f"{checkpoint}/listed", files_per_batch)
+        found = spark.readStream.schema(folders.LISTED).option("maxFilesPerTrigger", -(-files_per_batch // PART_FILES)).parquet(f"{checkpoint}/listed")
+        whole = lambda batch: folders.contents(batch, full)
 
     def write(batch: DataFrame, number: int) -> None:
         writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        register_batch(batch, folder, writer, number, dim)
+        register_batch(whole(batch), folder, writer, number, dim)
 
     return found.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill import folders
 from leafmill.operators import exports, publication, registration
 from leafmill.sources import files
 from leafmill.streaming import streams
@@ -164,6 +165,55 @@ def test_files_become_registrations(spark, tmp_path, monkeypatch):
     assert {r.document_id for r in out["documents"].collect()} == set(docs1.values())
 
 
+def test_tasks_list_a_folder_as_spark_does(spark, tmp_path):
+    """Before, the driver listed and planned every file; the rows are the same."""
+    for folder, names in {"in": ("a b.md", "p+q.txt", "100%.md", "x#y?z.md", "ünï　.md", ".hidden", "_hidden", "_k=v", "z._COPYING_"), "in/sub/deep": ("a.md", "n.md.pdf"), "in/.sub": ("no",), "in/_sub": ("no",), "in/k=1": ("yes",)}.items():
+        for n in names:
+            put(tmp_path / folder, n, f"{folder} {n}".encode())
+    put(tmp_path / "in", "empty.md", b"")
+    path = str(tmp_path / "in")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    want = sorted(map(str, whole.collect()))
+    assert len(want) == 9 and sorted(map(str, folders.stored(spark, path).collect())) == want
+    assert folders.stored(spark, path).schema == whole.schema and folders.listed(spark, path).count() == 9
+    assert [r.path.rsplit("/", 1)[1] for r in folders.stored(spark, path, "length > 16").collect()] == ["n.md.pdf"]
+    assert "MapInArrow" in folders.stored(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "none").mkdir()
+    assert folders.stored(spark, str(tmp_path / "none")).count() == 0
+    for left in (f"{path}/*.md", f"{path}/a b.md"):  # Spark's own source reads patterns and single files
+        assert folders.known(spark, left) is None and folders.stored(spark, left).count() > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        folders.stored(spark, str(tmp_path / "gone")).count()
+
+
+def test_a_stream_keeps_documents_whole_and_in_order(spark, tmp_path):
+    """Before, a document's tags could come in another batch than its text, and were lost."""
+    inbox, folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "set"), str(tmp_path / "cp")
+    for i in range(12):  # the older half of each name first, tags and pdfs long after all texts
+        for k, (name, content) in enumerate(((f"{i % 6}.md", f"text {i}"), (f"{i % 6}.md.tags", f"tag {i}"), (f"{i % 6}.md.pdf", f"%PDF-{i}"))):
+            put(f"{inbox}/{i}", name, content.encode())
+            os.utime(f"{inbox}/{i}/{name}", (1000 + i + 500 * k, 1000 + i + 500 * k))
+
+    def run():
+        query = streams.registration_stream(spark, inbox, folder, checkpoint, dim=8, files_per_batch=9)
+        query.awaitTermination(300)
+        return query
+
+    progress = [p for p in run().recentProgress if p["numInputRows"]]
+    assert len(progress) > 1 and all("listed" in p["sources"][0]["description"] for p in progress)
+    found = registration.registered(spark, publication.snapshot(spark, folder))
+    names = {r.document_id: r.source_file_name for r in found["documents"].collect()}
+    said = lambda t, c: {(names[r.document_id], bytes(r[c]).decode() if c == "content" and t == "pdfs" else r[c]) for r in found[t].collect()}
+    assert said("chunks", "content") == {(f"{i - 6}.md", f"text {i}") for i in range(6, 12)}
+    assert said("tags", "tag") == {(f"{i - 6}.md", f"tag {i}") for i in range(6, 12)}
+    assert said("pdfs", "content") == {(f"{i - 6}.md", f"%PDF-{i}") for i in range(6, 12)}
+    number = publication.snapshot(spark, folder).number
+    run()
+    assert publication.snapshot(spark, folder).number == number == len(progress)  # nothing new, nothing published
+    rows = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    assert "Join" not in files.registrations(rows, 8)[0]["documents"]._jdf.queryExecution().analyzed().toString()  # texts meet themselves no more
+
+
 def test_exports(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     made = spark.createDataFrame(
