@@ -116,10 +116,11 @@ def plan_exports(outputs: DataFrame, existing: DataFrame, overwrite: bool = Fals
     """outputs (export_id, path) with bad (an unusable segment), exists, and the decision for the whole export: reject, ask or write."""
     bad = F.exists(F.split("path", "/", -1), lambda s: (s == "") | (s == ".") | (s == "..") | s.rlike(r'[\\:*?"<>|\x00-\x1f]'))
     there = existing.select("path").distinct().withColumn("there", F.lit(True))
-    w = Window.partitionBy("export_id")
     marked = outputs.join(there, "path", "left").withColumns({"bad": bad, "exists": F.col("there").isNotNull()}).drop("there")
-    decision = F.when(F.max("bad").over(w), "reject").when(F.max("exists").over(w) & F.lit(not overwrite), "ask").otherwise("write")
-    return marked.withColumn("decision", decision)
+    # An export may hold any number of files: an aggregate, and no window that takes it whole.
+    decision = F.when(F.max("bad"), "reject").when(F.max("exists") & F.lit(not overwrite), "ask").otherwise("write")
+    decided = marked.groupBy(F.col("export_id").alias("_id")).agg(decision.alias("decision"))
+    return marked.join(decided, F.col("export_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def css_urls(css: Column) -> Column:

@@ -7,24 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill import folders
+from leafmill.folders import opened as _opened
 from leafmill.operators import bundles
 from leafmill.tables import shared_folder
 
 REPORT = "export_id string, path string, staged string, bytes long, error string"
 
 
-def _opened(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def existing_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path): the files under a folder, by their path in it."""
     files, root = _opened(folder)
     if files.get_file_info(root).type.name == "NotFound":
         return spark.createDataFrame([], "path string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    found = folders.listed(spark, folder).select("path")
     plain = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     inside = root.rstrip("/") + "/"
     return found.select(F.substring(plain, F.position(F.lit(inside), plain) + len(inside), F.length(plain)).alias("path"))
@@ -60,7 +56,7 @@ def _placed(manifest: DataFrame, folder: str) -> DataFrame:
 
         files, root = _opened(folder)
         for pdf in batches:
-            rows = []
+            rows, made = [], set()
             for export_id, path, staged, size, error in pdf.itertuples(index=False):
                 if error is None:
                     target = f"{root}/{path}"
@@ -69,8 +65,9 @@ def _placed(manifest: DataFrame, folder: str) -> DataFrame:
                             if files.get_file_info(target).size != size:
                                 raise OSError(f"{staged} is gone")
                         else:
-                            if "/" in path:
-                                files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                            if (parent := target.rsplit("/", 1)[0]) not in made:
+                                files.create_dir(parent, recursive=True)
+                                made.add(parent)
                             files.move(staged, target)
                     except OSError as e:
                         error = str(e)[:300]
@@ -95,12 +92,16 @@ def write_exports(outputs: DataFrame, folder: str, overwrite: bool = False) -> D
     files.create_dir(staging, recursive=True)
     scheme = folder.split("://")[0] + "://" if "://" in folder else ""
     planned = bundles.plan_exports(outputs, existing_files(spark, folder), overwrite)
-    twice = F.count("*").over(Window.partitionBy("path")) > 1
-    planned = planned.withColumn("decision", F.when((F.col("decision") == "write") & F.max(twice).over(Window.partitionBy("export_id")), "reject").otherwise(F.col("decision")))
     kept = f"{shared_folder(spark)}/exports-{run}"
-    planned.drop("content").write.parquet(f"{kept}/plan")
+    planned.withColumn("twice", F.count("*").over(Window.partitionBy("path")) > 1).drop("content").write.parquet(f"{kept}/plan")
     plan = spark.read.parquet(f"{kept}/plan")
-    chosen = outputs.join(plan.where("decision = 'write'").select("export_id", "path"), ["export_id", "path"], "left_semi")
+    twice = plan.where("twice").select(F.col("export_id").alias("_id")).distinct().withColumn("_twice", F.lit(True))
+    decision = F.when((F.col("decision") == "write") & F.col("_twice"), "reject").otherwise(F.col("decision"))
+    plan = plan.join(twice, F.col("export_id").eqNullSafe(F.col("_id")), "left").withColumn("decision", decision).drop("_id", "_twice", "twice")
+    plan.where("decision <> 'write'").select("export_id").distinct().write.parquet(f"{kept}/refused")
+    refused = spark.read.schema(plan.select("export_id").schema).parquet(f"{kept}/refused")
+    chosen = outputs.where("export_id is not null and path is not null").join(refused, "export_id", "left_anti")
+    chosen = chosen.repartition(4 * spark.sparkContext.defaultParallelism, "path")
     _staged(chosen, scheme + staging).write.parquet(f"{kept}/manifest")
     _placed(spark.read.parquet(f"{kept}/manifest"), folder).write.parquet(f"{kept}/report")
     files.delete_dir(staging)

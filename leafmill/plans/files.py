@@ -50,9 +50,8 @@ def write_exports(spark, folder):
   case when doc_id % 4 <> 3 and not broken and not bare and regexp_matches(text, '\\S') then text end as text from f where bare or text <> '' or doc_id % 3 = 0 or broken""")
 def read_markdown(spark, folder):
     """Files of the documents read back: those accepted with their text, the others with the reason."""
-    good, bad = files.read_markdown(spark, _written(spark, _markdown_files(spark, folder)))
-    name = F.try_url_decode(F.element_at(F.split("path", "/", -1), -1)).alias("name")
-    return good.select(name, F.lit(None).cast("string").alias("reason"), "text").unionByName(bad.select(name, "reason", F.lit(None).cast("string").alias("text")))
+    found = files.markdown_files(spark, _written(spark, _markdown_files(spark, folder)))
+    return found.select(F.try_url_decode(F.element_at(F.split("path", "/", -1), -1)).alias("name"), "reason", "text")
 
 
 @query("read_pdf_blobs", """with b as (select page_id, case when page_id % 3 = 0 then '' else '%PDF-' end || coalesce(html, '') as c from pages)
@@ -60,9 +59,8 @@ select 'p' || cast(page_id as varchar) || '.pdf' as name, case when strlen(c) >
 def read_pdf_blobs(spark, folder):
     """Pages as PDF files, accepted by their mark and length."""
     blobs = table(spark, folder, "pages").selectExpr("concat('p', page_id, '.pdf') as path", "cast(concat(if(page_id % 3 = 0, '', '%PDF-'), coalesce(html, '')) as binary) as content")
-    good, bad = files.read_pdf_blobs(spark, _written(spark, blobs), 3000)
-    name = F.element_at(F.split("path", "/", -1), -1).alias("name")
-    return good.select(name, F.lit(None).cast("string").alias("reason"), "length").unionByName(bad.select(name, "reason", F.lit(None).cast("long").alias("length")))
+    found = files.pdf_files(spark, _written(spark, blobs), 3000)
+    return found.select(F.element_at(F.split("path", "/", -1), -1).alias("name"), "reason", F.when(F.col("reason").isNull(), F.col("length")).alias("length"))
 
 
 #: Two registrations of names that two documents share: the odd ones come later. Some have no chunk, half a pdf, or no pdf.

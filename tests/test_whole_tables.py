@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 
 from leafmill import plans
-from leafmill.operators import reconcile
+from leafmill.operators import bundles, reconcile
 
 DOCS = [
     (0, "Ｆｕｌｌ　ｗｉｄｔｈ heading of the page\nzweite Zeile übrig\nthird line"), (1, "ascii text only, of twenty characters or more\nsecond"), (2, "ﬁne ligatures on the page\nÄ Ö Ü ß\nmore of the same"),
@@ -96,3 +96,24 @@ def test_drafts_equal_their_sql(spark, tmp_path):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, " "), (1, 3, None)], "draft_id int, page int, text string")
     blanks = [f"## PDF {n}ページ目\n\n{reconcile.NO_TEXT if t is None else t}\n" for n, t in ((1, None), (2, "b"), (3, None))]
     assert reconcile.assemble_draft(pages).first().markdown == "\n".join(blanks)  # by itself the operator marks the blank ones
+
+
+def test_files_are_written_and_read_once(spark, tmp_path):
+    """Before, all files of an export went through one window, and each file was opened twice when read back."""
+    texts = [(i, None if i == 9 else "" if i == 8 else " \n" if i == 12 else f"text {i}\nmore") for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["read_markdown"](spark, str(tmp_path))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {
+        (f"n {i}.{['md', 'MARKDOWN', 'txt', 'html'][i % 4]}", reason := "extension" if i % 4 == 3 else "encoding" if i % 11 == 4 else "blank" if i % 13 == 5 or i in (8, 9, 12) else None, None if reason else t)
+        for i, t in texts if t or i % 3 == 0 or i % 11 == 4 or i % 13 == 5
+    }
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    outputs = spark.createDataFrame([(1, "a"), (1, "../b"), (2, "c"), (2, "d"), (3, "e"), (None, "f"), (None, "d")], "export_id long, path string")
+    planned = bundles.plan_exports(outputs, spark.createDataFrame([("d",)], "path string"))
+    assert "Window" not in planned._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.export_id), r.path, r.bad, r.exists, r.decision) for r in planned.collect()) == [
+        ("1", "../b", True, False, "reject"), ("1", "a", False, False, "reject"), ("2", "c", False, False, "ask"), ("2", "d", False, True, "ask"),
+        ("3", "e", False, False, "write"), ("None", "d", False, True, "ask"), ("None", "f", False, False, "ask"),
+    ]
